@@ -7,13 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, simhash
+from lodestone.llm import bpe, decontamination, sharding, simhash, substring_dedup
 from lodestone.llm.common import table
 
 #: The vocabulary file of op4 and of the pipeline's last stage.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.query(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -23,7 +35,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_byte_bpe": op4_byte_bpe, "op5_simhash": op5_simhash}
+    return {f.__name__: f for f in (op1_interleaved_shards, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
