@@ -60,3 +60,9 @@ def utf8(name: str) -> Column:
 def hex_of_long(value: Column) -> Column:
     """16 lowercase hex digits of a long's 64 bits."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def broadcast_if_small(df: DataFrame, weight: Column, limit: int = 8 << 20) -> DataFrame:
+    """df with a broadcast hint if the sum of weight (bytes of a row) is within limit, else as it is, for a shuffled join."""
+    total = df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df

@@ -13,7 +13,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed
+from lodestone.llm.common import broadcast_if_small, checkpointed
 
 #: Terms of a window whose postings are intersected before the whole window is compared.
 RAREST = 2
@@ -37,44 +37,53 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     )
 
 
-def alignments(docs: DataFrame, items: DataFrame, window: int, rarest: int = RAREST) -> DataFrame:
-    """(doc_id, item_id, item, place, needs, shift): postings of the terms each item's windows need, as alignments.
+def _term_bytes(terms: DataFrame) -> Column:
+    return F.octet_length("term") + 40
 
-    place is the term's offset in the item, needs the sets of places that a window intersects, shift the document's
-    position less the place. docs: (doc_id, text).
+
+def needed_terms(docs: DataFrame, items: DataFrame, window: int, rarest: int = RAREST) -> tuple[DataFrame, DataFrame]:
+    """(item_key, item_id, item, needs) and (term, item_key, place): what to look up in the corpus for each item.
+
+    needs are the sets of places whose terms a window intersects: its rarest ones by counts over all documents. A window
+    with a term that the corpus lacks occurs nowhere and needs nothing. Both tables grow with the items alone.
     """
-    windows = item_windows(items, window).distinct()
-    offsets = windows.select("item_id", "item", "width", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1)).alias("place")).withColumn("term", F.get("item", F.col("place")))
-    posted = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("at", "term"))
+    windows = item_windows(items, window).withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_key", "start"])
+    places = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1))
+    offsets = checkpointed(windows.select("item_key", "item_id", "item", "start", places.alias("place")).withColumn("term", F.get("item", F.col("place"))))
     vocabulary = offsets.select("term").distinct()
-    counted = checkpointed(posted.select("term").join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n")))
-    by_window = Window.partitionBy("item_id", "item", "start").orderBy("n", "term", "place")
-    # a term that the corpus lacks has no count: its window occurs nowhere
+    vocabulary = broadcast_if_small(vocabulary, _term_bytes(vocabulary))
+    counted = docs.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
+    by_window = Window.partitionBy("item_key", "start").orderBy("n", "term", "place")
     ranked = offsets.join(counted, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(by_window))
-    chosen = (
-        ranked.where(F.col("rank") <= rarest)
-        .groupBy("item_id", "item", "start")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("own"), F.min("n").alias("least"))
-        .where("least > 0")
-        .withColumn("places", F.col("own.place"))
+    own = F.sort_array(F.collect_list(F.struct("place", "term"))).alias("own")
+    chosen = ranked.where(F.col("rank") <= rarest).groupBy("item_key", "item_id", "item", "start").agg(own, F.min("n").alias("least")).where("least > 0")
+    looked_up = checkpointed(
+        chosen.groupBy("item_key", "item_id", "item").agg(F.collect_set("own.place").alias("needs"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
     )
-    needs = chosen.groupBy("item_id", "item").agg(F.collect_set("places").alias("needs"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
-    terms = checkpointed(needs.select("item_id", "item", "needs", F.explode("own").alias("own")).select("item_id", "item", "needs", "own.place", "own.term"))
-    return posted.join(terms, "term").select("doc_id", "item_id", "item", "needs", "place", (F.col("at") - F.col("place")).alias("shift"))
+    terms = looked_up.select("item_key", F.explode("own").alias("own")).select("own.term", "item_key", "own.place")
+    return looked_up.drop("own"), terms
+
+
+def alignments(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, item_key, place, shift): the postings of terms; shift is the document's position less the item's place."""
+    posted = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("at", "term"))
+    return posted.join(broadcast_if_small(terms, _term_bytes(terms)), "term").select("doc_id", "item_key", "place", (F.col("at") - F.col("place")).alias("shift"))
 
 
 def exact_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """One row for each row of docs: its columns, n_words and matches, an array of (item_id, from, width).
+    """One row for each row of docs: its columns, n_words, matches, an array of (item_id, from, width), and __words.
 
     A match is a whole window of the item in the document at word from. All windows of all items against all words of all
     documents: the rarest terms only choose which alignments are compared. Null texts have no words and no matches; an
     item without words has no window; repeated items match by each of their ids. Columns of docs named like one of the
     operator's are replaced.
     """
-    hits = alignments(docs.select("doc_id", "text").where("doc_id is not null"), items, window)
-    found = hits.groupBy("doc_id", "item_id", "item", "needs", "shift").agg(F.collect_set("place").alias("places"))
+    looked_up, terms = needed_terms(docs, items, window)
+    hits = alignments(docs.select("doc_id", "text").where("doc_id is not null"), terms)
+    found = hits.groupBy("doc_id", "item_key", "shift").agg(F.collect_set("place").alias("places"))
+    several = found.join(broadcast_if_small(looked_up, F.octet_length(F.array_join("item", " ")) * 2 + F.size("needs") * 40), "item_key")
     whole = F.exists("needs", lambda need: F.size(F.array_except(need, F.col("places"))) == 0)
-    per_doc = found.where(whole).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("candidates"))
+    per_doc = several.where(whole).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("candidates"))
 
     n = F.size("__words")
 
@@ -89,7 +98,7 @@ def exact_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "matches")]
     none = F.array().cast("array<struct<item_id:string,from:int,width:int>>")
     matches = F.when(F.col("candidates").isNull(), none).otherwise(F.flatten(F.transform("candidates", matched)))
-    both = docs.select(*kept, words(F.col("text")).alias("__words")).join(per_doc, F.col("doc_id") == F.col("of"), "left")
+    both = docs.select(*(F.col(f"`{c}`") for c in kept)).join(per_doc, F.col("doc_id") == F.col("of"), "left").withColumn("__words", words(F.col("text")))
     return both.select(*(F.col(f"`{c}`") for c in kept), n.cast("long").alias("n_words"), matches.alias("matches"), F.col("__words"))
 
 
@@ -111,7 +120,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop:
     The rarest term of a window fixes the alignment, each other one must have a posting whose shift differs by slop at
     most. Shifts are joined by blocks of slop + 1, so a frequent term meets only postings near it.
     """
-    hits = alignments(docs.select("doc_id", "text").where("doc_id is not null"), items, window, rarest).select("doc_id", "item_id", "needs", "place", "shift").distinct()
+    looked_up, terms = needed_terms(docs, items, window, rarest)
+    hits = alignments(docs.select("doc_id", "text").where("doc_id is not null"), terms).distinct().join(looked_up.select("item_key", "item_id", "needs"), "item_key")
     step = slop + 1
     windows = hits.select("doc_id", "item_id", F.explode("needs").alias("need"), "place", "shift").where(F.array_contains("need", F.col("place")))
     anchor = windows.where(F.get("need", F.lit(0)) == F.col("place")).select("doc_id", "item_id", "need", F.col("shift").alias("from"))
