@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that a Python stage works on at once; keeps a worker's memory flat when texts are long.
-ROWS_AT_ONCE = 512
+#: Rows, and bytes, of an Arrow batch that a Python stage works on at once; keeps a worker's memory flat when texts are
+#: long. A single row may be longer.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,15 +39,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """mapInArrow in slices of ROWS_AT_ONCE rows; run returns the rows of its slice, or None for no rows."""
+def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """mapInArrow in slices of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes."""
     importable(df.sparkSession)
 
+    def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows <= 1 or batch.num_rows <= ROWS_AT_ONCE and batch.nbytes <= BYTES_AT_ONCE:
+            yield batch
+        else:
+            yield from sliced(batch.slice(0, batch.num_rows // 2))
+            yield from sliced(batch.slice(batch.num_rows // 2))
+
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                out = run(batch.slice(start, ROWS_AT_ONCE))
-                if out is not None and out.num_rows:
+            for part in sliced(batch):
+                out = run(part)
+                if out.num_rows:
                     yield out
 
     return df.mapInArrow(stage, schema)
