@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontamination, html_extract, langid, sharding, simhash, substring_dedup, topk
+from lodestone.llm import bpe, decontamination, html_extract, langid, licenses, sharding, simhash, substring_dedup, topk, toxicity
 from lodestone.llm.common import table
 
 #: The vocabulary file of op4 and of the pipeline's last stage.
@@ -34,6 +34,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -46,8 +50,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_interleaved_shards, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_simhash, op7_html_extract, op8_bit_sliced_topk, op9_language_id)}
+    return {f.__name__: f for f in (op1_interleaved_shards, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_simhash, op6_toxicity, op7_html_extract, op8_bit_sliced_topk, op9_language_id, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
