@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -54,8 +55,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.query(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_interleaved_shards, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_simhash, op6_toxicity, op7_html_extract, op8_bit_sliced_topk, op9_language_id, op10_license_scan)}
+    return {f.__name__: f for f in (op1_interleaved_shards, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_simhash, op6_toxicity, op7_html_extract, op8_bit_sliced_topk, op9_language_id, op10_license_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
