@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -30,13 +31,17 @@ def importable(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it back, so that a lost executor costs no recomputation.
 
-    The folder is the cluster's spark.checkpoint.dir; only a session without one (tests) gets a temporary folder.
+    The folder is the cluster's spark.checkpoint.dir; only a session without one (tests) gets a temporary folder. Shuffle
+    files that only the cut lineage needed are released: Spark's cleaner drops them once the driver's garbage is collected.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-    return df.checkpoint()
+    cut = df.checkpoint()
+    gc.collect()
+    spark._jvm.System.gc()
+    return cut
 
 
 def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpointed, importable, map_batches, utf8
+from lodestone.llm.hashing import WORDS, mixed, range_hashes, word_hashes
 
 #: Words of the inner sequences among which a window's minimiser is chosen.
 INNER = 5
@@ -26,7 +27,6 @@ INNER = 5
 SHARD_SEGMENTS = 2_000
 #: A position in the corpus is doc_id * 2**24 + word, so that a plain long orders positions.
 WORD_BITS = 24
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 class SuffixAutomaton:
@@ -72,47 +72,6 @@ class SuffixAutomaton:
             yield self.length[self.link[new]]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
-
-
-_BYTES = _mixed(np.arange(1, 257, dtype="u8") * np.uint64(_ODD[0]))
-
-
-class _Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as many as were needed so far."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, "u8")
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, m, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, m, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_LETTERS, _WORDS = _Powers(_ODD[1]), _Powers(_ODD[2])
-
-
-def _range_hashes(values: np.ndarray, powers: _Powers, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of the ranges values[start:stop], by differences of one polynomial prefix sum."""
-    up, down = powers.of(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, "u8")
-    np.cumsum(values * up[:-1], out=prefix[1:])
-    return _mixed((prefix[stop] - prefix[start]) * down[start])
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    length = np.fromiter(map(len, words), "i8", len(words))
-    stop = np.cumsum(length)
-    return _range_hashes(_BYTES[np.frombuffer(b"".join(words), "u1")], _LETTERS, stop - length, stop)
-
-
 def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(text, first window, last window, minimiser, hash of the segment's words) for each segment of the texts.
 
@@ -125,10 +84,10 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     if total < length:
         return tuple(np.zeros(0, t) for t in ("i8", "i8", "i8", "i8", "i8"))
     starts = np.arange(total - inner + 1)
-    sequence = _range_hashes(hashes, _WORDS, starts, starts + inner)
+    sequence = range_hashes(hashes, WORDS, starts, starts + inner)
     # the position breaks ties to the left, alike in equal windows
     place = np.uint64(WORD_BITS)
-    least = _mixed(sequence) >> place << place | starts.astype("u8")
+    least = mixed(sequence) >> place << place | starts.astype("u8")
     span, reach = length - inner + 1, 1
     while reach < span:
         step = min(reach, span - reach)
@@ -144,7 +103,7 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, t) for t in ("i8", "i8", "i8", "i8", "i8"))
     begins = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
     ends = np.append(begins[1:], len(window)) - 1
-    own = _range_hashes(hashes, _WORDS, window[begins], window[ends] + length)
+    own = range_hashes(hashes, WORDS, window[begins], window[ends] + length)
     origin = first_word[text[begins]]
     return text[begins], window[begins] - origin, window[ends] - origin, sequence[at[begins]].view("i8"), own.view("i8")
 
