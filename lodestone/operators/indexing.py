@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, EngineConfig
@@ -73,15 +73,16 @@ def index_status(terms: DataFrame, docs: DataFrame, rebuilding: bool = False) ->
 
 
 def rebuild_batches(posts: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(page, batch_rows, processed, total, status): progress after each batch of published posts in the order of their ids."""
+    """(page, batch_rows, processed, total, status): progress after each batch of published posts.
+
+    Progress follows from the number of posts alone, so nothing is ranked or moved to make it.
+    """
     size = config.batch_size()
-    ids = published(posts, config).select("post_id")
-    # ids alone are ranked; a batch is a run of ranks
-    ranked = ids.withColumn("rank", F.row_number().over(Window.orderBy("post_id")))
-    pages = ranked.groupBy(F.ceil(F.col("rank") / size).cast("int").alias("page")).agg(F.count("*").alias("batch_rows"))
-    upto, whole = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    done = pages.withColumn("processed", F.sum("batch_rows").over(upto)).withColumn("total", F.sum("batch_rows").over(whole))
-    return done.withColumn("status", F.when(F.col("processed") >= F.col("total"), "complete").otherwise("running"))
+    total = published(posts, config).agg(F.count("*").alias("total")).where("total > 0")
+    pages = total.select("total", F.explode(F.sequence(F.lit(1), F.ceil(F.col("total") / size).cast("int"))).alias("page"))
+    done = pages.withColumn("processed", F.least(F.col("total"), F.col("page") * F.lit(size).cast("long")))
+    rows = F.col("processed") - (F.col("page") - 1) * F.lit(size).cast("long")
+    return done.select("page", rows.alias("batch_rows"), "processed", "total", F.when(F.col("processed") >= F.col("total"), "complete").otherwise("running").alias("status"))
 
 
 def latest_changes(changes: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
