@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontamination, html_extract, langid, licenses, sharding, simhash, substring_dedup, topk, toxicity
+from lodestone.llm import bpe, decontamination, html_extract, langid, licenses, sharding, simhash, sql, substring_dedup, topk, toxicity
 from lodestone.llm.common import table
 
 #: The vocabulary file of op4 and of the pipeline's last stage.
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
