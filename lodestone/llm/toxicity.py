@@ -16,7 +16,8 @@ from lodestone.llm.hashing import BYTES, LETTERS, mixed, range_hashes
 
 #: Labelled documents that the model is fitted on, in expectation; chosen evenly by a hash of doc_id.
 FIT_DOCUMENTS = 12_000
-#: Features of the model: those whose presence tells the labels apart best, by a z-score of at least LEAST_Z.
+#: Features of the model: those that point to toxic texts most, by a z-score of at least LEAST_Z. Features of clean texts
+#: are left out: over a long text they add up and outweigh an insult.
 FEATURES, LEAST_Z = 20_000, 3.5
 #: Bytes of the prefixes that are features beside the words.
 PREFIXES = (4, 5, 6, 7)
@@ -70,7 +71,7 @@ class Severity:
         score = np.bincount(text, self.weights[feature], n)
         return 1 / (1 + np.exp(-(score[:, None] - self.thresholds)))
 
-    def fit(self, feature: np.ndarray, text: np.ndarray, grade: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> None:
+    def fit(self, feature: np.ndarray, text: np.ndarray, grade: np.ndarray, steps: int = 600, rate: float = 0.05, ridge: float = 5e-5) -> None:
         """Adam on the mean negative log-likelihood of the grades; thresholds as a first one and positive steps."""
         n, top = len(grade), GRADES
         share = np.clip([(grade > k).mean() for k in range(top)], 1e-4, 1 - 1e-4)
@@ -119,6 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Severity | None:
     place = F.xxhash64(F.lit("toxicity"), "doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     chosen = F.broadcast(labelled.where(place * max(total, 1) < FIT_DOCUMENTS))  # FIT_DOCUMENTS rows
     sample = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("text", "label")
+    # copies of a text are one example: else the rare words of a text that is often copied look telling
+    sample = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.any_value("text").alias("text")).select("text", "label")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, text = features(batch.column(0).to_pylist())
@@ -136,11 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Severity | None:
     a, b = F.col("positive") + 0.5, F.col("n") - F.col("positive") + 0.5
     odds = F.log(a / (sizes.positive + 1)) - F.log(b / (sizes.n - sizes.positive + 1))
     counted = map_batches(sample, "hash long, n long, positive long", count).groupBy("hash").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
-    scored = counted.where("n >= 3").withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where(F.abs("z") >= LEAST_Z)
-    best = scored.orderBy(F.desc(F.abs("z")), "hash").limit(FEATURES).toArrow()
+    scored = counted.where("n >= 3").withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where(F.col("z") >= LEAST_Z)
+    best = scored.orderBy(F.desc("z"), "hash").limit(FEATURES).toArrow()
     model = Severity(best.column("hash").to_numpy().view("u8"))
-    order = np.argsort(best.column("hash").to_numpy().view("u8"))
-    telling = best.column("z").to_numpy()[order] > 0
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Severity | None:
     feature = lists.flatten().to_numpy().astype("i8")
     text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     label = rows.column("label").to_numpy()
-    model.fit(feature, text, grades_of(label, np.bincount(text, telling[feature], len(label))))
+    model.fit(feature, text, grades_of(label, np.bincount(text, minlength=len(label))))
     return model
 
 
