@@ -23,7 +23,7 @@ from lodestone.llm.common import map_batches, utf8
 #: Pieces of up to this many bytes are leaves of the tree.
 LEAF_BYTES = 64
 #: Pieces that a worker remembers; beyond it the memory is emptied, so a worker's size doesn't depend on the corpus.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _END = 1 << 60
 
 

@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,40 +14,69 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes, of an Arrow batch that a Python stage works on at once; keeps a worker's memory flat when texts are
 #: long. A single row may be longer.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 2 << 20
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it (on a cluster it is installed or sent by --py-files)."""
+#: Rows of an Arrow batch between Spark and a Python worker, at most; Spark's own 10,000 rows of long texts take hundreds
+#: of megabytes outside the heap.
+ARROW_ROWS = 1_000
+
+
+def workers_ready(spark: SparkSession) -> None:
+    """Prepares the session for Python stages over long texts.
+
+    Workers can import this package from where the driver found it (on a cluster it is installed or sent by --py-files),
+    and a larger setting of spark.sql.execution.arrow.maxRecordsPerBatch is lowered to ARROW_ROWS.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ARROW_ROWS:
+        spark.conf.set(setting, str(ARROW_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back, so that a lost executor costs no recomputation.
-
-    The folder is the cluster's spark.checkpoint.dir; only a session without one (tests) gets a temporary folder. Shuffle
-    files that only the cut lineage needed are released: Spark's cleaner drops them once the driver's garbage is collected.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; only a session without one (tests) gets a temporary folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-    cut = df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files whose lineage was cut off: it does once the driver's garbage is collected."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder, read back: like checkpointed, but compressed."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid4()}"
+    df.write.parquet(path)
+    release_shuffles(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it back, so that a lost executor costs no recomputation.
+
+    Shuffle files that only the cut lineage needed are released.
+    """
+    checkpoint_folder(df.sparkSession)
+    cut = df.checkpoint()
+    release_shuffles(df.sparkSession)
     return cut
 
 
 def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """mapInArrow in slices of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes."""
-    importable(df.sparkSession)
+    workers_ready(df.sparkSession)
 
     def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if batch.num_rows <= 1 or batch.num_rows <= ROWS_AT_ONCE and batch.nbytes <= BYTES_AT_ONCE:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, hex_of_long, importable, map_batches, utf8
+from lodestone.llm.common import checkpointed, hex_of_long, workers_ready, map_batches, utf8
 from lodestone.llm.graph import connected_components
 
 #: Posting lists of up to this many fingerprints are compared by shifts of the whole partition, longer ones one by one.
@@ -115,7 +115,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         for p in design:
             key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
         posts.append(F.struct(key.alias("key"), F.col("fp").alias("fp")))
-    importable(fps.sparkSession)
+    workers_ready(fps.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = np.zeros(0, "i8"), np.zeros(0, "u8")

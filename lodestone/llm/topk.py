@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import importable
+from lodestone.llm.common import workers_ready
 
 #: Rows of a block of the index, and queries that meet it in one task.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 256
@@ -126,7 +126,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     repeated rows of an id count once (the greatest vector of them). Blocks of queries meet blocks of rows: each task
     holds one of either, whatever the tables' sizes, and passes on k rows for each of its queries.
     """
-    importable(vectors.sparkSession)
+    workers_ready(vectors.sparkSession)
     vectors = vectors.groupBy("vec_id").agg(F.max("q").alias("q"))
     queries = queries.groupBy("vec_id").agg(F.max("q").alias("q"))
     blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
