@@ -15,10 +15,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, importable, map_batches, utf8
+from lodestone.llm.common import map_batches, utf8, workers_ready, written
 from lodestone.llm.hashing import WORDS, mixed, range_hashes, word_hashes
 
 #: Words of the inner sequences among which a window's minimiser is chosen.
@@ -108,6 +109,23 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text[begins], window[begins] - origin, window[ends] - origin, sequence[at[begins]].view("i8"), own.view("i8")
 
 
+def _packed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the binary column `name`, the last one, compressed: texts that are shuffled take half the disk."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        values = pa.array([None if x is None else pack(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=batch.schema.names)
+
+    assert docs.columns[-1] == name
+    return map_batches(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), run)
+
+
+def _unpacked(values: pa.Array) -> list[bytes | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if x is None else unpack(x) for x in values.to_pylist()]
+
+
 def _position(doc_id: Column, word: Column) -> Column:
     limit = 1 << (62 - WORD_BITS)
     fits = doc_id.between(-limit, limit - 1)
@@ -128,7 +146,7 @@ def _routed(docs: DataFrame, length: int) -> DataFrame:
 
 def _matched(rows: DataFrame, length: int) -> DataFrame:
     """(pos, windows) of runs of repeated windows, by the automaton of each minimiser's segments; rows: (m, pos, words)."""
-    importable(rows.sparkSession)
+    workers_ready(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, last, automaton = None, None, SuffixAutomaton()
@@ -159,22 +177,23 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     """
     docs = docs.where("doc_id is not null and b is not null")
     routed = _routed(docs, length)
-    shared = routed.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
-    rows = checkpointed(routed.join(shared, "m", "left_semi"))
+    # counts are cut off before they are joined: a join straight over an aggregate can't split a frequent minimiser
+    shared = written(routed.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"))
+    rows = written(routed.join(shared, "m", "left_semi"))
 
     firsts = rows.groupBy("m", "seg").agg(F.min("pos").alias("pos"), F.max("windows").alias("windows"), F.count("*").alias("n"))
-    firsts = checkpointed(firsts)
+    firsts = written(firsts)
     copies = rows.join(firsts.where("n > 1").select(F.col("m").alias("m1"), F.col("seg").alias("seg1"), F.col("pos").alias("first")), (F.col("m") == F.col("m1")) & (F.col("seg") == F.col("seg1")))
     whole = copies.where("pos > first").select("pos", "windows")
 
-    shards = firsts.groupBy("m").agg(F.count("*").alias("distinct")).where("distinct > 1")
+    shards = written(firsts.groupBy("m").agg(F.count("*").alias("distinct")).where("distinct > 1"))
     meeting = firsts.join(shards, "m").select("m", "pos", "windows", (F.col("distinct") > SHARD_SEGMENTS).alias("single"))
     doc_of, word_of = F.shiftright("pos", WORD_BITS), F.col("pos").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
     wanted = meeting.groupBy(doc_of.alias("of")).agg(F.collect_list(F.struct("m", word_of.cast("int").alias("first"), "windows", "single")).alias("cuts"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[int, int, bytes, bool]] = []
-        for doc_id, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, text, cuts in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             words = text.split()
             for c in cuts:
                 pos, stop = (doc_id << WORD_BITS) + c["first"], c["first"] + c["windows"]
@@ -188,11 +207,12 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["m", "pos", "words", "single"])
 
-    pieces = map_batches(docs.join(wanted, docs.doc_id == wanted["of"]).select("doc_id", "b", "cuts"), "m long, pos long, words binary, single boolean", cut)
-    pieces = checkpointed(pieces)
+    packed = _packed(docs.select("doc_id", "b"), "b")
+    pieces = map_batches(packed.join(wanted, packed.doc_id == wanted["of"]).select("doc_id", "b", "cuts"), "m long, pos long, words binary, single boolean", cut)
+    pieces = written(pieces)
     automata = _matched(pieces.where("not single").select("m", "pos", "words"), length)
     alone = pieces.where("single").select("m", "pos")
-    first_alone = alone.groupBy("m").agg(F.min("pos").alias("first")).withColumnRenamed("m", "m1")
+    first_alone = written(alone.groupBy("m").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("m").alias("m1"), "first"))
     windows = alone.join(first_alone, (F.col("m") == F.col("m1")) & (F.col("pos") > F.col("first"))).select("pos", F.lit(1).alias("windows"))
 
     found = whole.unionByName(automata).unionByName(windows)
@@ -212,7 +232,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", keep:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, n, gone = [], [], []
-        for value, found in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+        for value, found in zip(_unpacked(batch.column(batch.num_columns - 2)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             words = value.split() if value else []
             n.append(len(words))
             if found:
@@ -224,7 +244,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", keep:
             texts.append(None if value is None else b" ".join(words))
         return pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "__bytes", "n_words", "n_removed"])
 
-    joined = docs.select(*(F.col(f"`{c}`") for c in kept), F.col("doc_id").cast("long").alias("__id"), utf8(text).alias("__bytes")).join(spans, F.col("__id") == F.col("of"), "left").drop("__id", "of")
+    packed = _packed(docs.select(*(F.col(f"`{c}`") for c in kept), F.col("doc_id").cast("long").alias("__id"), utf8(text).alias("__bytes")), "__bytes")
+    joined = packed.join(spans, F.col("__id") == F.col("of"), "left").select(*(F.col(f"`{c}`") for c in kept), "__bytes", "spans")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "`__bytes` binary, n_words long, n_removed long"])
     done = map_batches(joined, schema, run)
     return done.select(*(F.col(f"`{c}`") for c in kept), F.col("__bytes").cast("string").alias(text), "n_words", "n_removed")
