@@ -27,7 +27,7 @@ FIT_DOCUMENTS, CALIBRATION_DOCUMENTS = 4_000, 500
 #: Absolute discount of the counts.
 DISCOUNT = 0.75
 #: Characters at the language's usual cross-entropy that are added to a text before it is held against the limit.
-PRIOR_CHARACTERS = 30
+PRIOR_CHARACTERS = 100
 UNDETERMINED = "und"
 _BOUNDARY, _ASTRAL = 0, 0xFFFF
 _MASK = [np.uint64((1 << (16 * k)) - 1) for k in range(ORDER + 1)]
