@@ -154,7 +154,7 @@ class Engine:
         expand = synonyms.expander(self.synonyms(), self.config)
         terms, docs = self.store.terms(), self.store.docs()
         hits = sr.search(queries, terms, docs, expand, self.config)
-        return sr.hydrate(sr.matched_terms(hits, queries, terms, expand, self.config), self.posts())
+        return sr.hydrate(sr.matched_terms(hits, queries, terms, expand, self.config), self.posts(), queries)
 
     def search(self, query: str, types: list[str] | None = None, limit: int = 10, intent: str = "") -> list[Row]:
         """One query; the scan of the index is confined to its terms' buckets."""
@@ -167,7 +167,7 @@ class Engine:
             return self.provider.search(asked).orderBy("rank").collect()
         terms, docs = self.store.terms(wanted), self.store.docs()
         hits = sr.search(asked, terms, docs, expand, self.config)
-        return sr.hydrate(sr.matched_terms(hits, asked, terms, expand, self.config), self.posts()).orderBy("rank").collect()
+        return sr.hydrate(sr.matched_terms(hits, asked, terms, expand, self.config), self.posts(), asked).orderBy("rank").collect()
 
     def _limit(self, key: str, limit: int, ttl: int, count: bool) -> bool:
         """Whether the key may go on; counts the event if asked to and it may."""

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, FALLBACK_STOPWORDS, EngineConfig
 
-#: Term boundaries: runs of other characters, letter-digit borders in lower case, and camel-case humps.
-TERM_BOUNDARY = r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+#: Terms are separated by runs of other characters, by letter-digit borders in lower case, and by camel-case humps.
+BETWEEN_WORDS = "[^a-zA-Z0-9]+"
+INSIDE_WORDS = "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+#: What a word with an inner border has. Few words do: the rest are spared the look-arounds.
+INNER_BORDER = "[a-z][0-9A-Z]|[0-9][a-z]|[A-Z][A-Z][a-z]"
 # Named character references that text in this domain uses; the ampersand goes last so that decoding is single-pass.
 ENTITIES = {
     "&lt;": "<",
@@ -46,9 +49,14 @@ def ascii_lower(value: Column) -> Column:
 
 def strip_tags(value: Column) -> Column:
     """Markup removed: script and style with their content, comments, then tags. Nothing is put in their place."""
-    value = F.regexp_replace(text_of(value), r"(?is)<script[^>]*>.*?</script>", "")
-    value = F.regexp_replace(value, r"(?is)<style[^>]*>.*?</style>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(value, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", ""), F.lit(" \t\n\r\0\x0b"))
+
+    def bare(text: Column) -> Column:
+        text = F.regexp_replace(text, r"(?is)<script[^>]*>.*?</script>", "")
+        text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", "")
+        return F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "")
+
+    stripped = let(text_of(value), lambda t: F.when(F.contains(t, F.lit("<")), bare(t)).otherwise(t))
+    return F.trim(stripped, F.lit(" \t\n\r\0\x0b"))
 
 
 def strip_shortcodes(value: Column, config: EngineConfig = DEFAULT) -> Column:
@@ -59,9 +67,24 @@ def strip_shortcodes(value: Column, config: EngineConfig = DEFAULT) -> Column:
 
 
 def decode_entities(value: Column) -> Column:
-    for entity, character in ENTITIES.items():
-        value = F.replace(value, F.lit(entity), F.lit(character))
-    return value
+    def decoded(text: Column) -> Column:
+        for entity, character in ENTITIES.items():
+            text = F.replace(text, F.lit(entity), F.lit(character))
+        return text
+
+    return let(value, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def split_terms(value: Column) -> Column:
+    words = F.split(value, BETWEEN_WORDS)
+    bordered = lambda w: F.rlike(w, F.lit(INNER_BORDER))
+    inner = lambda w: F.when(bordered(w), F.split(w, INSIDE_WORDS)).otherwise(F.array(w))
+    return let(words, lambda ws: F.when(F.exists(ws, bordered), F.flatten(F.transform(ws, inner))).otherwise(ws))
 
 
 def _terms(parts: Column) -> Column:
@@ -78,7 +101,7 @@ def without(tokens: Column, words: tuple[str, ...]) -> Column:
 def tokenize(value: Column, limit: Column | int | None = None, config: EngineConfig = DEFAULT) -> Column:
     """The index terms of a text in order, repeats included; the first `limit` of them after filtering if given."""
     plain = decode_entities(strip_tags(strip_shortcodes(text_of(value), config)))
-    tokens = without(_terms(F.split(plain, TERM_BOUNDARY)), config.stopwords)
+    tokens = without(_terms(split_terms(plain)), config.stopwords)
     if limit is not None:
         tokens = F.slice(tokens, F.lit(1), limit if isinstance(limit, Column) else F.lit(limit))
     return config.token_filter(tokens)
@@ -90,7 +113,7 @@ def tokenize_query(value: Column, config: EngineConfig = DEFAULT) -> Column:
 
 def normalize_terms(value: Column) -> Column:
     """Terms of a synonym entry: like tokenize, but entities aren't decoded and stopwords stay."""
-    return _terms(F.split(strip_tags(value), TERM_BOUNDARY))
+    return _terms(split_terms(strip_tags(value)))
 
 
 def fallback_tokenize(question: Column) -> Column:
@@ -114,19 +137,21 @@ def space_words(value: Column) -> Column:
 
 def trim_words(value: Column, n: int, suffix: str = "") -> Column:
     """The first n words of a text without markup, with suffix only if there were more."""
-    words = space_words(strip_tags(value))
-    cut = F.array_join(F.slice(words, 1, n), " ")
-    return F.when(F.size(words) > n, F.concat(cut, F.lit(suffix))).otherwise(cut)
+
+    def cut(words: Column) -> Column:
+        return F.concat(F.array_join(F.slice(words, 1, n), " "), F.when(F.size(words) > n, suffix).otherwise(""))
+
+    return let(space_words(strip_tags(value)), cut)
 
 
 def cap_excerpt(value: Column, most: int = 600) -> Column:
-    return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most - 3), F.lit("..."))).otherwise(value)
+    return let(value, lambda v: F.when(F.length(v) > most, F.concat(F.substring(v, 1, most - 3), F.lit("..."))).otherwise(v))
 
 
 def last_position(needle: Column, haystack: Column) -> Column:
     """0-based place of needle's last occurrence in haystack, -1 if none; overlapping occurrences count."""
     reverse = F.position(F.reverse(needle), F.reverse(haystack))
-    return F.when(reverse > 0, F.length(haystack) - reverse - F.length(needle) + 1).otherwise(F.lit(-1))
+    return let(reverse, lambda r: F.when(r > 0, F.length(haystack) - r - F.length(needle) + 1).otherwise(F.lit(-1)))
 
 
 def sanitize_key(value: Column) -> Column:
@@ -152,10 +177,12 @@ def url_path(url: Column) -> Column:
 
 def sentence_trim(text: Column, most: int = 1000) -> Column:
     """At most `most` characters, ending at the last . ! or ? if that lies beyond the half."""
-    cut = F.substring(text, 1, most)
-    stop = F.greatest(*(last_position(F.lit(c), cut) for c in ".!?"))
-    short = F.when(stop > most // 2, F.trim(F.substring(cut, F.lit(1), stop + 1))).otherwise(F.trim(cut))
-    return F.when(F.length(text) <= most, text).otherwise(short)
+
+    def short(cut: Column) -> Column:
+        stop = F.greatest(*(last_position(F.lit(c), cut) for c in ".!?"))
+        return let(stop, lambda s: F.when(s > most // 2, F.trim(F.substring(cut, F.lit(1), s + 1))).otherwise(F.trim(cut)))
+
+    return F.when(F.length(text) <= most, text).otherwise(let(F.substring(text, 1, most), short))
 
 
 def conversation_key(value: Column) -> Column:

@@ -57,7 +57,7 @@ def retrieve(questions: DataFrame, hits: DataFrame, corpus: DataFrame, posts: Da
     filled = not corpus.isEmpty()
     asked = questions.where(F.size(tx.fallback_tokenize(F.col("query"))) > 0) if filled else questions.where("false")
     liked = like_search(asked, posts, k, config)
-    entries = corpus_entries(posts.join(small(liked.select("post_id").distinct()), "post_id"))
+    entries = corpus_entries(posts.join(liked.select("post_id").distinct(), "post_id", "left_semi"))
     by_platform = liked.join(entries, "post_id").select("query_id", F.lit(3).alias("priority"), "rank", *page_columns())
     newest_pages = questions.select("query_id").crossJoin(F.broadcast(pages.where(F.col("corpus_rank") <= k)))  # k rows
     by_age = newest_pages.select("query_id", F.lit(4).alias("priority"), F.col("corpus_rank").alias("rank"), *PAGE)

@@ -9,6 +9,7 @@ from lodestone.config import DEFAULT, INTENTS, EngineConfig
 from lodestone.functions import ranking as rk
 from lodestone.functions import text as tx
 from lodestone.operators.indexing import corpus_stats
+from lodestone.operators.snapshot import corpus_entries
 
 #: Digits that scores are rounded to before they are compared, so that ties are ties on every platform.
 DIGITS = 6
@@ -16,9 +17,19 @@ DIGITS = 6
 BROADCAST_ROWS = 100_000
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most `rows` rows; reads no more of it than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def hinted(df: DataFrame, fit: bool) -> DataFrame:
+    """df with a broadcast hint if it is known to fit, else as it is, for a shuffled join."""
+    return F.broadcast(df) if fit else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it has at most `rows` rows. For tables that are cheap to count."""
+    return hinted(df, fits(df, rows))
 
 
 def query_normalize(queries: DataFrame) -> DataFrame:
@@ -53,13 +64,14 @@ def matched_rows(wanted: DataFrame, terms: DataFrame, docs: DataFrame, config: E
     df counts the rows of a query's types; total_docs and avgdl are those of the whole index. df comes from a partial
     aggregate rather than a window over the term, so a term of a third of all posts is no task of its own.
     """
-    rows = small(wanted).join(terms, "term").join(docs.select("post_id", "post_type", "doc_length"), "post_id").where(F.array_contains("types", F.col("post_type")))
+    fit = fits(wanted)  # and with it whatever has a row for each wanted term at most
+    rows = hinted(wanted, fit).join(terms, "term").join(docs.select("post_id", "post_type", "doc_length"), "post_id").where(F.array_contains("types", F.col("post_type")))
     kinds = wanted.select("types", "term").distinct()
-    in_types = small(kinds).join(terms.select("term", "post_id"), "term").join(docs.select("post_id", "post_type"), "post_id").where(F.array_contains("types", F.col("post_type")))
+    in_types = hinted(kinds, fit).join(terms.select("term", "post_id"), "term").join(docs.select("post_id", "post_type"), "post_id").where(F.array_contains("types", F.col("post_type")))
     df = in_types.groupBy("types", "term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs)
     tf = rk.weighted_frequency(F.col("tf_title"), F.col("tf_excerpt"), F.col("tf_content"), config)
-    scored = rows.join(small(df), ["types", "term"]).crossJoin(F.broadcast(stats)).withColumn("tf", tf)  # stats has one row
+    scored = rows.join(hinted(df, fit), ["types", "term"]).crossJoin(F.broadcast(stats)).withColumn("tf", tf)  # stats has one row
     return scored.withColumn("term_score", rk.term_score(F.col("tf"), F.col("df"), F.col("total_docs"), F.col("doc_length"), F.col("avgdl"), config))
 
 
@@ -80,7 +92,8 @@ def search(queries: DataFrame, terms: DataFrame, docs: DataFrame, expand=None, c
 def matched_terms(hits: DataFrame, queries: DataFrame, terms: DataFrame, expand=None, config: EngineConfig = DEFAULT) -> DataFrame:
     """hits with an array of the query's terms that each post has; computed for the surviving hits only."""
     wanted = query_terms(queries, expand, config).select("query_id", "term")
-    pairs = small(hits.select("query_id", "post_id").join(small(wanted), "query_id"))
+    fit = fits(wanted, BROADCAST_ROWS // 20)  # a query has 20 hits at most
+    pairs = hinted(hits.select("query_id", "post_id").join(hinted(wanted, fit), "query_id"), fit)
     found = pairs.join(terms.select("term", "post_id"), ["term", "post_id"]).groupBy("query_id", "post_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     return hits.join(found, ["query_id", "post_id"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
@@ -91,24 +104,29 @@ def snippet(content: Column, terms: Column, excerpt: Column) -> Column:
     From 500 characters before it, 4000 characters, 400 words. Without an occurrence the first 80 words; without content
     or terms the corpus excerpt.
     """
-    lower = tx.ascii_lower(content)
     usable = F.filter(terms, lambda t: F.length(t) >= 2)
-    last = F.coalesce(F.array_max(F.transform(usable, lambda t: tx.last_position(tx.ascii_lower(t), lower))), F.lit(-1))
-    start = F.greatest(F.lit(0), last - 500)
-    part = tx.trim_words(F.substring(content, start + 1, F.lit(4000)), 400, "...")
-    around = F.when(start > 0, F.concat(F.lit("..."), part)).otherwise(part)
-    return F.when((content == "") | (F.size(usable) == 0), excerpt).when(last < 0, tx.trim_words(content, 80, "...")).otherwise(around)
 
+    def around(text: Column, last: Column) -> Column:
+        start = F.greatest(F.lit(0), last - 500)
+        part = tx.trim_words(F.substring(text, start + 1, F.lit(4000)), 400, "...")
+        return F.when(last < 0, tx.trim_words(text, 80, "...")).otherwise(F.concat(F.when(start > 0, "...").otherwise(""), part))
 
-def hydrate(hits: DataFrame, posts: DataFrame) -> DataFrame:
+    def found(text: Column) -> Column:
+        lower = tx.ascii_lower(text)
+        last = tx.let(lower, lambda low: F.coalesce(F.array_max(F.transform(usable, lambda t: tx.last_position(tx.ascii_lower(t), low))), F.lit(-1)))
+        placed = tx.let(last, lambda at: around(text, at))
+        return F.when((text == "") | (F.size(usable) == 0), excerpt).otherwise(placed)
+
+    return tx.let(content, found)
+
+
+def hydrate(hits: DataFrame, posts: DataFrame, queries: DataFrame) -> DataFrame:
     """hits (with terms) with title, permalink, excerpt and last_modified of their posts.
 
     Posts that are no longer published drop out after the ranking, without another post taking their place. The hits are
-    the small side: content is read, cleaned and cut for surviving posts only.
+    the small side, 20 for each query at most: content is read, cleaned and cut for surviving posts only.
     """
-    from lodestone.operators.snapshot import corpus_entries
-
-    wanted = small(hits)
+    wanted = hinted(hits, fits(queries, BROADCAST_ROWS // 20))
     entries = posts.where("post_status = 'publish'").select(*(F.col(c).alias(f"p_{c}") for c in posts.columns))
     joined = wanted.join(entries, F.col("post_id") == F.col("p_post_id"))
     as_posts = joined.select("query_id", "rank", "score", "terms", *(F.col(f"p_{c}").alias(c) for c in posts.columns))

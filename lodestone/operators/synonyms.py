@@ -95,6 +95,7 @@ def sampled_terms(posts: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame
     """
     recent = published(posts, config).orderBy(F.desc("modified"), F.desc("post_id")).limit(config.synonym_sample)
     ranked = recent.select(F.row_number().over(Window.orderBy(F.desc("modified"), F.desc("post_id"))).alias("doc_rank"), "title", "content")  # synonym_sample rows
+    ranked = ranked.repartition("doc_rank")  # the limit left one partition; tokenizing and pairing are the work
     tokens = tx.without(tx.tokenize_query(F.lower(F.concat_ws(" ", "title", "content")), config), config.noise_words)
     return ranked.select("doc_rank", F.posexplode(tokens).alias("at", "term"))
 
@@ -102,7 +103,7 @@ def sampled_terms(posts: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame
 def candidates(sampled: DataFrame) -> DataFrame:
     """(term, freq, ord): terms of at least 5 and at most 60 % of the sampled posts, ord by first appearance; none if fewer than 10."""
     n = sampled.agg(F.count_distinct("doc_rank").alias("posts"))
-    counted = sampled.groupBy("term").agg(F.count("*").alias("freq"), F.min(F.struct("doc_rank", "at")).alias("first"))
+    counted = sampled.groupBy("term").agg(F.count("*").alias("freq"), F.min(F.shiftleft(F.col("doc_rank").cast("long"), 32) + F.col("at")).alias("first"))
     banded = counted.crossJoin(F.broadcast(n)).where((F.col("freq") >= 5) & (F.col("freq") <= F.greatest(F.lit(5.0), F.col("posts") * 0.6)))  # n has one row
     enough = banded.agg(F.count("*").alias("found"))
     kept = banded.crossJoin(F.broadcast(enough)).where("found >= 10")
@@ -118,7 +119,8 @@ def mine(posts: DataFrame, config: EngineConfig = DEFAULT, prepared: DataFrame |
     b = rows.select("doc_rank", F.col("term").alias("b"), F.col("freq").alias("fb"), F.col("first").alias("ob"))
     pairs = a.join(b, "doc_rank").where("oa < ob").groupBy("a", "b", "fa", "fb", "oa", "ob").agg(F.count("*").alias("both")).where("both >= 3")
     scored = pairs.withColumn("jaccard", F.round(rk.jaccard(F.col("both"), F.col("fa"), F.col("fb")), 9)).where(F.col("jaccard") >= config.jaccard_threshold)
-    sides = scored.select(F.col("a").alias("term"), F.col("b").alias("synonym"), "jaccard", "oa", "ob").unionByName(scored.select(F.col("b").alias("term"), F.col("a").alias("synonym"), "jaccard", "oa", "ob"))
+    both_ways = F.explode(F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("synonym")), F.struct(F.col("b").alias("term"), F.col("a").alias("synonym"))))
+    sides = scored.select(both_ways.alias("x"), "jaccard", "oa", "ob").select("x.*", "jaccard", "oa", "ob")
     best = Window.partitionBy("term").orderBy(F.desc("jaccard"), "oa", "ob")
     top = sides.withColumn("pos", F.row_number().over(best) - 1).where("pos < 5")
     return top.withColumn("n", F.count("*").over(Window.partitionBy("term"))).where("n >= 2").select("term", "pos", "synonym", "jaccard")

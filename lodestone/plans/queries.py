@@ -218,7 +218,7 @@ def bm25_synonyms(spark, sf_dir):
 def _hydrated(spark, sf_dir):
     queries = src.query_batch(spark, sf_dir)
     hits = sr.matched_terms(_hits(spark, sf_dir, queries), queries, index(spark, sf_dir)[0])
-    return sr.hydrate(hits, src.posts(spark, sf_dir))
+    return sr.hydrate(hits, src.posts(spark, sf_dir), queries)
 
 
 @query
@@ -230,7 +230,7 @@ def bm25_hydrated(spark, sf_dir):
 def excerpt_last_occurrence(spark, sf_dir):
     queries = src.one_query(spark, FLAGSHIP)
     hits = sr.matched_terms(_hits(spark, sf_dir, queries), queries, index(spark, sf_dir)[0])
-    return sr.hydrate(hits, src.posts(spark, sf_dir)).select("post_id", "excerpt")
+    return sr.hydrate(hits, src.posts(spark, sf_dir), queries).select("post_id", "excerpt")
 
 
 @query
@@ -439,7 +439,7 @@ def retrieve_topk(spark, sf_dir):
     short = F.when(F.col("query_id") % 5 == 2, F.lit("the")).when(F.col("query_id") % 7 == 3, F.lit("zzzzzz qqqqqq")).otherwise(F.col("query"))
     asked = asked.withColumn("query", short)
     posts = src.posts(spark, sf_dir)
-    hits = sr.hydrate(sr.matched_terms(_hits(spark, sf_dir, asked), asked, index(spark, sf_dir)[0]), posts)
+    hits = sr.hydrate(sr.matched_terms(_hits(spark, sf_dir, asked), asked, index(spark, sf_dir)[0]), posts, asked)
     corpus = snapshot.build_corpus(posts).persist()
     return retrieval.retrieve(asked, hits, corpus, posts, 3).select("query_id", "rank", "source", "id", "title", "url")
 

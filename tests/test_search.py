@@ -45,7 +45,7 @@ def test_synonyms_find_and_late_content_is_indexed(spark):
     assert [h.post_id for h in sr.search(query, terms, docs).collect()] == [1]
     expand = synonyms.expander(CAFE)
     hits = sr.matched_terms(sr.search(query, terms, docs, expand), query, terms, expand)
-    found = {r.post_id: r for r in sr.hydrate(hits, posts).collect()}
+    found = {r.post_id: r for r in sr.hydrate(hits, posts, query).collect()}
     assert set(found) == {1, 2} and "Our HoursTuesday 7:00 AM" in found[2].excerpt and found[2].excerpt.startswith("...")
 
 
