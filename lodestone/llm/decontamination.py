@@ -52,7 +52,8 @@ def needed_terms(docs: DataFrame, items: DataFrame, window: int, rarest: int = R
     offsets = checkpointed(windows.select("item_key", "item_id", "item", "start", places.alias("place")).withColumn("term", F.get("item", F.col("place"))))
     vocabulary = offsets.select("term").distinct()
     vocabulary = broadcast_if_small(vocabulary, _term_bytes(vocabulary))
-    counted = docs.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
+    counted = checkpointed(docs.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n")))
+    counted = broadcast_if_small(counted, _term_bytes(counted))
     by_window = Window.partitionBy("item_key", "start").orderBy("n", "term", "place")
     ranked = offsets.join(counted, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(by_window))
     own = F.sort_array(F.collect_list(F.struct("place", "term"))).alias("own")
@@ -73,6 +74,8 @@ def alignments(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def exact_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """One row for each row of docs: its columns, n_words, matches, an array of (item_id, from, width), and __words.
 
+    Rows without a doc_id have no matches.
+
     A match is a whole window of the item in the document at word from. All windows of all items against all words of all
     documents: the rarest terms only choose which alignments are compared. Null texts have no words and no matches; an
     item without words has no window; repeated items match by each of their ids. Columns of docs named like one of the
