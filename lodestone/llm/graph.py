@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("root").alias("near"))
         stepped = labels.join(seen, labels.node == seen.src).select("node", F.col("root").alias("before"), F.least("root", "near").alias("root"))
         of = stepped.select(F.col("node").alias("of"), F.col("root").alias("next"))
-        jumped = checkpointed(stepped.join(of, stepped.root == of["of"]).select("node", "before", F.least("root", "next").alias("root")))
+        jumped = stepped.join(of, stepped.root == of["of"]).select("node", "before", F.least("root", "next").alias("root"))
+        jumped = checkpointed(jumped.repartition("node"))  # the join left a component's nodes together
         labels = jumped.select("node", "root")
         if jumped.where("root <> before").isEmpty():
             return labels
