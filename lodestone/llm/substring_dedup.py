@@ -168,6 +168,36 @@ def _matched(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("m").sortWithinPartitions("m", "pos").mapInArrow(run, "pos long, windows int")
 
 
+def _parts() -> tuple[Column, Column]:
+    """Document and word of a position."""
+    return F.shiftright("pos", WORD_BITS), F.col("pos").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
+
+
+def _cut(docs: DataFrame, segments: DataFrame, length: int, single: bool) -> DataFrame:
+    """(m, pos, words) of segments (m, pos, windows) from their documents; with single each window by itself, m its hash and words empty."""
+    doc_of, word_of = _parts()
+    wanted = segments.groupBy(doc_of.alias("of")).agg(F.collect_list(F.struct("m", word_of.cast("int").alias("first"), "windows")).alias("cuts"))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple[int, int, bytes]] = []
+        for doc_id, text, cuts in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            words = text.split()
+            for c in cuts:
+                pos, stop = doc_id << WORD_BITS, c["first"] + c["windows"]
+                if single:
+                    for i in range(c["first"], stop):
+                        digest = hashlib.blake2b(b" ".join(words[i : i + length]), digest_size=8).digest()
+                        out.append((int.from_bytes(digest, "big", signed=True), pos + i, b""))
+                else:
+                    out.append((c["m"], pos + c["first"], b" ".join(words[c["first"] : stop + length - 1])))
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        types = (pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["m", "pos", "words"])
+
+    packed = _packed(docs.select("doc_id", "b"), "b")
+    return map_batches(packed.join(wanted, packed.doc_id == wanted["of"]).select("doc_id", "b", "cuts"), "m long, pos long, words binary", cut)
+
+
 def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     """(doc_id, spans): maximal spans [from, to) of words that lie in windows of `length` words which also start earlier.
 
@@ -179,7 +209,7 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     routed = _routed(docs, length)
     # counts are cut off before they are joined: a join straight over an aggregate can't split a frequent minimiser
     shared = written(routed.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"))
-    rows = written(routed.join(shared, "m", "left_semi"))
+    rows = written(routed.join(shared, "m", "left_semi"), by="pos")
 
     firsts = rows.groupBy("m", "seg").agg(F.min("pos").alias("pos"), F.max("windows").alias("windows"), F.count("*").alias("n"))
     firsts = written(firsts)
@@ -188,33 +218,12 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
 
     shards = written(firsts.groupBy("m").agg(F.count("*").alias("distinct")).where("distinct > 1"))
     meeting = firsts.join(shards, "m").select("m", "pos", "windows", (F.col("distinct") > SHARD_SEGMENTS).alias("single"))
-    doc_of, word_of = F.shiftright("pos", WORD_BITS), F.col("pos").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
-    wanted = meeting.groupBy(doc_of.alias("of")).agg(F.collect_list(F.struct("m", word_of.cast("int").alias("first"), "windows", "single")).alias("cuts"))
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple[int, int, bytes, bool]] = []
-        for doc_id, text, cuts in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = text.split()
-            for c in cuts:
-                pos, stop = (doc_id << WORD_BITS) + c["first"], c["first"] + c["windows"]
-                if c["single"]:
-                    for i in range(c["first"], stop):
-                        w = b" ".join(words[i : i + length])
-                        out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big", signed=True), (doc_id << WORD_BITS) + i, b"", True))
-                else:
-                    out.append((c["m"], pos, b" ".join(words[c["first"] : stop + length - 1]), False))
-        columns = zip(*out, strict=True) if out else ([], [], [], [])
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["m", "pos", "words", "single"])
-
-    packed = _packed(docs.select("doc_id", "b"), "b")
-    pieces = map_batches(packed.join(wanted, packed.doc_id == wanted["of"]).select("doc_id", "b", "cuts"), "m long, pos long, words binary, single boolean", cut)
-    pieces = written(pieces)
-    automata = _matched(pieces.where("not single").select("m", "pos", "words"), length)
-    alone = pieces.where("single").select("m", "pos")
+    automata = _matched(_cut(docs, meeting.where("not single"), length, single=False), length)
+    alone = written(_cut(docs, meeting.where("single"), length, single=True).select("m", "pos"), by="pos")
     first_alone = written(alone.groupBy("m").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("m").alias("m1"), "first"))
     windows = alone.join(first_alone, (F.col("m") == F.col("m1")) & (F.col("pos") > F.col("first"))).select("pos", F.lit(1).alias("windows"))
 
+    doc_of, word_of = _parts()
     found = whole.unionByName(automata).unionByName(windows)
     span = F.struct(word_of.cast("int").alias("from"), (word_of + F.col("windows") + length - 1).cast("int").alias("to"))
     return found.groupBy(doc_of.alias("doc_id")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
