@@ -52,6 +52,7 @@ class Severity:
         self.hashes = np.sort(hashes)
         self.weights = np.zeros(len(hashes))
         self.thresholds = np.zeros(GRADES)
+        self.cut = 0.5
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.hashes & np.uint64((1 << _FILTER_BITS) - 1)] = True
 
@@ -71,7 +72,7 @@ class Severity:
         score = np.bincount(text, self.weights[feature], n)
         return 1 / (1 + np.exp(-(score[:, None] - self.thresholds)))
 
-    def fit(self, feature: np.ndarray, text: np.ndarray, grade: np.ndarray, steps: int = 600, rate: float = 0.05, ridge: float = 5e-5) -> None:
+    def fit(self, feature: np.ndarray, text: np.ndarray, grade: np.ndarray, steps: int = 600, rate: float = 0.05, ridge: float = 2e-5) -> None:
         """Adam on the mean negative log-likelihood of the grades; thresholds as a first one and positive steps."""
         n, top = len(grade), GRADES
         share = np.clip([(grade > k).mean() for k in range(top)], 1e-4, 1 - 1e-4)
@@ -101,6 +102,15 @@ class Severity:
         self.thresholds = params[k] + np.concatenate([[0.0], np.cumsum(np.exp(params[k + 1 :]))])
 
 
+    def calibrate(self, p: np.ndarray, toxic: np.ndarray) -> None:
+        """Sets cut to the probability of the best F1 on the fitted examples; of equals the one nearest to a half."""
+        cuts = np.arange(5, 96) / 100
+        hit = np.array([((p >= c) & toxic).sum() for c in cuts])
+        f1 = 2 * hit / np.maximum(np.array([(p >= c).sum() for c in cuts]) + toxic.sum(), 1)
+        best = cuts[f1 >= f1.max() - 1e-12]
+        self.cut = float(best[np.abs(best - 0.5).argmin()])
+
+
 def grades_of(label: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Grades 0..GRADES. Labels of several levels are taken as they are; a binary label's positives are spread by how many telling features a text has, in equal parts."""
     if label.max(initial=0) > 1:
@@ -155,15 +165,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Severity | None:
     text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     label = rows.column("label").to_numpy()
     model.fit(feature, text, grades_of(label, np.bincount(text, minlength=len(label))))
+    model.calibrate(model.exceedance(feature, text, len(label))[:, 0], label > 0)
     return model
 
 
 def score(docs: DataFrame, model: Severity | None, text: str = "text") -> DataFrame:
-    """docs with severity (the expected grade, 0 to GRADES), grade (the likeliest) and p_toxic (P(grade > 0)); columns of these names are replaced.
+    """docs with severity (the expected grade, 0 to GRADES), grade (the likeliest), p_toxic (P(grade > 0)) and toxic (p_toxic from the model's cut on); columns of these names are replaced.
 
-    Null and empty texts, and any text without a model, have severity 0, grade 0 and p_toxic 0.
+    Null and empty texts, and any text without a model, have severity 0, grade 0, p_toxic 0 and aren't toxic.
     """
-    added = ("severity", "grade", "p_toxic")
+    added = ("severity", "grade", "p_toxic", "toxic")
     kept = [c for c in docs.columns if c.lower() not in added]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -174,13 +185,13 @@ def score(docs: DataFrame, model: Severity | None, text: str = "text") -> DataFr
             above = shared.value.exceedance(*shared.value.sparse(texts), len(texts))
             above[[not (t or "").strip() for t in texts]] = 0
         likely = -np.diff(np.concatenate([np.ones((len(texts), 1)), above, np.zeros((len(texts), 1))], 1), axis=1)
-        found = above.sum(1), likely.argmax(1).astype("i4"), above[:, 0]
+        found = above.sum(1), likely.argmax(1).astype("i4"), above[:, 0], above[:, 0] >= (shared.value.cut if shared.value else 1)
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, map(np.ascontiguousarray, found))], names=[*kept, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "severity double, grade int, p_toxic double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "severity double, grade int, p_toxic double, toxic boolean"])
     return map_batches(docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("__text")), schema, run)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = score(docs.select("doc_id", "text"), fit(docs, labels)).drop("text")
-    return found.select("doc_id", "severity", "grade", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return found.select("doc_id", "severity", "grade", "p_toxic", "toxic")

@@ -28,7 +28,7 @@ def test_held_out_accuracy_and_severity_order(spark):
     assert (np.diff(model.thresholds) > 0).all()
     got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
     held = [(i, t) for i, t in labels if i % 3 == 0]
-    assert np.mean([(got[i].p_toxic >= 0.5) == bool(t) for i, t in held]) > 0.98
+    assert np.mean([got[i].toxic == bool(t) for i, t in held]) > 0.98
     counts = {i: sum(w.strip(",!").lower() in ("scumbag", "filthé", "vileness", "vilest") for w in text.split()) for i, text in docs}
     few = np.mean([got[i].severity for i, t in held if t and counts[i] == 1])
     many = np.mean([got[i].severity for i, t in held if t and counts[i] == 8])
@@ -76,5 +76,5 @@ def test_nulls_missing_labels_and_clashing_columns(spark):
     assert len(got) == 4 and all(r.severity == 0 and not r.toxic for r in got)
     one_kind = spark.createDataFrame([(1, 0), (3, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.fit(docs, one_kind) is None
-    assert toxicity.score(docs, None).columns == ["doc_id", "text", "severity", "grade", "p_toxic"]
+    assert toxicity.score(docs, None).columns == ["doc_id", "text", "severity", "grade", "p_toxic", "toxic"]
     assert toxicity.query(docs.where("false"), none).count() == 0
