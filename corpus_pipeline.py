@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, langid, simhash, substring_dedup
+from lodestone.llm import bpe, decontamination, langid, near_copies, substring_dedup
 from lodestone.llm.common import checkpointed, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,9 +36,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one with the smallest doc_id, and one row of it."""
-    grouped = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(grouped, "doc_id", "left_semi")
+    """One document of each near-duplicate component: the one with the smallest doc_id, and one row of it.
+
+    Documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked.
+    """
+    named = docs.where("doc_id is not null")
+    grouped = near_copies.components(named, width=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
+    kept = named.dropDuplicates(["doc_id"]).join(grouped, "doc_id", "left_semi")
     return _documents(kept.unionByName(docs.where("doc_id is null")))
 
 
