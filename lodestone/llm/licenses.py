@@ -97,7 +97,7 @@ def normalised(sentence: str) -> str:
 KNOWN = {normalised(s): i for i, own in SENTENCES.items() for s in own}
 assert not any(re.search(r"[.!?;:] ", s) for own in SENTENCES.values() for s in own)
 #: Every known sentence has one of these words; other sentences need no look-up.
-MARKERS = ("licen", "permi", "copyright", "redistribution", "software", "version", "public domain", "as is")
+MARKERS = ("licen", "permi", "copyright", "redistribution", "software", "version", "domain", "as is")
 assert all(any(m in s for m in MARKERS) for s in KNOWN)
 
 
@@ -107,29 +107,32 @@ def patterns() -> list[tuple[str, str, int]]:
 
 
 def _identifiers(pieces: Column) -> Column:
+    """Of sentences whose line ends are carriage returns: the whole sentence's identifier if known, else its lines'."""
     known = F.create_map(*(F.lit(x) for kv in KNOWN.items() for x in kv))
+
+    def identifier(s: Column) -> Column:
+        return F.try_element_at(known, F.trim(F.regexp_replace(s, r"[^a-z0-9.]+", " "), F.lit(" .")))
+
     lower = F.transform(pieces, F.lower)
     marked = F.filter(lower, lambda s: F.rlike(s, F.lit("|".join(MARKERS))))
-    words = F.transform(marked, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9.]+", " "), F.lit(" .")))
-    return F.filter(F.transform(words, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    whole = F.transform(marked, lambda s: F.struct(s.alias("s"), identifier(s).alias("id")))
+    each = F.transform(whole, lambda x: F.when(x["id"].isNull() & x["s"].contains("\r"), F.transform(F.split(x["s"], r"\r+"), identifier)).otherwise(F.array(x["id"])))
+    return F.filter(F.flatten(each), lambda i: i.isNotNull())
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with sentence_ids and licenses, arrays of strings; columns of these names are replaced.
 
-    A text is read twice, with line ends as sentence ends and with blank lines only (for hard-wrapped licences); the
-    reading that recognises more sentences counts, the first one if equal. Identifiers come in the order of the text,
-    repeats included; licenses are distinct and sorted. Null and empty texts have neither. Whole texts, no shuffle.
+    Stops and blank lines end a sentence. One that isn't known as a whole (hard-wrapped licences are) is read line by line,
+    so a notice line beside a wrapped licence counts as well. Identifiers come in the order of the text, repeats included; licenses are distinct and sorted. Null and empty texts have neither. Whole texts, no shuffle.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    by_line = F.split(F.regexp_replace(value, _STOP, _STOPPED), r"[\r\n]+")
-    unwrapped = F.regexp_replace(F.regexp_replace(value, r"\r\n?", "\n"), r"([^\n])\n(?=[^\n])", "$1 ")
-    by_paragraph = F.split(F.regexp_replace(unwrapped, _STOP, _STOPPED), r"\n+")
+    unwrapped = F.regexp_replace(F.regexp_replace(value, r"\r\n?", "\n"), r"([^\n])\n(?=[^\n])", "$1 \r")
+    sentences = F.split(F.regexp_replace(unwrapped, _STOP, _STOPPED), r"\n+")
     kept = [c for c in docs.columns if c.lower() not in ("sentence_ids", "licenses")]
     marked = F.rlike(F.lower(value), F.lit("|".join(MARKERS)))
     none = F.array().cast("array<string>")
-    found = docs.select(*(F.col(f"`{c}`") for c in kept), F.when(marked, _identifiers(by_line)).otherwise(none).alias("__a"), F.when(marked, _identifiers(by_paragraph)).otherwise(none).alias("__b"))
-    found = found.withColumn("sentence_ids", F.when(F.size("__b") > F.size("__a"), F.col("__b")).otherwise(F.col("__a"))).drop("__a", "__b")
+    found = docs.select(*(F.col(f"`{c}`") for c in kept), F.when(marked, _identifiers(sentences)).otherwise(none).alias("sentence_ids"))
     rules = F.array(*(F.struct(F.lit(x).alias("licence"), F.lit(p).alias("pattern"), F.lit("".join(f"${i}" for i in range(1, n))).alias("stays")) for x, p, n in patterns()))
     sequence = F.concat(F.lit("<"), F.array_join("sentence_ids", "><"), F.lit(">"))
     start = F.struct(sequence.alias("rest"), none.alias("licenses"))

@@ -41,3 +41,33 @@ def test_every_rule_matches_its_own_sentences(spark):
     texts = [(i, "\n".join(licenses.SENTENCES[x][0] + "." for x in ids)) for i, (_, ids) in enumerate(licenses.RULES)]
     got = {r.doc_id: r.licenses for r in licenses.query(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {i: licence for i, (licence, _) in enumerate(licenses.RULES)}
+
+
+def test_notice_lines_beside_wrapped_licences(spark):
+    notice = "My tool 2\nLicensed under CC BY 4.0\nSee the manual\n\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    gpl = licenses.SENTENCES["gpl3-later"][0].replace("Foundation, either", "Foundation,\neither").replace("your option", "your\noption")
+    cases = [
+        (notice + isc, "cc-by-reference,isc-grant", "CC-BY-4.0,ISC"),
+        (isc + "\n" + notice, "isc-grant,cc-by-reference", "CC-BY-4.0,ISC"),
+        ((notice + isc).replace("\n", "\r\n"), "cc-by-reference,isc-grant", "CC-BY-4.0,ISC"),
+        (notice + MIT, "cc-by-reference,mit-title,mit-grant,mit-notice,as-is", "CC-BY-4.0,MIT"),
+        (isc + notice, "isc-grant,cc-by-reference", "CC-BY-4.0,ISC"),
+        (gpl + ".", "gpl3-later", "GPL-3.0-or-later"),
+        ("This work is dedicated to the public\ndomain under CC0 1.0.", "cc0-reference", "CC0-1.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + notice, "gpl-title,version-3,cc-by-reference", "CC-BY-4.0,GPL-3.0-only"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.query(docs).collect()}
+    assert got == {i: case[1:] for i, case in enumerate(cases)}
+
+
+def test_the_table_equals_its_sql(spark):
+    import duckdb
+
+    from lodestone.llm import sql
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    want = duckdb.sql(sql.oracle_sql()["op10_license_scan"].replace("FROM documents", f"FROM '{path}'")).fetchall()
+    got = [tuple(r) for r in licenses.query(spark.read.parquet(path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
