@@ -3,7 +3,7 @@
 Texts are read as lower-case letters, a run of anything else being one boundary. The models of all languages share
 sorted arrays of n-gram hashes; a row beside each hash holds the natural log-probability of the n-gram's last character
 in every language. A whole text's cross-entropy is the mean over its characters; the lowest one names the language, and a
-text whose best cross-entropy lies beyond that language's calibrated limit is rejected.
+text whose best cross-entropy lies beyond that language's limit, calibrated by length, is rejected.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ ORDER = 4
 FIT_DOCUMENTS, CALIBRATION_DOCUMENTS = 4_000, 500
 #: Absolute discount of the counts.
 DISCOUNT = 0.75
-#: Characters at the language's usual cross-entropy that are added to a text before it is held against the limit.
-PRIOR_CHARACTERS = 100
+#: Where the lengths, in characters, begin that have a limit of their own; the first ones begin at 0.
+BANDS = np.array([8, 16, 32, 64, 128])
+#: Cuts of a calibration text for each of the lengths that begin there.
+CUTS = 4
 UNDETERMINED = "und"
 _BOUNDARY, _ASTRAL = 0, 0xFFFF
 _MASK = [np.uint64((1 << (16 * k)) - 1) for k in range(ORDER + 1)]
@@ -144,8 +146,7 @@ class Models:
             self.hashes[k], self.logs[k] = h[order], np.log(seen + weight[context_of] * lower)[order].astype("f4")
             order = np.argsort(h := hashed(contexts, k))
             self.context_hashes[k], self.context_weight[k] = h[order], np.log(weight)[order].astype("f4")
-        self.usual = np.zeros(n)
-        self.limit = np.full(n, np.inf)
+        self.limit = np.full((n, len(BANDS) + 1), np.inf)
 
     @staticmethod
     def _found(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,19 +179,23 @@ class Models:
             total[doc[begins]] = np.add.reduceat(self._logs(key, ORDER), begins, axis=0, dtype="f8")
         return -total / np.maximum(n, 1)[:, None], n, lettered
 
-    def calibrate(self, own: np.ndarray, other: np.ndarray, language: np.ndarray) -> None:
-        """Limits half-way from the 99.9 % quantile of a language's own texts to the median of foreign texts under its model, but not below the former.
+    def calibrate(self, own: np.ndarray, other: np.ndarray, language: np.ndarray, band: np.ndarray) -> None:
+        """Limits by language and band of length: half-way from the 99.9 % quantile of own texts to the median of their cross-entropy in other languages, but not below the former.
 
-        own: each text's cross-entropy in its language; other: its mean in the others.
+        own: each text's cross-entropy in its language; other: its mean in the others. A shorter band's limit is no lower
+        than a longer one's; a band without a text has that of the next shorter one, or none.
         """
         for i in range(len(self.languages)):
-            mine = own[language == i]
-            if len(mine):
-                self.usual[i] = np.median(mine)
+            for k in range(len(BANDS) + 1):
+                mine = own[(language == i) & (band == k)]
+                if not len(mine):
+                    self.limit[i, k] = self.limit[i, k - 1] if k else np.inf
+                    continue
                 top = np.quantile(mine, 0.999)
-                foreign = other[language == i]
+                foreign = other[(language == i) & (band == k)]
                 foreign = foreign[np.isfinite(foreign)]
-                self.limit[i] = max(top, (top + np.median(foreign)) / 2) if len(foreign) else top + self.usual[i]
+                self.limit[i, k] = max(top, (top + np.median(foreign)) / 2) if len(foreign) else top + np.median(mine)
+            self.limit[i] = np.maximum.accumulate(self.limit[i, ::-1])[::-1]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, confidence, cross-entropy, accepted) of each text."""
@@ -200,11 +205,25 @@ class Models:
         # a posterior over languages, as if a text were at most 50 independent characters
         gap = (entropy - low[:, None]) * np.minimum(n, 50)[:, None]
         score = np.where(lettered, 1 / np.exp(-gap).sum(1), 0.0)
-        smoothed = (low * n + PRIOR_CHARACTERS * self.usual[best]) / (n + PRIOR_CHARACTERS)
-        accepted = lettered & (smoothed <= self.limit[best])
+        accepted = lettered & (low <= self.limit[best, np.searchsorted(BANDS, n, "right")])
         return [self.languages[b] if x else UNDETERMINED for b, x in zip(best, lettered, strict=True)], score, low, accepted
 
 
+def cuts(text: str) -> list[str]:
+    """The text, and runs of its words of about each length that BANDS name, from places spread over it."""
+    words = text.split()
+    out = [text]
+    for least in (int(BANDS[0]) // 2, *BANDS[:-1].tolist()):
+        for first in sorted({len(words) * k // CUTS for k in range(CUTS)}):
+            size, last = 0, first
+            while last < len(words) and size < least:
+                size += len(words[last]) + 1
+                last += 1
+            if size >= least:
+                out.append(" ".join(words[first:last]))
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """The evaluation fold: documents that nothing is learned from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -220,7 +239,7 @@ def fit(docs: DataFrame) -> Models | None:
     """Models from docs (doc_id, text, lang): every row with a text and a language may be learned from.
 
     The fitting and calibration samples are bounded by FIT_DOCUMENTS and CALIBRATION_DOCUMENTS a language, so what comes
-    to the driver (n-gram counts of the sample, and one row for each calibration text) doesn't grow with the corpus.
+    to the driver (n-gram counts of the sample, and a bounded number of rows for each calibration text) doesn't grow with the corpus.
     None if nothing can be learned.
     """
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
@@ -249,17 +268,18 @@ def fit(docs: DataFrame) -> Models | None:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        entropy, length, lettered = shared.value.cross_entropy(batch.column(0).to_pylist())
-        own = np.array([languages.index(x) for x in batch.column(1).to_pylist()])
+        parts = [cuts(t) for t in batch.column(0).to_pylist()]
+        entropy, length, lettered = shared.value.cross_entropy([x for own in parts for x in own])
+        own = np.repeat([languages.index(x) for x in batch.column(1).to_pylist()], [len(x) for x in parts])
+        band = np.searchsorted(BANDS, length, "right")
         rows = np.arange(len(own))
         mine = entropy[rows, own]
         others = (entropy.sum(1) - mine) / (len(languages) - 1) if len(languages) > 1 else np.full(len(own), np.inf)
-        used = lettered & (length >= PRIOR_CHARACTERS)
-        return pa.RecordBatch.from_arrays([pa.array(x[used]) for x in (own, mine, others)], names=["language", "own", "other"])
+        return pa.RecordBatch.from_arrays([pa.array(x[lettered]) for x in (own, mine, others, band)], names=["language", "own", "other", "band"])
 
     calibration = _sampled(docs, scaled, 1.0, 1.0 + CALIBRATION_DOCUMENTS / FIT_DOCUMENTS).select("text", "lang")
-    measured = map_batches(calibration, "language long, own double, other double", measure).toArrow()
-    models.calibrate(*(measured.column(c).to_numpy() for c in ("own", "other", "language")))
+    measured = map_batches(calibration, "language long, own double, other double, band long", measure).toArrow()
+    models.calibrate(*(measured.column(c).to_numpy() for c in ("own", "other", "language", "band")))
     return models
 
 

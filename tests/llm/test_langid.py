@@ -98,3 +98,13 @@ def test_empty_table(spark):
     assert langid.query(docs).count() == 0
     unlabelled = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in langid.query(unlabelled).collect()] == [("und", 0.0, False)]
+
+
+def test_short_foreign_texts_are_rejected_and_short_own_ones_are_not(spark):
+    models = langid.fit(spark.createDataFrame(corpus(600), "doc_id long, text string, lang string"))
+    rng = random.Random(5)
+    own = [" ".join(t.split()[:4]) for _, t, _ in corpus(300, seed=2)]
+    noise = ["".join(rng.choices("bcdfghjklmnpqrstvwxz ", k=40)) for _ in range(100)]
+    foreign = [" ".join("".join(rng.choices("ka mi to ru sha yo ne".split(), k=3)) for _ in range(6)) for _ in range(100)]
+    assert np.mean(models.predict(own)[3]) > 0.98
+    assert np.mean(models.predict(noise)[3]) < 0.05 and np.mean(models.predict(foreign)[3]) < 0.05
