@@ -47,8 +47,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of 20-word windows that start earlier in the corpus; documents left without a word go."""
-    cleaned = substring_dedup.remove_repeats(docs.select(*COLUMNS))
+    """Documents without the words of 20-word windows that start earlier in the corpus; documents left without a word go.
+
+    The white space between the other words stays.
+    """
+    cleaned = substring_dedup.remove_repeats(docs.select(*COLUMNS), layout=True)
     return _documents(cleaned.where(F.col("n_removed") < F.col("n_words")))
 
 

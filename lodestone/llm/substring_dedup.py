@@ -11,6 +11,7 @@ occurrence, and the rest meet in the automaton of their shard in the order of th
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -229,9 +230,27 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     return found.groupBy(doc_of.alias("doc_id")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+_WORD = re.compile(rb"[^ \t-\r]+")
+
+
+def without_words(text: bytes, stays: np.ndarray) -> bytes:
+    """text without the words that don't stay and the white space behind them, or before them at the end; all else as it is."""
+    if stays.all():
+        return text
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, begin = [], 0
+    for i in np.flatnonzero(~stays).tolist():
+        out.append(text[begin : at[i][0]] if begin < at[i][0] else b"")
+        begin = at[i + 1][0] if i + 1 < len(at) else at[i][1]
+    joined = b"".join(out)
+    return (joined if stays[-1] else joined.rstrip()) + text[begin:]
+
+
+def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", keep: list[str] | None = None, layout: bool = False) -> DataFrame:
     """docs (their columns keep, or all), with the kept words of each text joined by one space, n_words and n_removed.
 
+    With layout the white space between kept words stays as it is, so a text that loses nothing is unchanged.
+
     Words lie between ASCII white space; every word of a repeated window goes, windows being judged on the input. A null
     or empty text has no words and stays as it is (null: null). Columns of docs named n_words or n_removed are replaced.
     """
@@ -244,13 +263,13 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", keep:
         for value, found in zip(_unpacked(batch.column(batch.num_columns - 2)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             words = value.split() if value else []
             n.append(len(words))
+            stays = np.ones(len(words), bool)
             if found:
-                stays = np.ones(len(words), bool)
                 for s in found:
                     stays[s["from"] : s["to"]] = False
                 words = [words[i] for i in np.flatnonzero(stays)]
             gone.append(n[-1] - len(words))
-            texts.append(None if value is None else b" ".join(words))
+            texts.append(None if value is None else without_words(value, stays) if layout else b" ".join(words))
         return pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "__bytes", "n_words", "n_removed"])
 
     packed = _packed(docs.select(*(F.col(f"`{c}`") for c in kept), F.col("doc_id").cast("long").alias("__id"), utf8(text).alias("__bytes")), "__bytes")

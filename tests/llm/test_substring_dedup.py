@@ -72,3 +72,14 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d " * 10), (1, "a b c d " * 10), (None, "a b c d " * 10)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in sd.query(docs).collect()) == [(0, 40, 0), (1, 40, 36), (1, 40, 36)]
     assert sd.query(docs.where("false")).count() == 0
+
+
+def test_the_stage_keeps_line_breaks_and_indents(spark):
+    import corpus_pipeline
+
+    repeated = " ".join(f"w{i}" for i in range(25))
+    texts = ["def f():\n\treturn  1\n", "head\n\n  " + repeated + "\n", "first\n\tline\n" + repeated + "\n\nlast  line\n", "other\n" + repeated.replace(" ", "\n") + "\n"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.substring_removal(spark, docs, "").collect()}
+    want = {0: texts[0], 1: texts[1], 2: "first\n\tline\nlast  line\n", 3: "other\n"}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
