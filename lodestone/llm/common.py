@@ -42,10 +42,13 @@ def workers_ready(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only a session without one (tests) gets a temporary folder."""
+    """The session's spark.checkpoint.dir. Only a local session without one (tests) gets a temporary folder; a cluster must name one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -55,15 +58,37 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def written(df: DataFrame, by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder, read back: like checkpointed, but compressed.
+class Tables:
+    """Intermediate Parquet tables in the shared checkpoint folder: like checkpoints, but compressed, and dropped when done with."""
 
-    by: a column that rows are dealt by first, so that what a filter or join left thin is written as few, even files.
-    """
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid4()}"
-    (df.repartition(by) if by else df).write.parquet(path)
-    release_shuffles(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, *by: str) -> DataFrame:
+        """df written and read back. by: columns that rows are dealt by first, so that what a filter or join left thin is written as few, even files."""
+        path = f"{checkpoint_folder(self.spark)}/table-{uuid4()}"
+        (df.repartition(*by) if by else df).write.parquet(path)
+        self.paths.append(path)
+        release_shuffles(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame, *by: str) -> DataFrame:
+        """Writes df, the result, and drops all tables before it."""
+        before, self.paths = self.paths, []
+        done = self.write(df, *by)
+        for path in before:
+            drop_folder(self.spark, path)
+        return done
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as one table of its own that stays."""
+    return Tables(df.sparkSession).write(df, *by)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

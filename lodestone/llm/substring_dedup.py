@@ -4,8 +4,10 @@ Documents are streamed through suffix automata of the text before them; a word w
 threshold ends a repeated window. One automaton of a whole corpus fits no machine, and a broadcast of many would meet
 every document with every shard, so both are routed instead: the smallest hash among a window's inner word sequences (its
 minimiser) names the shard, and equal windows have equal minimisers. Neighbouring windows of one minimiser form a segment.
-Segments whose minimiser is alone in the corpus repeat nothing and go no further, equal segments collapse to their first
-occurrence, and the rest meet in the automaton of their shard in the order of the corpus.
+Segments whose minimiser is alone in the corpus repeat nothing and go no further. Segments of the same words are one entry
+of their shard, in the corpus order of its first occurrence: it goes through the automaton once, and its statistics hold
+for all its copies. A shard of more than SHARD_SEGMENTS entries is dealt anew by the minimisers of longer inner sequences,
+at last by whole windows, so an automaton's size has a bound whatever the corpus.
 """
 
 from __future__ import annotations
@@ -17,18 +19,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches, utf8, workers_ready, written
+from lodestone.llm.common import Tables, broadcast_if_small, map_batches, utf8, workers_ready
 from lodestone.llm.hashing import WORDS, mixed, range_hashes, word_hashes
 
-#: Words of the inner sequences among which a window's minimiser is chosen.
-INNER = 5
-#: Distinct segments that one automaton takes; segments of a more frequent minimiser are routed window by window.
+#: Words of the inner sequences among which a window's minimiser is chosen, level by level; the last level's are windows.
+INNER = (5, 12)
+#: Entries that one automaton takes.
 SHARD_SEGMENTS = 2_000
-#: A position in the corpus is doc_id * 2**24 + word, so that a plain long orders positions.
-WORD_BITS = 24
+#: Words that are hashed at once; their places are packed into 24 bits.
+WORDS_AT_ONCE, PLACE_BITS = 1 << 22, 24
+#: Copies of an entry beyond which they meet it by a broadcast.
+MANY_COPIES = 1_000
+#: What names a window: the document, which of the texts under its doc_id, and the window's first word.
+PLACE = ("doc_id", "tie", "first")
 
 
 class SuffixAutomaton:
@@ -74,40 +80,69 @@ class SuffixAutomaton:
             yield self.length[self.link[new]]
 
 
-def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, minimiser, hash of the segment's words) for each segment of the texts.
+def _chunks(split: list[list[bytes]], length: int) -> Iterator[tuple[list[int], list[list[bytes]], list[int]]]:
+    """(text, words, first word) of the texts in groups of at most WORDS_AT_ONCE words; longer texts overlap by length - 1."""
+    text, words, first, held = [], [], [], 0
+    for i, own in enumerate(split):
+        for at in range(0, max(1, len(own) - length + 1), WORDS_AT_ONCE - length + 1):
+            part = own[at : at + WORDS_AT_ONCE] if len(own) > WORDS_AT_ONCE else own
+            if held and held + len(part) > WORDS_AT_ONCE:
+                yield text, words, first
+                text, words, first, held = [], [], [], 0
+            text.append(i)
+            words.append(part)
+            first.append(at)
+            held += len(part)
+    if text:
+        yield text, words, first
+
+
+def segments(split: list[list[bytes]], length: int, inner: int) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows, minimiser) for each segment of the texts' words.
 
     A window is named by its first word. Windows within one text only; texts of fewer words have none.
     """
-    split = [t.split() for t in texts]
+    found = [_segments(*chunk, length, inner) for chunk in _chunks(split, length)]
+    return tuple(np.concatenate([np.zeros(0, "i8"), *(f[i] for f in found)]) for i in range(4))
+
+
+def _segments(texts: list[int], split: list[list[bytes]], origins: list[int], length: int, inner: int) -> tuple[np.ndarray, ...]:
     n = np.fromiter(map(len, split), "i8", len(split))
     hashes = word_hashes([w for words in split for w in words])
-    total, inner = len(hashes), min(INNER, length)
+    total, none = len(hashes), tuple(np.zeros(0, "i8") for _ in range(4))
     if total < length:
-        return tuple(np.zeros(0, t) for t in ("i8", "i8", "i8", "i8", "i8"))
+        return none
     starts = np.arange(total - inner + 1)
     sequence = range_hashes(hashes, WORDS, starts, starts + inner)
-    # the position breaks ties to the left, alike in equal windows
-    place = np.uint64(WORD_BITS)
+    # the place breaks ties to the left, alike in equal windows
+    place = np.uint64(PLACE_BITS)
     least = mixed(sequence) >> place << place | starts.astype("u8")
     span, reach = length - inner + 1, 1
     while reach < span:
         step = min(reach, span - reach)
         least = np.minimum(least[: len(least) - step], least[step:])
         reach += step
-    at = (least & np.uint64((1 << WORD_BITS) - 1)).astype("i8")  # the minimiser of the window at each word
+    at = (least & np.uint64((1 << PLACE_BITS) - 1)).astype("i8")  # the minimiser of the window at each word
     first_word = np.cumsum(n) - n
     text = np.repeat(np.arange(len(split)), n)[: len(at)]
     window = np.arange(len(at))
     fits = window + length <= (first_word + n)[text]
     window, at, text = window[fits], at[fits], text[fits]
     if not len(window):
-        return tuple(np.zeros(0, t) for t in ("i8", "i8", "i8", "i8", "i8"))
+        return none
     begins = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
-    ends = np.append(begins[1:], len(window)) - 1
-    own = range_hashes(hashes, WORDS, window[begins], window[ends] + length)
-    origin = first_word[text[begins]]
-    return text[begins], window[begins] - origin, window[ends] - origin, sequence[at[begins]].view("i8"), own.view("i8")
+    ends = np.append(begins[1:], len(window))
+    own = text[begins]
+    return np.array(texts)[own], window[begins] - first_word[own] + np.array(origins)[own], ends - begins, sequence[at[begins]].view("i8")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, b, ...) with tie: 0, or the text's hash where a doc_id has several texts. Rows without either go."""
+    own = docs.where("doc_id is not null and b is not null")
+    hashed = own.select("doc_id", F.xxhash64("b").alias("h"))
+    several = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("doc_id", F.lit(True).alias("several"))
+    several = broadcast_if_small(several, F.lit(32))
+    return own.join(several, "doc_id", "left").withColumn("tie", F.when(F.col("several"), F.xxhash64("b")).otherwise(F.lit(0).cast("long"))).drop("several")
 
 
 def _packed(docs: DataFrame, name: str) -> DataFrame:
@@ -127,107 +162,133 @@ def _unpacked(values: pa.Array) -> list[bytes | None]:
     return [None if x is None else unpack(x) for x in values.to_pylist()]
 
 
-def _position(doc_id: Column, word: Column) -> Column:
-    limit = 1 << (62 - WORD_BITS)
-    fits = doc_id.between(-limit, limit - 1)
-    return F.when(fits, doc_id * (1 << WORD_BITS) + word).otherwise(F.raise_error(F.lit("doc_id is out of range for positions")).cast("long"))
+def _routed(docs: DataFrame, length: int) -> DataFrame:
+    """(m, doc_id, tie, first, windows) of all segments of docs (doc_id, tie, b) at the first level."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text, first, windows, m = segments([t.split() for t in batch.column(2).to_pylist()], length, min(INNER[0], length))
+        at = pa.array(text)
+        return pa.RecordBatch.from_arrays([pa.array(m), batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype("i4")), pa.array(windows.astype("i4"))], names=["m", *PLACE, "windows"])
+
+    return map_batches(docs.select("doc_id", "tie", "b"), "m long, doc_id long, tie long, first int, windows int", run)
 
 
-def _routed(docs: DataFrame, length: int) -> DataFrame:
-    """(m, seg, pos, windows) of all segments of docs (doc_id, b)."""
+def _cut(docs: DataFrame, rows: DataFrame, length: int, schema: str, out) -> DataFrame:
+    """What out gives for each segment of rows (m, doc_id, tie, first, windows): it gets (m, doc_id, tie, first, windows, words) and yields rows of schema."""
+    wanted = rows.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("m", "first", "windows")).alias("cuts"))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, first, last, m, seg = segments(batch.column(1).to_pylist(), length)
-        ids = batch.column(0).take(pa.array(text))
-        return pa.RecordBatch.from_arrays([pa.array(m), pa.array(seg), ids, pa.array(first.astype("i4")), pa.array((last - first + 1).astype("i4"))], names=["m", "seg", "doc_id", "first", "windows"])
+        found: list[tuple] = []
+        for doc_id, tie, text, cuts in zip(*(batch.column(i).to_pylist() for i in (0, 1)), _unpacked(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            words = text.split()
+            for c in cuts:
+                found += out(c["m"], doc_id, tie, c["first"], c["windows"], words[c["first"] : c["first"] + c["windows"] + length - 1])
+        columns = list(zip(*found, strict=True)) if found else [()] * len(names)
+        types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(list(x), types[c.split()[1]]) for x, c in zip(columns, schema.split(", "), strict=True)], names=names)
+
+    packed = _packed(docs.select("doc_id", "tie", "b"), "b").join(wanted, ["doc_id", "tie"])
+    return map_batches(packed.select("doc_id", "tie", "b", "cuts"), schema, run)
 
-    rows = map_batches(docs, "m long, seg long, doc_id long, first int, windows int", run)
-    return rows.select("m", "seg", _position(F.col("doc_id"), F.col("first")).alias("pos"), "windows")
+
+def _with_digest(m, doc_id, tie, first, windows, words):
+    yield m, hashlib.blake2b(b" ".join(words), digest_size=16).digest(), doc_id, tie, first, windows
+
+
+def _with_words(m, doc_id, tie, first, windows, words):
+    yield m, doc_id, tie, first, b" ".join(words)
+
+
+def _longer(length: int, inner: int):
+    """Deals a segment anew, by the minimisers of longer inner sequences."""
+
+    def out(m, doc_id, tie, first, windows, words):
+        _, begin, n, own = segments([words], length, inner)
+        for a, k, x in zip(begin.tolist(), n.tolist(), own.tolist(), strict=True):
+            yield x, doc_id, tie, first + a, k
+
+    return out
 
 
 def _matched(rows: DataFrame, length: int) -> DataFrame:
-    """(pos, windows) of runs of repeated windows, by the automaton of each minimiser's segments; rows: (m, pos, words)."""
+    """(doc_id, tie, first, windows) of runs of repeated windows, by the automaton of each minimiser's entries; rows: (m, doc_id, tie, first, words)."""
     workers_ready(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, last, automaton = None, None, SuffixAutomaton()
         for batch in batches:
-            found: list[int] = []
-            for m, pos, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found: list[tuple[int, int, int, int]] = []
+            for m, doc_id, tie, first, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if m != shard:
                     shard, automaton = m, SuffixAutomaton()
-                elif pos == last:  # rows that repeat a document
+                elif (doc_id, tie, first) == last:  # rows that repeat a document
                     continue
-                last = pos
-                found += [pos + i + 1 - length for i, s in enumerate(automaton.statistics(words.split(b" "))) if s >= length]
+                last = doc_id, tie, first
+                open_, begin = False, 0
+                for i, s in enumerate(automaton.statistics(words.split(b" ")), 1 - length):
+                    if s >= length and not open_:
+                        open_, begin = True, i
+                    elif s < length and open_:
+                        found.append((doc_id, tie, first + begin, i - begin))
+                        open_ = False
+                if open_:
+                    found.append((doc_id, tie, first + begin, i + 1 - begin))
             if found:
-                at = np.array(found)
-                begins = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
-                runs = np.diff(np.append(begins, len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(at[begins]), pa.array(runs.astype("i4"))], names=["pos", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[*PLACE, "windows"])
 
-    return rows.repartition("m").sortWithinPartitions("m", "pos").mapInArrow(run, "pos long, windows int")
+    return rows.repartition("m").sortWithinPartitions("m", *PLACE).mapInArrow(run, "doc_id long, tie long, first int, windows int")
 
 
-def _parts() -> tuple[Column, Column]:
-    """Document and word of a position."""
-    return F.shiftright("pos", WORD_BITS), F.col("pos").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
+def _copies(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, tie, first, windows) of rows (m, digest, ...) that aren't the first occurrence of their entry.
 
-
-def _cut(docs: DataFrame, segments: DataFrame, length: int, single: bool) -> DataFrame:
-    """(m, pos, words) of segments (m, pos, windows) from their documents; with single each window by itself, m its hash and words empty."""
-    doc_of, word_of = _parts()
-    wanted = segments.groupBy(doc_of.alias("of")).agg(F.collect_list(F.struct("m", word_of.cast("int").alias("first"), "windows")).alias("cuts"))
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple[int, int, bytes]] = []
-        for doc_id, text, cuts in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = text.split()
-            for c in cuts:
-                pos, stop = doc_id << WORD_BITS, c["first"] + c["windows"]
-                if single:
-                    for i in range(c["first"], stop):
-                        digest = hashlib.blake2b(b" ".join(words[i : i + length]), digest_size=8).digest()
-                        out.append((int.from_bytes(digest, "big", signed=True), pos + i, b""))
-                else:
-                    out.append((c["m"], pos + c["first"], b" ".join(words[c["first"] : stop + length - 1])))
-        columns = zip(*out, strict=True) if out else ([], [], [])
-        types = (pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["m", "pos", "words"])
-
-    packed = _packed(docs.select("doc_id", "b"), "b")
-    return map_batches(packed.join(wanted, packed.doc_id == wanted["of"]).select("doc_id", "b", "cuts"), "m long, pos long, words binary", cut)
+    Entries of many copies are few and are broadcast, behind a check of their size; the others are joined by a shuffle.
+    """
+    own = F.struct(*PLACE)
+    firsts = entries.where("n > 1").select("m", "digest", "n", F.struct(*PLACE).alias("origin"))
+    hot = firsts.where(F.col("n") > MANY_COPIES).select("m", "digest", "origin")
+    hot = broadcast_if_small(hot, F.lit(80))
+    cold = firsts.where(F.col("n") <= MANY_COPIES).select("m", "digest", "origin")
+    marked = rows.join(hot, ["m", "digest"], "left")
+    of_hot = marked.where("origin is not null")
+    of_cold = marked.where("origin is null").drop("origin").join(cold, ["m", "digest"])
+    return of_hot.unionByName(of_cold).where(own > F.col("origin")).select(*PLACE, "windows")
 
 
 def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
-    """(doc_id, spans): maximal spans [from, to) of words that lie in windows of `length` words which also start earlier.
+    """(doc_id, tie, spans): maximal spans [from, to) of words that lie in windows of `length` words which also start earlier.
 
-    docs: (doc_id long, b binary). Earlier means a smaller doc_id, or the same document and an earlier start. Documents
-    without a repeated window have no row. doc_id names a document: rows that repeat it hold the same text and repeat
-    nothing by themselves; rows without one neither.
+    docs: (doc_id long, tie long, b binary). Earlier means a smaller doc_id, then a smaller tie, or the same document and
+    an earlier start. Documents without a repeated window have no row; rows that repeat a document repeat nothing by
+    themselves.
     """
-    docs = docs.where("doc_id is not null and b is not null")
-    routed = _routed(docs, length)
-    # counts are cut off before they are joined: a join straight over an aggregate can't split a frequent minimiser
-    shared = written(routed.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"))
-    rows = written(routed.join(shared, "m", "left_semi"), by="pos")
-
-    firsts = rows.groupBy("m", "seg").agg(F.min("pos").alias("pos"), F.max("windows").alias("windows"), F.count("*").alias("n"))
-    firsts = written(firsts)
-    copies = rows.join(firsts.where("n > 1").select(F.col("m").alias("m1"), F.col("seg").alias("seg1"), F.col("pos").alias("first")), (F.col("m") == F.col("m1")) & (F.col("seg") == F.col("seg1")))
-    whole = copies.where("pos > first").select("pos", "windows")
-
-    shards = written(firsts.groupBy("m").agg(F.count("*").alias("distinct")).where("distinct > 1"))
-    meeting = firsts.join(shards, "m").select("m", "pos", "windows", (F.col("distinct") > SHARD_SEGMENTS).alias("single"))
-    automata = _matched(_cut(docs, meeting.where("not single"), length, single=False), length)
-    alone = written(_cut(docs, meeting.where("single"), length, single=True).select("m", "pos"), by="pos")
-    first_alone = written(alone.groupBy("m").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("m").alias("m1"), "first"))
-    windows = alone.join(first_alone, (F.col("m") == F.col("m1")) & (F.col("pos") > F.col("first"))).select("pos", F.lit(1).alias("windows"))
-
-    doc_of, word_of = _parts()
-    found = whole.unionByName(automata).unionByName(windows)
-    span = F.struct(word_of.cast("int").alias("from"), (word_of + F.col("windows") + length - 1).cast("int").alias("to"))
-    return found.groupBy(doc_of.alias("doc_id")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    tables = Tables(docs.sparkSession)
+    row = "m long, doc_id long, tie long, first int, windows int"
+    routed, found = _routed(docs, length), []
+    levels = [*(i for i in INNER if i < length), length]
+    for level, _ in enumerate(levels):
+        # counts are cut off before they are joined: a join straight over an aggregate can't split a frequent minimiser
+        shared = tables.write(routed.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"))
+        rows = tables.write(routed.join(shared, "m", "left_semi"), "doc_id", "tie")
+        told = tables.write(_cut(docs, rows, length, "m long, digest binary, doc_id long, tie long, first int, windows int", _with_digest))
+        first = F.min(F.struct(*PLACE)).alias("at")
+        entries = tables.write(told.groupBy("m", "digest").agg(first, F.max("windows").alias("windows"), F.count("*").alias("n")).select("m", "digest", "at.*", "windows", "n"))
+        found.append(_copies(told, entries))
+        sizes = tables.write(entries.groupBy("m").agg(F.count("*").alias("entries")).where("entries > 1"))
+        meeting = entries.join(sizes, "m").select("m", *PLACE, "windows", "entries")
+        bounded = F.lit(True) if level + 1 == len(levels) else F.col("entries") <= SHARD_SEGMENTS
+        words = _cut(docs, meeting.where(bounded), length, "m long, doc_id long, tie long, first int, words binary", _with_words)
+        found.append(tables.write(_matched(words, length)))
+        if level + 1 == len(levels) or sizes.where(F.col("entries") > SHARD_SEGMENTS).isEmpty():
+            break
+        # a window of a large shard is dealt anew from its first occurrences: their copies are found
+        routed = tables.write(_cut(docs, meeting.where(~bounded), length, row, _longer(length, levels[level + 1])))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    span = F.struct(F.col("first").alias("from"), (F.col("first") + F.col("windows") + length - 1).alias("to"))
+    return tables.last(every.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(span)).alias("spans")))
 
 
 _WORD = re.compile(rb"[^ \t-\r]+")
@@ -252,15 +313,18 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", keep:
     With layout the white space between kept words stays as it is, so a text that loses nothing is unchanged.
 
     Words lie between ASCII white space; every word of a repeated window goes, windows being judged on the input. A null
-    or empty text has no words and stays as it is (null: null). Columns of docs named n_words or n_removed are replaced.
+    or empty text has no words and stays as it is (null: null), a row without a doc_id keeps all of its words. Rows of one
+    doc_id and one text are one document; rows of one doc_id and different texts are different ones, in the order of a hash
+    of their text. Any 64-bit doc_id and texts of any length will do. Columns of docs named n_words or n_removed are
+    replaced, others pass through whatever their names.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "n_removed", text.lower())]
-    spans = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("b")), length)
-    spans = spans.select(F.col("doc_id").alias("of"), "spans")
+    named = _named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("b")))
+    spans = repeated_spans(named, length)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, n, gone = [], [], []
-        for value, found in zip(_unpacked(batch.column(batch.num_columns - 2)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+        for value, found in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             words = value.split() if value else []
             n.append(len(words))
             stays = np.ones(len(words), bool)
@@ -270,13 +334,19 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", keep:
                 words = [words[i] for i in np.flatnonzero(stays)]
             gone.append(n[-1] - len(words))
             texts.append(None if value is None else without_words(value, stays) if layout else b" ".join(words))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "__bytes", "n_words", "n_removed"])
-
-    packed = _packed(docs.select(*(F.col(f"`{c}`") for c in kept), F.col("doc_id").cast("long").alias("__id"), utf8(text).alias("__bytes")), "__bytes")
-    joined = packed.join(spans, F.col("__id") == F.col("of"), "left").select(*(F.col(f"`{c}`") for c in kept), "__bytes", "spans")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "`__bytes` binary, n_words long, n_removed long"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["row", "b", "n_words", "n_removed"])
+
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept))
+    whole = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("b"))
+    several = spans.where("tie <> 0").select("doc_id").distinct().withColumn("several", F.lit(True))
+    tied = whole.join(broadcast_if_small(several, F.lit(32)), "doc_id", "left")
+    tie = F.when(F.col("several"), F.xxhash64("b")).otherwise(F.lit(0).cast("long"))
+    packed = _packed(tied.select("row", "doc_id", tie.alias("tie"), "b"), "b")
+    joined = packed.join(spans, ["doc_id", "tie"], "left").select("row", "b", "spans")
+    fields = [f for f in joined.schema["row"].dataType.fields]
+    schema = "row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields) + ">, b binary, n_words long, n_removed long"
     done = map_batches(joined, schema, run)
-    return done.select(*(F.col(f"`{c}`") for c in kept), F.col("__bytes").cast("string").alias(text), "n_words", "n_removed")
+    return done.select(*(F.col(f"row.`{c}`") for c in kept), F.col("b").cast("string").alias(text), "n_words", "n_removed")
 
 
 def query(docs: DataFrame, length: int = 20) -> DataFrame:

@@ -39,9 +39,10 @@ def corpus(seed, docs, vocabulary):
     return texts | {docs: None, docs + 1: "", docs + 2: "la " * 200, docs + 3: "ab cd " * 90, docs + 4: " ".join(words[:1]) * 5000, docs + 5: "x y " * 30}
 
 
-@pytest.mark.parametrize(("seed", "vocabulary", "length", "limit"), [(1, 400, 20, 2000), (2, 3, 20, 2000), (3, 400, 20, 2), (4, 4, 6, 3), (5, 50, 3, 2000)])
-def test_equals_brute_force(spark, monkeypatch, seed, vocabulary, length, limit):
+@pytest.mark.parametrize(("seed", "vocabulary", "length", "limit", "copies"), [(1, 400, 20, 2000, 1000), (2, 3, 20, 2000, 2), (3, 400, 20, 2, 3), (4, 4, 6, 3, 1000), (5, 50, 3, 2000, 1), (6, 3, 20, 1, 1)])
+def test_equals_brute_force(spark, monkeypatch, seed, vocabulary, length, limit, copies):
     monkeypatch.setattr(sd, "SHARD_SEGMENTS", limit)
+    monkeypatch.setattr(sd, "MANY_COPIES", copies)
     texts = corpus(seed, 70, vocabulary)
     docs = spark.createDataFrame([(t, i - 20, 5) for i, t in texts.items()], "text string, doc_id long, n_words int")
     want = plain({i - 20: t for i, t in texts.items()}, length)
@@ -74,6 +75,29 @@ def test_repeated_rows_and_empty_table(spark):
     assert sd.query(docs.where("false")).count() == 0
 
 
+def test_large_ids_shared_ids_and_clashing_names(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(-(1 << 63), a, 1, 2, 3, "k"), ((1 << 63) - 1, a, 1, 2, 3, "k"), (1, a, 1, 2, 3, "k"), (1, b, 1, 2, 3, "k"), (1, b, 1, 2, 3, "k"), (7, "x " + b, 1, 2, 3, "k"), (8, " ".join(a.split()[:28]), 1, 2, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, of int, __id int, `row` string")
+    got = sd.remove_repeats(docs)
+    assert got.columns == ["doc_id", "spans", "of", "__id", "row", "text", "n_words", "n_removed"]
+    found = sorted((r.doc_id, r.n_words, r.n_removed, r.spans) for r in got.collect())
+    assert found == [(-(1 << 63), 40, 0, 1), (1, 40, 0, 1), (1, 40, 0, 1), (1, 40, 40, 1), (7, 41, 40, 1), (8, 28, 28, 1), ((1 << 63) - 1, 40, 40, 1)]
+
+
+def test_long_texts_are_cut_into_overlapping_pieces(monkeypatch):
+    rng = random.Random(2)
+    split = [[b"%d" % rng.randrange(30) for _ in range(n)] for n in (0, 5, 300, 40, 1000, 19, 20, 21, 64)]
+    whole = sd.segments(split, 20, 5)
+    monkeypatch.setattr(sd, "WORDS_AT_ONCE", 64)
+    pieces = sd.segments(split, 20, 5)
+
+    def windows(found):
+        return sorted((t, f + i, m) for t, f, n, m in zip(*(x.tolist() for x in found), strict=True) for i in range(n))
+
+    assert windows(whole) == windows(pieces) and len(windows(whole)) == sum(max(0, len(s) - 19) for s in split)
+
+
 def test_the_stage_keeps_line_breaks_and_indents(spark):
     import corpus_pipeline
 
