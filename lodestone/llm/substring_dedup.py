@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from struct import unpack
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,11 @@ SHARD_SEGMENTS = 2_000
 WORDS_AT_ONCE, PLACE_BITS = 1 << 22, 24
 #: Copies of an entry beyond which they meet it by a broadcast.
 MANY_COPIES = 1_000
+#: Bits of a segment's hash that count; words decide where hashes collide.
+SEGMENT_MASK = -1
 #: What names a window: the document, which of the texts under its doc_id, and the window's first word.
 PLACE = ("doc_id", "tie", "first")
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
 class SuffixAutomaton:
@@ -98,18 +102,18 @@ def _chunks(split: list[list[bytes]], length: int) -> Iterator[tuple[list[int],
 
 
 def segments(split: list[list[bytes]], length: int, inner: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, minimiser) for each segment of the texts' words.
+    """(text, first window, windows, minimiser, hash of the segment's words) for each segment of the texts' words.
 
     A window is named by its first word. Windows within one text only; texts of fewer words have none.
     """
     found = [_segments(*chunk, length, inner) for chunk in _chunks(split, length)]
-    return tuple(np.concatenate([np.zeros(0, "i8"), *(f[i] for f in found)]) for i in range(4))
+    return tuple(np.concatenate([np.zeros(0, "i8"), *(f[i] for f in found)]) for i in range(5))
 
 
 def _segments(texts: list[int], split: list[list[bytes]], origins: list[int], length: int, inner: int) -> tuple[np.ndarray, ...]:
     n = np.fromiter(map(len, split), "i8", len(split))
     hashes = word_hashes([w for words in split for w in words])
-    total, none = len(hashes), tuple(np.zeros(0, "i8") for _ in range(4))
+    total, none = len(hashes), tuple(np.zeros(0, "i8") for _ in range(5))
     if total < length:
         return none
     starts = np.arange(total - inner + 1)
@@ -132,8 +136,9 @@ def _segments(texts: list[int], split: list[list[bytes]], origins: list[int], le
         return none
     begins = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
     ends = np.append(begins[1:], len(window))
-    own = text[begins]
-    return np.array(texts)[own], window[begins] - first_word[own] + np.array(origins)[own], ends - begins, sequence[at[begins]].view("i8")
+    own, first, n = text[begins], window[begins], ends - begins
+    words = range_hashes(hashes, WORDS, first, first + n + length - 1)
+    return np.array(texts)[own], first - first_word[own] + np.array(origins)[own], n, sequence[at[begins]].view("i8"), words.view("i8")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -162,53 +167,45 @@ def _unpacked(values: pa.Array) -> list[bytes | None]:
     return [None if x is None else unpack(x) for x in values.to_pylist()]
 
 
-def _routed(docs: DataFrame, length: int) -> DataFrame:
-    """(m, doc_id, tie, first, windows) of all segments of docs (doc_id, tie, b) at the first level."""
+def _batch(found: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*found, strict=True)) if found else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), _ARROW[t]) for x, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, first, windows, m = segments([t.split() for t in batch.column(2).to_pylist()], length, min(INNER[0], length))
-        at = pa.array(text)
-        return pa.RecordBatch.from_arrays([pa.array(m), batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype("i4")), pa.array(windows.astype("i4"))], names=["m", *PLACE, "windows"])
-
-    return map_batches(docs.select("doc_id", "tie", "b"), "m long, doc_id long, tie long, first int, windows int", run)
 
-
-def _cut(docs: DataFrame, rows: DataFrame, length: int, schema: str, out) -> DataFrame:
-    """What out gives for each segment of rows (m, doc_id, tie, first, windows): it gets (m, doc_id, tie, first, windows, words) and yields rows of schema."""
-    wanted = rows.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("m", "first", "windows")).alias("cuts"))
-    names = [c.split()[0] for c in schema.split(", ")]
+def _routed(parts: DataFrame, length: int, inner: int) -> DataFrame:
+    """(m, seg, doc_id, tie, base, first, windows) of all segments of parts of documents (doc_id, tie, base, b); base is a part's first word."""
+    mask = SEGMENT_MASK
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: list[tuple] = []
-        for doc_id, tie, text, cuts in zip(*(batch.column(i).to_pylist() for i in (0, 1)), _unpacked(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            words = text.split()
-            for c in cuts:
-                found += out(c["m"], doc_id, tie, c["first"], c["windows"], words[c["first"] : c["first"] + c["windows"] + length - 1])
-        columns = list(zip(*found, strict=True)) if found else [()] * len(names)
-        types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(list(x), types[c.split()[1]]) for x, c in zip(columns, schema.split(", "), strict=True)], names=names)
-
-    packed = _packed(docs.select("doc_id", "tie", "b"), "b").join(wanted, ["doc_id", "tie"])
-    return map_batches(packed.select("doc_id", "tie", "b", "cuts"), schema, run)
-
+        text, first, windows, m, seg = segments([t.split() for t in batch.column(3).to_pylist()], length, inner)
+        at = pa.array(text)
+        first = first + batch.column(2).to_numpy()[text]
+        return pa.RecordBatch.from_arrays([pa.array(m), pa.array(seg & mask), *(batch.column(i).take(at) for i in range(3)), pa.array(first.astype("i4")), pa.array(windows.astype("i4"))], names=["m", "seg", "doc_id", "tie", "base", "first", "windows"])
 
-def _with_digest(m, doc_id, tie, first, windows, words):
-    yield m, hashlib.blake2b(b" ".join(words), digest_size=16).digest(), doc_id, tie, first, windows
+    return map_batches(parts.select("doc_id", "tie", "base", "b"), "m long, seg long, doc_id long, tie long, base int, first int, windows int", run)
 
 
-def _with_words(m, doc_id, tie, first, windows, words):
-    yield m, doc_id, tie, first, b" ".join(words)
+_TOLD = "m long, seg long, doc_id long, tie long, base int, first int, windows int, copy int, large int, a long, z long, words binary"
 
 
-def _longer(length: int, inner: int):
-    """Deals a segment anew, by the minimisers of longer inner sequences."""
+def _cut(parts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """rows (m, seg, doc_id, tie, base, first, windows, copy, large, whole) with a digest (a, z) of their words, and with the words themselves where whole."""
+    wanted = rows.groupBy("doc_id", "tie", "base").agg(F.collect_set(F.struct("m", "seg", "first", "windows", "copy", "large", "whole")).alias("cuts"))
 
-    def out(m, doc_id, tie, first, windows, words):
-        _, begin, n, own = segments([words], length, inner)
-        for a, k, x in zip(begin.tolist(), n.tolist(), own.tolist(), strict=True):
-            yield x, doc_id, tie, first + a, k
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: list[tuple] = []
+        for doc_id, tie, base, text, cuts in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), _unpacked(batch.column(3)), batch.column(4).to_pylist(), strict=True):
+            split = text.split()
+            for c in cuts:
+                at = c["first"] - base
+                words = b" ".join(split[at : at + c["windows"] + length - 1])
+                a, z = unpack("<qq", hashlib.blake2b(words, digest_size=16).digest())
+                found.append((c["m"], c["seg"], doc_id, tie, base, c["first"], c["windows"], c["copy"], c["large"], a, z, words if c["whole"] else None))
+        return _batch(found, _TOLD)
 
-    return out
+    packed = _packed(parts.select("doc_id", "tie", "base", "b"), "b").join(wanted, ["doc_id", "tie", "base"])
+    return map_batches(packed.select("doc_id", "tie", "base", "b", "cuts"), _TOLD, run)
 
 
 def _matched(rows: DataFrame, length: int) -> DataFrame:
@@ -240,20 +237,20 @@ def _matched(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("m").sortWithinPartitions("m", *PLACE).mapInArrow(run, "doc_id long, tie long, first int, windows int")
 
 
-def _copies(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """(doc_id, tie, first, windows) of rows (m, digest, ...) that aren't the first occurrence of their entry.
+def _marked(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """rows with copy (1: not the first occurrence of its entry), large (1: its shard is) and whole (its words are needed).
 
-    Entries of many copies are few and are broadcast, behind a check of their size; the others are joined by a shuffle.
+    Rows that neither have copies nor meet other entries go. Entries of many copies are few and are broadcast, behind a
+    check of their size; the others are joined by a shuffle.
     """
-    own = F.struct(*PLACE)
-    firsts = entries.where("n > 1").select("m", "digest", "n", F.struct(*PLACE).alias("origin"))
-    hot = firsts.where(F.col("n") > MANY_COPIES).select("m", "digest", "origin")
-    hot = broadcast_if_small(hot, F.lit(80))
-    cold = firsts.where(F.col("n") <= MANY_COPIES).select("m", "digest", "origin")
-    marked = rows.join(hot, ["m", "digest"], "left")
-    of_hot = marked.where("origin is not null")
-    of_cold = marked.where("origin is null").drop("origin").join(cold, ["m", "digest"])
-    return of_hot.unionByName(of_cold).where(own > F.col("origin")).select(*PLACE, "windows")
+    known = entries.where("n > 1 or entries > 1").select("m", "seg", "n", "entries", F.struct(*PLACE).alias("origin"))
+    hot = broadcast_if_small(known.where(F.col("n") > MANY_COPIES).drop("n"), F.lit(96))
+    cold = known.where(F.col("n") <= MANY_COPIES).drop("n")
+    by_hot = rows.join(hot, ["m", "seg"], "left")
+    of_cold = by_hot.where("origin is null").drop("origin", "entries").join(cold, ["m", "seg"])
+    both = by_hot.where("origin is not null").unionByName(of_cold)
+    copy = (F.struct(*PLACE) > F.col("origin")).cast("int")
+    return both.select("m", "seg", "doc_id", "tie", "base", "first", "windows", copy.alias("copy"), (F.col("entries") > SHARD_SEGMENTS).cast("int").alias("large"), ((copy == 0) & (F.col("entries") > 1)).alias("whole"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
@@ -264,26 +261,32 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     themselves.
     """
     tables = Tables(docs.sparkSession)
-    row = "m long, doc_id long, tie long, first int, windows int"
-    routed, found = _routed(docs, length), []
+    parts, found = docs.select("doc_id", "tie", F.lit(0).alias("base"), "b"), []
     levels = [*(i for i in INNER if i < length), length]
-    for level, _ in enumerate(levels):
+    for inner in levels:
+        routed = _routed(parts, length, inner)
         # counts are cut off before they are joined: a join straight over an aggregate can't split a frequent minimiser
         shared = tables.write(routed.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"))
         rows = tables.write(routed.join(shared, "m", "left_semi"), "doc_id", "tie")
-        told = tables.write(_cut(docs, rows, length, "m long, digest binary, doc_id long, tie long, first int, windows int", _with_digest))
-        first = F.min(F.struct(*PLACE)).alias("at")
-        entries = tables.write(told.groupBy("m", "digest").agg(first, F.max("windows").alias("windows"), F.count("*").alias("n")).select("m", "digest", "at.*", "windows", "n"))
-        found.append(_copies(told, entries))
+        least = F.min(F.struct(*PLACE)).alias("at")
+        entries = tables.write(rows.groupBy("m", "seg").agg(least, F.count("*").alias("n")).select("m", "seg", "at.*", "n"))
         sizes = tables.write(entries.groupBy("m").agg(F.count("*").alias("entries")).where("entries > 1"))
-        meeting = entries.join(sizes, "m").select("m", *PLACE, "windows", "entries")
-        bounded = F.lit(True) if level + 1 == len(levels) else F.col("entries") <= SHARD_SEGMENTS
-        words = _cut(docs, meeting.where(bounded), length, "m long, doc_id long, tie long, first int, words binary", _with_words)
-        found.append(tables.write(_matched(words, length)))
-        if level + 1 == len(levels) or sizes.where(F.col("entries") > SHARD_SEGMENTS).isEmpty():
+        sized = entries.join(sizes, "m", "left").withColumn("entries", F.coalesce("entries", F.lit(1)))
+        told = tables.write(_cut(parts, _marked(rows, sized), length))
+        # rows of one entry have the same words, unless their hashes collide: then each is an entry
+        collided = told.groupBy("m", "seg").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("z").alias("z0"), F.max("z").alias("z1")).where("a0 < a1 or z0 < z1")
+        collided = tables.write(collided.select("m", "seg"))
+        copies, entered = told.where("copy = 1"), told.where("words is not null")
+        if not collided.isEmpty():
+            copies, entered = (x.join(collided, ["m", "seg"], "left_anti") for x in (copies, entered))
+            apart = told.join(collided, ["m", "seg"], "left_semi").select("m", "seg", "doc_id", "tie", "base", "first", "windows", F.lit(0).alias("copy"), "large", F.lit(True).alias("whole"))
+            entered = entered.unionByName(tables.write(_cut(parts, apart, length)))
+        found.append(copies.select(*PLACE, "windows"))
+        last = inner == length
+        found.append(tables.write(_matched(entered.where(F.lit(last) | (F.col("large") == 0)).select("m", *PLACE, "words"), length)))
+        parts = entered.where("large = 1").select("doc_id", "tie", F.col("first").alias("base"), F.col("words").alias("b"))
+        if last or parts.isEmpty():
             break
-        # a window of a large shard is dealt anew from its first occurrences: their copies are found
-        routed = tables.write(_cut(docs, meeting.where(~bounded), length, row, _longer(length, levels[level + 1])))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
