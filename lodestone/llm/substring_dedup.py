@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from struct import unpack
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,6 @@ MANY_COPIES = 1_000
 SEGMENT_MASK = -1
 #: What names a window: the document, which of the texts under its doc_id, and the window's first word.
 PLACE = ("doc_id", "tie", "first")
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
 class SuffixAutomaton:
@@ -167,12 +165,6 @@ def _unpacked(values: pa.Array) -> list[bytes | None]:
     return [None if x is None else unpack(x) for x in values.to_pylist()]
 
 
-def _batch(found: list[tuple], schema: str) -> pa.RecordBatch:
-    fields = [c.split() for c in schema.split(", ")]
-    columns = list(zip(*found, strict=True)) if found else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(list(x), _ARROW[t]) for x, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-
-
 def _routed(parts: DataFrame, length: int, inner: int) -> DataFrame:
     """(m, seg, doc_id, tie, base, first, windows) of all segments of parts of documents (doc_id, tie, base, b); base is a part's first word."""
     mask = SEGMENT_MASK
@@ -186,26 +178,36 @@ def _routed(parts: DataFrame, length: int, inner: int) -> DataFrame:
     return map_batches(parts.select("doc_id", "tie", "base", "b"), "m long, seg long, doc_id long, tie long, base int, first int, windows int", run)
 
 
-_TOLD = "m long, seg long, doc_id long, tie long, base int, first int, windows int, copy int, large int, a long, z long, words binary"
-
-
 def _cut(parts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """rows (m, seg, doc_id, tie, base, first, windows, copy, large, whole) with a digest (a, z) of their words, and with the words themselves where whole."""
-    wanted = rows.groupBy("doc_id", "tie", "base").agg(F.collect_set(F.struct("m", "seg", "first", "windows", "copy", "large", "whole")).alias("cuts"))
+    own = ("m", "seg", "first", "windows", "copy", "large", "whole")
+    wanted = rows.groupBy("doc_id", "tie", "base").agg(F.collect_set(F.struct(*own)).alias("cuts"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: list[tuple] = []
-        for doc_id, tie, base, text, cuts in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), _unpacked(batch.column(3)), batch.column(4).to_pylist(), strict=True):
+        lists = batch.column(4)
+        n = lists.value_lengths().to_numpy()
+        of = np.repeat(np.arange(len(n)), n)
+        flat = dict(zip(own, lists.flatten().flatten(), strict=True))
+        begin = (flat["first"].to_numpy() - batch.column(2).to_numpy()[of]).tolist()
+        stop = (flat["first"].to_numpy() - batch.column(2).to_numpy()[of] + flat["windows"].to_numpy() + length - 1).tolist()
+        whole, at = flat["whole"].to_pylist(), 0
+        digests, words = [], []
+        for text, k in zip(_unpacked(batch.column(3)), n.tolist(), strict=True):
             split = text.split()
-            for c in cuts:
-                at = c["first"] - base
-                words = b" ".join(split[at : at + c["windows"] + length - 1])
-                a, z = unpack("<qq", hashlib.blake2b(words, digest_size=16).digest())
-                found.append((c["m"], c["seg"], doc_id, tie, base, c["first"], c["windows"], c["copy"], c["large"], a, z, words if c["whole"] else None))
-        return _batch(found, _TOLD)
+            for i in range(at, at + k):
+                cut = b" ".join(split[begin[i] : stop[i]])
+                digests.append(hashlib.blake2b(cut, digest_size=16).digest())
+                words.append(cut if whole[i] else None)
+            at += k
+        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        at = pa.array(of)
+        columns = [flat["m"], flat["seg"], *(batch.column(i).take(at) for i in range(3)), *(flat[c] for c in ("first", "windows", "copy", "large")), *(pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)), pa.array(words, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     packed = _packed(parts.select("doc_id", "tie", "base", "b"), "b").join(wanted, ["doc_id", "tie", "base"])
-    return map_batches(packed.select("doc_id", "tie", "base", "b", "cuts"), _TOLD, run)
+    schema = "m long, seg long, doc_id long, tie long, base int, first int, windows int, copy int, large int, a long, z long, words binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return map_batches(packed.select("doc_id", "tie", "base", "b", "cuts"), schema, run)
 
 
 def _matched(rows: DataFrame, length: int) -> DataFrame:
