@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A piece of text is encoded by halves: short halves by plain merges, longer ones recursively. Two encoded neighbours are
-joined by re-encoding a window of tokens around their border. The window grows until the tokens outside provably stay as
+A piece of text is encoded by halves, recursively down to single bytes. Two encoded neighbours are joined by re-encoding
+a window of tokens around their border. The window grows until the tokens outside provably stay as
 they are: a sequence of tokens is the BPE encoding of its bytes exactly if every pair of adjacent tokens encodes to
 itself, so a join may stop once the pairs at both ends of the window do. Pieces never merge across a match of the split
-pattern, so encodings of whole pieces are joined by concatenation, and decoding concatenates bytes up the same tree.
+pattern, so encodings of whole pieces are joined by concatenation, and decoding concatenates bytes up a tree as well.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_batches, utf8
 
-#: Pieces of up to this many bytes are leaves of the tree.
-LEAF_BYTES = 64
+#: Subtrees of up to this many bytes are shared: many pieces have the same ones.
+SHARED_BYTES = 6
+#: Windows of up to this many bytes are merged over a plain list, longer ones over a heap; the merges are the same.
+SHORT_WINDOW = 128
+#: Ids that a leaf of the decoding tree looks up at once.
+LEAF_IDS = 256
 #: Pieces that a worker remembers; beyond it the memory is emptied, so a worker's size doesn't depend on the corpus.
 REMEMBERED = 300_000
 _END = 1 << 60
@@ -38,22 +42,34 @@ class TreeEncoder:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.stable: dict[tuple[int, int], bool] = {}
+        self.shared: dict[bytes, list[int]] = {}
+        self.joins = 0
 
     def encode(self, piece: bytes) -> list[int]:
+        """The ids of a piece; one that is a token by itself is that token, as in the library."""
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.tree(piece)
 
     def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF_BYTES:
-            return self.leaf(piece)
+        if len(piece) == 1:
+            return [self.ranks[piece]]
+        short = len(piece) <= SHARED_BYTES
+        if short and (known := self.shared.get(piece)):
+            return known
         half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+        self.joins += 1
+        ids = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+        if short:
+            if len(self.shared) >= REMEMBERED:
+                self.shared.clear()
+            self.shared[piece] = ids
+        return ids
 
-    def leaf(self, piece: bytes) -> list[int]:
-        """Merges the adjacent pair of lowest rank, the leftmost of equals, until no pair has a rank."""
+    def merged(self, piece: bytes) -> list[int]:
+        """Re-encodes a window: merges the adjacent pair of lowest rank, the leftmost of equals, until no pair has a rank."""
         ranks = self.ranks
-        if len(piece) > 2 * LEAF_BYTES:
-            return self.long_leaf(piece)
+        if len(piece) > SHORT_WINDOW:
+            return self.merged_by_heap(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         pair = [ranks.get(piece[i : i + 2], _END) for i in range(len(piece) - 1)]
         while pair:
@@ -69,7 +85,7 @@ class TreeEncoder:
                 pair[i] = ranks.get(merged + parts[i + 1], _END)
         return [ranks[x] for x in parts]
 
-    def long_leaf(self, piece: bytes) -> list[int]:
+    def merged_by_heap(self, piece: bytes) -> list[int]:
         """The same merges by a heap over a linked list: windows that grow long stay at n log n."""
         ranks, n = self.ranks, len(piece)
         end, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
@@ -96,7 +112,7 @@ class TreeEncoder:
         if known is None:
             if len(self.stable) >= REMEMBERED:
                 self.stable.clear()
-            known = self.stable[a, b] = self.leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.stable[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
@@ -105,7 +121,7 @@ class TreeEncoder:
         from_left = from_right = 1
         while True:
             from_left, from_right = min(from_left, len(a)), min(from_right, len(b))
-            window = self.leaf(b"".join(self.bytes_of[t] for t in (*a[len(a) - from_left :], *b[:from_right])))
+            window = self.merged(b"".join(self.bytes_of[t] for t in (*a[len(a) - from_left :], *b[:from_right])))
             left_ok = from_left == len(a) or self.keeps(a[-from_left - 1], window[0])
             right_ok = from_right == len(b) or self.keeps(window[-1], b[from_right])
             if left_ok and right_ok:
@@ -140,8 +156,15 @@ class _Vocabulary:
         self.start = np.cumsum(self.length) - self.length
         self.table = np.frombuffer(b"".join(tokens), "u1")
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, concatenated up a tree: those of the left half, then those of the right."""
+        if len(ids) <= LEAF_IDS:
+            return self.concatenated(ids).tobytes()
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
+
     def concatenated(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of ids, one token's after another's."""
+        """A leaf of it: the bytes of ids, one token's after another's."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or not self.length[ids].all()):
             raise ValueError("an id has no token")
         length = self.length[ids]
@@ -196,7 +219,7 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids: str = "tokens"
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         v, lists = _Vocabulary.of(blob.value, pattern), batch.column(ids)
         bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-        values = pa.array([v.concatenated(flat[a:b]).tobytes() if known else None for a, b, known in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)], pa.binary())
+        values = pa.array([v.decode(flat[a:b]) if known else None for a, b, known in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*kept, out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in kept), f"`{out}` binary"])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -29,10 +30,36 @@ def test_joined_halves_equal_the_library():
         assert got == LIBRARY._encode_single_piece(piece)
 
 
-def test_long_leaf_equals_the_short_one():
+def test_windows_by_heap_equal_the_short_ones():
     tree = bpe.TreeEncoder(RANKS)
     for piece in long_pieces():
-        assert tree.long_leaf(piece[:100]) == tree.leaf(piece[:100])
+        assert tree.merged_by_heap(piece[:100]) == tree.merged(piece[:100])
+
+
+def test_the_tree_encodes_ordinary_pieces(spark):
+    """Each piece of ordinary texts that isn't one token is joined from single bytes, a join for each byte but one, or from subtrees that other pieces share."""
+    find = bpe._Vocabulary.of(open(VOCABULARY, "rb").read(), public_tokenizers.PATTERN).find
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").collect()]
+    pieces = sorted({p.encode() for t in texts for p in find(t)})
+    tree, alone = bpe.TreeEncoder(RANKS), bpe.TreeEncoder(RANKS)
+    for piece in pieces:
+        before, alone.joins = tree.joins, 0
+        alone.shared.clear()
+        assert tree.encode(piece) == alone.encode(piece) == alone.tree(piece) == LIBRARY._encode_single_piece(piece)
+        assert piece in RANKS or tree.joins > before or len(piece) <= bpe.SHARED_BYTES
+        alone.joins = 0
+        alone.shared.clear()
+        alone.tree(piece)
+        assert min(1, len(piece) - 1) <= alone.joins < len(piece)
+    assert sum(p not in RANKS for p in pieces) > 1000
+
+
+def test_decoding_up_the_tree(monkeypatch):
+    v = bpe._Vocabulary.of(open(VOCABULARY, "rb").read(), public_tokenizers.PATTERN)
+    ids = np.array(LIBRARY.encode_ordinary("Naïve café 日本語 " * 60))
+    whole = v.concatenated(ids).tobytes()
+    monkeypatch.setattr(bpe, "LEAF_IDS", 1)
+    assert v.decode(ids) == whole == ("Naïve café 日本語 " * 60).encode() and v.decode(ids[:0]) == b""
 
 
 def test_split_pattern_agrees_on_every_code_point():
