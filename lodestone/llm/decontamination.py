@@ -1,9 +1,10 @@
 """Benchmark decontamination by a distributed positional inverted index, with DataFrame operations only.
 
-The index posts the training words (term, doc_id, position) of terms that a test item needs: each window of an item
-needs its rarest terms, by counts over the whole corpus. A posting shifted by the term's offset in the item is an
-alignment of the item with the document; the lists of a window's rarest terms are intersected on it. Alignments that
-survive are compared word by word with the document.
+The index stores every document's words once, in their order: word i of a row is the posting (term, document, i). Counts
+and posting lists are taken from it. Each window of a test item looks up its rarest terms, by counts over the whole
+corpus. A posting shifted by the term's place in the item is an alignment of the item with the document; the lists of a
+window's rarest terms are intersected on it, equal shifts for exact phrases and near ones for proximity matches. Windows
+that survive are compared word by word with the document.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import broadcast_if_small, checkpointed
+from lodestone.llm.common import Tables, broadcast_if_small
 
-#: Terms of a window whose postings are intersected before the whole window is compared.
+#: Terms of a window whose postings are intersected for an exact match. Two also anchor a proximity match.
 RAREST = 2
+#: Words of a whole window that a proximity match may lack; shorter windows may lack none.
+MISSING = 1
 #: What separates words once A-Z are lower-cased: ASCII but for digits and a-z.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_MATCHES = "array<struct<item_id:string,from:int,width:int>>"
 
 
 def words(text: Column) -> Column:
@@ -28,108 +32,161 @@ def words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """(item_id, item, start, width) for each window of each item; an item of fewer words, but not none, is one window."""
+    """(item_key, item_id, start, width, own) for each window of each item, own its words; an item of fewer words, but not none, is one window.
+
+    Rows grow with the items' words: none holds more than a window.
+    """
     n = F.size("item")
-    return (
-        items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item"))
-        .where(n > 0)
-        .select("item_id", "item", F.least(F.lit(window), n).alias("width"), F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start"))
-    )
+    named = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item")).where(n > 0)
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start")
+    cut = named.select(F.xxhash64("item_id", "item").alias("item_key"), "item_id", "item", F.least(F.lit(window), n).alias("width"), starts)
+    return cut.select("item_key", "item_id", "start", "width", F.slice("item", F.col("start") + 1, F.col("width")).alias("own")).dropDuplicates(["item_key", "start"])
+
+
+def _term_bytes() -> Column:
+    return F.octet_length("term") + 48
+
+
+def _window_bytes() -> Column:
+    return F.octet_length(F.array_join("own", " ")) * 2 + 64
+
+
+def index(docs: DataFrame, tables: Tables, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The stored index (row, rid, words): row holds docs' columns (or keep), rid names the row, words are its postings in order."""
+    kept = docs.columns if keep is None else keep
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept))
+    return tables.write(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("rid"), words(F.col(f"`{text}`")).alias("words")))
 
 
-def _term_bytes(terms: DataFrame) -> Column:
-    return F.octet_length("term") + 40
+def ranked_terms(posted: DataFrame, windows: DataFrame, most: int, tables: Tables) -> DataFrame:
+    """(item_key, start, width, place, term, n, rank, least): each window's `most` rarest terms; n counts a term's postings, least is the window's smallest n."""
+    places = windows.select("item_key", "start", "width", F.posexplode("own").alias("k", "term"))
+    places = tables.write(places.select("item_key", "start", "width", (F.col("start") + F.col("k")).alias("place"), "term"))
+    vocabulary = places.select("term").distinct()
+    counts = posted.select(F.explode("words").alias("term")).join(broadcast_if_small(vocabulary, _term_bytes()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counts = tables.write(counts)
+    by_window = Window.partitionBy("item_key", "start")
+    found = places.join(broadcast_if_small(counts, _term_bytes()), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = found.select("*", F.row_number().over(by_window.orderBy("n", "term", "place")).alias("rank"), F.min("n").over(by_window).alias("least"))
+    return tables.write(ranked.where(F.col("rank") <= most))
 
 
-def needed_terms(docs: DataFrame, items: DataFrame, window: int, rarest: int = RAREST) -> tuple[DataFrame, DataFrame]:
-    """(item_key, item_id, item, needs) and (term, item_key, place): what to look up in the corpus for each item.
+def alignments(posted: DataFrame, terms: DataFrame, tables: Tables) -> DataFrame:
+    """(rid, item_key, place, shift): the postings of terms (term, item_key, place); shift is the document's position less the item's place."""
+    looked_up = broadcast_if_small(terms.select("term", "item_key", "place").distinct(), _term_bytes())
+    lists = posted.select("rid", F.posexplode("words").alias("at", "term")).join(looked_up, "term")
+    return tables.write(lists.select("rid", "item_key", "place", (F.col("at") - F.col("place")).alias("shift")))
 
-    needs are the sets of places whose terms a window intersects: its rarest ones by counts over all documents. A window
-    with a term that the corpus lacks occurs nowhere and needs nothing. Both tables grow with the items alone.
+
+def _exact(hits: DataFrame, chosen: DataFrame, windows: DataFrame) -> DataFrame:
+    """(rid, item_id, from, own): windows whose rarest terms all have a posting at one shift."""
+    needed = chosen.where((F.col("rank") <= RAREST) & (F.col("least") > 0)).groupBy("item_key", "start").agg(F.collect_set("place").alias("need"))
+    needs = needed.groupBy("item_key").agg(F.collect_list(F.struct("start", "need")).alias("needs"), F.min(F.size("need")).alias("fewest"))
+    fewest = broadcast_if_small(needs.select("item_key", "fewest"), F.lit(32))
+    needs = broadcast_if_small(needs.drop("fewest"), F.size("needs") * 48 + 32)
+    aligned = hits.groupBy("rid", "item_key", "shift").agg(F.collect_set("place").alias("places"))
+    several = aligned.join(fewest, "item_key").where(F.size("places") >= F.col("fewest")).join(needs, "item_key")
+    whole = F.filter("needs", lambda n: F.size(F.array_except(n["need"], F.col("places"))) == 0)
+    starts = several.select("rid", "item_key", "shift", F.explode(F.transform(whole, lambda n: n["start"])).alias("start"))
+    known = broadcast_if_small(windows.select("item_key", "start", "item_id", "own"), _window_bytes())
+    return starts.join(known, ["item_key", "start"]).select("rid", "item_id", (F.col("shift") + F.col("start")).alias("from"), "own")
+
+
+def _near(hits: DataFrame, chosen: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
+    """(rid, item_id, from, own, most): windows anchored at one of their RAREST rarest terms, with another of the rarest near if there is one.
+
+    Of MISSING + 2 rarest terms at least two lie near a match. Shifts are dealt into cells that overlap, so that any two
+    within slop of each other share one, and a frequent term meets only postings near it.
     """
-    windows = item_windows(items, window).withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_key", "start"])
-    places = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1))
-    offsets = checkpointed(windows.select("item_key", "item_id", "item", "start", places.alias("place")).withColumn("term", F.get("item", F.col("place"))))
-    vocabulary = offsets.select("term").distinct()
-    vocabulary = broadcast_if_small(vocabulary, _term_bytes(vocabulary))
-    counted = checkpointed(docs.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n")))
-    counted = broadcast_if_small(counted, _term_bytes(counted))
-    by_window = Window.partitionBy("item_key", "start").orderBy("n", "term", "place")
-    ranked = offsets.join(counted, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(by_window))
-    own = F.sort_array(F.collect_list(F.struct("place", "term"))).alias("own")
-    chosen = ranked.where(F.col("rank") <= rarest).groupBy("item_key", "item_id", "item", "start").agg(own, F.min("n").alias("least")).where("least > 0")
-    looked_up = checkpointed(
-        chosen.groupBy("item_key", "item_id", "item").agg(F.collect_set("own.place").alias("needs"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
-    )
-    terms = looked_up.select("item_key", F.explode("own").alias("own")).select("own.term", "item_key", "own.place")
-    return looked_up.drop("own"), terms
+    span = 2 * (slop + 1)
+    cells = F.array(F.floor(F.col("shift") / span) * 2, F.floor((F.col("shift") + slop + 1) / span) * 2 + 1)
+    dealt = hits.select("rid", "item_key", F.explode(cells).alias("cell"), F.struct("place", "shift").alias("hit"))
+    met = dealt.groupBy("rid", "item_key", "cell").agg(F.collect_set("hit").alias("hits"), F.min("hit.place").alias("a"), F.max("hit.place").alias("z")).where("a < z")
+    beside = F.filter("hits", lambda x: F.exists("hits", lambda y: (y["place"] != x["place"]) & (F.abs(y["shift"] - x["shift"]) <= slop)))
+    pairs = met.select("rid", "item_key", F.explode(beside).alias("hit")).select("rid", "item_key", "hit.place", "hit.shift").distinct()
+    anchors = chosen.where((F.col("rank") <= RAREST) & (F.col("n") > 0)).select("item_key", "start", "place", "width")
+    anchors = broadcast_if_small(anchors, F.lit(40))
+    several = pairs.join(anchors.where("width > 1"), ["item_key", "place"])
+    single = hits.join(anchors.where("width = 1"), ["item_key", "place"])
+    start = several.unionByName(single).select("rid", "item_key", "start", (F.col("shift") + F.col("start")).alias("from")).distinct()
+    known = broadcast_if_small(windows.select("item_key", "start", "item_id", "own"), _window_bytes())
+    return start.join(known, ["item_key", "start"]).select("rid", "item_id", "from", "own")
 
 
-def alignments(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, item_key, place, shift): the postings of terms; shift is the document's position less the item's place."""
-    posted = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("at", "term"))
-    return posted.join(broadcast_if_small(terms, _term_bytes(terms)), "term").select("doc_id", "item_key", "place", (F.col("at") - F.col("place")).alias("shift"))
+def _same(c: Column) -> Column:
+    """Whether the candidate's words stand at their places."""
+    return F.when(c["from"] >= 0, F.slice("words", c["from"] + 1, F.size(c["own"])) == c["own"]).otherwise(F.lit(False))
 
 
-def exact_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """One row for each row of docs: its columns, n_words, matches, an array of (item_id, from, width), and __words.
+def _close(c: Column, window: int, slop: int) -> Column:
+    """Whether the candidate's words, all but MISSING of a whole window, stand within slop of their places."""
+
+    def stands(word: Column, k: Column) -> Column:
+        low = F.greatest(c["from"] + k - slop, F.lit(0))
+        n = c["from"] + k + slop - low + 1
+        return F.when(n > 0, F.array_contains(F.slice("words", low + 1, n), word)).otherwise(F.lit(False))
+
+    lacks = F.size(c["own"]) - F.size(F.filter(F.transform(c["own"], stands), lambda x: x))
+    return lacks <= F.when(F.size(c["own"]) == window, MISSING if window > 2 * MISSING else 0).otherwise(0)
 
-    Rows without a doc_id have no matches.
 
-    A match is a whole window of the item in the document at word from. All windows of all items against all words of all
-    documents: the rarest terms only choose which alignments are compared. Null texts have no words and no matches; an
-    item without words has no window; repeated items match by each of their ids. Columns of docs named like one of the
-    operator's are replaced.
+def _candidates(found: DataFrame, name: str) -> DataFrame:
+    return found.groupBy("rid").agg(F.collect_set(F.struct("item_id", F.col("from").cast("int").alias("from"), "own")).alias(name))
+
+
+def matched(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(row, words, matches, near) for each row of docs: row holds its columns (or keep), matches and near are arrays of (item_id, from, width).
+
+    All windows of all items against all words of all documents: the rarest terms only choose which windows are compared.
+    near is empty without a slop. Null and empty texts have no words and no matches; an item without words has no window;
+    repeated items match by each of their ids; rows that share or lack a doc_id are rows like others.
     """
-    looked_up, terms = needed_terms(docs, items, window)
-    hits = alignments(docs.select("doc_id", "text").where("doc_id is not null"), terms)
-    found = hits.groupBy("doc_id", "item_key", "shift").agg(F.collect_set("place").alias("places"))
-    several = found.join(broadcast_if_small(looked_up, F.octet_length(F.array_join("item", " ")) * 2 + F.size("needs") * 40), "item_key")
-    whole = F.exists("needs", lambda need: F.size(F.array_except(need, F.col("places"))) == 0)
-    per_doc = several.where(whole).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("candidates"))
-
-    n = F.size("__words")
-
-    def matched(c: Column) -> Column:
-        width = F.least(F.lit(window), F.size(c["item"]))
-        starts = F.sequence(F.greatest(F.lit(0), -c["shift"]), F.least(F.size(c["item"]), n - c["shift"]) - width)
-        inside = F.greatest(F.lit(0), -c["shift"]) <= F.least(F.size(c["item"]), n - c["shift"]) - width
-        equal = F.filter(starts, lambda i: F.slice("__words", c["shift"] + i + 1, width) == F.slice(c["item"], i + 1, width))
-        named = F.transform(equal, lambda i: F.struct(c["item_id"].alias("item_id"), (c["shift"] + i).alias("from"), width.alias("width")))
-        return F.when(inside, named).otherwise(F.array().cast("array<struct<item_id:string,from:int,width:int>>"))
+    tables = Tables(docs.sparkSession)
+    posted = index(docs, tables, keep)
+    windows = tables.write(item_windows(items, window))
+    chosen = ranked_terms(posted, windows, RAREST if slop is None else MISSING + 2, tables)
+    hits = alignments(posted, chosen.where("n > 0"), tables)
+    both = posted.join(_candidates(_exact(hits, chosen, windows), "exact"), "rid", "left")
+    named = lambda c: F.struct(c["item_id"].alias("item_id"), c["from"].alias("from"), F.size(c["own"]).alias("width"))
+    none = F.array().cast(_MATCHES)
+    chosen_of = lambda column, good: F.when(F.col(column).isNull(), none).otherwise(F.transform(F.filter(column, good), named))
+    near = none
+    if slop is not None:
+        both = both.join(_candidates(_near(hits, chosen, windows, slop), "close"), "rid", "left")
+        near = chosen_of("close", lambda c: _close(c, window, slop))
+    return both.select("row", "words", chosen_of("exact", _same).alias("matches"), near.alias("near"))
+
 
+def exact_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """docs with n_words and matches, an array of (item_id, from, width): whole windows of items in the document at word from.
+
+    Columns of docs that have these names are replaced; others pass through, whatever their names. See matched for the rest.
+    """
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "matches")]
-    none = F.array().cast("array<struct<item_id:string,from:int,width:int>>")
-    matches = F.when(F.col("candidates").isNull(), none).otherwise(F.flatten(F.transform("candidates", matched)))
-    both = docs.select(*(F.col(f"`{c}`") for c in kept)).join(per_doc, F.col("doc_id") == F.col("of"), "left").withColumn("__words", words(F.col("text")))
-    return both.select(*(F.col(f"`{c}`") for c in kept), n.cast("long").alias("n_words"), matches.alias("matches"), F.col("__words"))
+    found = matched(docs, items, window, keep=kept)
+    return found.select(*(F.col(f"row.`{c}`") for c in kept), F.size("words").cast("long").alias("n_words"), "matches")
 
 
-def covered(matches: Column) -> Column:
-    """The positions that matches cover, each once."""
-    return F.array_distinct(F.flatten(F.transform(matches, lambda m: F.sequence(m["from"], m["from"] + m["width"] - 1))))
+def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 4) -> DataFrame:
+    """(doc_id, item_id, from): windows of items whose words stand near their places in the document, each within slop.
 
+    A window of full width may lack MISSING words. It is placed by one of its RAREST rarest terms, by corpus counts, then
+    term, then place: that one stands exactly at its place, counted from `from`, which may lie before the text.
+    """
+    found = matched(docs, items, window, slop, keep=["doc_id"])
+    return found.select("row.doc_id", F.explode("near").alias("m")).select("doc_id", "m.item_id", "m.from").distinct()
 
-def query(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    found = exact_matches(docs.select("doc_id", "text"), items, window).drop("text", "__words")
-    ids = F.array_sort(F.array_distinct(F.col("matches.item_id")))
-    flat = found.select("doc_id", "n_words", F.size(covered(F.col("matches"))).cast("long").alias("n_hit"), ids.alias("ids"))
-    return flat.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
+def covered(matches: Column) -> Column:
+    """The positions that matches cover, each once."""
+    return F.array_distinct(F.flatten(F.transform(matches, lambda m: F.sequence(m["from"], m["from"] + m["width"] - 1))))
 
-def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 4, rarest: int = 3) -> DataFrame:
-    """(doc_id, item_id, from): places where a window's rarest terms all lie within slop words of the phrase's layout.
 
-    The rarest term of a window fixes the alignment, each other one must have a posting whose shift differs by slop at
-    most. Shifts are joined by blocks of slop + 1, so a frequent term meets only postings near it.
-    """
-    looked_up, terms = needed_terms(docs, items, window, rarest)
-    hits = alignments(docs.select("doc_id", "text").where("doc_id is not null"), terms).distinct().join(looked_up.select("item_key", "item_id", "needs"), "item_key")
-    step = slop + 1
-    windows = hits.select("doc_id", "item_id", F.explode("needs").alias("need"), "place", "shift").where(F.array_contains("need", F.col("place")))
-    anchor = windows.where(F.get("need", F.lit(0)) == F.col("place")).select("doc_id", "item_id", "need", F.col("shift").alias("from"))
-    blocks = anchor.withColumn("block", F.explode(F.array(*(F.floor(F.col("from") / step) + d for d in (-1, 0, 1)))))
-    near = windows.withColumn("block", F.floor(F.col("shift") / step))
-    joined = blocks.join(near, ["doc_id", "item_id", "need", "block"]).where(F.abs(F.col("shift") - F.col("from")) <= slop)
-    counted = joined.groupBy("doc_id", "item_id", "need", "from").agg(F.count_distinct("place").alias("places"))
-    return counted.where(F.col("places") == F.size("need")).select("doc_id", "item_id", "from").distinct()
+def query(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 4) -> DataFrame:
+    found = matched(docs.select("doc_id", "text"), items, window, slop, keep=["doc_id"])
+    ids = lambda c: F.array_sort(F.array_distinct(F.col(f"{c}.item_id")))
+    flat = found.select("row.doc_id", F.size("words").cast("long").alias("n_words"), F.size(covered(F.col("matches"))).cast("long").alias("n_hit"), ids("matches").alias("ids"), ids("near").alias("near"))
+    digest = lambda c: F.sha2(F.array_join(c, ","), 256)
+    return flat.select(
+        "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), digest("ids").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near_items"), digest("near").alias("near_items_sha256")
+    )
