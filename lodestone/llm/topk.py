@@ -9,15 +9,17 @@ exactly by their ids.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import workers_ready
+from lodestone.llm.common import Tables, workers_ready
 
-#: Rows of a block of the index, and queries that meet it in one task.
-BLOCK_ROWS, BLOCK_QUERIES = 65_536, 256
+#: Components that a block of the index holds, about; its rows if the table is small; queries of a chunk.
+BLOCK_COMPONENTS, SMALL_BLOCK_ROWS, CHUNK_QUERIES = 1 << 22, 4096, 256
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
@@ -27,15 +29,27 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 
 
 class BitSlicedIndex:
-    """values: integers, a row for each vector; ids in ascending order."""
+    """values: integers, a row for each vector; ids ascend, names tell rows of one id apart."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.low = ids, values.min(0)
+    def __init__(self, ids: np.ndarray, values: np.ndarray, names: np.ndarray | None = None):
+        self.ids, self.names, self.low = ids, ids if names is None else names, values.min(0)
         shifted = (values - self.low).T  # a row for each dimension, from 0
         self.bits = max(1, int(shifted.max()).bit_length())
         self.slices = np.stack([_packed((shifted >> b & 1).astype("u1")) for b in range(self.bits)], axis=1)
         self.rows = _packed(np.ones((1, len(ids)), "u1"))[0]
 
+    def stored(self) -> tuple[bytes, bytes, bytes, bytes]:
+        return self.ids.tobytes(), self.names.tobytes(), self.low.tobytes(), self.slices.tobytes()
+
+    @classmethod
+    def of(cls, ids: bytes, names: bytes, low: bytes, slices: bytes) -> BitSlicedIndex:
+        self = cls.__new__(cls)
+        self.ids, self.names, self.low = (np.frombuffer(x, "i8") for x in (ids, names, low))
+        self.rows = _packed(np.ones((1, len(self.ids)), "u1"))[0]
+        self.slices = np.frombuffer(slices, "u8").reshape(len(self.low), -1, len(self.rows))
+        self.bits = self.slices.shape[1]
+        return self
+
     def sums(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(slices of the sum, least significant first, what to add to it to get the inner product)."""
         weights: dict[int, list[np.ndarray]] = {}
@@ -77,10 +91,10 @@ class BitSlicedIndex:
         return out, base
 
     def top(self, query: np.ndarray, k: int, own: int | None = None) -> list[tuple[int, int]]:
-        """(id, score) of the k highest inner products, ties to smaller ids, without the row whose id is own."""
+        """(id, score) of the k highest inner products, ties to smaller ids, without the row whose name is own."""
         slices, base = self.sums(query)
         sure, open_ = np.zeros_like(self.rows), self.rows.copy()
-        if own is not None and (at := int(np.searchsorted(self.ids, own))) < len(self.ids) and self.ids[at] == own:
+        if own is not None and len(at := np.flatnonzero(self.names == own)):
             gone = np.zeros((1, len(self.ids)), "u1")
             gone[0, at] = 1
             open_ &= ~_packed(gone)[0]
@@ -107,56 +121,84 @@ class BitSlicedIndex:
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, dims, q binary): floor(scale * x) of each component as int32; vectors that take part only."""
+    """(rid, vec_id, q): floor(scale * x) of each component; vectors that take part only. rid tells the rows apart once this is written."""
     x = F.col(vector).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     floors = F.transform(x, lambda v: F.floor(v * scale))
-    fits = F.forall(floors, lambda v: F.abs(v) < (1 << 24))
+    # a score is a long: vectors whose products could leave it have none
+    fits = F.size(vector) * F.pow(F.array_max(F.transform(x, lambda v: F.abs(v) * scale)) + 1, F.lit(2)) < float(1 << 60)
     return (
         vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
         .where(finite & (F.size(vector) > 0))
-        .select(F.col(key).cast("long").alias("vec_id"), F.when(fits, floors).otherwise(F.raise_error(F.lit("a component is out of the index's range")).cast("array<bigint>")).cast("array<int>").alias("q"))
+        .select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("vec_id"), F.when(fits, floors).otherwise(F.raise_error(F.lit("scores of a vector leave the range of a long")).cast("array<bigint>")).alias("q"))
     )
 
 
+def _matrix(rows: pa.Table) -> np.ndarray:
+    q = rows.column("q").combine_chunks()
+    return q.flatten().to_numpy().reshape(len(q), -1)
+
+
+_BLOCK = "block int, dims int, kind int, ids binary, names binary, low binary, body binary"
+
+
+def _stored(block: int, dims: int, kind: int, ids: bytes, names: bytes, low: bytes, body: bytes) -> pa.Table:
+    fields = [c.split() for c in _BLOCK.split(", ")]
+    return pa.table({n: pa.array([x], pa.int32() if t == "int" else pa.binary()) for (n, t), x in zip(fields, (block, dims, kind, ids, names, low, body), strict=True)})
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest inner products of each query over all vectors but its own.
+    """(query_id, rank, vec_id, score): the k highest inner products of each query over all vectors but its own row.
 
-    vectors, queries: (vec_id, q array<int>). Only vectors of a query's length are scored. Ties go to the smaller vec_id;
-    repeated rows of an id count once (the greatest vector of them). Blocks of queries meet blocks of rows: each task
-    holds one of either, whatever the tables' sizes, and passes on k rows for each of its queries.
+    vectors, queries: (rid, vec_id, q array<long>), written tables. Only vectors of a query's length are scored. Ties go to
+    the smaller vec_id. Rows that repeat a vec_id are candidates, or queries, of their own. Each block of rows is sliced
+    once; chunks of queries are sent to every block and met one after the other, so a task holds one block and one chunk,
+    whatever the tables' sizes, and passes on k rows for each query. Rows read are those of the table and the queries times
+    the blocks.
     """
-    workers_ready(vectors.sparkSession)
-    vectors = vectors.groupBy("vec_id").agg(F.max("q").alias("q"))
-    queries = queries.groupBy("vec_id").agg(F.max("q").alias("q"))
-    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    dealt = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
-    rows = vectors.select(dealt(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "vec_id", "q")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), dealt(query_blocks, 2).alias("part"), "vec_id", "q")
-
-    def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        order = np.argsort(ids := rows.column("vec_id").to_numpy())
-        ids, own = ids[order], rows.column("q").combine_chunks()
-        length = own.value_lengths().to_numpy()[order]
-        first = own.offsets.to_numpy()[:-1][order]
-        flat, wanted = own.values.to_numpy(), asked.column("q").to_pylist()
-        for dims in sorted({len(q) for q in wanted}):
-            if not len(at := np.flatnonzero(length == dims)):
-                continue
-            index = BitSlicedIndex(ids[at], flat[first[at][:, None] + np.arange(dims)].astype("i8"))
-            for query_id, q in zip(asked.column("vec_id").to_pylist(), wanted, strict=True):
-                if len(q) == dims:
-                    found += [(query_id, *x) for x in index.top(np.array(q, "i8"), k, query_id)]
-        columns = zip(*found, strict=True) if found else ([], [], [])
-        return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
-
-    parts = rows.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    spark = vectors.sparkSession
+    workers_ready(spark)
+    tables = Tables(spark)
+    size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("q").cast("long")), F.lit(0)).alias("components")).first()
+    blocks = max(1, -(-size.components // BLOCK_COMPONENTS), min(spark.sparkContext.defaultParallelism, -(-size.n // SMALL_BLOCK_ROWS)))
+    chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
+    dealt = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rid"), F.lit(n)).cast("int")
+
+    def sliced(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        ids, names = rows.column("vec_id").to_numpy(), rows.column("rid").to_numpy()
+        order = np.lexsort((names, ids))
+        index = BitSlicedIndex(ids[order], _matrix(rows)[order], names[order])
+        return _stored(key[0].as_py(), key[1].as_py(), 0, *index.stored())
+
+    def chunked(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return _stored(key[0].as_py(), key[1].as_py(), 1, rows.column("vec_id").to_numpy().tobytes(), rows.column("rid").to_numpy().tobytes(), b"", np.ascontiguousarray(_matrix(rows)).tobytes())
+
+    index = vectors.select(dealt(blocks, 1).alias("block"), F.size("q").alias("dims"), "rid", "vec_id", "q").groupBy("block", "dims").applyInArrow(sliced, _BLOCK)
+    asked = queries.select(dealt(chunks, 2).alias("part"), F.size("q").alias("dims"), "rid", "vec_id", "q").groupBy("part", "dims").applyInArrow(chunked, _BLOCK)
+    index, asked = tables.write(index), tables.write(asked)
+    everywhere = asked.drop("block").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dims", "kind", "ids", "names", "low", "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for batch in batches:
+            for block, dims, kind, ids, names, low, body in zip(*batch.columns, strict=True):
+                key = block.as_py(), dims.as_py()
+                if kind.as_py() == 0:
+                    at, own = key, BitSlicedIndex.of(*(x.as_py() for x in (ids, names, low, body)))
+                elif key == at:
+                    found: list[tuple[int, int, int, int]] = []
+                    matrix = np.frombuffer(body.as_py(), "i8").reshape(-1, key[1])
+                    for query_id, name, q in zip(np.frombuffer(ids.as_py(), "i8").tolist(), np.frombuffer(names.as_py(), "i8").tolist(), matrix, strict=True):
+                        found += [(name, query_id, *x) for x in own.top(q, k, name)]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], names=["asked", "query_id", "vec_id", "score"])
+
+    met = index.unionByName(everywhere).repartition(2 * blocks, "block", "dims").sortWithinPartitions("block", "dims", "kind")
+    parts = met.mapInArrow(run, "asked long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    vectors = quantised(embeddings)
+    vectors = Tables(embeddings.sparkSession).write(quantised(embeddings))
     return search(vectors, vectors.where(F.col("vec_id") % every == 0), k)
