@@ -1,7 +1,10 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 P(grade > k) = sigmoid(w . x - threshold[k]): all thresholds share the weights w, so grades stay ordered. Features are the
-distinct words of a text and their prefixes, by hash; severity is the expected grade.
+distinct words of a text and their prefixes, by hash, and those again that it has twice or more; severity is the expected
+grade. The fit is penalised by the weights'
+absolute values, which leaves most of them at zero: every feature of the sample may take a weight of either sign, and the
+evidence alone decides which do.
 """
 
 from __future__ import annotations
@@ -11,20 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches
+from lodestone.llm.common import Tables, map_batches
 from lodestone.llm.hashing import BYTES, LETTERS, mixed, range_hashes
 
-#: Labelled documents that the model is fitted on, in expectation; chosen evenly by a hash of doc_id.
-FIT_DOCUMENTS = 12_000
-#: Features of the model: those that point to toxic texts most, by a z-score of at least LEAST_Z. Features of clean texts
-#: are left out: over a long text they add up and outweigh an insult.
-FEATURES, LEAST_Z = 20_000, 3.5
+#: Labelled documents, and bytes of their texts, that the model is fitted on, in expectation; chosen evenly by a hash of doc_id.
+FIT_DOCUMENTS, FIT_BYTES = 10_000, 48 << 20
+#: Standard deviations that a feature's gradient has to exceed, and documents that it has to stand for: the penalty.
+#: A gradient is below the number of a feature's documents, so features of fewer than three provably have no weight.
+DEVIATIONS, LEAST_GRADIENT = 2.5, 2.5
+#: Parts of the sample that are scored by a fit on the others, for the grades of binary labels and for the cut.
+FOLDS = 4
 #: Bytes of the prefixes that are features beside the words.
 PREFIXES = (4, 5, 6, 7)
 #: Grades above 0 that binary labels are spread over.
 GRADES = 3
 _SPACES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _FILTER_BITS = 22
+_TWICE = np.uint64(1 << 63)
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,19 +46,125 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     hashes, owners = [], []
     for i, stop in enumerate(stops):
         has = stop >= 0
-        hashes.append(mixed(range_hashes(values, LETTERS, start[has], stop[has]) + np.uint64(i > 0)))
+        hashes.append(mixed(range_hashes(values, LETTERS, start[has], stop[has]) + np.uint64(i > 0)) & ~_TWICE)
         owners.append(text[has])
     return np.concatenate(hashes), np.concatenate(owners)
 
 
+def distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) pairs, each once and sorted by text and hash; a hash that a text has twice or more comes once more with its highest bit set."""
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    at = np.flatnonzero(np.concatenate([[True], (np.diff(hashes) != 0) | (np.diff(text) != 0)])[: len(hashes)])
+    twice = at[np.diff(np.append(at, len(hashes))) > 1]
+    hashes, text = np.concatenate([hashes[at], hashes[twice] | _TWICE]), np.concatenate([text[at], text[twice]])
+    order = np.lexsort((hashes, text))
+    return hashes[order], text[order]
+
+
+def likelihood(z: np.ndarray, theta: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood of the grades, and its gradients by each text's score z and by the thresholds."""
+    n, top = len(grade), len(theta)
+    above = np.ones((n, top + 2))  # P(grade >= 0..top + 1)
+    above[:, 1:-1] = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -500, 500)))
+    above[:, -1] = 0
+    at = np.arange(n)
+    p = np.maximum(above[at, grade] - above[at, grade + 1], 1e-300)
+    slope = above * (1 - above)  # zero at both ends
+    by_z = -(slope[at, grade] - slope[at, grade + 1]) / p / n
+    by_theta = np.zeros(top)
+    for j in range(top):
+        by_theta[j] = (slope[grade == j + 1, j + 1] / p[grade == j + 1]).sum() / n - (slope[grade == j, j + 1] / p[grade == j]).sum() / n
+    return float(-np.log(p).mean()), by_z, by_theta
+
+
+def penalties(n_with: np.ndarray, grade: np.ndarray, deviations: float, least: float) -> np.ndarray:
+    """Each feature's penalty on its weight's absolute value, from the number of texts that have it."""
+    share = (grade > 0).mean()
+    return np.maximum(deviations * np.sqrt(n_with * share * (1 - share)), least) / len(grade)
+
+
+def solve(feature: np.ndarray, text: np.ndarray, grade: np.ndarray, penalty: np.ndarray, start: tuple[np.ndarray, np.ndarray], steps: int = 2000, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of the least penalised negative log-likelihood, by accelerated proximal gradients.
+
+    Weights are scaled by how many texts have their feature; steps are shortened until the loss falls as it should, and
+    thresholds stay ordered as the loss has no bound where they meet.
+    """
+    n, k = len(grade), len(penalty)
+    scale = np.concatenate([np.sqrt(np.maximum(np.bincount(feature, minlength=k), 1) / n), np.ones(len(start[1]))])
+    cost = np.concatenate([penalty, np.zeros(len(start[1]))]) / scale
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, theta = x[:k] / scale[:k], x[k:]
+        if (np.diff(theta) <= 0).any():
+            return np.inf, x
+        value, by_z, by_theta = likelihood(np.bincount(text, w[feature], n), theta, grade)
+        return value, np.concatenate([np.bincount(feature, by_z[text], k), by_theta]) / scale
+
+    x = np.concatenate([start[0], start[1]]) * scale
+    value, y, inertia, length = loss(x)[0] + cost @ np.abs(x), x, 1.0, 4.0
+    for _ in range(steps):
+        at, g = loss(y)
+        while True:
+            new = y - length * g
+            new = np.sign(new) * np.maximum(np.abs(new) - length * cost, 0)
+            d = new - y
+            reached = loss(new)[0]
+            if reached <= at + g @ d + d @ d / (2 * length) + 1e-14:
+                break
+            length /= 2
+        total = reached + cost @ np.abs(new)
+        if total > value:  # the inertia overshot: go on from here without it
+            if inertia == 1.0:
+                break
+            y, inertia = x, 1.0
+            continue
+        done = value - total < tolerance * max(1.0, abs(total))
+        following = (1 + np.sqrt(1 + 4 * inertia * inertia)) / 2
+        y = new + (inertia - 1) / following * (new - x)
+        if (np.diff(y[k:]) <= 0).any():
+            y, following = new, 1.0
+        x, value, inertia = new, total, following
+        if done:
+            break
+        length *= 1.1
+    return x[:k] / scale[:k], x[k:]
+
+
+def fit_ordinal(feature: np.ndarray, text: np.ndarray, grade: np.ndarray, k: int, deviations: float = DEVIATIONS, least: float = LEAST_GRADIENT) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of k features, thresholds) for pairs (feature, text) and a grade for each text.
+
+    Only features whose gradient exceeds their penalty can have a weight at the optimum, so the fit runs on those that did
+    so far and takes up others as they do, until none does: the result is the optimum over all features.
+    """
+    n, top = len(grade), int(grade.max(initial=1))
+    share = np.clip([(grade > j).mean() for j in range(top)], 1e-4, 1 - 1e-4)
+    theta = np.maximum.accumulate(-np.log(share / (1 - share))) + 1e-3 * np.arange(top)
+    penalty = penalties(np.bincount(feature, minlength=k), grade, deviations, least)
+    _, theta = solve(feature[:0], text[:0], grade, np.zeros(0), (np.zeros(0), theta))
+    weights, active = np.zeros(k), np.zeros(k, bool)
+    for _ in range(50):
+        by_z = likelihood(np.bincount(text, weights[feature], n), theta, grade)[1]
+        violating = (np.abs(np.bincount(feature, by_z[text], k)) > penalty * (1 + 1e-3)) & ~active
+        if not violating.any():
+            break
+        active |= violating
+        place = np.cumsum(active) - 1
+        own = active[feature]
+        found, theta = solve(place[feature[own]], text[own], grade, penalty[active], (weights[active], theta))
+        weights[active] = found
+    return weights, theta
+
+
 class Severity:
-    """A fitted model: sorted feature hashes with weights, and thresholds."""
+    """A fitted model: the hashes of features with a weight, sorted, their weights, thresholds, and a cut on P(grade > 0)."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        self.weights = np.zeros(len(hashes))
-        self.thresholds = np.zeros(GRADES)
-        self.cut = 0.5
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray | None = None, thresholds: np.ndarray | None = None, cut: float = 0.5):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.weights = np.zeros(len(hashes)) if weights is None else weights[order]
+        self.thresholds = np.zeros(GRADES) if thresholds is None else thresholds
+        self.cut = cut
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.hashes & np.uint64((1 << _FILTER_BITS) - 1)] = True
 
@@ -60,113 +172,96 @@ class Severity:
         """(feature, text) pairs, each once, sorted by text."""
         hashes, text = features(texts)
         likely = self.maybe[hashes & np.uint64((1 << _FILTER_BITS) - 1)]
-        hashes, text = hashes[likely], text[likely]
+        hashes, text = distinct(hashes[likely], text[likely])
         at = np.searchsorted(self.hashes, hashes)
         at[at == len(self.hashes)] = 0
         known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(at), bool)
-        pairs = np.unique(text[known] * max(1, len(self.hashes)) + at[known])
-        return pairs % max(1, len(self.hashes)), pairs // max(1, len(self.hashes))
+        return at[known], text[known]
 
     def exceedance(self, feature: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         """P(grade > k) for each of n texts and each threshold k."""
         score = np.bincount(text, self.weights[feature], n)
-        return 1 / (1 + np.exp(-(score[:, None] - self.thresholds)))
-
-    def fit(self, feature: np.ndarray, text: np.ndarray, grade: np.ndarray, steps: int = 600, rate: float = 0.05, ridge: float = 2e-5) -> None:
-        """Adam on the mean negative log-likelihood of the grades; thresholds as a first one and positive steps."""
-        n, top = len(grade), GRADES
-        share = np.clip([(grade > k).mean() for k in range(top)], 1e-4, 1 - 1e-4)
-        first = np.sort(-np.log(share / (1 - share)))
-        raw = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 0.05))])
-        params = np.concatenate([self.weights, raw])
-        mean, square = np.zeros_like(params), np.zeros_like(params)
-        k = len(self.weights)
-        for step in range(1, steps + 1):
-            w, raw = params[:k], params[k:]
-            gaps = np.exp(raw[1:])
-            theta = raw[0] + np.concatenate([[0.0], np.cumsum(gaps)])
-            z = np.bincount(text, w[feature], n)[:, None] - theta
-            above = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-z)), np.zeros((n, 1))], 1)  # P(grade >= 0..top + 1)
-            p = np.maximum(above[np.arange(n), grade] - above[np.arange(n), grade + 1], 1e-12)
-            slope = above * (1 - above)  # zero at both ends
-            d = np.zeros((n, top))  # of the log-likelihood by z[:, j]
-            for j in range(top):
-                d[:, j] = ((grade == j + 1) * slope[:, j + 1] - (grade == j) * slope[:, j + 1]) / p
-            by_w = -np.bincount(feature, d.sum(1)[text], k) / n + ridge * w
-            by_theta = d.sum(0) / n
-            by_raw = np.concatenate([[by_theta.sum()], [by_theta[j + 1 :].sum() * gaps[j] for j in range(top - 1)]])
-            g = np.concatenate([by_w, by_raw])
-            mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
-            params = params - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        self.weights = params[:k]
-        self.thresholds = params[k] + np.concatenate([[0.0], np.cumsum(np.exp(params[k + 1 :]))])
-
-
-    def calibrate(self, p: np.ndarray, toxic: np.ndarray) -> None:
-        """Sets cut to the probability of the best F1 on the fitted examples; of equals the one nearest to a half."""
-        cuts = np.arange(5, 96) / 100
-        hit = np.array([((p >= c) & toxic).sum() for c in cuts])
-        f1 = 2 * hit / np.maximum(np.array([(p >= c).sum() for c in cuts]) + toxic.sum(), 1)
-        best = cuts[f1 >= f1.max() - 1e-12]
-        self.cut = float(best[np.abs(best - 0.5).argmin()])
-
-
-def grades_of(label: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Grades 0..GRADES. Labels of several levels are taken as they are; a binary label's positives are spread by how many telling features a text has, in equal parts."""
+        return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -500, 500)))
+
+
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The probability of the best F1 on rows that their model hasn't seen; of equals the middle."""
+    cuts = np.arange(5, 96) / 100
+    hit = np.array([((p >= c) & toxic).sum() for c in cuts])
+    f1 = 2 * hit / np.maximum(np.array([(p >= c).sum() for c in cuts]) + toxic.sum(), 1)
+    best = cuts[f1 >= f1.max() - 1e-12]
+    return float(best[len(best) // 2])
+
+
+def held_out(feature: np.ndarray, text: np.ndarray, toxic: np.ndarray, k: int) -> np.ndarray:
+    """P(toxic) of each text by a fit of the plain label on the other folds."""
+    fold = np.arange(len(toxic)) % FOLDS
+    p = np.zeros(len(toxic))
+    for f in range(FOLDS):
+        own = fold != f
+        pairs = own[text]
+        place = np.cumsum(own) - 1
+        weights, theta = fit_ordinal(feature[pairs], place[text[pairs]], toxic[own].astype("i8"), k)
+        p[~own] = (1 / (1 + np.exp(-np.clip(np.bincount(text, weights[feature], len(toxic)) - theta[0], -500, 500))))[~own]
+    return p
+
+
+def grades_of(label: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Grades 0..GRADES. Labels of several levels are taken as they are; a binary label's positives are spread, in equal parts, in the order of their held-out probability."""
     if label.max(initial=0) > 1:
         return np.clip(label, 0, GRADES).astype("i8")
-    cuts = np.quantile(marks[label > 0], np.arange(1, GRADES) / GRADES) if (label > 0).any() else np.zeros(GRADES - 1)
-    return np.where(label > 0, 1 + (marks[:, None] > cuts).sum(1), 0)
+    grade, positive = np.zeros(len(label), "i8"), np.flatnonzero(label > 0)
+    order = positive[np.argsort(p[positive], kind="stable")]
+    grade[order] = 1 + np.arange(len(order)) * GRADES // max(1, len(order))
+    return grade
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Severity | None:
     """A model from docs (doc_id, text) and labels (doc_id, toxic); None without labels of both kinds.
 
-    The sample of labelled documents is bounded by FIT_DOCUMENTS and the features by FEATURES: nothing that comes to the
-    driver grows with the corpus. Documents with several labels count with the highest.
+    The sample of labelled documents is bounded by FIT_DOCUMENTS and FIT_BYTES: nothing that comes to the driver grows with
+    the corpus. Documents with several labels count with the highest. Copies of a text are one example.
     """
     labelled = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("label"))
-    total = labelled.count()
+    texts = docs.select("doc_id", "text").where("text is not null")
+    size = texts.select("doc_id", F.octet_length("text").alias("size")).join(labelled, "doc_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    share = min(1.0, FIT_DOCUMENTS / max(size.n, 1), FIT_BYTES / max(size.bytes, 1))
     place = F.xxhash64(F.lit("toxicity"), "doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    chosen = F.broadcast(labelled.where(place * max(total, 1) < FIT_DOCUMENTS))  # FIT_DOCUMENTS rows
-    sample = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("text", "label")
-    # copies of a text are one example: else the rare words of a text that is often copied look telling
-    sample = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.any_value("text").alias("text")).select("text", "label")
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, text = features(batch.column(0).to_pylist())
-        toxic = batch.column(1).to_numpy() > 0
-        order = np.lexsort((text, hashes))
-        hashes, text = hashes[order], text[order]
-        once = np.concatenate([[True], (np.diff(hashes) != 0) | (np.diff(text) != 0)])[: len(hashes)]
-        distinct, where = np.unique(hashes[once], return_inverse=True)
-        n, positive = np.bincount(where, minlength=len(distinct)), np.bincount(where, toxic[text[once]], len(distinct))
-        return pa.RecordBatch.from_arrays([pa.array(distinct.view("i8")), pa.array(n.astype("i8")), pa.array(positive.astype("i8"))], names=["hash", "n", "positive"])
-
-    sizes = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0)).alias("positive")).first()
-    if not 0 < sizes.positive < sizes.n:
-        return None
-    a, b = F.col("positive") + 0.5, F.col("n") - F.col("positive") + 0.5
-    odds = F.log(a / (sizes.positive + 1)) - F.log(b / (sizes.n - sizes.positive + 1))
-    counted = map_batches(sample, "hash long, n long, positive long", count).groupBy("hash").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
-    scored = counted.where("n >= 3").withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where(F.col("z") >= LEAST_Z)
-    best = scored.orderBy(F.desc("z"), "hash").limit(FEATURES).toArrow()
-    model = Severity(best.column("hash").to_numpy().view("u8"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    chosen = F.broadcast(labelled.where(place < share))  # FIT_DOCUMENTS rows, or those of them that have a text
+    sample = texts.join(chosen, "doc_id").select("text", "label")
+    # else the rare words of a text that is often copied look telling
+    sample = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.any_value("text").alias("text"))
 
-    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-        feature, text = shared.value.sparse(batch.column(0).to_pylist())
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, text = distinct(*features(batch.column(2).to_pylist()))
         ends = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype("i4")
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype("i4")))], names=["label", "features"])
-
-    rows = map_batches(sample, "label long, features array<int>", pick).toArrow().combine_chunks()
-    lists = rows.column("features").combine_chunks()
-    feature = lists.flatten().to_numpy().astype("i8")
-    text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    label = rows.column("label").to_numpy()
-    model.fit(feature, text, grades_of(label, np.bincount(text, minlength=len(label))))
-    model.calibrate(model.exceedance(feature, text, len(label))[:, 0], label > 0)
-    return model
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view("i8")))], names=["h", "label", "hashes"])
+
+    rows = Tables(docs.sparkSession).write(map_batches(sample.select("h", "label", "text"), "h long, label long, hashes array<long>", hashed))
+    # fewer documents than the least gradient can't move a weight from zero
+    telling = rows.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_GRADIENT).select("hash")
+    hashes = np.sort(telling.toArrow().column("hash").to_numpy().view("u8"))
+    shared = docs.sparkSession.sparkContext.broadcast(hashes)
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, known = batch.column(2).flatten().to_numpy().view("u8"), shared.value
+        text = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        has = known[at] == own if len(known) else np.zeros(len(own), bool)
+        ends = np.searchsorted(text[has], np.arange(batch.num_rows + 1)).astype("i4")
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[has].astype("i4")))], names=["h", "label", "places"])
+
+    # in one order, so that sums and folds are the same however the rows were dealt
+    table = map_batches(rows, "h long, label long, places array<int>", placed).orderBy("h").toArrow()
+    label, lists = table.column("label").to_numpy(), table.column("places").combine_chunks()
+    if not 0 < (label > 0).sum() < len(label):
+        return None
+    feature, text = lists.flatten().to_numpy(), np.repeat(np.arange(len(label), dtype="i4"), lists.value_lengths().to_numpy())
+    p = held_out(feature, text, label > 0, len(hashes))
+    weights, theta = fit_ordinal(feature, text, grades_of(label, p), len(hashes))
+    own = weights != 0
+    theta = np.concatenate([theta, theta[-1] + 1.0 + np.arange(GRADES - len(theta))])  # grades that the sample lacks
+    return Severity(hashes[own], weights[own], theta, best_cut(p, label > 0))
 
 
 def score(docs: DataFrame, model: Severity | None, text: str = "text") -> DataFrame:
