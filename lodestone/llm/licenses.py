@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, with DataFrame operations only.
 
-Sentences of a text are normalised and mapped to identifiers of known licence sentences; the identifiers, in the order of
-the text, are matched against ordered licence rules. A rule that matches uses up its identifiers, so the notice that two
+The sentences of a text are normalised, and the known licence sentences in them mapped to identifiers; the identifiers, in
+the order of the text, are matched against ordered licence rules. A rule that matches uses up its identifiers, so the notice that two
 licences share counts for the longer one.
 """
 
@@ -19,27 +19,14 @@ SENTENCES = {
     ],
     "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "mit-title": ["MIT License", "The MIT License", "The MIT License (MIT)"],
-    "mit-reference": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "This work is licensed under the MIT License", "Distributed under the MIT License"],
     "as-is": [
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"
     ],
-    "apache-title": ["Apache License", "Apache License Version 2.0, January 2004"],
-    "apache-reference": [
-        "Licensed under the Apache License, Version 2.0",
-        "Released under the Apache License, Version 2.0",
-        "This work is licensed under the Apache License, Version 2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\")",
-    ],
+    "apache-title": ["Apache License Version 2.0, January 2004", "Apache License"],
     "apache-compliance": ["you may not use this file except in compliance with the License"],
     "gpl-title": ["GNU GENERAL PUBLIC LICENSE"],
     "version-3": ["Version 3, 29 June 2007"],
     "version-2": ["Version 2, June 1991"],
-    "gpl3-reference": [
-        "This work is licensed under the GNU General Public License, version 3",
-        "Licensed under the GNU General Public License, version 3",
-        "Released under the GNU General Public License, version 3",
-    ],
-    "gpl2-reference": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License, version 2"],
     "free-software": ["This program is free software"],
     "gpl3-later": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
@@ -50,89 +37,179 @@ SENTENCES = {
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    "mpl2-reference": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
-    "cc-by-reference": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under CC BY 4.0"],
-    "cc-by-sa-reference": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "This work is licensed under CC BY-SA 4.0"],
-    "cc-by-nc-reference": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "This work is licensed under CC BY-NC 4.0"],
-    "cc0-reference": ["Licensed under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0"],
+    "mpl2-form": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "cc0-reference": ["dedicated to the public domain under CC0 1.0"],
+    "lgpl3-later": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "version-2.1-later": ["either version 2.1 of the License, or (at your option) any later version"],
+    "agpl3-later": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "apache-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "lgpl-title": ["GNU LESSER GENERAL PUBLIC LICENSE"],
+    "agpl-title": ["GNU AFFERO GENERAL PUBLIC LICENSE"],
+    "version-2.1": ["Version 2.1, February 1999"],
+    "version-3-agpl": ["Version 3, 19 November 2007"],
+    "epl2-title": ["Eclipse Public License - v 2.0"],
+    "mpl2-title": ["Mozilla Public License Version 2.0"],
+    "bsl-title": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
     "unlicense-grant": ["This is free and unencumbered software released into the public domain"],
 }
 
+# Names of licences, as notices refer to them, by the identifier of such a notice.
+NAMES = {
+    "mit-reference": ["MIT License", "MIT", "Expat License"],
+    "apache-reference": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0"],
+    "gpl3-later-reference": ["GNU General Public License, version 3 or later", "GPL v3 or later", "GPLv3+", "GPL-3.0-or-later"],
+    "gpl3-reference": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPL version 3", "GPL v3", "GPLv3"],
+    "gpl2-later-reference": ["GNU General Public License, version 2 or later", "GPL v2 or later", "GPLv2+", "GPL-2.0-or-later"],
+    "gpl2-reference": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPL version 2", "GPL v2", "GPLv2"],
+    "lgpl3-reference": ["GNU Lesser General Public License, version 3", "LGPL version 3", "LGPL v3", "LGPLv3"],
+    "lgpl2.1-reference": ["GNU Lesser General Public License, version 2.1", "LGPL version 2.1", "LGPL v2.1", "LGPLv2.1"],
+    "agpl3-reference": ["GNU Affero General Public License, version 3", "GNU AGPL version 3", "AGPL v3", "AGPLv3"],
+    "bsd3-reference": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD-3-Clause"],
+    "bsd2-reference": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause"],
+    "isc-reference": ["ISC License", "ISC"],
+    "mpl2-reference": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "MPL 2.0"],
+    "epl2-reference": ["Eclipse Public License 2.0", "Eclipse Public License v. 2.0", "EPL 2.0"],
+    "zlib-reference": ["zlib License"],
+    "bsl-reference": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "unlicense-reference": ["Unlicense"],
+    "cc-by-nc-reference": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-sa-reference": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc-by-reference": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "cc0-reference": ["CC0 1.0"],
+}
+VERBS = ("released", "licensed", "distributed", "available", "provided", "published", "covered", "made available")
+#: Identifiers of titles: they count where they are a whole line or sentence, as prose names licences too.
+TITLES = ("mit-title", "apache-title", "gpl-title", "lgpl-title", "agpl-title", "epl2-title", "mpl2-title", "bsl-title", "apache-terms", "version-2", "version-3", "version-2.1", "version-3-agpl")
+
 #: Ordered rules: a licence by the identifiers that a text has in this order, others between them allowed.
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-reference",)),
     ("MIT", ("mit-title",)),
+    ("Apache-2.0", ("apache-title", "apache-terms")),
     ("Apache-2.0", ("apache-reference", "apache-compliance")),
     ("Apache-2.0", ("apache-reference",)),
     ("Apache-2.0", ("apache-title", "apache-compliance")),
     ("GPL-3.0-or-later", ("gpl3-later",)),
     ("GPL-3.0-or-later", ("gpl-terms", "version-3-later")),
+    ("GPL-3.0-or-later", ("gpl3-later-reference",)),
     ("GPL-2.0-or-later", ("gpl-terms", "version-2-later")),
+    ("GPL-2.0-or-later", ("gpl2-later-reference",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "version-2.1-later")),
+    ("LGPL-3.0-only", ("lgpl-title", "version-3")),
+    ("LGPL-2.1-only", ("lgpl-title", "version-2.1")),
+    ("LGPL-3.0-only", ("lgpl3-reference",)),
+    ("LGPL-2.1-only", ("lgpl2.1-reference",)),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("AGPL-3.0-only", ("agpl-title", "version-3-agpl")),
+    ("AGPL-3.0-only", ("agpl3-reference",)),
     ("GPL-3.0-only", ("gpl-title", "version-3")),
     ("GPL-2.0-only", ("gpl-title", "version-2")),
     ("GPL-3.0-only", ("gpl3-reference",)),
     ("GPL-2.0-only", ("gpl2-reference",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("BSD-3-Clause", ("bsd3-reference",)),
+    ("BSD-2-Clause", ("bsd2-reference",)),
     ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-reference",)),
+    ("MPL-2.0", ("mpl2-form",)),
     ("MPL-2.0", ("mpl2-reference",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("EPL-2.0", ("epl2-reference",)),
+    ("Zlib", ("zlib-warranty", "zlib-grant")),
+    ("Zlib", ("zlib-reference",)),
+    ("BSL-1.0", ("bsl-title",)),
+    ("BSL-1.0", ("bsl-reference",)),
     ("CC-BY-4.0", ("cc-by-reference",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-reference",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-reference",)),
     ("CC0-1.0", ("cc0-reference",)),
     ("Unlicense", ("unlicense-grant",)),
+    ("Unlicense", ("unlicense-reference",)),
 ]
+#: A tag names its licences itself: its identifier is "spdx:" and the name, a rule of its own.
+SPDX = sorted({licence for licence, _ in RULES})
+RULES += [(licence, (f"spdx:{licence}",)) for licence in SPDX]
 
 #: A sentence ends at . ! ? ; or : before white space.
-_STOP, _STOPPED = r"([.!?;:])[ \t\f\x0B]+", "$1\n"
+_STOP = r"[.!?;:](?=[ \t\f\x0B\r\n]|$)"
+#: Words are ASCII letters and digits, dots between digits, and a plus after one.
+_BETWEEN_WORDS = r"[^a-z0-9.+\n]+|\.(?![0-9])|(?<![0-9])[.+]"
 
 
 def normalised(sentence: str) -> str:
     """Lower-case ASCII words and numbers, single spaces between; dots inside numbers stay."""
-    return re.sub(r"[^a-z0-9.]+", " ", sentence.lower()).strip(" .")
+    return " ".join(re.sub(_BETWEEN_WORDS, " ", sentence.lower()).split())
 
 
 KNOWN = {normalised(s): i for i, own in SENTENCES.items() for s in own}
-assert not any(re.search(r"[.!?;:] ", s) for own in SENTENCES.values() for s in own)
-#: Every known sentence has one of these words; other sentences need no look-up.
-MARKERS = ("licen", "permi", "copyright", "redistribution", "software", "version", "domain", "as is")
-assert all(any(m in s for m in MARKERS) for s in KNOWN)
+NAMED = {normalised(s): i for i, own in NAMES.items() for s in own}
+
+
+def _either(phrases) -> str:
+    """The phrases, longer ones first, whatever breaks the lines between their words."""
+    return "|".join(re.escape(p).replace("\\ ", "[ \n]") for p in sorted(phrases, key=lambda p: (-len(p), p)))
+
+
+_UNDER = rf"(?:{_either(VERBS)})[ \n]under[ \n](?:the[ \n])?(?:terms[ \n]of[ \n])?(?:the[ \n])?(?:conditions[ \n]of[ \n]the[ \n])?"
+#: What the scan recognises in a normalised text: titles as whole lines, notices that aren't denied, and sentences anywhere.
+PHRASES = (
+    rf"(?m)^(?:{_either(k for k, i in KNOWN.items() if i in TITLES)})$"
+    rf"|(?<![a-z0-9.])(?:{_either(k for k, i in KNOWN.items() if i not in TITLES)}|(?<!not[ \n])(?<!never[ \n]){_UNDER}(?:{_either(NAMED)}))(?![a-z0-9+])"
+)
+#: Every known sentence, notice and tag has one of these words; other texts need no look-up.
+MARKERS = ("licen", "permi", "copyright", "redistribut", "software", "version", "domain", " under", "\nunder", "spdx")
+_TAG = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\- ]+)"
 
 
 def patterns() -> list[tuple[str, str, int]]:
     """(licence, pattern over `<id><id>`, identifiers) of each rule; group n of a match is what lies after its n-th identifier."""
-    return [(licence, "((?:<[^>]+>)*?)".join(f"<{i}>" for i in ids), len(ids)) for licence, ids in RULES]
+    return [(licence, "((?:<[^>]+>)*?)".join(f"<{re.escape(i)}>" for i in ids), len(ids)) for licence, ids in RULES]
+
+
+def normalised_text(value: Column) -> Column:
+    """The text's sentences and lines, each normalised, one a line."""
+    cut = F.regexp_replace(F.lower(value), _STOP, "\n")
+    words = F.regexp_replace(F.regexp_replace(cut, r"\r\n?", "\n"), _BETWEEN_WORDS, " ")
+    return F.regexp_replace(F.trim(F.regexp_replace(words, " *\n[ \n]*", "\n"), F.lit(" \n")), " +", " ")
 
 
-def _identifiers(pieces: Column) -> Column:
-    """Of sentences whose line ends are carriage returns: the whole sentence's identifier if known, else its lines'."""
-    known = F.create_map(*(F.lit(x) for kv in KNOWN.items() for x in kv))
+def _map(table: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
 
-    def identifier(s: Column) -> Column:
-        return F.try_element_at(known, F.trim(F.regexp_replace(s, r"[^a-z0-9.]+", " "), F.lit(" .")))
 
-    lower = F.transform(pieces, F.lower)
-    marked = F.filter(lower, lambda s: F.rlike(s, F.lit("|".join(MARKERS))))
-    whole = F.transform(marked, lambda s: F.struct(s.alias("s"), identifier(s).alias("id")))
-    each = F.transform(whole, lambda x: F.when(x["id"].isNull() & x["s"].contains("\r"), F.transform(F.split(x["s"], r"\r+"), identifier)).otherwise(F.array(x["id"])))
-    return F.filter(F.flatten(each), lambda i: i.isNotNull())
+def _identifiers(value: Column) -> Column:
+    """The identifiers of a text's known sentences, in its order, then those of its tags."""
+    known, named, tags = _map(KNOWN), _map(NAMED), _map({x.lower(): f"spdx:{x}" for x in SPDX})
+    plain = lambda x: F.replace(x, F.lit("\n"), F.lit(" "))
+    under = _UNDER.replace("[ \n]", " ")
+    found = F.transform(F.regexp_extract_all(normalised_text(value), F.lit(PHRASES), F.lit(0)), plain)
+    ids = F.transform(found, lambda x: F.coalesce(F.try_element_at(known, x), F.try_element_at(named, F.regexp_replace(x, f"^{under}", ""))))
+    names = F.flatten(F.transform(F.regexp_extract_all(value, F.lit(_TAG), F.lit(1)), lambda x: F.split(x, r"(?i)[()]+|\s+(?:or|and|with)\s+")))
+    tagged = F.transform(names, lambda x: F.try_element_at(tags, F.lower(F.trim(x))))
+    return F.filter(F.concat(ids, tagged), lambda i: i.isNotNull())
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with sentence_ids and licenses, arrays of strings; columns of these names are replaced.
 
-    Stops and blank lines end a sentence. One that isn't known as a whole (hard-wrapped licences are) is read line by line,
-    so a notice line beside a wrapped licence counts as well. Identifiers come in the order of the text, repeats included; licenses are distinct and sorted. Null and empty texts have neither. Whole texts, no shuffle.
+    A known sentence counts wherever its words stand in a row, whole or within another sentence and however its lines are
+    wrapped; a title counts as a whole line or sentence only, a notice ("released under ...") unless "not" or "never" stands
+    before it. Identifiers come in the order of the text, repeats included, those of tags last; licenses are distinct and
+    sorted. Null and empty texts have neither. Whole texts, no shuffle.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
-    unwrapped = F.regexp_replace(F.regexp_replace(value, r"\r\n?", "\n"), r"([^\n])\n(?=[^\n])", "$1 \r")
-    sentences = F.split(F.regexp_replace(unwrapped, _STOP, _STOPPED), r"\n+")
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     kept = [c for c in docs.columns if c.lower() not in ("sentence_ids", "licenses")]
     marked = F.rlike(F.lower(value), F.lit("|".join(MARKERS)))
     none = F.array().cast("array<string>")
-    found = docs.select(*(F.col(f"`{c}`") for c in kept), F.when(marked, _identifiers(sentences)).otherwise(none).alias("sentence_ids"))
+    found = docs.select(*(F.col(f"`{c}`") for c in kept), F.when(marked, _identifiers(value)).otherwise(none).alias("sentence_ids"))
     rules = F.array(*(F.struct(F.lit(x).alias("licence"), F.lit(p).alias("pattern"), F.lit("".join(f"${i}" for i in range(1, n))).alias("stays")) for x, p, n in patterns()))
     sequence = F.concat(F.lit("<"), F.array_join("sentence_ids", "><"), F.lit(">"))
     start = F.struct(sequence.alias("rest"), none.alias("licenses"))

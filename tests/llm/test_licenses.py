@@ -24,6 +24,15 @@ CASES = [
     (" ".join(reversed(BSD)), "bsd-names,bsd-binary,bsd-source,bsd-grant", ""),
     ("Released under the MIT License.\n" * 3, "mit-reference,mit-reference,mit-reference", "MIT"),
     ("Not released under the MIT License, sadly.", "", ""),
+    ("The code is released under the MIT license.", "mit-reference", "MIT"),
+    ("We like the MIT License and the Apache License a lot.", "", ""),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later\nint x;", "spdx:MIT,spdx:Apache-2.0,spdx:GPL-2.0-or-later", "Apache-2.0,GPL-2.0-or-later,MIT"),
+    ("Some tool\n" + "\n".join(BSD[0].split(" ", 9)) + "\n\n" + " ".join(BSD[1:3]), "bsd-grant,bsd-source,bsd-binary", "BSD-2-Clause"),
+    ("  GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "lgpl-title,version-3", "LGPL-3.0-only"),
+    ("Released under the MIT License\nSome prose\n\n" + " ".join(BSD[:3]).replace(" the ", "\nthe "), "mit-reference,bsd-grant,bsd-source,bsd-binary", "BSD-2-Clause,MIT"),
+    (" * Distributed under the terms of the\n * Apache License, Version 2.0\n", "apache-reference", "Apache-2.0"),
+    ("available under the GNU Affero General Public License, version 3. Also licensed under GPLv2+", "agpl3-reference,gpl2-later-reference", "AGPL-3.0-only,GPL-2.0-or-later"),
+    ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "apache-title,apache-terms", "Apache-2.0"),
 ]
 
 
@@ -38,7 +47,10 @@ def test_cases(spark):
 
 
 def test_every_rule_matches_its_own_sentences(spark):
-    texts = [(i, "\n".join(licenses.SENTENCES[x][0] + "." for x in ids)) for i, (_, ids) in enumerate(licenses.RULES)]
+    def said(x):
+        return f"SPDX-License-Identifier: {x[5:]}" if x.startswith("spdx:") else (licenses.SENTENCES[x][0] if x in licenses.SENTENCES else f"This work is licensed under the {licenses.NAMES[x][0]}") + "."
+
+    texts = [(i, "\n".join(map(said, ids))) for i, (_, ids) in enumerate(licenses.RULES)]
     got = {r.doc_id: r.licenses for r in licenses.query(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {i: licence for i, (licence, _) in enumerate(licenses.RULES)}
 
