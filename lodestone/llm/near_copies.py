@@ -1,29 +1,43 @@
-"""Near copies by the similarity of their word shingles: MinHash bands propose pairs, the shingle sets decide.
+"""Near copies by the similarity of their word shingles, over a byte-position inverted index with count filtering.
 
-At a Jaccard similarity of 0.8 two SimHash fingerprints differ in about 10 of 64 bits, often more: too far for an index
-that needs an equal byte. So texts are posted under bands of MinHash values, and a pair that shares a band is linked if its
-sets of shingles are similar enough.
+At a Jaccard similarity of 0.8 two 64-bit SimHash fingerprints differ in about 10 bits, often more: too far for an index
+that needs equal bytes of them. So the index of simhash.py is kept, and its 8 positional bytes are replaced by POSITIONS
+bytes of MinHash values, which agree in as many places as the sets of shingles do. Texts are posted under stretches of
+KEY_BYTES positions; of the pairs in a posting list the shared positional bytes are tallied, pairs below the minimum that
+similar ones reach are left, and the sets themselves decide the rest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from math import sqrt
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, map_batches, utf8, written
+from lodestone.llm.common import Tables, map_batches, utf8, workers_ready
 from lodestone.llm.graph import connected_components
-
-#: A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS: 3 in a million at 0.8.
-BANDS, ROWS = 32, 5
-#: Shingles whose MinHash values are worked out at once.
-SHINGLES_AT_ONCE = 4096
+from lodestone.llm.hashing import WORDS, mixed, range_hashes, word_hashes
+
+#: A pair of similarity s shares no key with probability (1 - s ** KEY_BYTES) ** (POSITIONS / KEY_BYTES): 3 in a million at 0.8.
+POSITIONS, KEY_BYTES = 160, 5
+#: Sets below FEW take the least of each of POSITIONS hashes of all their shingles, sets from MANY on the least of each of
+#: POSITIONS parts of one hash's range. Similar sets differ in size by a fifth at most, so one of the two ways is both's.
+MANY, FEW = 512, 640
+#: Standard deviations that a tally of similar sets may lie below its mean.
+DEVIATIONS = 5.5
+#: Texts of a posting list that are compared at once, with each other or with as many others.
+BLOCK = 2048
 
 _RANDOM = np.random.default_rng(42)
-_ADD = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, "u8")
-_TIMES = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, "u8") | np.uint64(1)
+_ADD = _RANDOM.integers(0, 1 << 64, POSITIONS, "u8")
+_TIMES = _RANDOM.integers(0, 1 << 64, POSITIONS, "u8") | np.uint64(1)
+_EDGES = (np.arange(POSITIONS, dtype=object) * (1 << 64) // POSITIONS).astype("u8")
+_PLACES = np.uint64(256) ** np.arange(KEY_BYTES, dtype="u8")
+_KEYS = POSITIONS // KEY_BYTES
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -32,18 +46,39 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     A-Z lower-cased, words between ASCII white space.
     """
     words = text.lower().split() if text else []
-    cuts = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, cuts), "u8", len(cuts)))
+    if not words:
+        return np.zeros(0, "u8")
+    hashes = word_hashes(words)
+    starts = np.arange(max(1, len(words) - width + 1))
+    return np.unique(mixed(range_hashes(hashes, WORDS, starts, np.minimum(starts + width, len(words)))))
+
+
+def sketches(own: np.ndarray) -> tuple[bytes | None, bytes | None]:
+    """The positional bytes of a set by all hashes and by parts of one, where its size asks for them."""
+    full = parts = None
+    if len(own) < FEW:
+        least = np.full(POSITIONS, np.iinfo("u8").max, "u8")
+        if len(own):
+            hashed = (own[:, None] ^ _ADD) * _TIMES
+            least = (hashed ^ hashed >> np.uint64(32)).min(0)
+        full = (mixed(least) >> np.uint64(56)).astype("u1").tobytes()
+    if len(own) >= MANY:
+        at = np.searchsorted(own, _EDGES)
+        has = at < np.append(at[1:], len(own))
+        parts = np.where(has, mixed(own[np.minimum(at, len(own) - 1)]) >> np.uint64(56), 0).astype("u1").tobytes()
+    return full, parts
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """A key for each band of MinHash values; sets without a shingle share theirs."""
-    least = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
-    for at in range(0, len(own), SHINGLES_AT_ONCE):
-        mixed = (own[at : at + SHINGLES_AT_ONCE, None] ^ _ADD) * _TIMES
-        np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(0), out=least)
-    cut = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(cut[i].tobytes(), i) for i in range(BANDS)], "u8")
+def keys(sketch: bytes, way: int) -> np.ndarray:
+    """A key for each stretch of positions: the way, the stretch and its bytes."""
+    stretches = np.frombuffer(sketch, "u1").reshape(_KEYS, KEY_BYTES).astype("u8")
+    return (stretches @ _PLACES | np.arange(_KEYS, dtype="u8") << np.uint64(40) | np.uint64(way) << np.uint64(48)).view("i8")
+
+
+def least_tally(percent: int) -> int:
+    """The shared positional bytes that a pair of that similarity reaches, but for DEVIATIONS."""
+    s = percent / 100
+    return max(1, int(POSITIONS * s - DEVIATIONS * sqrt(POSITIONS * s * (1 - s))))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -54,6 +89,44 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def near_pairs(names: np.ndarray, labels: np.ndarray, block: np.ndarray, matrix: np.ndarray, key: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a posting list whose labels differ and whose tally reaches least, under the first key that they share.
+
+    If the list holds rows of two blocks, only those of different blocks are paired: each block meets itself elsewhere.
+    """
+    stretch = key >> 40 & 255
+    across = block.min() != block.max()
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 23) // max(1, matrix.size))
+    for at in range(0, len(names), step):
+        equal = matrix[at : at + step, None] == matrix[None]
+        wanted = (labels[at : at + step, None] != labels) & (names[at : at + step, None] < names)
+        if across:
+            wanted &= block[at : at + step, None] != block
+        wanted &= equal.sum(2) >= least
+        i, j = np.nonzero(wanted)
+        first = equal[i, j].reshape(-1, _KEYS, KEY_BYTES).all(2).argmax(1) == stretch
+        out.append((names[at + i[first]], names[j[first]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _tallied(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """Those of pairs (src, dst) of nodes whose tally reaches least."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.zeros(batch.num_rows, bool)
+        for i in (2, 3):
+            known = np.flatnonzero(np.array(batch.column(i).is_valid()) & np.array(batch.column(i + 2).is_valid()))
+            one, other = (np.frombuffer(b"".join(batch.column(k).take(pa.array(known)).to_pylist()), "u1").reshape(-1, POSITIONS) for k in (i, i + 2))
+            keep[known] |= (one == other).sum(1) >= least
+        return batch.select([0, 1]).filter(pa.array(keep))
+
+    left = nodes.select(F.col("node").alias("src"), F.col("full").alias("full1"), F.col("parts").alias("parts1"))
+    right = nodes.select(F.col("node").alias("dst"), F.col("full").alias("full2"), F.col("parts").alias("parts2"))
+    both = pairs.join(left, "src").join(right, "dst").select("src", "dst", "full1", "parts1", "full2", "parts2")
+    return map_batches(both, "src long, dst long", run)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs (src, dst) of nodes whose texts are similar."""
 
@@ -69,42 +142,90 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     left = texts.select(F.col("node").alias("src"), F.col("b").alias("one"))
     right = texts.select(F.col("node").alias("dst"), F.col("b").alias("other"))
-    both = pairs.join(left, "src").join(right, "dst").select("src", "dst", "one", "other")
-    return checkpointed(map_batches(both, "src long, dst long", run))
+    return map_batches(pairs.join(left, "src").join(right, "dst").select("src", "dst", "one", "other"), "src long, dst long", run)
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, component_id) for each row of docs: component_id is the smallest doc_id that links reach.
+def _paired(rest: DataFrame, least: int) -> DataFrame:
+    """(src, dst) of the near pairs of each posting list of rest (key, node, label, sketch), in blocks of about BLOCK rows."""
+    workers_ready(rest.sparkSession)
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "sketch")
 
-    Equal texts are one node. Within each list of nodes that share a band, the smallest is compared with all others, and
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (key, _, _), group in groupby(rows, key=lambda r: r[:3]):
+            held = list(group)
+            if len(held) > 1:
+                block, names, labels = (np.array([r[i] for r in held]) for i in (3, 4, 5))
+                matrix = np.frombuffer(b"".join(r[6] for r in held), "u1").reshape(-1, POSITIONS)
+                src, dst = near_pairs(names, labels, block, matrix, key, least)
+                if len(src):
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+    return met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "src long, dst long")
+
+
+def rooted(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, first, root) for each different text of docs: its hash, its smallest doc_id, and the name of its component.
+
+    Equal texts are one node, null ones too. Within each posting list the smallest node is compared with all others, and
     then any two that no link joins yet; what is joined already needs no comparison, so a large group of near copies costs
     its size, not its square.
     """
+    tables, least = Tables(docs.sparkSession), least_tally(percent)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), utf8("text").alias("b"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [bands(shingles(t, width)).view("i8") for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = [sketches(shingles(t, width)) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(x), pa.binary()) for x in zip(*both, strict=True))], names=["doc_id", "node", "full", "parts"])
+
+    def post(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [(way, i, s) for way in (0, 1) for i, s in enumerate(batch.column(1 + way).to_pylist()) if s is not None]
+        at = np.repeat([i for _, i, _ in own], _KEYS).astype("i8")
+        found = np.concatenate([keys(s, way) for way, _, s in own]) if own else np.zeros(0, "i8")
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(found)], names=["node", "key"])
 
-    posted = written(map_batches(named, "doc_id long, node long, keys array<long>", run))
-    first = posted.groupBy("node").agg(F.min("doc_id").alias("first"))
-    posts = posted.select("node", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center")
-    lists = written(posts.join(shared, "key").distinct())
-    texts = written(named.join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "b"))
+    sketched = tables.write(map_batches(named, "doc_id long, node long, full binary, parts binary", sketch))
+    nodes = tables.write(sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("full").alias("full"), F.any_value("parts").alias("parts")))
+    posts = map_batches(nodes.select("node", "full", "parts"), "node long, key long", post)
+    shared = tables.write(posts.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center"))
+    lists = tables.write(posts.join(shared, "key"))
+    texts = tables.write(named.join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "b"))
 
     stars = lists.where("node <> center").select(F.col("center").alias("src"), F.col("node").alias("dst")).distinct()
-    links = _verified(stars, texts, width, percent)
+    links = tables.write(_verified(_tallied(stars, nodes, least), texts, width, percent))
     roots = connected_components(links)
     labelled = lists.join(roots, "node", "left").select("key", "node", "center", F.coalesce("root", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    rest = checkpointed(labelled.where("node <> center").join(split, "key", "left_semi"))
-    one = rest.select("key", F.col("node").alias("src"), F.col("label").alias("of"))
-    pairs = one.join(rest.select("key", F.col("node").alias("dst"), "label"), "key").where("src < dst and of <> label").select("src", "dst").distinct()
-    more = _verified(pairs, texts, width, percent)
+    rest = labelled.where("node <> center").join(split, "key", "left_semi").join(nodes.select("node", "full", "parts"), "node")
+    by_way = F.when(F.shiftrightunsigned("key", 48) == 0, F.col("full")).otherwise(F.col("parts"))
+    rest = tables.write(rest.select("key", "node", "label", by_way.alias("sketch")))
+    more = tables.write(_verified(_paired(rest, least).distinct(), texts, width, percent))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
 
-    rooted = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return posted.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return tables.last(nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+
+
+def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, component_id) for each row of docs: component_id is the smallest doc_id that links reach, null if none has one."""
+    named = rooted(docs, width, percent)
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"))
+    return own.join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs for each component: that of the smallest doc_id, then of the smallest hash of its text.
+
+    Rows without a doc_id come last. Of rows with one doc_id and one text that with the smallest other columns stays.
+    """
+    named = rooted(docs, width, percent)
+    order = F.struct(F.col("first").isNull().alias("unnamed"), "first", "node")
+    chosen = named.groupBy("root").agg(F.min(order).alias("at")).select(F.col("at.node").alias("__node"), F.col("at.first").alias("__first"))
+    own = docs.withColumn("__node", F.xxhash64("text")).join(chosen, "__node").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = own.groupBy("__node").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"), F.min(F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in others))).alias("__others"))
+    return rows.select(*(F.col(f"__others.`{c}`") if c in others else F.col(c) for c in docs.columns))

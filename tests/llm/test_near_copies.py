@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -36,12 +37,14 @@ def kept_of(spark, docs):
     return sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, frame, "").collect())
 
 
-def test_the_stage_links_what_a_jaccard_brute_force_links(spark):
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 3])
+def test_the_stage_links_what_a_jaccard_brute_force_links(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(900)]
     docs = [(0, None), (1, ""), (2, "a b"), (3, "A  b"), (4, "a b c d e f")]
     for family in range(25):
-        base = rng.choices(vocabulary, k=rng.choice([20, 60, 200, 600]))
+        base = rng.choices(vocabulary, k=rng.choice([20, 60, 200, 620, 1500]))
         for _ in range(8):
             words = list(base)
             for _ in range(rng.randrange(0, 1 + len(base) // 15)):
@@ -53,6 +56,29 @@ def test_the_stage_links_what_a_jaccard_brute_force_links(spark):
     assert kept_of(spark, docs) == want
 
 
+def test_rows_that_share_or_lack_a_doc_id(spark):
+    texts = ["one two three four five six", "quite another text than that", "and a third one of these here"]
+    rows = [(1, texts[0], "b"), (1, texts[0], "a"), (1, texts[1], "c"), (None, texts[0], "d"), (None, texts[2], "f"), (None, texts[2], "e"), (9, texts[1].upper(), "g")]
+    docs = spark.createDataFrame([(i, t, "en", s, 7, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, first int")
+    got = sorted(((r.doc_id, r.text, r.source) for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, texts[0], "a"), (1, texts[1], "c"), (None, texts[2], "e")], key=str)
+    assert corpus_pipeline.simhash_dedup(spark, docs.where("false"), "").count() == 0
+
+
+def test_sketches_agree_as_sets_do():
+    rng = np.random.default_rng(1)
+    for n in (3, 100, 511, 600, 700, 5000):
+        own = np.unique(rng.integers(0, 1 << 64, n, "u8"))
+        other = np.unique(np.concatenate([own[n // 10 :], rng.integers(0, 1 << 64, n // 10, "u8")]))
+        share = len(np.intersect1d(own, other)) / len(np.union1d(own, other))
+        for a, b in zip(near_copies.sketches(own), near_copies.sketches(other), strict=True):
+            assert (a is None) == (b is None) or n in (511, 600)
+            if a and b:
+                equal = np.mean(np.frombuffer(a, "u1") == np.frombuffer(b, "u1"))
+                assert abs(equal - share) < 0.16, (n, equal, share)
+    assert near_copies.least_tally(80) == 100
+
+
 def test_the_stage_links_near_copies_of_the_table(spark):
     found = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
     docs = list(zip(*(c.to_pylist() for c in found.columns), strict=True))

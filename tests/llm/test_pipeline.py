@@ -8,7 +8,7 @@ import tiktoken
 import corpus_pipeline
 from lodestone.llm import bpe, langid
 from tests.llm.test_decontamination import plain as plain_contaminated
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import plain_kept
 from tests.llm.test_substring_dedup import plain as plain_repeats
 
 
@@ -50,8 +50,8 @@ def test_every_stage_equals_brute_force(spark, tables):
     rows = sorted((r.doc_id, r.text) for r in first.collect())
     assert rows == sorted(lettered)
 
-    components = plain_components([plain_fingerprint(t) for _, t in rows])
-    want = sorted({rows[c] for c in components})
+    representatives = set(plain_kept(rows))
+    want = sorted({(i, t) for i, t in rows if i in representatives})
     second = of["simhash_dedup"](spark, spark.createDataFrame(first.collect(), first.schema), folder)
     assert sorted((r.doc_id, r.text) for r in second.collect()) == want
 
