@@ -1,21 +1,21 @@
 """A training-corpus pipeline over the documents table, made of the operators in lodestone.llm.
 
 Every stage takes (spark, docs, sf_dir) and all that its predecessor kept. Stages but the last return the columns of
-documents; the last returns the encoded corpus. Rows with a null doc_id name no document and are kept by the stages that
-compare documents.
+documents; the last returns the encoded corpus. Null and empty texts go with language ID, which finds no letter in them; very
+long texts pass whole; rows that repeat a doc_id or lack one are rows like others, unless a stage says so; an empty table
+gives an empty one, and columns beyond those of documents are left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontamination, langid, near_copies, substring_dedup
-from lodestone.llm.common import checkpointed, table
+from lodestone.llm.common import Tables, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,12 +38,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest doc_id, and one row of it.
 
-    Documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked.
+    Documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked. Rows that share a doc_id
+    are different documents if their texts are; rows without one stay only where no row with one has such a text.
     """
-    named = docs.where("doc_id is not null")
-    grouped = near_copies.components(named, width=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.dropDuplicates(["doc_id"]).join(grouped, "doc_id", "left_semi")
-    return _documents(kept.unionByName(docs.where("doc_id is null")))
+    return _documents(near_copies.one_of_each(docs.select(*COLUMNS), width=5, percent=80))
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,9 +83,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    checkpointed(spark.range(1))  # a session without a checkpoint folder gets one
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid4()}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    tables = Tables(spark)
+    for _, stage in STAGES[:-1]:
+        docs = tables.last(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
