@@ -130,12 +130,20 @@ def _close(c: Column, window: int, slop: int) -> Column:
     return lacks <= F.when(F.size(c["own"]) == window, MISSING if window > 2 * MISSING else 0).otherwise(0)
 
 
-def _candidates(found: DataFrame, name: str) -> DataFrame:
-    return found.groupBy("rid").agg(F.collect_set(F.struct("item_id", F.col("from").cast("int").alias("from"), "own")).alias(name))
+def _confirmed(posted: DataFrame, found: DataFrame, name: str, good, tables: Tables) -> DataFrame:
+    """(rid, name): the candidates of found (rid, item_id, from, own) that are good, as an array of (item_id, from, width) for each row that has any.
+
+    Few rows have candidates: they, and then the matches, are broadcast behind a check of their size, else joined by a shuffle.
+    """
+    by_row = tables.write(found.groupBy("rid").agg(F.collect_set(F.struct("item_id", F.col("from").cast("int").alias("from"), "own")).alias("c")))
+    small = broadcast_if_small(by_row, F.octet_length(F.array_join(F.flatten(F.col("c.own")), "")) + F.size("c") * 96 + 32)
+    named = lambda c: F.struct(c["item_id"].alias("item_id"), c["from"].alias("from"), F.size(c["own"]).alias("width"))
+    kept = posted.select("rid", "words").join(small, "rid").select("rid", F.transform(F.filter("c", good), named).alias(name))
+    return broadcast_if_small(tables.write(kept.where(F.size(name) > 0)), F.size(name) * 64 + 32)
 
 
 def matched(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, keep: list[str] | None = None) -> DataFrame:
-    """(row, words, matches, near) for each row of docs: row holds its columns (or keep), matches and near are arrays of (item_id, from, width).
+    """(row, n_words, matches, near) for each row of docs: row holds its columns (or keep), matches and near are arrays of (item_id, from, width).
 
     All windows of all items against all words of all documents: the rarest terms only choose which windows are compared.
     near is empty without a slop. Null and empty texts have no words and no matches; an item without words has no window;
@@ -146,15 +154,13 @@ def matched(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | Non
     windows = tables.write(item_windows(items, window))
     chosen = ranked_terms(posted, windows, RAREST if slop is None else MISSING + 2, tables)
     hits = alignments(posted, chosen.where("n > 0"), tables)
-    both = posted.join(_candidates(_exact(hits, chosen, windows), "exact"), "rid", "left")
-    named = lambda c: F.struct(c["item_id"].alias("item_id"), c["from"].alias("from"), F.size(c["own"]).alias("width"))
     none = F.array().cast(_MATCHES)
-    chosen_of = lambda column, good: F.when(F.col(column).isNull(), none).otherwise(F.transform(F.filter(column, good), named))
+    both = posted.select("row", "rid", F.size("words").cast("long").alias("n_words")).join(_confirmed(posted, _exact(hits, chosen, windows), "matches", _same, tables), "rid", "left")
     near = none
     if slop is not None:
-        both = both.join(_candidates(_near(hits, chosen, windows, slop), "close"), "rid", "left")
-        near = chosen_of("close", lambda c: _close(c, window, slop))
-    return both.select("row", "words", chosen_of("exact", _same).alias("matches"), near.alias("near"))
+        both = both.join(_confirmed(posted, _near(hits, chosen, windows, slop), "near", lambda c: _close(c, window, slop), tables), "rid", "left")
+        near = F.coalesce("near", none)
+    return both.select("row", "n_words", F.coalesce("matches", none).alias("matches"), near.alias("near"))
 
 
 def exact_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -164,7 +170,7 @@ def exact_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "matches")]
     found = matched(docs, items, window, keep=kept)
-    return found.select(*(F.col(f"row.`{c}`") for c in kept), F.size("words").cast("long").alias("n_words"), "matches")
+    return found.select(*(F.col(f"row.`{c}`") for c in kept), "n_words", "matches")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 4) -> DataFrame:
@@ -185,7 +191,7 @@ def covered(matches: Column) -> Column:
 def query(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 4) -> DataFrame:
     found = matched(docs.select("doc_id", "text"), items, window, slop, keep=["doc_id"])
     ids = lambda c: F.array_sort(F.array_distinct(F.col(f"{c}.item_id")))
-    flat = found.select("row.doc_id", F.size("words").cast("long").alias("n_words"), F.size(covered(F.col("matches"))).cast("long").alias("n_hit"), ids("matches").alias("ids"), ids("near").alias("near"))
+    flat = found.select("row.doc_id", "n_words", F.size(covered(F.col("matches"))).cast("long").alias("n_hit"), ids("matches").alias("ids"), ids("near").alias("near"))
     digest = lambda c: F.sha2(F.array_join(c, ","), 256)
     return flat.select(
         "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), digest("ids").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near_items"), digest("near").alias("near_items_sha256")
