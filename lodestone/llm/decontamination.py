@@ -18,8 +18,6 @@ from lodestone.llm.common import Tables, broadcast_if_small
 
 #: Terms of a window whose postings are intersected for an exact match. Two also anchor a proximity match.
 RAREST = 2
-#: Words of a whole window that a proximity match may lack; shorter windows may lack none.
-MISSING = 1
 #: What separates words once A-Z are lower-cased: ASCII but for digits and a-z.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MATCHES = "array<struct<item_id:string,from:int,width:int>>"
@@ -71,11 +69,11 @@ def ranked_terms(posted: DataFrame, windows: DataFrame, most: int, tables: Table
     return tables.write(ranked.where(F.col("rank") <= most))
 
 
-def alignments(posted: DataFrame, terms: DataFrame, tables: Tables) -> DataFrame:
-    """(rid, item_key, place, shift): the postings of terms (term, item_key, place); shift is the document's position less the item's place."""
-    looked_up = broadcast_if_small(terms.select("term", "item_key", "place").distinct(), _term_bytes())
-    lists = posted.select("rid", F.posexplode("words").alias("at", "term")).join(looked_up, "term")
-    return tables.write(lists.select("rid", "item_key", "place", (F.col("at") - F.col("place")).alias("shift")))
+def alignments(posted: DataFrame, terms: DataFrame) -> DataFrame:
+    """(rid, item_key, place, shift, single): the postings of terms (term, item_key, place, width); shift is the document's position less the item's place."""
+    looked_up = terms.select("term", "item_key", "place", (F.col("width") == 1).alias("single")).distinct()
+    lists = posted.select("rid", F.posexplode("words").alias("at", "term")).join(broadcast_if_small(looked_up, _term_bytes()), "term")
+    return lists.select("rid", "item_key", "place", (F.col("at") - F.col("place")).alias("shift"), "single")
 
 
 def _exact(hits: DataFrame, chosen: DataFrame, windows: DataFrame) -> DataFrame:
@@ -92,23 +90,20 @@ def _exact(hits: DataFrame, chosen: DataFrame, windows: DataFrame) -> DataFrame:
     return starts.join(known, ["item_key", "start"]).select("rid", "item_id", (F.col("shift") + F.col("start")).alias("from"), "own")
 
 
-def _near(hits: DataFrame, chosen: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
-    """(rid, item_id, from, own, most): windows anchored at one of their RAREST rarest terms, with another of the rarest near if there is one.
+def _near(hits: DataFrame, chosen: DataFrame, windows: DataFrame, slop: int, missing: int) -> DataFrame:
+    """(rid, item_id, from, own): windows at each place of one of their RAREST rarest terms that has another of the rarest ones near.
 
-    Of MISSING + 2 rarest terms at least two lie near a match. Shifts are dealt into cells that overlap, so that any two
-    within slop of each other share one, and a frequent term meets only postings near it.
+    Of RAREST + missing rarest terms at least RAREST stand near a match that lacks `missing` words. Shifts are dealt into cells that
+    overlap, so that any two within slop of each other share one, and a frequent term meets only postings near it.
     """
     span = 2 * (slop + 1)
     cells = F.array(F.floor(F.col("shift") / span) * 2, F.floor((F.col("shift") + slop + 1) / span) * 2 + 1)
-    dealt = hits.select("rid", "item_key", F.explode(cells).alias("cell"), F.struct("place", "shift").alias("hit"))
-    met = dealt.groupBy("rid", "item_key", "cell").agg(F.collect_set("hit").alias("hits"), F.min("hit.place").alias("a"), F.max("hit.place").alias("z")).where("a < z")
-    beside = F.filter("hits", lambda x: F.exists("hits", lambda y: (y["place"] != x["place"]) & (F.abs(y["shift"] - x["shift"]) <= slop)))
-    pairs = met.select("rid", "item_key", F.explode(beside).alias("hit")).select("rid", "item_key", "hit.place", "hit.shift").distinct()
-    anchors = chosen.where((F.col("rank") <= RAREST) & (F.col("n") > 0)).select("item_key", "start", "place", "width")
-    anchors = broadcast_if_small(anchors, F.lit(40))
-    several = pairs.join(anchors.where("width > 1"), ["item_key", "place"])
-    single = hits.join(anchors.where("width = 1"), ["item_key", "place"])
-    start = several.unionByName(single).select("rid", "item_key", "start", (F.col("shift") + F.col("start")).alias("from")).distinct()
+    dealt = hits.select("rid", "item_key", F.explode(cells).cast("int").alias("cell"), "place", "shift", "single")
+    met = dealt.groupBy("rid", "item_key", "cell").agg(F.collect_set(F.struct("place", "shift")).alias("hits"), F.min("place").alias("a"), F.max("place").alias("z"), F.max("single").alias("single"))
+    beside = F.filter("hits", lambda x: F.col("single") | F.exists("hits", lambda y: (y["place"] != x["place"]) & (F.abs(y["shift"] - x["shift"]) <= slop)))
+    pairs = met.where("a < z or single").select("rid", "item_key", F.explode(beside).alias("hit")).select("rid", "item_key", "hit.place", "hit.shift").distinct()
+    anchors = chosen.where((F.col("rank") <= RAREST) & (F.col("n") > 0)).select("item_key", "start", "place")
+    start = pairs.join(broadcast_if_small(anchors, F.lit(40)), ["item_key", "place"]).select("rid", "item_key", "start", (F.col("shift") + F.col("start")).alias("from")).distinct()
     known = broadcast_if_small(windows.select("item_key", "start", "item_id", "own"), _window_bytes())
     return start.join(known, ["item_key", "start"]).select("rid", "item_id", "from", "own")
 
@@ -118,8 +113,8 @@ def _same(c: Column) -> Column:
     return F.when(c["from"] >= 0, F.slice("words", c["from"] + 1, F.size(c["own"])) == c["own"]).otherwise(F.lit(False))
 
 
-def _close(c: Column, window: int, slop: int) -> Column:
-    """Whether the candidate's words, all but MISSING of a whole window, stand within slop of their places."""
+def _close(c: Column, window: int, slop: int, missing: int) -> Column:
+    """Whether the candidate's words, all but `missing` of a whole window, stand within slop of their places."""
 
     def stands(word: Column, k: Column) -> Column:
         low = F.greatest(c["from"] + k - slop, F.lit(0))
@@ -127,22 +122,24 @@ def _close(c: Column, window: int, slop: int) -> Column:
         return F.when(n > 0, F.array_contains(F.slice("words", low + 1, n), word)).otherwise(F.lit(False))
 
     lacks = F.size(c["own"]) - F.size(F.filter(F.transform(c["own"], stands), lambda x: x))
-    return lacks <= F.when(F.size(c["own"]) == window, MISSING if window > 2 * MISSING else 0).otherwise(0)
+    return lacks <= F.when(F.size(c["own"]) == window, missing).otherwise(0)
 
 
-def _confirmed(posted: DataFrame, found: DataFrame, name: str, good, tables: Tables) -> DataFrame:
-    """(rid, name): the candidates of found (rid, item_id, from, own) that are good, as an array of (item_id, from, width) for each row that has any.
+def _confirmed(posted: DataFrame, found: DataFrame, tables: Tables, **good) -> DataFrame:
+    """(rid, and for each name of good an array of (item_id, from, width)) of the candidates found (rid, item_id, from, own) for which good holds.
 
     Few rows have candidates: they, and then the matches, are broadcast behind a check of their size, else joined by a shuffle.
     """
     by_row = tables.write(found.groupBy("rid").agg(F.collect_set(F.struct("item_id", F.col("from").cast("int").alias("from"), "own")).alias("c")))
     small = broadcast_if_small(by_row, F.octet_length(F.array_join(F.flatten(F.col("c.own")), "")) + F.size("c") * 96 + 32)
     named = lambda c: F.struct(c["item_id"].alias("item_id"), c["from"].alias("from"), F.size(c["own"]).alias("width"))
-    kept = posted.select("rid", "words").join(small, "rid").select("rid", F.transform(F.filter("c", good), named).alias(name))
-    return broadcast_if_small(tables.write(kept.where(F.size(name) > 0)), F.size(name) * 64 + 32)
+    each = [F.transform(F.filter("c", holds), named).alias(name) for name, holds in good.items()]
+    kept = posted.select("rid", "words").join(small, "rid").select("rid", *each)
+    n = sum((F.size(name) for name in good), F.lit(0))
+    return broadcast_if_small(tables.write(kept.where(n > 0)), n * 64 + 32)
 
 
-def matched(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, keep: list[str] | None = None) -> DataFrame:
+def matched(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, missing: int = 0, keep: list[str] | None = None) -> DataFrame:
     """(row, n_words, matches, near) for each row of docs: row holds its columns (or keep), matches and near are arrays of (item_id, from, width).
 
     All windows of all items against all words of all documents: the rarest terms only choose which windows are compared.
@@ -152,15 +149,15 @@ def matched(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | Non
     tables = Tables(docs.sparkSession)
     posted = index(docs, tables, keep)
     windows = tables.write(item_windows(items, window))
-    chosen = ranked_terms(posted, windows, RAREST if slop is None else MISSING + 2, tables)
-    hits = alignments(posted, chosen.where("n > 0"), tables)
+    chosen = ranked_terms(posted, windows, RAREST + missing, tables)
+    hits = alignments(posted, chosen.where("n > 0"))
+    if slop is None:
+        found = _confirmed(posted, _exact(hits, chosen, windows), tables, matches=_same)
+    else:  # an exact match is a near one, so both come from one list
+        found = _confirmed(posted, _near(hits, chosen, windows, slop, missing), tables, matches=_same, near=lambda c: _close(c, window, slop, missing))
     none = F.array().cast(_MATCHES)
-    both = posted.select("row", "rid", F.size("words").cast("long").alias("n_words")).join(_confirmed(posted, _exact(hits, chosen, windows), "matches", _same, tables), "rid", "left")
-    near = none
-    if slop is not None:
-        both = both.join(_confirmed(posted, _near(hits, chosen, windows, slop), "near", lambda c: _close(c, window, slop), tables), "rid", "left")
-        near = F.coalesce("near", none)
-    return both.select("row", "n_words", F.coalesce("matches", none).alias("matches"), near.alias("near"))
+    both = posted.select("row", "rid", F.size("words").cast("long").alias("n_words")).join(found, "rid", "left")
+    return both.select("row", "n_words", F.coalesce("matches", none).alias("matches"), (none if slop is None else F.coalesce("near", none)).alias("near"))
 
 
 def exact_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -173,13 +170,13 @@ def exact_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     return found.select(*(F.col(f"row.`{c}`") for c in kept), "n_words", "matches")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 4) -> DataFrame:
-    """(doc_id, item_id, from): windows of items whose words stand near their places in the document, each within slop.
+def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 4, missing: int = 0) -> DataFrame:
+    """(doc_id, item_id, from): windows of items whose words all stand near their places in the document, each within slop.
 
-    A window of full width may lack MISSING words. It is placed by one of its RAREST rarest terms, by corpus counts, then
-    term, then place: that one stands exactly at its place, counted from `from`, which may lie before the text.
+    A window of full width may lack `missing` of its words. It is placed by one of its RAREST rarest terms, by corpus
+    counts, then term, then place: that one stands exactly at its place, counted from `from`, which may lie before the text.
     """
-    found = matched(docs, items, window, slop, keep=["doc_id"])
+    found = matched(docs, items, window, slop, missing, keep=["doc_id"])
     return found.select("row.doc_id", F.explode("near").alias("m")).select("doc_id", "m.item_id", "m.from").distinct()
 
 

@@ -49,7 +49,7 @@ b2 AS (SELECT item_id, words, least(10, len(words)) AS width, unnest(generate_se
 pl AS (SELECT item_id, s, width, generate_subscripts(words[s:s + width - 1], 1) - 1 AS k, unnest(words[s:s + width - 1]) AS word FROM b2),
 rk AS (SELECT pl.*, row_number() OVER (PARTITION BY item_id, s ORDER BY coalesce(n, 0), pl.word, k) AS rarity FROM pl LEFT JOIN counts ON pl.word = counts.word),
 cand AS (SELECT DISTINCT doc_id, item_id, s, width, pos - k AS f FROM rk JOIN dp ON rk.word = dp.word WHERE rarity <= 2),
-close AS (SELECT c.doc_id, c.item_id, c.s, c.f FROM cand c JOIN pl ON c.item_id = pl.item_id AND c.s = pl.s JOIN dp ON dp.doc_id = c.doc_id AND dp.word = pl.word AND abs(dp.pos - (c.f + pl.k)) <= 4 GROUP BY c.doc_id, c.item_id, c.s, c.f, c.width HAVING count(DISTINCT pl.k) >= c.width - CASE WHEN c.width = 10 THEN 1 ELSE 0 END),
+close AS (SELECT c.doc_id, c.item_id, c.s, c.f FROM cand c JOIN pl ON c.item_id = pl.item_id AND c.s = pl.s JOIN dp ON dp.doc_id = c.doc_id AND dp.word = pl.word AND abs(dp.pos - (c.f + pl.k)) <= 4 GROUP BY c.doc_id, c.item_id, c.s, c.f, c.width HAVING count(DISTINCT pl.k) = c.width),
 near AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM close) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids.ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items, sha256(coalesce(near.ids, '')) AS near_items_sha256
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN near ON d.doc_id = near.doc_id"""

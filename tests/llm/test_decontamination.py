@@ -45,7 +45,7 @@ def tables():
     return [*docs, (60, None), (61, ""), (62, "THE " * 300), (63, "école"), (64, "Écolé ÉCOLE école"), (65, docs[5][1]), (65, docs[5][1])], items
 
 
-def plain_near(docs, items, window, slop, missing=1):
+def plain_near(docs, items, window, slop, missing):
     """(doc_id, item_id) pairs by all windows at each place of their two rarest words."""
     texts, out = [(i, plain_words(t)) for i, t in docs], set()
     n = Counter(w for _, t in texts for w in t)
@@ -90,9 +90,9 @@ def test_proximity_equals_brute_force(spark):
     docs = [*dict(docs).items(), *shaken]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    for window, slop in ((10, 4), (6, 1)):
-        got = {(r.doc_id, r.item_id) for r in dc.proximity_matches(d, b, window, slop).collect()}
-        want = plain_near(docs, items, window, slop)
+    for window, slop, missing in ((10, 4, 1), (6, 1, 0)):
+        got = {(r.doc_id, r.item_id) for r in dc.proximity_matches(d, b, window, slop, missing).collect()}
+        want = plain_near(docs, items, window, slop, missing)
         assert got == want and len(want) > 10
 
 
@@ -120,8 +120,8 @@ def test_main_path_is_native(spark):
 def test_proximity_finds_a_phrase_with_an_inserted_or_replaced_word(spark):
     docs = spark.createDataFrame([(1, "aa bb cc dd ee ff"), (2, "aa bb xx cc dd ee ff"), (3, "aa " + "xx " * 30 + "ff cc"), (4, "yy"), (5, "aa bb cc xx ee ff")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "aa bb cc dd ee ff")], "item_id long, text string")
-    near = lambda window, slop: sorted({r.doc_id for r in dc.proximity_matches(docs, items, window, slop).collect()})
-    assert near(6, 2) == [1, 2, 5] and near(6, 0) == [1, 5] and near(10, 2) == [1, 2] and near(10, 0) == [1]
+    near = lambda *how: sorted({r.doc_id for r in dc.proximity_matches(docs, items, *how).collect()})
+    assert near(6, 2, 1) == [1, 2, 5] and near(6, 0, 1) == [1, 5] and near(10, 2) == [1, 2]
 
 
 def test_covered_counts_each_position_once(spark):
