@@ -98,7 +98,7 @@ def _near(hits: DataFrame, chosen: DataFrame, windows: DataFrame, slop: int, mis
     """
     span = 2 * (slop + 1)
     cells = F.array(F.floor(F.col("shift") / span) * 2, F.floor((F.col("shift") + slop + 1) / span) * 2 + 1)
-    dealt = hits.select("rid", "item_key", F.explode(cells).cast("int").alias("cell"), "place", "shift", "single")
+    dealt = hits.select("rid", "item_key", F.explode(cells.cast("array<int>")).alias("cell"), "place", "shift", "single")
     met = dealt.groupBy("rid", "item_key", "cell").agg(F.collect_set(F.struct("place", "shift")).alias("hits"), F.min("place").alias("a"), F.max("place").alias("z"), F.max("single").alias("single"))
     beside = F.filter("hits", lambda x: F.col("single") | F.exists("hits", lambda y: (y["place"] != x["place"]) & (F.abs(y["shift"] - x["shift"]) <= slop)))
     pairs = met.where("a < z or single").select("rid", "item_key", F.explode(beside).alias("hit")).select("rid", "item_key", "hit.place", "hit.shift").distinct()
