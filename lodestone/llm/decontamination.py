@@ -50,10 +50,16 @@ def _window_bytes() -> Column:
 
 
 def index(docs: DataFrame, tables: Tables, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The stored index (row, rid, words): row holds docs' columns (or keep), rid names the row, words are its postings in order."""
+    """The stored index (row, rid, n_words, words): row holds docs' columns (or keep), rid names the row, words are its postings in order, joined by spaces."""
     kept = docs.columns if keep is None else keep
     row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept))
-    return tables.write(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("rid"), words(F.col(f"`{text}`")).alias("words")))
+    cut = docs.select(row.alias("row"), F.monotonically_increasing_id().alias("rid"), words(F.col(f"`{text}`")).alias("words"))
+    return tables.write(cut.select("row", "rid", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words")))
+
+
+def _postings() -> Column:
+    """The words of a row of the index; none has no word."""
+    return F.when(F.col("n_words") > 0, F.split("words", " ")).otherwise(F.array().cast("array<string>"))
 
 
 def ranked_terms(posted: DataFrame, windows: DataFrame, most: int, tables: Tables) -> DataFrame:
@@ -61,7 +67,7 @@ def ranked_terms(posted: DataFrame, windows: DataFrame, most: int, tables: Table
     places = windows.select("item_key", "start", "width", F.posexplode("own").alias("k", "term"))
     places = tables.write(places.select("item_key", "start", "width", (F.col("start") + F.col("k")).alias("place"), "term"))
     vocabulary = places.select("term").distinct()
-    counts = posted.select(F.explode("words").alias("term")).join(broadcast_if_small(vocabulary, _term_bytes()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counts = posted.select(F.explode(_postings()).alias("term")).join(broadcast_if_small(vocabulary, _term_bytes()), "term").groupBy("term").agg(F.count("*").alias("n"))
     counts = tables.write(counts)
     by_window = Window.partitionBy("item_key", "start")
     found = places.join(broadcast_if_small(counts, _term_bytes()), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -72,7 +78,7 @@ def ranked_terms(posted: DataFrame, windows: DataFrame, most: int, tables: Table
 def alignments(posted: DataFrame, terms: DataFrame) -> DataFrame:
     """(rid, item_key, place, shift, single): the postings of terms (term, item_key, place, width); shift is the document's position less the item's place."""
     looked_up = terms.select("term", "item_key", "place", (F.col("width") == 1).alias("single")).distinct()
-    lists = posted.select("rid", F.posexplode("words").alias("at", "term")).join(broadcast_if_small(looked_up, _term_bytes()), "term")
+    lists = posted.select("rid", F.posexplode(_postings()).alias("at", "term")).join(broadcast_if_small(looked_up, _term_bytes()), "term")
     return lists.select("rid", "item_key", "place", (F.col("at") - F.col("place")).alias("shift"), "single")
 
 
@@ -125,16 +131,18 @@ def _close(c: Column, window: int, slop: int, missing: int) -> Column:
     return lacks <= F.when(F.size(c["own"]) == window, missing).otherwise(0)
 
 
-def _confirmed(posted: DataFrame, found: DataFrame, tables: Tables, **good) -> DataFrame:
+def _confirmed(posted: DataFrame, found: DataFrame, few: bool, tables: Tables, **good) -> DataFrame:
     """(rid, and for each name of good an array of (item_id, from, width)) of the candidates found (rid, item_id, from, own) for which good holds.
 
-    Few rows have candidates: they, and then the matches, are broadcast behind a check of their size, else joined by a shuffle.
+    Rows that have a match are few: they are broadcast behind a check of their size, else joined by a shuffle. Rows that
+    have a candidate may be told to be `few`; else their number follows the corpus, and they are always shuffled.
     """
     by_row = tables.write(found.groupBy("rid").agg(F.collect_set(F.struct("item_id", F.col("from").cast("int").alias("from"), "own")).alias("c")))
-    small = broadcast_if_small(by_row, F.octet_length(F.array_join(F.flatten(F.col("c.own")), "")) + F.size("c") * 96 + 32)
+    weight = F.octet_length(F.array_join(F.flatten(F.col("c.own")), "")) + F.size("c") * 96 + 32
+    by_row = broadcast_if_small(by_row, weight) if few else by_row.hint("merge")
     named = lambda c: F.struct(c["item_id"].alias("item_id"), c["from"].alias("from"), F.size(c["own"]).alias("width"))
     each = [F.transform(F.filter("c", holds), named).alias(name) for name, holds in good.items()]
-    kept = posted.select("rid", "words").join(small, "rid").select("rid", *each)
+    kept = posted.select("rid", "n_words", "words").join(by_row, "rid").select("rid", _postings().alias("words"), "c").select("rid", *each)
     n = sum((F.size(name) for name in good), F.lit(0))
     return broadcast_if_small(tables.write(kept.where(n > 0)), n * 64 + 32)
 
@@ -152,11 +160,11 @@ def matched(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | Non
     chosen = ranked_terms(posted, windows, RAREST + missing, tables)
     hits = alignments(posted, chosen.where("n > 0"))
     if slop is None:
-        found = _confirmed(posted, _exact(hits, chosen, windows), tables, matches=_same)
+        found = _confirmed(posted, _exact(hits, chosen, windows), True, tables, matches=_same)
     else:  # an exact match is a near one, so both come from one list
-        found = _confirmed(posted, _near(hits, chosen, windows, slop, missing), tables, matches=_same, near=lambda c: _close(c, window, slop, missing))
+        found = _confirmed(posted, _near(hits, chosen, windows, slop, missing), False, tables, matches=_same, near=lambda c: _close(c, window, slop, missing))
     none = F.array().cast(_MATCHES)
-    both = posted.select("row", "rid", F.size("words").cast("long").alias("n_words")).join(found, "rid", "left")
+    both = posted.select("row", "rid", "n_words").join(found, "rid", "left")
     return both.select("row", "n_words", F.coalesce("matches", none).alias("matches"), (none if slop is None else F.coalesce("near", none)).alias("near"))
 
 
