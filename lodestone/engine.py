@@ -8,7 +8,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, EngineConfig
@@ -17,7 +17,7 @@ from lodestone.operators import assistant, indexing, retrieval, snapshot, synony
 from lodestone.operators import search as sr
 from lodestone.sources.llm_port import LanguageModel, offline
 from lodestone.sources.posts import one_query, published
-from lodestone.sources.store import IndexStore
+from lodestone.sources.store import DOCS, TERMS, IndexStore
 from lodestone.streaming.limits import Counter
 
 
@@ -47,14 +47,19 @@ INITIAL_SUGGESTIONS = {
 }
 
 
+CORPUS = "corpus_rank post_id title permalink excerpt last_modified post_type"
+
+
 class Engine:
     """posts is a function that gives the current posts; path a folder that the driver and all executors reach.
 
     Limits and conversations of single interactive turns live in this object; for traffic of any size use the streams.
     """
 
-    def __init__(self, spark: SparkSession, path: str, posts: Callable[[], DataFrame], config: EngineConfig = DEFAULT, llm: LanguageModel = offline, provider: SearchProvider | None = None, clock: Callable[[], float] = time.time):
-        self.spark, self.posts, self.config, self.llm, self.provider, self.clock = spark, posts, config, llm, provider, clock
+    def __init__(
+        self, spark: SparkSession, path: str, posts: Callable[[], DataFrame], config: EngineConfig = DEFAULT, llm: LanguageModel = offline, provider: SearchProvider | None = None, retriever: Retriever | None = None, clock: Callable[[], float] = time.time
+    ):
+        self.spark, self.posts, self.config, self.llm, self.provider, self.retriever, self.clock = spark, posts, config, llm, provider, retriever, clock
         self.store = IndexStore(spark, path)
         self._intents: dict[str, str] = {}
         self._counters: dict[str, Counter] = {}
@@ -62,35 +67,128 @@ class Engine:
 
     # index
 
-    def rebuild(self) -> dict[str, Any]:
-        """Indexes all posts; the progress record is complete when it returns."""
+    def rebuild_progress(self) -> dict[str, Any]:
+        idle = {"status": "idle", "total": 0, "processed": 0, "page": 1, "batch_size": 0, "started_at": "", "updated_at": "", "finished_at": ""}
+        return idle | self.store.get("rebuild", {})
+
+    def start_rebuild(self) -> dict[str, Any]:
+        """Empties the index and sets a rebuild going; process_rebuild_batch takes it on from wherever it was left."""
         total = published(self.posts(), self.config).count()
-        started = now()
-        tokens = indexing.tokenized(self.posts(), self.config).persist()
-        try:
-            self.store.write(indexing.index_terms(tokens), indexing.index_docs(tokens))
-        finally:
-            tokens.unpersist()
-        size = self.config.batch_size()
-        progress = {"status": "complete", "total": total, "processed": total, "page": -(-total // size) + 1, "batch_size": size, "started_at": started, "updated_at": now(), "finished_at": now()}
+        self.store.truncate()
+        at = now()
+        progress = {"status": "running" if total else "complete", "total": total, "processed": 0, "page": 1, "batch_size": self.config.batch_size(), "after": None, "started_at": at, "updated_at": at, "finished_at": "" if total else at}
+        self.store.put("rebuild", progress)
+        if not total:
+            self._rebuilt()
+        return progress
+
+    def process_rebuild_batch(self, size: int | None = None) -> dict[str, Any]:
+        """Indexes the next posts by id, a batch of them or `size`; a batch may be repeated after a failure."""
+        progress = self.rebuild_progress()
+        if progress["status"] != "running":
+            return progress
+        size = size or self.config.batch_size()
+        live = published(self.posts(), self.config)
+        rest = live if progress["after"] is None else live.where(F.col("post_id") > progress["after"])
+        if size >= progress["total"]:
+            taken, n, last = rest, rest.count(), None
+        else:
+            ids = [r.post_id for r in rest.select("post_id").orderBy("post_id").limit(size).collect()]
+            taken, n, last = rest.where(F.col("post_id") <= ids[-1]) if ids else rest.limit(0), len(ids), ids[-1] if ids else progress["after"]
+        if n:
+            self._append(taken)
+        progress |= {"processed": min(progress["total"], progress["processed"] + n), "page": progress["page"] + 1, "after": last, "batch_size": min(size, self.config.batch_size()), "updated_at": now()}
+        done = not n or progress["processed"] >= progress["total"]
+        if done:
+            progress |= {"status": "complete", "finished_at": now()}
         self.store.put("rebuild", progress)
+        if done:
+            self._rebuilt()
+        return progress
+
+    def _rebuilt(self) -> None:
         for callback in self.config.on_rebuild_complete:
             callback()
         self.learn_synonyms()
-        return progress
 
-    def index(self, posts: DataFrame) -> None:
-        """Indexes posts again; posts that aren't published or of an indexable type are removed."""
+    def rebuild(self) -> dict[str, Any]:
+        """Indexes all posts; the progress record is complete when it returns. A cluster takes all posts as one batch."""
+        if self.provider is not None:
+            return self.provider.rebuild(self.posts())
+        progress = self.start_rebuild()
+        return self.process_rebuild_batch(max(1, progress["total"])) if progress["status"] == "running" else progress
+
+    def _append(self, posts: DataFrame) -> None:
         changes = posts.withColumns({"seq": F.lit(1), "op": F.lit("save")})
-        self.store.write(*indexing.upsert(self.store.terms(), self.store.docs(), changes, self.config))
+        self.store.append(*indexing.changed(changes, self.config))
+
+    def index(self, posts: DataFrame) -> None:
+        """Indexes posts again and brings their corpus entries up; posts that aren't published or of an indexable type are removed."""
+        if self.provider is not None:
+            self.provider.index(posts)
+        else:
+            self._append(posts)
+        live = published(posts, self.config).select("post_id")
+        self._feed(posts.join(live, "post_id", "left_semi"), posts.select("post_id").join(live, "post_id", "left_anti"))
 
     def remove(self, post_ids: list[int]) -> None:
         gone = self.spark.createDataFrame([(i,) for i in post_ids], "post_id long")
-        self.store.write(indexing.delete(self.store.terms(), gone), indexing.delete(self.store.docs(), gone))
+        if self.provider is not None:
+            self.provider.remove(gone)
+        else:
+            self.store.append(self.spark.createDataFrame([], TERMS), self.spark.createDataFrame([], DOCS), gone)
+        self._feed(self.posts().limit(0), gone)
+
+    def _feed(self, saved: DataFrame, gone: DataFrame) -> None:
+        """Saved posts come into the corpus, others leave it; without a corpus a rebuild is due."""
+        if not self.store.get("corpus"):
+            self.schedule_rebuild()
+            return
+        fed = snapshot.upsert_entries(self._corpus(), snapshot.corpus_entries(saved), gone.select("post_id"))
+        # entries that are new follow the others by their ids; the corpus has corpus_limit rows and those fed since
+        order = Window.orderBy(F.col("corpus_rank").isNull(), "corpus_rank", "post_id")
+        self._write_corpus(fed.withColumn("corpus_rank", F.row_number().over(order)))
+        self.store.put("snapshot", self.store.get("snapshot", {}) | {"built_at": now()})
+
+    def _write_corpus(self, corpus: DataFrame) -> None:
+        generation = self.store.get("corpus", {"generation": 0})["generation"] + 1
+        corpus.select(*CORPUS.split()).write.mode("overwrite").parquet(f"{self.store.path}/corpus-{generation}")
+        self.store.put("corpus", {"generation": generation})
+
+    # upkeep
+
+    def schedule_rebuild(self, delay: float = 30) -> None:
+        """A rebuild of the snapshot is due after delay; further calls until then change nothing."""
+        if self.store.get("due") is None:
+            self.store.put("due", self.clock() + delay)
+
+    def tick(self) -> list[str]:
+        """What a scheduler calls now and then: does what is due, the snapshot's rebuild and, daily, that and the clean-up."""
+        done, at = [], self.clock()
+        due, daily = self.store.get("due"), self.store.get("daily")
+        if daily is None:
+            self.store.put("daily", at + 3_600)
+        elif daily <= at:
+            self.store.put("daily", at + 86_400)
+            self.collect_garbage()
+            done.append("daily")
+        if done or due is not None and due <= at:
+            self.store.put("due", None)
+            self.build_snapshot()
+            done.append("snapshot")
+        return done
+
+    def collect_garbage(self) -> None:
+        """Forgets conversations and counters past their time, and intents beyond a bound."""
+        at = self.clock()
+        self._conversations = {k: c for k, c in self._conversations.items() if at - c["last_seen"] < 28_800}
+        self._counters = {k: c for k, c in self._counters.items() if c.at(int(at * 1_000_000))}
+        if len(self._intents) > 10_000:
+            self._intents.clear()
 
     def status(self) -> dict[str, Any]:
-        rebuilding = self.store.get("rebuild", {}).get("status") == "running"
-        return indexing.index_status(self.store.terms(), self.store.docs(), rebuilding).first().asDict() | {"rebuild": self.store.get("rebuild", {})}
+        progress = self.rebuild_progress()
+        return indexing.index_status(self.store.terms(), self.store.docs(), progress["status"] == "running").first().asDict() | {"rebuild": progress}
 
     # search
 
@@ -195,7 +293,8 @@ class Engine:
     # knowledge
 
     def options(self) -> dict[str, Any]:
-        return {"name": "", "url": "", "tagline": "", "language": "", "mode": "", "description": "", "facts": "", "phone": "", "email": "", "plugins": [], "site_type": "", "ctas": [], "hidden": []} | self.store.get("options", {})
+        text = "name url tagline language mode description facts phone email address hours store_phone store_email admin_email sitegen onboarding store_description site_type".split()
+        return dict.fromkeys(text, "") | {"plugins": [], "sections": [], "store_address": [], "ctas": [], "hidden": []} | self.store.get("options", {})
 
     def update_options(self, **new: Any) -> None:
         if "ctas" in new:
@@ -203,6 +302,45 @@ class Engine:
         if "hidden" in new:
             new["hidden"] = list(dict.fromkeys(u for u in new["hidden"] if u))
         self.store.put("options", self.store.get("options", {}) | new)
+        self.schedule_rebuild()
+
+    def _described(self, admin: str) -> Row:
+        """(description, source) by the chain of sources, the owner's text first."""
+        o = self.options()
+        home = snapshot.homepage_extract(self.posts(), o["name"], o["tagline"]).first().extract
+        row = (admin, o["sitegen"], o["onboarding"], o["store_description"], home, o["name"], o["sections"])
+        profile = self.spark.createDataFrame([row], "admin string, sitegen string, onboarding string, store string, homepage string, name string, sections array<string>")
+        derived = snapshot.derived_description(F.col("name"), F.col("sections"))
+        text, source = snapshot.resolve_description(*(F.col(c) for c in ("admin", "sitegen", "onboarding", "store", "homepage")), derived)
+        return profile.select(text.alias("description"), source.alias("source")).first()
+
+    def _facts(self) -> str:
+        o = self.options()
+        row = (o["facts"], o["phone"], o["email"], o["address"], o["hours"], o["store_phone"], o["store_email"], o["admin_email"], o["store_address"])
+        schema = "stored_facts string, contact_phone string, contact_email string, contact_address string, contact_hours string, store_phone string, store_email string, admin_email string, store_address array<string>"
+        return snapshot.curated_facts(self.spark.createDataFrame([row], schema)).first().curated_facts
+
+    def prefill(self) -> dict[str, str]:
+        """What the owner's form shows: the stored texts, else those of the automatic sources."""
+        stored, found = self.options()["description"].strip(), None
+        if not stored:
+            found = self._described("")
+        return {"description": stored or ("" if found.source == "sentinel" else found.description), "facts": self._facts()}
+
+    def improve(self) -> dict[str, Any]:
+        """Has the language model describe the home page in two sentences, stores that as the description and rebuilds the snapshot."""
+        o = self.options()
+        home = snapshot.homepage_extract(self.posts(), o["name"], o["tagline"]).first().extract
+        if not home:
+            return {"status": 400, "error": "no_homepage_content"}
+        said = self.llm(f"Describe this website to its visitors in two sentences of plain text.\n\n{home}")
+        if said is None:
+            return {"status": 502, "error": "ai_service_error"}
+        clean = self.spark.createDataFrame([(said,)], "t string").select(F.trim(tx.strip_tags(F.col("t")))).first()[0]
+        self.update_options(description=clean)
+        self.store.put("due", None)
+        self.build_snapshot()
+        return {"status": 200, "suggested_description": clean} | self.knowledge_status()
 
     def build_snapshot(self) -> dict[str, Any]:
         """Site mode, profile, calls to action and brief as one record; the corpus goes to the store as a table."""
@@ -212,23 +350,18 @@ class Engine:
         counts = snapshot.site_counts(posts).first()
         site = spark.createDataFrame([(0, o["plugins"], o["site_type"], o["tagline"], o["mode"], counts.page_count, counts.post_count, counts.authors)], "site int, plugins array<string>, site_type string, tagline string, override string, page_count long, post_count long, authors long")
         mode = snapshot.site_mode(site).first().site_mode
-        home = snapshot.homepage_extract(posts, o["name"], o["tagline"]).first().extract
-        profile = spark.createDataFrame([(o["description"], "", "", "", home, o["name"])], "admin string, sitegen string, onboarding string, store string, homepage string, derived string")
-        text, source = snapshot.resolve_description(*(F.col(c) for c in profile.columns))
-        described = profile.select(text.alias("description"), source.alias("source")).first()
+        described, facts = self._described(o["description"]), self._facts()
         kind = spark.range(1).select(snapshot.resolve_type(F.lit(o["site_type"]), F.array(*map(F.lit, o["plugins"])).cast("array<string>"), F.lit(snapshot.type_by_slugs(posts).first().type), F.lit(mode))).first()[0]
         own = spark.createDataFrame([(i, c["label"], c["url"]) for i, c in enumerate(o["ctas"])], "pos int, label string, url string")
         hidden = spark.createDataFrame([(u,) for u in o["hidden"]], "url string")
         ctas = [{"label": r.label, "url": r.url} for r in snapshot.ctas_catalog(snapshot.detected_ctas(posts, mode), own, hidden).orderBy("pos").collect()]
-        row = (o["name"], o["url"], described.description, described.source, kind, o["phone"], o["facts"], mode, counts.page_count + counts.post_count, titles, [(c["label"], c["url"]) for c in ctas])
+        row = (o["name"], o["url"], described.description, described.source, kind, o["phone"], facts, mode, counts.page_count + counts.post_count, titles, [(c["label"], c["url"]) for c in ctas])
         schema = "name string, url string, description string, description_source string, type string, phone string, curated_facts string, site_mode string, content_count long, titles array<string>, ctas array<struct<label:string,url:string>>"
         brief = snapshot.brief(spark.createDataFrame([row], schema)).first()
-        generation = self.store.get("corpus", {"generation": 0})["generation"] + 1
-        snapshot.build_corpus(posts, self.config).write.mode("overwrite").parquet(f"{self.store.path}/corpus-{generation}")
-        self.store.put("corpus", {"generation": generation})
+        self._write_corpus(snapshot.build_corpus(posts, self.config))
         record = {
             "built_at": now(), "site_mode": mode, "quality_tier": brief.quality_tier, "identity": {k: o[k] for k in ("name", "tagline", "url", "language")}, "description": described.description, "description_source": described.source,
-            "type": kind, "curated_facts": o["facts"], "ctas_catalog": ctas, "content_count": row[8], "brief": {"text": brief.text, "brief_version": brief.brief_version, "quality_tier": brief.quality_tier},
+            "type": kind, "curated_facts": facts, "ctas_catalog": ctas, "content_count": row[8], "brief": {"text": brief.text, "brief_version": brief.brief_version, "quality_tier": brief.quality_tier},
         }
         self.store.put("snapshot", record)
         return record
@@ -247,7 +380,9 @@ class Engine:
     # assistant
 
     def top_k(self, question: str, k: int = 3) -> list[Row]:
-        """Pages for a question: search hits, else the corpus by overlap, platform search and recency."""
+        """Pages for a question: search hits, else the corpus by overlap, platform search and recency; or what the given retriever finds."""
+        if self.retriever is not None:
+            return self.retriever.top_k(question, k)
         asked = one_query(self.spark, question, None, k, self.classify_intent(question))
         hits = self.search_batch(sr.query_normalize(asked))
         return retrieval.retrieve(asked, hits, self._corpus(), self.posts(), k, self.config).orderBy("rank").collect()

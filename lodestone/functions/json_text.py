@@ -16,6 +16,8 @@ def json_extract(raw: Column) -> Column:
     return F.when((start > 0) & (end > start), F.substring(text, start, end - start + 1))
 
 
-def completion_text(payload: Column) -> Column:
-    """The answer in a completion service's payload: choices[0].text, else text, else null."""
-    return F.coalesce(F.get_json_object(payload, "$.choices[0].text"), F.get_json_object(payload, "$.text"))
+def completion_text(body: Column) -> Column:
+    """The answer in a completion service's reply: payload.choices[0].text, else payload.text; null for a failure and without either."""
+    found = F.coalesce(*(F.nullif(F.get_json_object(body, path), F.lit("")) for path in ("$.payload.choices[0].text", "$.payload.text")))
+    failed = F.coalesce(F.get_json_object(body, "$.status"), F.lit("")) == "Failure"
+    return F.when(~failed, found)

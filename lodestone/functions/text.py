@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
@@ -14,28 +16,9 @@ BETWEEN_WORDS = "[^a-zA-Z0-9]+"
 INSIDE_WORDS = "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 #: What a word with an inner border has. Few words do: the rest are spared the look-arounds.
 INNER_BORDER = "[a-z][0-9A-Z]|[0-9][a-z]|[A-Z][A-Z][a-z]"
-# Named character references that text in this domain uses; the ampersand goes last so that decoding is single-pass.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&#039;": "'",
-    "&#39;": "'",
-    "&nbsp;": " ",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&trade;": "™",
-    "&middot;": "·",
-    "&hellip;": "…",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&lsquo;": "‘",
-    "&rsquo;": "’",
-    "&ldquo;": "“",
-    "&rdquo;": "”",
-    "&amp;": "&",
-}
+#: Named character references of HTML, from the standard library's table.
+NAMED_REFERENCES = {name.removesuffix(";"): character for name, character in html5.items() if name.endswith(";")}
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def text_of(value: Column) -> Column:
@@ -66,13 +49,29 @@ def strip_shortcodes(value: Column, config: EngineConfig = DEFAULT) -> Column:
     return F.regexp_replace(value, rf"(?s)\[({names})\b[^\]]*\](?:.*?\[/\1\])?", "")
 
 
+def character(code: Column) -> Column:
+    """The character of a code point; null for 0, surrogates, and what lies beyond Unicode."""
+    known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def decode_entities(value: Column) -> Column:
-    def decoded(text: Column) -> Column:
-        for entity, character in ENTITIES.items():
-            text = F.replace(text, F.lit(entity), F.lit(character))
-        return text
+    """Character references decoded once: all of HTML's names, and numbers. What isn't one stays; a reference ends with a semicolon."""
+    named = F.from_json(F.lit(json.dumps(NAMED_REFERENCES)), "map<string, string>")
+
+    def referred(name: Column) -> Column:
+        number = F.when(F.rlike(name, F.lit("^#[xX]")), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("long")
+        return F.when(F.startswith(name, F.lit("#")), character(number)).otherwise(F.try_element_at(named, name))
+
+    def part(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        plain = F.concat(F.lit("&"), piece)
+        return F.when(name == "", plain).otherwise(let(referred(name), lambda c: F.when(c.isNull(), plain).otherwise(F.concat(c, F.substring(piece, F.length(name) + 2, F.length(piece))))))
+
+    def decoded(pieces: Column) -> Column:
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), part), ""))
 
-    return let(value, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
+    return let(value, lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&"), decoded)).otherwise(t))
 
 
 def let(value: Column, body) -> Column:

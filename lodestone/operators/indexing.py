@@ -91,15 +91,19 @@ def latest_changes(changes: DataFrame, config: EngineConfig = DEFAULT) -> DataFr
     return last.select("post_id", "last.*")
 
 
-def upsert(terms: DataFrame, docs: DataFrame, changes: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Both index tables after changes: rows of changed posts go, rows of their new state come.
+def changed(changes: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(terms, docs, touched): the new rows of changed posts, and the posts whose old rows go.
 
     A delete, or a save that leaves a post unpublished or of another type, only removes.
     """
     last = latest_changes(changes, config)
-    touched = last.select("post_id").distinct()
     tokens = tokenized(last.where("op = 'save'"), config)
-    new_terms, new_docs = index_terms(tokens), index_docs(tokens)
+    return index_terms(tokens), index_docs(tokens), last.select("post_id").distinct()
+
+
+def upsert(terms: DataFrame, docs: DataFrame, changes: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Both index tables after changes: rows of changed posts go, rows of their new state come."""
+    new_terms, new_docs, touched = changed(changes, config)
     return (
         terms.join(touched, "post_id", "left_anti").select(*terms.columns).unionByName(new_terms),
         docs.join(touched, "post_id", "left_anti").select(*docs.columns).unionByName(new_docs),

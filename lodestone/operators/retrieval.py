@@ -10,6 +10,7 @@ from lodestone.functions import text as tx
 from lodestone.operators.search import small
 from lodestone.operators.snapshot import corpus_entries, newest
 from lodestone.sources.posts import published
+from lodestone.sources.store import materialised
 
 PAGE = ("id", "title", "url", "excerpt")
 
@@ -35,7 +36,9 @@ def like_search(questions: DataFrame, posts: DataFrame, k: int, config: EngineCo
     Posts with the whole query in the title come first, then the newest. Each post is read once, against the batch.
     """
     query = F.lower(tx.collapse_spaces(tx.text_of(F.col("query"))))
-    asked = small(questions.select("query_id", query.alias("whole"), F.split(query, " ").alias("words")).where("whole <> ''"))
+    # the longest words first: the ones that a post lacks most likely end the comparison
+    words = F.array_sort(F.array_distinct(F.split(query, " ")), lambda a, b: F.length(b) - F.length(a))
+    asked = small(questions.select("query_id", query.alias("whole"), words.alias("words")).where("whole <> ''"))
     title = F.lower(tx.text_of(F.col("title")))
     text = F.lower(F.concat_ws("\n", "title", "excerpt", "content"))
     found = published(posts, config).select("post_id", "modified", title.alias("heading"), text.alias("text")).join(asked, F.forall("words", lambda w: F.contains(F.col("text"), w)))
@@ -47,21 +50,29 @@ def retrieve(questions: DataFrame, hits: DataFrame, corpus: DataFrame, posts: Da
     """(query_id, rank, source, id, title, url, excerpt): up to k pages for each question, from the first source that has any.
 
     The sources in order: search hits (hydrated), corpus entries by word overlap, platform search (only if a question has
-    words), and the newest corpus entries. No corpus, no fallback.
+    words), and the newest corpus entries. No corpus, no fallback. Each source is asked for the questions that those before
+    it left open, and none at all if there are none; what it found is written once, k rows a question.
     """
-    ranked = hits.where(F.col("rank") <= k).select("query_id", F.lit(1).alias("priority"), "rank", *page_columns())
-    pages = corpus.select("corpus_rank", *page_columns())
+
+    def page(found: DataFrame, source: str, rank: str = "rank") -> DataFrame:
+        return materialised(found.select("query_id", F.col(rank).cast("int").alias("rank"), F.lit(source).alias("source"), *page_columns()))
+
+    def left(open_: DataFrame, found: DataFrame) -> DataFrame:
+        return materialised(open_.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+
+    every = page(hits.where(F.col("rank") <= k), "search")
+    corpus, open_ = materialised(corpus), left(questions, every)
+    if open_.isEmpty() or corpus.isEmpty():
+        return every
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_rank")
-    overlap = fallback_score(questions, corpus).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    by_words = overlap.join(F.broadcast(pages), "corpus_rank").select("query_id", F.lit(2).alias("priority"), "rank", *PAGE)  # corpus_limit rows
-    filled = not corpus.isEmpty()
-    asked = questions.where(F.size(tx.fallback_tokenize(F.col("query"))) > 0) if filled else questions.where("false")
-    liked = like_search(asked, posts, k, config)
-    entries = corpus_entries(posts.join(liked.select("post_id").distinct(), "post_id", "left_semi"))
-    by_platform = liked.join(entries, "post_id").select("query_id", F.lit(3).alias("priority"), "rank", *page_columns())
-    newest_pages = questions.select("query_id").crossJoin(F.broadcast(pages.where(F.col("corpus_rank") <= k)))  # k rows
-    by_age = newest_pages.select("query_id", F.lit(4).alias("priority"), F.col("corpus_rank").alias("rank"), *PAGE)
-    every = ranked.unionByName(by_words).unionByName(by_platform).unionByName(by_age)
-    first = every.withColumn("first", F.min("priority").over(Window.partitionBy("query_id"))).where("priority = first")
-    source = F.element_at(F.array(*map(F.lit, ("search", "overlap", "platform", "recent"))), F.col("priority"))
-    return first.select("query_id", "rank", source.alias("source"), *PAGE)
+    overlap = fallback_score(open_, corpus).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("post_id")
+    by_words = page(overlap.join(F.broadcast(corpus), "corpus_rank"), "overlap")  # corpus_limit rows
+    every, open_ = every.unionByName(by_words), left(open_, by_words)
+    asked = open_.where(F.size(tx.fallback_tokenize(F.col("query"))) > 0)
+    if not asked.isEmpty():
+        liked = materialised(like_search(asked, posts, k, config))
+        entries = corpus_entries(posts.join(liked.select("post_id").distinct(), "post_id", "left_semi"))
+        by_platform = page(liked.join(entries, "post_id"), "platform")
+        every, open_ = every.unionByName(by_platform), left(open_, by_platform)
+    newest_pages = open_.select("query_id").crossJoin(F.broadcast(corpus.where(F.col("corpus_rank") <= k)))  # k rows
+    return every.unionByName(page(newest_pages, "recent", "corpus_rank"))

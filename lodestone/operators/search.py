@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, INTENTS, EngineConfig
@@ -15,6 +17,8 @@ from lodestone.operators.snapshot import corpus_entries
 DIGITS = 6
 #: Rows of a query-side table up to which it is broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of a batch up to which its terms are constants of the plan and a filter of the index scan.
+LISTED_TERMS = 2_000
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -22,6 +26,15 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def known(df: DataFrame, rows: int = LISTED_TERMS) -> tuple[DataFrame, list[Row]] | None:
+    """df as constants of the plan, computed once, and its rows, if it has at most `rows` of them."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return None
+    text = json.dumps([r.asDict(True) for r in found])
+    return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), f"array<{df.schema.simpleString()}>"))), found
+
+
 def hinted(df: DataFrame, fit: bool) -> DataFrame:
     """df with a broadcast hint if it is known to fit, else as it is, for a shuffled join."""
     return F.broadcast(df) if fit else df
@@ -64,7 +77,10 @@ def matched_rows(wanted: DataFrame, terms: DataFrame, docs: DataFrame, config: E
     df counts the rows of a query's types; total_docs and avgdl are those of the whole index. df comes from a partial
     aggregate rather than a window over the term, so a term of a third of all posts is no task of its own.
     """
-    fit = fits(wanted)  # and with it whatever has a row for each wanted term at most
+    if local := known(wanted):  # a batch of this size names its terms to the scan
+        wanted, found = local
+        terms = terms.where(F.col("term").isin(sorted({r.term for r in found})))
+    fit = bool(local) or fits(wanted)  # and with it whatever has a row for each wanted term at most
     rows = hinted(wanted, fit).join(terms, "term").join(docs.select("post_id", "post_type", "doc_length"), "post_id").where(F.array_contains("types", F.col("post_type")))
     kinds = wanted.select("types", "term").distinct()
     in_types = hinted(kinds, fit).join(terms.select("term", "post_id"), "term").join(docs.select("post_id", "post_type"), "post_id").where(F.array_contains("types", F.col("post_type")))

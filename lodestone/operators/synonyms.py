@@ -131,10 +131,4 @@ def suggestion_prompt(site_name: str, lines: Iterable[str]) -> str | None:
     sample = "\n".join(list(lines)[:30])[:4000]
     if not sample.strip():
         return None
-    return (
-        f'Read this sample of the website "{site_name}" and suggest words that visitors may use in place of its own.\n'
-        "Only real substitutes: replacing one by the other must not change a sentence's meaning. Words that merely share a page are no synonyms.\n"
-        "At most 15 root terms, at least two synonyms each.\n\n"
-        f"{sample}\n\n"
-        'Answer with JSON only: {"synonyms":{"term":["synonym","synonym"]}}'
-    )
+    return f'Site: {site_name}\n{sample}\n\nFor up to 15 words of these texts, name other words that searchers use for the same thing. JSON object: {{"synonyms": {{word: [other words]}}}}'

@@ -10,6 +10,12 @@ FENCE = "`" * 3
 CTAS = [{"label": "Book a table", "url": "https://example.com/book"}, {"label": "Contact &amp; hours", "url": "https://example.com/contact"}]
 PAGES = [{"title": "Menu", "url": "https://example.com/menu"}, {"title": "Our &quot;story&quot;", "url": "https://example.com/story"}]
 
+#: Texts and what they are once their references are decoded, by hand.
+DECODED = [
+    ("&amp;copy;", "&copy;"), ("a &lt;b&gt; &quot;c&quot; &#039;d&#39;", "a <b> \"c\" 'd'"), ("&middot;&nbsp;x&hellip;", "·\u00a0x…"), ("&unknown; &amp", "&unknown; &amp"), ("", ""), (None, None), ("&amp;amp;lt;", "&amp;lt;"),
+    ("Caf&eacute; &#8217;s &#x2019; &#X41;", "Café ’s ’ A"), ("&Aacute;&ntilde;&szlig;&euro;", "Áñß€"), ("&#0; &#xD800; &#1114112; &#128512;", "&#0; &#xD800; &#1114112; 😀"), ("&&amp;& &#; &;", "&&& &#; &;"), ("&NotEqualTilde;", "≂\u0338"),
+]
+
 CASES: dict[str, tuple[str, list[tuple]]] = {
     "edge_texts": (
         "id int, text string",
@@ -22,7 +28,7 @@ CASES: dict[str, tuple[str, list[tuple]]] = {
             )
         ),
     ),
-    "entities": ("id int, text string", list(enumerate(["&amp;copy;", "a &lt;b&gt; &quot;c&quot; &#039;d&#39;", "&middot;&nbsp;x&hellip;", "&unknown; &amp", "", None, "&amp;amp;lt;"]))),
+    "entities": ("id int, text string", [(i, text) for i, (text, _) in enumerate(DECODED)]),
     "queries": (
         "query_id long, query string, types array<string>, limit int, intent string",
         [
@@ -102,12 +108,26 @@ CASES: dict[str, tuple[str, list[tuple]]] = {
             (7, "page", "publish", "Reserve", "", "", "a", "reservation", "https://example.com/menu", "2024-01-04 00:00:00"),
         ],
     ),
+    "rebuilt": (
+        "post_id long, post_type string, post_status string, title string, content string, excerpt string, author string, slug string, permalink string, modified string",
+        [(i, "post", "publish", f"Title {i}", "Seasonal menu item.", "", "a", f"post-{i}", f"https://example.com/{i}", "2024-01-05 00:00:00") for i in (11, 12, 13)],
+    ),
     "hidden": ("url string", [("https://example.com/order",)]),
     "catalogs": ("catalog int, pos int, label string, url string", [
         (1, 1, "Shop", "https://e.com/shop"), (1, 2, "CONTACT us", "https://e.com/x"), (1, 3, "Write", "https://e.com/contact"), (2, 1, "Write", "https://e.com/Contact/form?a=1"), (2, 2, "Contact", "https://e.com/z"),
         (3, 1, "Shop", "https://e.com/shop?contact/"), (4, 1, "Reach", "https://e.com/my-contact/"), (5, 1, None, "https://contact.com/a"),
     ]),
-    "payloads": ("id int, payload string", list(enumerate(['{"choices":[{"text":"one"}],"text":"two"}', '{"text":"two"}', '{"choices":[],"text":"three"}', "{}", "not json", None, '{"choices":[{"text":"a \\"b\\""}]}']))),
+    "payloads": (
+        "id int, payload string",
+        list(
+            enumerate(
+                [
+                    '{"status":"Success","payload":{"choices":[{"text":"one"}],"text":"two"}}', '{"payload":{"text":"two"}}', '{"payload":{"choices":[],"text":"three"}}', "{}", "not json", None,
+                    '{"payload":{"choices":[{"text":"a \\"b\\""}]}}', '{"status":"Failure","payload":{"text":"oops"}}', '{"choices":[{"text":"outside"}],"text":"outside"}', '{"payload":{"choices":[{"text":""}],"text":"four"}}', '{"payload":{"text":""}}',
+                ]
+            )
+        ),
+    ),
     "raws": (
         "id int, raw string",
         list(

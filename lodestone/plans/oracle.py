@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from lodestone.config import DEFAULT, FALLBACK_STOPWORDS, INTENTS
 from lodestone.functions import color as cl
-from lodestone.functions.text import ENTITIES
 from lodestone.operators import assistant, palette, snapshot
-from lodestone.plans.cases import CTAS, PAGES, literal, values
+from lodestone.plans.cases import CTAS, DECODED, PAGES, literal, values
 from lodestone.plans.queries import FLAGSHIP, INDEXED_AT, SYNONYMS
 
 SPACE = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
@@ -19,8 +18,12 @@ def strip_tags(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g'), {SPACE})"
 
 
+#: The references that the driver's tables and the cases of whole texts hold; the ampersand last, so that none is decoded twice.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
 def decode(x: str) -> str:
-    for entity, character in ENTITIES.items():
+    for entity, character in REFERENCES.items():
         x = f"replace({x}, {literal(entity)}, {literal(character)})"
     return x
 
@@ -334,7 +337,7 @@ def oracle_sql() -> dict[str, str]:
         "html_to_text": f"SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {strip_tags('html')} AS t FROM pages)",
         "excerpt_content": f"SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {collapse(strip_tags('html'))} AS t FROM pages)",
         "trim_words": f"SELECT doc_id, {trim_words('text', 80, '...')} AS trimmed FROM documents",
-        "entity_decode": f"SELECT id, {decode('text')} AS decoded FROM {values('entities')}",
+        "entity_decode": "SELECT CAST(id AS INTEGER) AS id, decoded FROM (VALUES " + ", ".join(f"({i}, {literal(x)})" for i, (_, x) in enumerate(DECODED)) + ") v(id, decoded)",
         "sentence_trim": f"""SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text WHEN stop > 500 THEN trim(substr(cut, 1, stop + 1)) ELSE trim(cut) END AS trimmed FROM (
   SELECT doc_id, text, cut, greatest({rfind("'.'", "cut")}, {rfind("'!'", "cut")}, {rfind("'?'", "cut")}) AS stop FROM (SELECT doc_id, text, substr(text, 1, 1000) AS cut FROM documents))""",
         "index_terms": f"WITH {INDEX} SELECT * FROM terms",
@@ -373,7 +376,7 @@ SELECT query_id, array_to_string(list(term ORDER BY place, pos, sub), ' ') AS to
         "synonym_candidates": f"WITH {POSTS}, {SAMPLED} SELECT term, freq FROM candidates",
         "synonyms_jaccard": JACCARD,
         "intent_normalize": f"SELECT id, {intent_case()} AS intent FROM (SELECT id, lower(trim(coalesce(response, 'informational'), {SPACE})) AS t FROM {values('intents')})",
-        "intent_dedupe": "SELECT lower(trim(role)) AS cache_key, count(*) AS n FROM conversations WHERE trim(role) <> '' GROUP BY 1",
+        "intent_dedupe": "SELECT lower(trim(text)) AS cache_key, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY 1",
         "corpus_build": f"WITH {POSTS}, {CORPUS} SELECT * FROM corpus",
         "corpus_entry": f"WITH {POSTS} {entries('posts')}",
         "snapshot_upsert": f"""WITH {POSTS}, {CORPUS}, old AS (SELECT * FROM corpus WHERE corpus_rank > 5 AND post_id % 27 <> 0), new AS (SELECT post_id, 'Changed: ' || title AS title, {MODIFIED} AS last_modified, post_type FROM posts WHERE post_id % 9 = 0 AND post_id % 27 <> 0 AND post_status = 'publish')
@@ -421,12 +424,27 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, source, id, title, url FROM ever
         "json_extract": f"SELECT id, {json_of('raw')} AS json FROM {values('raws')}",
         "response_parse": RESPONSES.format(ctas=named(CTAS, "p.ctas", "label", 2), sources=named(PAGES, "p.sources", "title", 3), json=json_of("raw"), raws=values("raws")),
         "ask_error": f"""SELECT id, {literal(assistant.UNAVAILABLE)} || CASE WHEN coalesce(contact_url, '') <> '' THEN ' or contact us for help.' ELSE '.' END AS answer, CASE WHEN site_mode = 'personal_blog' THEN {literal("|".join(assistant.RETRY["personal_blog"]))} ELSE {literal("|".join(assistant.RETRY[""]))} END AS suggestions, coalesce(contact_url, '') <> '' AS needs_human FROM {values("ask_errors")}""",
-        "llm_response_extract": f"SELECT id, CASE WHEN json_valid(payload) THEN coalesce(json_extract_string(payload, '$.choices[0].text'), json_extract_string(payload, '$.text')) END AS text FROM {values('payloads')}",
+        "llm_response_extract": f"SELECT id, CASE WHEN json_valid(payload) AND coalesce(json_extract_string(payload, '$.status'), '') <> 'Failure' THEN coalesce(nullif(json_extract_string(payload, '$.payload.choices[0].text'), ''), nullif(json_extract_string(payload, '$.payload.text'), '')) END AS text FROM {values('payloads')}",
         "history_format": f"WITH {CONVERSATIONS} SELECT conv_id, md5({HISTORY}) AS history_md5 FROM conv",
         "history_compact": f"WITH {CONVERSATIONS} SELECT conv_id, CASE WHEN len(messages) > 5 THEN md5(array_to_string({message_lines('messages[1:len(messages) - 4]')}, chr(10))) END AS older_md5, CAST(CASE WHEN len(messages) > 5 THEN 4 ELSE len(messages) END AS INTEGER) AS kept FROM conv",
         "conversation_key": f"SELECT id, 'conversation_' || regexp_replace(coalesce(conversation_id, ''), '[^a-fA-F0-9\\-]', '', 'g') AS key FROM {values('conversation_ids')}",
         "conversation_sessions": f"WITH {sessions(28800)} SELECT user_id, session, strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(last_seen, '%Y-%m-%d %H:%M:%S.%f') AS last_seen, n FROM sessions",
-        "conversation_gc": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 1 DAY",
+        "conversation_gc": "WITH m AS (SELECT conv_id, max(TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn)) AS last_seen FROM conversations GROUP BY conv_id) SELECT 'conversation_' || conv_id AS key FROM m WHERE last_seen < (SELECT max(last_seen) FROM m) - INTERVAL 1 DAY",
+        "rebuild_progress": "SELECT * FROM (VALUES (0, 'running', 3, 0, 1, CAST(0 AS BIGINT), true, false), (1, 'running', 3, 2, 2, 2, true, false), (2, 'complete', 3, 3, 3, 3, false, true)) v(step, status, total, processed, page, indexed, limited_mode, finished)",
+        "stream_index": f"""WITH {POSTS}, later AS (SELECT * REPLACE (CASE WHEN post_id % 10 = 0 THEN 'Freshly updated wording. ' || content ELSE content END AS content) FROM posts WHERE post_id % 15 <> 0), {index_of("later")}
+SELECT (SELECT count(*) FROM docs) AS total_docs, (SELECT round(avg(doc_length), 6) FROM docs) AS avgdl, count(*) AS term_rows, count(DISTINCT term) AS unique_terms FROM terms""",
+        "rate_limit_stream": """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT user_id, event_id, ts, rn, true AS allowed, 1 AS counted, us AS last FROM e WHERE rn = 1
+  UNION ALL SELECT user_id, event_id, ts, rn, live < 2, CASE WHEN live < 2 THEN live + 1 ELSE live END, CASE WHEN live < 2 THEN us ELSE last END
+  FROM (SELECT e.*, r.last, CASE WHEN e.us - r.last >= 600000000 THEN 0 ELSE r.counted END AS live FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, allowed, CAST(counted AS INTEGER) AS counted FROM r""",
+        "circuit_breaker": """WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed, lag(event_type = 'error') OVER w AS before, lag(ts) OVER w AS before_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(CASE WHEN failed AND before AND ts - before_ts < INTERVAL 1 DAY THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e),
+n AS (SELECT user_id, event_id, ts, CASE WHEN failed THEN row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) ELSE 0 END AS failures FROM g)
+SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, CAST(failures AS INTEGER) AS failures, failures >= 3 AS open FROM n""",
+        "conversation_stream": """WITH m AS (SELECT conv_id, turn, TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) AS ts, CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, '') AS line FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ts DESC, turn DESC) AS back FROM m)
+SELECT conv_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, CAST(count(*) AS INTEGER) AS n_messages, md5(string_agg(line, chr(10) ORDER BY ts, turn) FILTER (WHERE back <= 4)) AS recent_md5 FROM r GROUP BY conv_id""",
         "rate_limit_batch": f"WITH {sessions(600)} SELECT 'search_' || md5(CAST(user_id AS VARCHAR)) AS key, session, n, n > 20 AS limited FROM sessions",
         "color_luminance": f"SELECT p_partkey, color, round({luminance('color')}, 9) AS luminance, round({luminance('color')}, 9) <= {cl.USABLE} AS usable FROM {PART_COLORS}",
         "color_darken": f"SELECT p_partkey, {darker('color')} AS darker FROM {PART_COLORS}",

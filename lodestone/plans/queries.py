@@ -16,6 +16,7 @@ from lodestone.operators import assistant, indexing, palette, retrieval, snapsho
 from lodestone.operators import search as sr
 from lodestone.plans.cases import CTAS, PAGES, frame
 from lodestone.sources import posts as src
+from lodestone.sources.store import scratch
 
 FLAGSHIP = "retitioning nterti erstly"
 #: What the index's rows carry as their time here, so that results don't depend on the clock.
@@ -137,6 +138,20 @@ def rebuild_batches(spark, sf_dir):
     return indexing.rebuild_batches(src.posts(spark, sf_dir))
 
 
+@query
+def rebuild_progress(spark, sf_dir):
+    """The stored progress of a rebuild of three posts in batches of two: after its start and after each batch."""
+    from lodestone.engine import Engine
+
+    posts = frame(spark, "rebuilt").withColumn("modified", F.col("modified").cast("timestamp"))
+    engine = Engine(spark, scratch(spark), lambda: posts, EngineConfig(rebuild_batch_size=2))
+    rows = [(0, engine.start_rebuild(), engine.status())]
+    while rows[-1][1]["status"] == "running":
+        rows.append((rows[-1][0] + 1, engine.process_rebuild_batch(), engine.status()))
+    shown = [(step, p["status"], p["total"], p["processed"], p["page"], s["total_docs"], s["limited_mode"], bool(p["finished_at"])) for step, p, s in rows]
+    return spark.createDataFrame(shown, "step int, status string, total int, processed int, page int, indexed long, limited_mode boolean, finished boolean")
+
+
 def _changes(spark, sf_dir):
     """Saves of every tenth post with another text, a deletion of every fifteenth, and a new post."""
     posts = src.posts(spark, sf_dir)
@@ -302,7 +317,7 @@ def intent_normalize(spark, sf_dir):
 @query
 def intent_dedupe(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return assistant.intent_keys(c.select(F.col("role").alias("query")))
+    return assistant.intent_keys(c.select(F.col("text").alias("query")))
 
 
 # snapshot
@@ -440,7 +455,7 @@ def retrieve_topk(spark, sf_dir):
     asked = asked.withColumn("query", short)
     posts = src.posts(spark, sf_dir)
     hits = sr.hydrate(sr.matched_terms(_hits(spark, sf_dir, asked), asked, index(spark, sf_dir)[0]), posts, asked)
-    corpus = snapshot.build_corpus(posts).persist()
+    corpus = snapshot.build_corpus(posts)
     return retrieval.retrieve(asked, hits, corpus, posts, 3).select("query_id", "rank", "source", "id", "title", "url")
 
 
@@ -522,9 +537,11 @@ def conversation_sessions(spark, sf_dir):
 
 @query
 def conversation_gc(spark, sf_dir):
-    last = _events(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    now = F.lit("2024-01-25 00:00:00").cast("timestamp")
-    return assistant.expired(last, now).select("user_id")
+    """The keys of conversations whose last message is more than a day older than the newest of all."""
+    last = _conversations(spark, sf_dir).groupBy("conv_id").agg(F.max("ts").alias("last_seen"))
+    keyed = last.select(tx.conversation_key(F.col("conv_id").cast("string")).alias("key"), "last_seen").where(F.startswith("key", F.lit("conversation_")))
+    newest = last.agg(F.max("last_seen").alias("now"))  # one row
+    return assistant.expired(keyed.crossJoin(F.broadcast(newest)), F.col("now")).select("key")
 
 
 @query

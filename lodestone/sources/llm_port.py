@@ -16,21 +16,21 @@ def offline(prompt: str) -> str | None:
 def completion_client(post: Callable[[dict], tuple[int, str]], token: str, identifier: str) -> LanguageModel:
     """A model behind an HTTP completion service.
 
-    post sends a JSON body and returns (status, body). The answer is choices[0].text, else text; any other status than
-    200, a body that isn't JSON, or a body without an answer is an error.
+    post sends a JSON body and returns (status, body). The answer lies in the body's payload: the text of its first choice,
+    else its own text, whichever isn't empty. Any other status than 200, a body whose status is Failure, one that isn't JSON
+    and one without an answer are errors.
     """
 
     def ask(prompt: str) -> str | None:
         try:
             status, body = post({"token": token, "prompt": prompt, "identifier": identifier})
-            payload = json.loads(body) if status == 200 else None
+            reply = json.loads(body) if status == 200 else None
         except (OSError, ValueError):
             return None
-        if not isinstance(payload, dict):
+        if not isinstance(reply, dict) or reply.get("status") == "Failure" or not isinstance(payload := reply.get("payload"), dict):
             return None
         choices = payload.get("choices")
         first = choices[0] if isinstance(choices, list) and choices and isinstance(choices[0], dict) else {}
-        found = first.get("text", payload.get("text"))
-        return found if isinstance(found, str) else None
+        return next((str(x) for x in (first.get("text"), payload.get("text")) if x), None)
 
     return ask

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 from typing import Any
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,77 +14,134 @@ from pyspark.sql import types as T
 
 TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("post_id", T.LongType()), *(T.StructField(f"tf_{f}", T.IntegerType()) for f in ("title", "excerpt", "content"))])
 DOCS = T.StructType([T.StructField("post_id", T.LongType()), T.StructField("post_type", T.StringType()), T.StructField("doc_length", T.IntegerType()), T.StructField("indexed_at", T.TimestampType())])
-VERSION = 1
+VERSION = 2
 #: Directories that the term table is spread over by a hash of the term; a look-up reads those of its terms only.
 TERM_BUCKETS = 64
+#: Tasks that the postings of one term are spread over when they are written.
+TERM_TASKS = 64
+#: Segments of an index beyond which a write merges them into one.
+SEGMENTS = 8
+TOUCHED = T.StructType([T.StructField("post_id", T.LongType())])
 
 
 def term_bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared checkpoint folder; only a local session without one (tests) gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{shared.rstrip('/')}/{uuid4()}" if shared else tempfile.mkdtemp(prefix="lodestone-")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to a folder of its own and read back, so that it is computed once however often it is used."""
+    path = f"{scratch(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class IndexStore:
-    """Two Parquet tables under a folder; writes go to a new generation that a pointer names last.
+    """Segments of two Parquet tables under a folder, named by a pointer: a base and what changed since.
 
-    Readers see the generation that the pointer named when they began, so a failed or repeated write leaves the index as
-    it was. The folder must be reachable by the driver and all executors.
+    A write adds a segment with the rows of the posts that it touched, and hides these posts in the segments before it; a
+    write beyond SEGMENTS merges all into one. The pointer is a file of its own for each version, renamed into place, and
+    the highest counts: readers see one state or the next, and a failed or repeated write leaves the index as it was. The
+    folder must be reachable by the driver and all executors; one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/{name}"))
+    def _versions(self, name: str) -> list[int]:
+        found = self._fs.globStatus(self._path(f"{self.path}/{name}.*.json")) or []
+        numbers = (re.fullmatch(rf"{re.escape(name)}\.(\d+)\.json", status.getPath().getName()) for status in found)
+        return sorted(int(m[1]) for m in numbers if m)
 
     def get(self, name: str, default: Any = None) -> Any:
         """A JSON artefact (snapshot, brief, options, rebuild progress), or default."""
-        if not self._exists(f"{name}.json"):
+        versions = self._versions(name)
+        if not versions:
             return default
-        stream = self._fs.open(self._path(f"{self.path}/{name}.json"))
+        stream = self._fs.open(self._path(f"{self.path}/{name}.{versions[-1]}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def put(self, name: str, value: Any) -> None:
-        new = self._path(f"{self.path}/{name}.json.new")
+        """Writes the next version of an artefact and renames it into place; the one before stays until the one after."""
+        versions = self._versions(name)
+        new = self._path(f"{self.path}/.{name}.{uuid4()}")
         stream = self._fs.create(new, True)
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
-        old = self._path(f"{self.path}/{name}.json")
-        self._fs.delete(old, False)
-        self._fs.rename(new, old)
-
-    def generation(self) -> int:
-        state = self.get("index", {"generation": 0, "version": VERSION})
+        if not self._fs.rename(new, self._path(f"{self.path}/{name}.{(versions or [0])[-1] + 1}.json")):
+            raise OSError(f"{name} could not be renamed into place")
+        for old in versions[:-1]:
+            self._fs.delete(self._path(f"{self.path}/{name}.{old}.json"), False)
+
+    def state(self) -> dict[str, Any]:
+        """The pointer: segments in the order of their writes, and those that the last write left behind."""
+        state = self.get("index", {"version": VERSION, "next": 1, "segments": [], "dropped": []})
         if state["version"] != VERSION:
             raise ValueError(f"the index has schema version {state['version']}; rebuild it for {VERSION}")
-        return state["generation"]
+        return state
+
+    def _write(self, n: int, terms: DataFrame, docs: DataFrame, touched: DataFrame | None) -> None:
+        # a term that a third of all posts hold is written by TERM_TASKS tasks
+        spread = terms.select(*TERMS.fieldNames(), term_bucket("term").alias("bucket")).repartition("bucket", "term", F.pmod(F.xxhash64("post_id"), F.lit(TERM_TASKS)))
+        spread.sortWithinPartitions("bucket", "term", "post_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms-{n}")
+        docs.select(*DOCS.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/docs-{n}")
+        if touched is not None:
+            touched.select("post_id").distinct().write.mode("overwrite").parquet(f"{self.path}/touched-{n}")
+
+    def _point(self, state: dict[str, Any], segments: list[int]) -> None:
+        left = [n for n in state["segments"] if n not in segments]
+        self.put("index", {"version": VERSION, "next": state["next"] + 1, "segments": segments, "dropped": left})
+        for n in state["dropped"]:
+            for table in ("terms", "docs", "touched"):
+                self._fs.delete(self._path(f"{self.path}/{table}-{n}"), True)
 
     def write(self, terms: DataFrame, docs: DataFrame) -> None:
-        """Replaces both tables. Terms lie sorted within their bucket, so that row groups skip by term."""
-        new = self.generation() + 1
-        spread = terms.select(*TERMS.fieldNames(), term_bucket("term").alias("bucket")).repartition("bucket", "term").sortWithinPartitions("bucket", "term", "post_id")
-        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms-{new}")
-        docs.select(*DOCS.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/docs-{new}")
-        self.put("index", {"generation": new, "version": VERSION})
-        for table in ("terms", "docs"):
-            self._fs.delete(self._path(f"{self.path}/{table}-{new - 2}"), True)
-
-    def _read(self, table: str, schema: T.StructType) -> DataFrame:
-        n = self.generation()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}-{n}") if n else self.spark.createDataFrame([], schema)
+        """Replaces both tables."""
+        state = self.state()
+        self._write(state["next"], terms, docs, None)
+        self._point(state, [state["next"]])
+
+    def append(self, terms: DataFrame, docs: DataFrame, touched: DataFrame) -> None:
+        """Adds the rows of the posts in touched; those that they had go. Writes what changed, not the index."""
+        state = self.state()
+        if len(state["segments"]) >= SEGMENTS:
+            self.write(self.terms(), self.docs())
+            state = self.state()
+        self._write(state["next"], terms, docs, touched)
+        self._point(state, [*state["segments"], state["next"]])
+
+    def _read(self, table: str, schema: T.StructType, wanted=None) -> DataFrame:
+        segments = self.state()["segments"]
+        rows, hidden = None, None
+        for n in reversed(segments):
+            own = self.spark.read.schema(schema).parquet(f"{self.path}/{table}-{n}")
+            own = wanted(own) if wanted else own
+            own = own if hidden is None else own.join(hidden, "post_id", "left_anti").select(*own.columns)
+            rows = own if rows is None else own.unionByName(rows)
+            if n != segments[0]:
+                gone = self.spark.read.schema(TOUCHED).parquet(f"{self.path}/touched-{n}")
+                hidden = gone if hidden is None else hidden.unionByName(gone)
+        return self.spark.createDataFrame([], schema) if rows is None else rows
 
     def terms(self, wanted: list[str] | None = None) -> DataFrame:
         """The term table; with wanted terms only their buckets are read, and the term filter reaches the scan."""
-        rows = self._read("terms", T.StructType([*TERMS.fields, T.StructField("bucket", T.IntegerType())]))
-        if wanted is not None:
-            buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "t string").select(term_bucket("t")).distinct().collect()] or [-1]
-            rows = rows.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))
-        return rows.drop("bucket")
+        stored = T.StructType([*TERMS.fields, T.StructField("bucket", T.IntegerType())])
+        if wanted is None:
+            return self._read("terms", stored).drop("bucket")
+        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "t string").select(term_bucket("t")).distinct().collect()] or [-1]
+        return self._read("terms", stored, lambda rows: rows.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))).drop("bucket")
 
     def docs(self) -> DataFrame:
         return self._read("docs", DOCS)

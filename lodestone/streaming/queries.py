@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +10,12 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULT
 from lodestone.operators import indexing
 from lodestone.sources import posts as src
-from lodestone.sources.store import IndexStore
+from lodestone.sources.store import IndexStore, scratch
 from lodestone.streaming import limits
+from lodestone.streaming.conversations import conversation_store
 from lodestone.streaming.index import maintain
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder: in the cluster's shared checkpoint folder, or a temporary one for a session without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid4()}" if shared else tempfile.mkdtemp(prefix="lodestone-")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # a pattern, as a stream takes a folder or a pattern but no single file
@@ -37,14 +30,18 @@ def _finished(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _events(spark, sf_dir).select("user_id", "event_id", "ts")
-    return _finished(limits.rate_limited(requests, "user_id", 2, 600))
+    return _shown(_finished(limits.rate_limited(requests, "user_id", 2, 600)))
 
 
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _events(spark, sf_dir).select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    return _finished(limits.circuit_breaker(calls, "user_id", DEFAULT.breaker_threshold, 86_400))
+    return _shown(_finished(limits.circuit_breaker(calls, "user_id", DEFAULT.breaker_threshold, 86_400)))
 
 
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +61,22 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.select("total_docs", F.round("avgdl", 6).alias("avgdl"), "term_rows", "unique_terms")
 
 
+def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each conversation after a stream of its messages."""
+    folder = scratch(spark)
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    messages = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversation[s].parquet").select("conv_id", "turn", "role", F.col("text").alias("content"), ts.alias("ts"))
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/rows/batch-{epoch}")
+
+    conversation_store(messages).writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/rows/*")
+    last = found.groupBy("conv_id").agg(F.max_by(F.struct("created_at", "last_seen", "n_messages", "recent"), "epoch").alias("last"))
+    shown = lambda c: F.date_format(f"last.{c}", "yyyy-MM-dd HH:mm:ss").alias(c)
+    return last.select("conv_id", shown("created_at"), shown("last_seen"), "last.n_messages", F.md5("last.recent").alias("recent_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (stream_index, rate_limit_stream, circuit_breaker)}
+    return {f.__name__: f for f in (stream_index, rate_limit_stream, circuit_breaker, conversation_stream)}

@@ -42,11 +42,6 @@ def test_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["stream_index", "rate_limit_stream", "circuit_breaker"])
-def test_streams_have_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
-
-
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() == 6
 
