@@ -17,7 +17,7 @@ HASH_BITS = 60
 
 def shuffled(key: Column, seed: int) -> Column:
     """A seeded hash of the key in [0, 2**60); plain SQL engines can compute it too."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -31,14 +31,15 @@ def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 42, stratum: str
     No rank needs a whole stratum, or the whole table, in one task: rows are counted by (stratum, hash bucket) first, and a
     row's rank is its bucket's running total plus its place in the bucket; the same again for the interleaved order. The
     buckets follow the number of rows. Null strata form a stratum of their own, a null text has size 1 and CRC 0, equal
-    rows take adjacent places, an empty table gives an empty one. Equal texts get no special treatment: this method deals
-    out rows, and rows of one text may lie in different shards.
+    rows take adjacent places, an empty table gives an empty one. Groups of equal texts are no strata: the law balances
+    rows, and a group kept whole could outgrow a shard, so rows of one text may lie in different shards.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
-    rows = checkpointed(
-        docs.select(F.col("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.col(stratum).cast("string").alias("stratum"), shuffled(F.col("doc_id"), seed).alias("h"))
-    )
+    named = docs.select(F.col("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.col(f"`{stratum}`").cast("string").alias("stratum"))
+    # all of a row: those that share or lack a doc_id don't fall into one bucket
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32"), F.col("size"))
+    rows = checkpointed(named.withColumn("h", shuffled(key, seed)))
     bits = max(8, math.ceil(math.log2(max(rows.count(), 1) / ROWS_PER_BUCKET)))
     order = ["h", "doc_id", "text_crc32", "size"]
 

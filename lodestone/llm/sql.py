@@ -17,8 +17,9 @@ def crc32(text: str) -> str:
     return f"xor(list_reduce({bytes_of}, {step}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
 
 
-SHARDS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents),
-c AS (SELECT doc_id, octet_length(encode(text)) + 1 AS size, CASE WHEN text = '' THEN 0 ELSE {crc32("text")} END AS text_crc32, source, h FROM d),
+SHARDS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents),
+k AS (SELECT doc_id, octet_length(encode(text)) + 1 AS size, CASE WHEN text = '' THEN 0 ELSE {crc32("text")} END AS text_crc32, source FROM d),
+c AS (SELECT *, CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text_crc32 || ':' || size), 1, 15) AS BIGINT) AS h FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM c),
 g AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * r + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), source NULLS FIRST, h, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(place * 8 // total AS INTEGER) AS shard, CAST(row_number() OVER (PARTITION BY place * 8 // total ORDER BY place) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM g"""

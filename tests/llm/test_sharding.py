@@ -8,8 +8,8 @@ from lodestone.llm import sharding
 def plain(rows, shards, seed=42):
     by = defaultdict(list)
     for doc_id, text, source in rows:
-        h = int(hashlib.md5(f"{seed}:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:15], 16)
         data = (text or "").encode()
+        h = int(hashlib.md5(f"{seed}:{'null' if doc_id is None else doc_id}:{zlib.crc32(data)}:{len(data) + 1}".encode()).hexdigest()[:15], 16)
         by[source].append((h, doc_id if doc_id is not None else -1, zlib.crc32(data), len(data) + 1))
     ranked = []
     for source, own in by.items():
