@@ -26,8 +26,9 @@ SHARED_BYTES = 6
 SHORT_WINDOW = 128
 #: Ids that a leaf of the decoding tree looks up at once.
 LEAF_IDS = 256
-#: Pieces that a worker remembers; beyond it the memory is emptied, so a worker's size doesn't depend on the corpus.
-REMEMBERED = 300_000
+#: Pieces, and subtrees and pairs of tokens, that a worker remembers; beyond it the memory is emptied, so a worker's size
+#: doesn't depend on the corpus.
+REMEMBERED, REMEMBERED_PARTS = 200_000, 60_000
 _END = 1 << 60
 
 
@@ -60,7 +61,7 @@ class TreeEncoder:
         self.joins += 1
         ids = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
         if short:
-            if len(self.shared) >= REMEMBERED:
+            if len(self.shared) >= REMEMBERED_PARTS:
                 self.shared.clear()
             self.shared[piece] = ids
         return ids
@@ -110,7 +111,7 @@ class TreeEncoder:
         """Whether the pair of tokens encodes to itself."""
         known = self.stable.get((a, b))
         if known is None:
-            if len(self.stable) >= REMEMBERED:
+            if len(self.stable) >= REMEMBERED_PARTS:
                 self.stable.clear()
             known = self.stable[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
