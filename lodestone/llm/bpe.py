@@ -28,7 +28,7 @@ SHORT_WINDOW = 128
 LEAF_IDS = 256
 #: Pieces, and subtrees and pairs of tokens, that a worker remembers; beyond it the memory is emptied, so a worker's size
 #: doesn't depend on the corpus.
-REMEMBERED, REMEMBERED_PARTS = 200_000, 60_000
+REMEMBERED, REMEMBERED_PARTS = 300_000, 300_000
 _END = 1 << 60
 
 
