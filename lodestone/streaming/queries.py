@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,16 @@ from lodestone.streaming.conversations import conversation_store
 from lodestone.streaming.index import maintain
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver found it; on a cluster it is installed or sent by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_import(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # a pattern, as a stream takes a folder or a pattern but no single file
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
@@ -63,6 +73,7 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of each conversation after a stream of its messages."""
+    workers_import(spark)
     folder = scratch(spark)
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     ts = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("conv_id") * 3600 + F.col("turn") * 60)
