@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches, utf8
+from lodestone.llm.common import kept, map_batches, utf8
 
 #: Subtrees of up to this many bytes are shared: many pieces have the same ones.
 SHARED_BYTES = 6
@@ -30,6 +31,8 @@ LEAF_IDS = 256
 #: doesn't depend on the corpus.
 REMEMBERED, REMEMBERED_PARTS = 300_000, 300_000
 _END = 1 << 60
+#: The name of this operator among what a worker keeps.
+KIND = "bpe"
 
 
 def read_ranks(blob: bytes) -> dict[bytes, int]:
@@ -145,8 +148,6 @@ class _Pieces(dict):
 
 
 class _Vocabulary:
-    held: dict[tuple[int, str], _Vocabulary] = {}
-
     def __init__(self, blob: bytes, pattern: str):
         ranks = read_ranks(blob)
         self.pieces = _Pieces(TreeEncoder(ranks))
@@ -172,13 +173,22 @@ class _Vocabulary:
         before = np.cumsum(length) - length
         return self.table[np.repeat(self.start[ids] - before, length) + np.arange(length.sum())]
 
+    def encoded(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each whole text, given as UTF-8; null and empty texts get an empty list."""
+        get = self.pieces.__getitem__
+        each = [b"".join(map(get, self.find(str(t, "utf-8", "replace")))) if t else b"" for t in texts.to_pylist()]
+        ends = np.cumsum([0, *(len(x) // 4 for x in each)]).astype("i4")
+        return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(each))]))
+
+    def decoded(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; a null list gives null."""
+        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        return pa.array([self.decode(flat[a:b]) if known else None for a, b, known in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)], pa.binary())
+
     @classmethod
     def of(cls, blob: bytes, pattern: str) -> _Vocabulary:
-        """One for each vocabulary and worker, kept between tasks."""
-        key = (hash(blob), pattern)
-        if key not in cls.held:
-            cls.held[key] = cls(blob, pattern)
-        return cls.held[key]
+        """One for each worker, kept between the tasks of this operator."""
+        return kept(KIND, (hash(blob), pattern), lambda: cls(blob, pattern))
 
 
 def _others(df: DataFrame, *names: str) -> list[str]:
@@ -191,43 +201,42 @@ def _vocabulary_blob(df: DataFrame, vocabulary: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _mapped(df: DataFrame, vocabulary: str, pattern: str, read: Column, columns: list[str], made: dict[str, str], work: Callable[[_Vocabulary, pa.Array], list[pa.Array]]) -> DataFrame:
+    """columns of df and those made (name to type) by work out of read. A map without a shuffle: lost executors cost their own tasks only."""
+    blob = _vocabulary_blob(df, vocabulary)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = work(_Vocabulary.of(blob.value, pattern), batch.column(batch.num_columns - 1))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*columns, *made])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns), *(f"`{name}` {kind}" for name, kind in made.items())])
+    return map_batches(df.select(*(F.col(f"`{c}`") for c in columns), read.alias("__read")), schema, run, keeps=KIND)
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "tokens", keep: list[str] | None = None) -> DataFrame:
     """docs (their columns keep, or all) with an array<int> column out: the ids of each whole text. Null and empty texts get an empty array.
 
-    A column that already has the name out is replaced; other columns pass through. No row is split, moved or dropped:
-    the operator is a map without a shuffle, so lost executors cost their own tasks only.
+    A column that already has the name out is replaced; other columns pass through. No row is split, moved or dropped.
     """
-    blob = _vocabulary_blob(docs, vocabulary)
-    kept = _others(docs, out) if keep is None else keep
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v = _Vocabulary.of(blob.value, pattern)
-        get, find = v.pieces.__getitem__, v.find
-        each = [b"".join(map(get, find(str(t, "utf-8", "replace")))) if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 4 for x in each)]).astype("i4")
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(each))]))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*kept, out])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), f"`{out}` array<int>"])
-    return map_batches(docs.select(*(F.col(f"`{c}`") for c in kept), utf8(text).alias("__bytes")), schema, run)
+    return _mapped(docs, vocabulary, pattern, utf8(text), _others(docs, out) if keep is None else keep, {out: "array<int>"}, lambda v, texts: [v.encoded(texts)])
 
 
 def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids: str = "tokens", out: str = "decoded") -> DataFrame:
     """tokens with a binary column out: the bytes of each row's ids, concatenated. Null ids give null; unknown ids raise."""
-    blob = _vocabulary_blob(tokens, vocabulary)
-    kept = _others(tokens, out)
+    return _mapped(tokens, vocabulary, pattern, F.col(f"`{ids}`"), _others(tokens, out), {out: "binary"}, lambda v, lists: [v.decoded(lists)])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v, lists = _Vocabulary.of(blob.value, pattern), batch.column(ids)
-        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-        values = pa.array([v.decode(flat[a:b]) if known else None for a, b, known in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*kept, out])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in kept), f"`{out}` binary"])
-    return map_batches(tokens.select(*(F.col(f"`{c}`") for c in kept)), schema, run)
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "tokens", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """docs (their columns keep, or all) with the columns of encode and then decode, by one worker: out is decoded from ids, not from the text."""
+
+    def both(v: _Vocabulary, texts: pa.Array) -> list[pa.Array]:
+        lists = v.encoded(texts)
+        return [lists, v.decoded(lists)]
+
+    return _mapped(docs, vocabulary, pattern, utf8(text), _others(docs, ids, out) if keep is None else keep, {ids: "array<int>", out: "binary"}, both)
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text, encoded and decoded again."""
-    both = decode(encode(docs, vocabulary, pattern, keep=["doc_id"]), vocabulary, pattern)
+    both = round_trip(docs, vocabulary, pattern, keep=["doc_id"])
     return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

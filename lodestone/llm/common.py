@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 from uuid import uuid4
 
 import pyarrow as pa
@@ -102,8 +103,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut
 
 
-def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """mapInArrow in slices of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes."""
+_kept: dict[tuple[str, Hashable], Any] = {}
+
+
+def kept(kind: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make returns, held by this worker for the tasks after this one. A worker holds one such thing at a time."""
+    if (kind, key) not in _kept:
+        _kept.clear()
+        _kept[kind, key] = make()
+    return _kept[kind, key]
+
+
+def forget_others(kind: str | None) -> None:
+    """Drops what stages of another kind left in this worker: Spark gives a worker to one operator's tasks after another's."""
+    for known in [k for k in _kept if k[0] != kind]:
+        del _kept[known]
+
+
+def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], pa.RecordBatch], keeps: str | None = None) -> DataFrame:
+    """mapInArrow in slices of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes.
+
+    keeps: the kind of what run holds between tasks by kept(); a stage drops what those of other kinds left.
+    """
     workers_ready(df.sparkSession)
 
     def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -114,6 +135,7 @@ def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], pa.R
             yield from sliced(batch.slice(batch.num_rows // 2))
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(keeps)
         for batch in batches:
             for part in sliced(batch):
                 out = run(part)

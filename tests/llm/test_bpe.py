@@ -85,6 +85,9 @@ def test_digests_equal_the_library_and_extra_columns_survive(spark):
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
+    once = bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN)
+    apart = bpe.decode(encoded, VOCABULARY, public_tokenizers.PATTERN)
+    assert once.columns == apart.columns and sorted(map(str, once.collect())) == sorted(map(str, apart.collect()))
     assert encoded.columns == ["doc_id", "text", "tokens"] and encoded.count() == 2 * len(TEXTS)
     assert bpe.digests(docs.where("false"), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 

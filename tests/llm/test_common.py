@@ -47,3 +47,32 @@ def test_written_and_checkpointed_keep_rows_and_schema(spark):
 def test_hex_of_long(spark):
     got = spark.createDataFrame([(0,), (-1,), (255,)], "x long").select(common.hex_of_long(F.col("x"))).collect()
     assert [r[0] for r in got] == ["0" * 16, "f" * 16, "0" * 14 + "ff"]
+
+
+def test_a_worker_keeps_one_operators_memory(spark):
+    made = []
+
+    def make(x):
+        made.append(x)
+        return x
+
+    assert [common.kept("one", 1, lambda: make("a")) for _ in range(2)] == ["a", "a"] and made == ["a"]
+    common.forget_others("one")
+    assert common.kept("one", 1, lambda: make("b")) == "a"
+    common.forget_others(None)
+    assert common.kept("one", 1, lambda: make("c")) == "c"
+    assert common.kept("two", 1, lambda: make("d")) == "d" and len(common._kept) == 1
+    common.forget_others(None)
+    assert not common._kept
+
+    def holding(batch):
+        before = len(common._kept)
+        common.kept("three", 0, object)
+        return pa.RecordBatch.from_arrays([pa.array([before])], names=["before"])
+
+    def seen(batch):
+        return pa.RecordBatch.from_arrays([pa.array([len(common._kept)])], names=["before"])
+
+    rows = spark.range(8).repartition(4)
+    common.map_batches(rows, "before long", holding, keeps="three").collect()
+    assert all(r.before == 0 for r in common.map_batches(rows, "before long", seen).collect())
