@@ -61,8 +61,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded corpus: doc_id, lang, source, tokens, n_tokens, and digests of the ids and of what they decode to."""
-    encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
-    both = bpe.decode(encoded, VOCABULARY, public_tokenizers.PATTERN)
+    both = bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
     return both.select(
         "doc_id", "lang", "source", "tokens", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
