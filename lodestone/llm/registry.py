@@ -8,12 +8,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontamination, html_extract, langid, licenses, sharding, simhash, sql, substring_dedup, topk, toxicity
+from lodestone.llm import bpe, decontamination, html_extract, langid, licenses, packing, sharding, simhash, sql, substring_dedup, topk, toxicity
 from lodestone.llm.common import table
 
 #: The vocabulary file of op4 and of the pipeline's last stage.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+#: The tokenizer of op13.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
@@ -55,12 +58,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.query(table(spark, sf_dir, "documents"))
 
 
+def op13_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_interleaved_shards, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_simhash, op6_toxicity, op7_html_extract, op8_bit_sliced_topk, op9_language_id, op10_license_scan, pipeline)}
+    return {f.__name__: f for f in (op1_interleaved_shards, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_simhash, op6_toxicity, op7_html_extract, op8_bit_sliced_topk, op9_language_id, op10_license_scan, op13_bounded_best_fit, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
