@@ -73,6 +73,12 @@ class Tables:
         release_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        """Drops all tables written so far."""
+        before, self.paths = self.paths, []
+        for path in before:
+            drop_folder(self.spark, path)
+
     def last(self, df: DataFrame, *by: str) -> DataFrame:
         """Writes df, the result, and drops all tables before it."""
         before, self.paths = self.paths, []

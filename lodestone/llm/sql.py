@@ -74,6 +74,21 @@ SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ','
   array_to_string(list_sort(list_distinct(list_transform(ids, lambda i: CASE i WHEN 'mit-reference' THEN 'MIT' WHEN 'apache-reference' THEN 'Apache-2.0' WHEN 'gpl3-reference' THEN 'GPL-3.0-only' ELSE 'CC-BY-NC-4.0' END))), ',') AS licenses FROM i"""
 
 
+SPELLING = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, n, {crc32("coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run")} AS h FROM d),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v),
+p AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM x),
+e AS (SELECT a.word, b.word AS other, b.n FROM p a JOIN p b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT p.word, v.word, v.n FROM p JOIN v ON p.rest = v.word UNION SELECT v.word, p.word, p.n FROM p JOIN v ON p.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM e GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n FROM v LEFT JOIN b ON v.word = b.word),
+t AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON t.next = f.word)
+SELECT f.word, f.form, t.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN t ON f.word = t.word AND t.next IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_interleaved_shards": SHARDS,
@@ -82,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_html_extract": ARTICLES,
         "op8_bit_sliced_topk": TOP_K,
         "op10_license_scan": LICENSES,
+        "op12_spelling_variants": SPELLING,
     }
