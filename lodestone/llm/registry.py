@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontamination, html_extract, langid, licenses, packing, sharding, simhash, spelling, sql, substring_dedup, topk, toxicity
+from lodestone.llm import bpe, decontamination, html_extract, impacts, langid, licenses, packing, sharding, simhash, spelling, sql, substring_dedup, topk, toxicity
 from lodestone.llm.common import table
 
 #: The vocabulary file of op4 and of the pipeline's last stage.
@@ -58,6 +58,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.query(table(spark, sf_dir, "documents"))
 
 
+def op11_bit_sliced_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.query(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_interleaved_shards, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_simhash, op6_toxicity, op7_html_extract, op8_bit_sliced_topk, op9_language_id, op10_license_scan, op12_spelling_variants, op13_bounded_best_fit, pipeline)}
+    return {f.__name__: f for f in (op1_interleaved_shards, op2_substring_dedup, op3_decontamination, op4_byte_bpe, op5_simhash, op6_toxicity, op7_html_extract, op8_bit_sliced_topk, op9_language_id, op10_license_scan, op11_bit_sliced_impacts, op12_spelling_variants, op13_bounded_best_fit, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

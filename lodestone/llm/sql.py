@@ -74,6 +74,21 @@ SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ','
   array_to_string(list_sort(list_distinct(list_transform(ids, lambda i: CASE i WHEN 'mit-reference' THEN 'MIT' WHEN 'apache-reference' THEN 'Apache-2.0' WHEN 'gpl3-reference' THEN 'GPL-3.0-only' ELSE 'CC-BY-NC-4.0' END))), ',') AS licenses FROM i"""
 
 
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+#: Each row of documents is told from others by its own number; rows of one item_id are one item.
+RANKED = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_terms("text")} AS terms FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_terms("text")}) AS term FROM benchmark),
+p AS (SELECT rid, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d),
+f AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY rid, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT n_docs FROM s) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f GROUP BY term),
+i AS (SELECT rid, doc_id, f.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS impact FROM f JOIN w ON f.term = w.term, s),
+t AS (SELECT item_id, rid, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i ON q.term = i.term GROUP BY item_id, rid, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM t WHERE score > 0) WHERE rank <= 10"""
+
 SPELLING = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
 d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
 h AS (SELECT run, n, {crc32("coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run")} AS h FROM d),
@@ -97,5 +112,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_html_extract": ARTICLES,
         "op8_bit_sliced_topk": TOP_K,
         "op10_license_scan": LICENSES,
+        "op11_bit_sliced_impacts": RANKED,
         "op12_spelling_variants": SPELLING,
     }
