@@ -17,7 +17,7 @@ from lodestone.operators import assistant, indexing, retrieval, snapshot, synony
 from lodestone.operators import search as sr
 from lodestone.sources.llm_port import LanguageModel, offline
 from lodestone.sources.posts import one_query, published
-from lodestone.sources.store import DOCS, TERMS, IndexStore
+from lodestone.sources.store import TERMS, WITH_TERMS, IndexStore
 from lodestone.streaming.limits import Counter
 
 
@@ -136,7 +136,7 @@ class Engine:
         if self.provider is not None:
             self.provider.remove(gone)
         else:
-            self.store.append(self.spark.createDataFrame([], TERMS), self.spark.createDataFrame([], DOCS), gone)
+            self.store.append(self.spark.createDataFrame([], TERMS), self.spark.createDataFrame([], WITH_TERMS), gone)
         self._feed(self.posts().limit(0), gone)
 
     def _feed(self, saved: DataFrame, gone: DataFrame) -> None:
@@ -188,7 +188,7 @@ class Engine:
 
     def status(self) -> dict[str, Any]:
         progress = self.rebuild_progress()
-        return indexing.index_status(self.store.terms(), self.store.docs(), progress["status"] == "running").first().asDict() | {"rebuild": progress}
+        return indexing.status_of(self.store, progress["status"] == "running").first().asDict() | {"rebuild": progress}
 
     # search
 
@@ -249,23 +249,21 @@ class Engine:
         """Hydrated hits of a batch of normalised queries."""
         if self.provider is not None:
             return self.provider.search(queries)
-        expand = synonyms.expander(self.synonyms(), self.config)
-        terms, docs = self.store.terms(), self.store.docs()
-        hits = sr.search(queries, terms, docs, expand, self.config)
-        return sr.hydrate(sr.matched_terms(hits, queries, terms, expand, self.config), self.posts(), queries)
+        return self._hits(sr.prepared(queries, synonyms.expander(self.synonyms(), self.config), self.config))
+
+    def _hits(self, batch: sr.Batch) -> DataFrame:
+        index = sr.stored(self.store, batch)
+        hits = sr.ranked(batch, index, self.config)
+        return sr.hydrate(sr.matched_terms(hits, batch, index.terms), self.posts(), batch)
 
     def search(self, query: str, types: list[str] | None = None, limit: int = 10, intent: str = "") -> list[Row]:
         """One query; the scan of the index is confined to its terms' buckets."""
         asked = sr.query_normalize(one_query(self.spark, query, types, limit, intent or self.classify_intent(query)))
-        expand = synonyms.expander(self.synonyms(), self.config)
-        wanted = sorted({r.term for r in sr.query_terms(asked, expand, self.config).collect()})
-        if not wanted:
+        batch = sr.prepared(asked, synonyms.expander(self.synonyms(), self.config), self.config)
+        if batch.terms == []:
             return []
-        if self.provider is not None:
-            return self.provider.search(asked).orderBy("rank").collect()
-        terms, docs = self.store.terms(wanted), self.store.docs()
-        hits = sr.search(asked, terms, docs, expand, self.config)
-        return sr.hydrate(sr.matched_terms(hits, asked, terms, expand, self.config), self.posts(), asked).orderBy("rank").collect()
+        found = self._hits(batch) if self.provider is None else self.provider.search(asked)
+        return found.orderBy("rank").collect()
 
     def _limit(self, key: str, limit: int, ttl: int, count: bool) -> bool:
         """Whether the key may go on; counts the event if asked to and it may."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULT, EngineConfig
 from lodestone.functions import text as tx
 from lodestone.sources.posts import published
+from lodestone.sources.store import IndexStore
 
 #: Counters saturate here.
 MOST = 65_535
@@ -41,13 +42,20 @@ def tokenized(posts: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     )
 
 
+def _length() -> Column:
+    return F.least(F.lit(MOST), F.size("title") + F.size("excerpt") + F.size("content"))
+
+
 def index_terms(tokens: DataFrame) -> DataFrame:
-    """(term, post_id, tf_title, tf_excerpt, tf_content): one packed row for each term of a post."""
+    """(term, post_id, tf_title, tf_excerpt, tf_content, post_type, doc_length): one packed row for each term of a post.
+
+    A posting holds what its score needs of the post, so a search reads postings only.
+    """
     fields = ("title", "excerpt", "content")
     tagged = F.concat(*(_tag(f, n) for n, f in enumerate(fields)))
-    exploded = tokens.select("post_id", F.explode(tagged).alias("x")).select("post_id", "x.term", "x.field")
+    exploded = tokens.select("post_id", "post_type", _length().alias("doc_length"), F.explode(tagged).alias("x")).select("post_id", "post_type", "doc_length", "x.term", "x.field")
     counts = [F.least(F.lit(MOST), F.count_if(F.col("field") == n)).cast("int").alias(f"tf_{f}") for n, f in enumerate(fields)]
-    return exploded.groupBy("term", "post_id").agg(*counts)
+    return exploded.groupBy("term", "post_id").agg(*counts, *(F.first(c).alias(c) for c in ("post_type", "doc_length")))
 
 
 def _tag(field: str, n: int) -> Column:
@@ -55,9 +63,9 @@ def _tag(field: str, n: int) -> Column:
 
 
 def index_docs(tokens: DataFrame, indexed_at: Column | None = None) -> DataFrame:
-    """(post_id, post_type, doc_length, indexed_at) of posts that have a term."""
-    length = F.size("title") + F.size("excerpt") + F.size("content")
-    return tokens.select("post_id", "post_type", F.least(F.lit(MOST), length).alias("doc_length"), (F.current_timestamp() if indexed_at is None else indexed_at).alias("indexed_at")).where("doc_length > 0")
+    """(post_id, post_type, doc_length, indexed_at, terms) of posts that have a term; terms are the distinct ones."""
+    terms = F.array_distinct(F.concat("title", "excerpt", "content")).alias("terms")
+    return tokens.select("post_id", "post_type", _length().alias("doc_length"), (F.current_timestamp() if indexed_at is None else indexed_at).alias("indexed_at"), terms).where("doc_length > 0")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -65,6 +73,15 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("total_docs"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avgdl"))
 
 
+def status_of(store: IndexStore, rebuilding: bool = False) -> DataFrame:
+    """index_status of a stored index, from the frequencies kept with its segments: no posting is read."""
+    by_term = store.frequencies().groupBy("term").agg(F.sum("df").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("term_rows"), F.count("*").alias("unique_terms"))
+    total, length = store.totals()
+    by_doc = store.docs().agg(F.max("indexed_at").alias("last_indexed"))
+    counted = by_doc.select(F.lit(total).cast("long").alias("total_docs"), F.lit(length / total if total else 0.0).alias("avgdl"), "last_indexed")
+    return counted.crossJoin(F.broadcast(by_term)).select("total_docs", "avgdl", "last_indexed", "term_rows", "unique_terms", F.lit(rebuilding).alias("limited_mode"))  # one row each
+
+
 def index_status(terms: DataFrame, docs: DataFrame, rebuilding: bool = False) -> DataFrame:
     """One row: total_docs, avgdl, term_rows, unique_terms, last_indexed, limited_mode."""
     by_term = terms.groupBy("term").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("term_rows"), F.count("*").alias("unique_terms"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lodestone.functions import ranking as rk
 from lodestone.functions import text as tx
 from lodestone.operators.indexing import corpus_stats
 from lodestone.operators.snapshot import corpus_entries
+from lodestone.sources.store import IndexStore
 
 #: Digits that scores are rounded to before they are compared, so that ties are ties on every platform.
 DIGITS = 6
@@ -71,45 +73,85 @@ def query_terms(queries: DataFrame, expand=None, config: EngineConfig = DEFAULT)
     return queries.select("query_id", types.alias("types"), "limit", "intent", F.explode(expand(tokens) if expand else tokens).alias("term"))
 
 
-def matched_rows(wanted: DataFrame, terms: DataFrame, docs: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+class Batch(NamedTuple):
+    """The terms of some queries: rows of query_terms, whether they fit a broadcast, and the terms themselves if they are few."""
+
+    wanted: DataFrame
+    fit: bool
+    terms: list[str] | None
+
+
+def prepared(queries: DataFrame, expand=None, config: EngineConfig = DEFAULT) -> Batch:
+    """The terms of a batch, decided once: a batch of up to LISTED_TERMS names its terms to the scan and is constants of the plan."""
+    wanted = query_terms(queries, expand, config)
+    if local := known(wanted):
+        return Batch(local[0], True, sorted({r.term for r in local[1]}))
+    return Batch(wanted, fits(wanted), None)
+
+
+class Index(NamedTuple):
+    """What ranking reads: postings (with their posts' type and length), documents by term and type, and the whole index's (total_docs, avgdl)."""
+
+    terms: DataFrame
+    frequencies: DataFrame
+    stats: tuple[int, float] | DataFrame
+
+
+def stored(store: IndexStore, batch: Batch) -> Index:
+    """A batch's part of a stored index: of listed terms the buckets and row groups, else the tables. No job runs for it."""
+    total, length = store.totals()
+    return Index(store.terms(batch.terms), store.frequencies(batch.terms), (total, length / total if total else 0.0))
+
+
+def of_tables(terms: DataFrame, docs: DataFrame, batch: Batch) -> Index:
+    """The same of an index that is two tables, counted anew."""
+    mine = terms if batch.terms is None else terms.where(F.col("term").isin(batch.terms))
+    return Index(mine, mine.groupBy("term", "post_type").agg(F.count("*").alias("df")), corpus_stats(docs))
+
+
+def matched_rows(batch: Batch, index: Index, config: EngineConfig = DEFAULT) -> DataFrame:
     """One scored row for each query, term and post of the query's types.
 
-    df counts the rows of a query's types; total_docs and avgdl are those of the whole index. df comes from a partial
-    aggregate rather than a window over the term, so a term of a third of all posts is no task of its own.
+    df counts the rows of a query's types; total_docs and avgdl are those of the whole index. Postings are read once and
+    moved only if the batch doesn't fit a broadcast; a term of a third of all posts is no task of its own.
     """
-    if local := known(wanted):  # a batch of this size names its terms to the scan
-        wanted, found = local
-        terms = terms.where(F.col("term").isin(sorted({r.term for r in found})))
-    fit = bool(local) or fits(wanted)  # and with it whatever has a row for each wanted term at most
-    rows = hinted(wanted, fit).join(terms, "term").join(docs.select("post_id", "post_type", "doc_length"), "post_id").where(F.array_contains("types", F.col("post_type")))
-    kinds = wanted.select("types", "term").distinct()
-    in_types = hinted(kinds, fit).join(terms.select("term", "post_id"), "term").join(docs.select("post_id", "post_type"), "post_id").where(F.array_contains("types", F.col("post_type")))
-    df = in_types.groupBy("types", "term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs)
-    tf = rk.weighted_frequency(F.col("tf_title"), F.col("tf_excerpt"), F.col("tf_content"), config)
-    scored = rows.join(hinted(df, fit), ["types", "term"]).crossJoin(F.broadcast(stats)).withColumn("tf", tf)  # stats has one row
+    kinds = batch.wanted.select("types", "term").distinct()
+    counts = hinted(kinds, batch.fit).join(index.frequencies, "term").where(F.array_contains("types", F.col("post_type")))
+    df = counts.groupBy("types", "term").agg(F.sum("df").alias("df"))
+    asked = batch.wanted.join(hinted(df, batch.fit), ["types", "term"])
+    rows = hinted(asked, batch.fit).join(index.terms, "term").where(F.array_contains("types", F.col("post_type")))
+    if isinstance(index.stats, DataFrame):
+        rows = rows.crossJoin(F.broadcast(index.stats))  # one row
+    else:
+        rows = rows.withColumns({"total_docs": F.lit(index.stats[0]).cast("long"), "avgdl": F.lit(float(index.stats[1]))})
+    scored = rows.withColumn("tf", rk.weighted_frequency(F.col("tf_title"), F.col("tf_excerpt"), F.col("tf_content"), config))
     return scored.withColumn("term_score", rk.term_score(F.col("tf"), F.col("df"), F.col("total_docs"), F.col("doc_length"), F.col("avgdl"), config))
 
 
-def search(queries: DataFrame, terms: DataFrame, docs: DataFrame, expand=None, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(query_id, rank, post_id, post_type, score): the best posts of each query, up to its limit.
+def ranked(batch: Batch, index: Index, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(query_id, rank, post_id, post_type, score): the best posts of each query of a batch, up to its limit.
 
     Order: rounded score downward, then post_id. Queries without terms have no rows; an empty index gives none.
     """
-    wanted = query_terms(queries, expand, config)
-    rows = matched_rows(wanted, terms, docs, config)
+    rows = matched_rows(batch, index, config)
     total = rows.groupBy("query_id", "post_id", "post_type", "limit", "intent").agg(F.sum("term_score").alias("raw"))
     boosted = total.withColumn("score", F.round(F.col("raw") * rk.intent_boost(F.col("intent"), F.col("post_type"), config), DIGITS))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "post_id")
-    ranked = boosted.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= 20) & (F.col("rank") <= F.col("limit")))
-    return ranked.select("query_id", "rank", "post_id", "post_type", "score")
+    first = boosted.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= 20) & (F.col("rank") <= F.col("limit")))
+    return first.select("query_id", "rank", "post_id", "post_type", "score")
+
+
+def search(queries: DataFrame, terms: DataFrame, docs: DataFrame, expand=None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """ranked, over an index of two tables."""
+    batch = prepared(queries, expand, config)
+    return ranked(batch, of_tables(terms, docs, batch), config)
 
 
-def matched_terms(hits: DataFrame, queries: DataFrame, terms: DataFrame, expand=None, config: EngineConfig = DEFAULT) -> DataFrame:
+def matched_terms(hits: DataFrame, batch: Batch, terms: DataFrame) -> DataFrame:
     """hits with an array of the query's terms that each post has; computed for the surviving hits only."""
-    wanted = query_terms(queries, expand, config).select("query_id", "term")
-    fit = fits(wanted, BROADCAST_ROWS // 20)  # a query has 20 hits at most
-    pairs = hinted(hits.select("query_id", "post_id").join(hinted(wanted, fit), "query_id"), fit)
+    wanted = batch.wanted.select("query_id", "term")
+    few = batch.terms is not None  # a query has 20 hits at most
+    pairs = hinted(hits.select("query_id", "post_id").join(hinted(wanted, batch.fit), "query_id"), few)
     found = pairs.join(terms.select("term", "post_id"), ["term", "post_id"]).groupBy("query_id", "post_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     return hits.join(found, ["query_id", "post_id"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
@@ -136,13 +178,13 @@ def snippet(content: Column, terms: Column, excerpt: Column) -> Column:
     return tx.let(content, found)
 
 
-def hydrate(hits: DataFrame, posts: DataFrame, queries: DataFrame) -> DataFrame:
+def hydrate(hits: DataFrame, posts: DataFrame, batch: Batch) -> DataFrame:
     """hits (with terms) with title, permalink, excerpt and last_modified of their posts.
 
     Posts that are no longer published drop out after the ranking, without another post taking their place. The hits are
     the small side, 20 for each query at most: content is read, cleaned and cut for surviving posts only.
     """
-    wanted = hinted(hits, fits(queries, BROADCAST_ROWS // 20))
+    wanted = hinted(hits, batch.terms is not None)
     entries = posts.where("post_status = 'publish'").select(*(F.col(c).alias(f"p_{c}") for c in posts.columns))
     joined = wanted.join(entries, F.col("post_id") == F.col("p_post_id"))
     as_posts = joined.select("query_id", "rank", "score", "terms", *(F.col(f"p_{c}").alias(c) for c in posts.columns))

@@ -16,14 +16,14 @@ from lodestone.operators import assistant, indexing, palette, retrieval, snapsho
 from lodestone.operators import search as sr
 from lodestone.plans.cases import CTAS, PAGES, frame
 from lodestone.sources import posts as src
-from lodestone.sources.store import scratch
+from lodestone.sources.store import IndexStore, materialised, scratch
 
 FLAGSHIP = "retitioning nterti erstly"
 #: What the index's rows carry as their time here, so that results don't depend on the clock.
 INDEXED_AT = "2024-03-01 00:00:00"
 SYNONYMS = {"retitioning": ["nterti", "erstly", "and"], "thion": ["thint"], "ening": ["erin", "inging"]}
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,13 +31,21 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(terms, docs) of all posts: tokenized once, both tables persisted for the session."""
+def store(spark: SparkSession, sf_dir: str) -> IndexStore:
+    """The stored index of all posts, written once for a session."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _INDEXES:
-        tokens = indexing.tokenized(src.posts(spark, sf_dir)).persist()
-        _INDEXES[key] = indexing.index_terms(tokens).persist(), indexing.index_docs(tokens, F.lit(INDEXED_AT).cast("timestamp")).persist()
-    return _INDEXES[key]
+        path = f"{scratch(spark)}/index"
+        tokens = materialised(indexing.tokenized(src.posts(spark, sf_dir)))
+        IndexStore(spark, path).write(indexing.index_terms(tokens), indexing.index_docs(tokens, F.lit(INDEXED_AT).cast("timestamp")))
+        _INDEXES[key] = path
+    return IndexStore(spark, _INDEXES[key])
+
+
+def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, docs) of the stored index, whole."""
+    found = store(spark, sf_dir)
+    return found.terms(), found.docs()
 
 
 def joined(tokens) -> list:
@@ -109,7 +117,7 @@ def sentence_trim(spark, sf_dir):
 
 @query
 def index_terms(spark, sf_dir):
-    return index(spark, sf_dir)[0]
+    return index(spark, sf_dir)[0].drop("post_type", "doc_length")
 
 
 @query
@@ -124,7 +132,7 @@ def corpus_stats(spark, sf_dir):
 
 @query
 def index_status(spark, sf_dir):
-    status = indexing.index_status(*index(spark, sf_dir))
+    status = indexing.status_of(store(spark, sf_dir))
     return status.select("total_docs", F.round("avgdl", 6).alias("avgdl"), "term_rows", "unique_terms", F.date_format("last_indexed", "yyyy-MM-dd HH:mm:ss").alias("last_indexed"), "limited_mode")
 
 
@@ -196,13 +204,21 @@ def bm25_weights(spark, sf_dir):
 
 @query
 def bm25_terms(spark, sf_dir):
-    terms, docs = index(spark, sf_dir)
-    rows = sr.matched_rows(sr.query_terms(src.one_query(spark, FLAGSHIP)), terms, docs)
+    batch = sr.prepared(src.one_query(spark, FLAGSHIP))
+    rows = sr.matched_rows(batch, sr.stored(store(spark, sf_dir), batch))
     return rows.select("post_id", "term", "df", F.round("term_score", 6).alias("term_score"))
 
 
 def _hits(spark, sf_dir, queries, expand=None):
-    return sr.search(queries, *index(spark, sf_dir), expand)
+    batch = sr.prepared(queries, expand)
+    return sr.ranked(batch, sr.stored(store(spark, sf_dir), batch))
+
+
+def _pages(spark, sf_dir, queries):
+    """Hydrated hits: what is asked of the batch is decided once, for ranking, matched terms and pages."""
+    batch = sr.prepared(queries)
+    found = sr.stored(store(spark, sf_dir), batch)
+    return sr.hydrate(sr.matched_terms(sr.ranked(batch, found), batch, found.terms), src.posts(spark, sf_dir), batch)
 
 
 @query
@@ -231,9 +247,7 @@ def bm25_synonyms(spark, sf_dir):
 
 
 def _hydrated(spark, sf_dir):
-    queries = src.query_batch(spark, sf_dir)
-    hits = sr.matched_terms(_hits(spark, sf_dir, queries), queries, index(spark, sf_dir)[0])
-    return sr.hydrate(hits, src.posts(spark, sf_dir), queries)
+    return _pages(spark, sf_dir, src.query_batch(spark, sf_dir))
 
 
 @query
@@ -243,9 +257,7 @@ def bm25_hydrated(spark, sf_dir):
 
 @query
 def excerpt_last_occurrence(spark, sf_dir):
-    queries = src.one_query(spark, FLAGSHIP)
-    hits = sr.matched_terms(_hits(spark, sf_dir, queries), queries, index(spark, sf_dir)[0])
-    return sr.hydrate(hits, src.posts(spark, sf_dir), queries).select("post_id", "excerpt")
+    return _pages(spark, sf_dir, src.one_query(spark, FLAGSHIP)).select("post_id", "excerpt")
 
 
 @query
@@ -454,7 +466,7 @@ def retrieve_topk(spark, sf_dir):
     short = F.when(F.col("query_id") % 5 == 2, F.lit("the")).when(F.col("query_id") % 7 == 3, F.lit("zzzzzz qqqqqq")).otherwise(F.col("query"))
     asked = asked.withColumn("query", short)
     posts = src.posts(spark, sf_dir)
-    hits = sr.hydrate(sr.matched_terms(_hits(spark, sf_dir, asked), asked, index(spark, sf_dir)[0]), posts, asked)
+    hits = _pages(spark, sf_dir, asked)
     corpus = snapshot.build_corpus(posts)
     return retrieval.retrieve(asked, hits, corpus, posts, 3).select("query_id", "rank", "source", "id", "title", "url")
 

@@ -33,9 +33,18 @@ def _first_words(value: Column, n: int) -> Column:
     return F.array_join(F.slice(F.array_remove(F.split(tx.text_of(value), r"\s+"), ""), 1, n), " ")
 
 
+def dealt(table: DataFrame, key: str) -> DataFrame:
+    """A table whose files give fewer tasks than two for each core, dealt out by its key; any other as it is.
+
+    A small table is often one row group, which one task would tokenize alone. Only tables of that size are moved.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * cores, key) if table.rdd.getNumPartitions() < 2 * cores else table
+
+
 def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as posts of type post."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     return d.select(
         F.col("doc_id").alias("post_id"),
         F.lit("post").alias("post_type"),
@@ -52,7 +61,7 @@ def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages table as posts of type page."""
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    p = dealt(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
     return p.select(
         (F.col("page_id") + 1_000_000).alias("post_id"),
         F.lit("page").alias("post_type"),

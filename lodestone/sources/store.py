@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("post_id", T.LongType()), *(T.StructField(f"tf_{f}", T.IntegerType()) for f in ("title", "excerpt", "content"))])
-DOCS = T.StructType([T.StructField("post_id", T.LongType()), T.StructField("post_type", T.StringType()), T.StructField("doc_length", T.IntegerType()), T.StructField("indexed_at", T.TimestampType())])
-VERSION = 2
+_POST = [T.StructField("post_type", T.StringType()), T.StructField("doc_length", T.IntegerType())]
+TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("post_id", T.LongType()), *(T.StructField(f"tf_{f}", T.IntegerType()) for f in ("title", "excerpt", "content")), *_POST])
+DOCS = T.StructType([T.StructField("post_id", T.LongType()), *_POST, T.StructField("indexed_at", T.TimestampType())])
+#: The terms of a document, by which a change takes it out of the frequencies.
+WITH_TERMS = T.StructType([*DOCS.fields, T.StructField("terms", T.ArrayType(T.StringType()))])
+FREQUENCIES = T.StructType([T.StructField("term", T.StringType()), T.StructField("post_type", T.StringType()), T.StructField("df", T.LongType())])
+VERSION = 3
 #: Directories that the term table is spread over by a hash of the term; a look-up reads those of its terms only.
 TERM_BUCKETS = 64
 #: Tasks that the postings of one term are spread over when they are written.
@@ -44,7 +48,11 @@ def materialised(df: DataFrame) -> DataFrame:
 
 
 class IndexStore:
-    """Segments of two Parquet tables under a folder, named by a pointer: a base and what changed since.
+    """Segments of three Parquet tables under a folder, named by a pointer: a base and what changed since.
+
+    Terms are the postings, documents the forward index, frequencies the number of documents by term and type. A segment's
+    frequencies are what it changed: its own documents, less the ones that it hid. Their sum over the segments counts the
+    index as it stands, as do the totals in the pointer, so that ranking reads the postings of its terms and nothing else.
 
     A write adds a segment with the rows of the posts that it touched, and hides these posts in the segments before it; a
     write beyond SEGMENTS merges all into one. The pointer is a file of its own for each version, renamed into place, and
@@ -87,40 +95,49 @@ class IndexStore:
 
     def state(self) -> dict[str, Any]:
         """The pointer: segments in the order of their writes, and those that the last write left behind."""
-        state = self.get("index", {"version": VERSION, "next": 1, "segments": [], "dropped": []})
+        state = self.get("index", {"version": VERSION, "next": 1, "segments": [], "dropped": [], "totals": [0, 0]})
         if state["version"] != VERSION:
             raise ValueError(f"the index has schema version {state['version']}; rebuild it for {VERSION}")
         return state
 
-    def _write(self, n: int, terms: DataFrame, docs: DataFrame, touched: DataFrame | None) -> None:
+    def _write(self, n: int, terms: DataFrame, docs: DataFrame, touched: DataFrame | None, totals: list[int]) -> list[int]:
+        """Writes segment n; the totals with it, given those without."""
         # a term that a third of all posts hold is written by TERM_TASKS tasks
         spread = terms.select(*TERMS.fieldNames(), term_bucket("term").alias("bucket")).repartition("bucket", "term", F.pmod(F.xxhash64("post_id"), F.lit(TERM_TASKS)))
         spread.sortWithinPartitions("bucket", "term", "post_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms-{n}")
-        docs.select(*DOCS.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/docs-{n}")
+        docs.select(*WITH_TERMS.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/docs-{n}")
+        new = self.spark.read.schema(WITH_TERMS).parquet(f"{self.path}/docs-{n}")
+        counted = new.withColumn("sign", F.lit(1))
         if touched is not None:
             touched.select("post_id").distinct().write.mode("overwrite").parquet(f"{self.path}/touched-{n}")
-
-    def _point(self, state: dict[str, Any], segments: list[int]) -> None:
+            hidden = self._read("docs", WITH_TERMS).join(self.spark.read.schema(TOUCHED).parquet(f"{self.path}/touched-{n}"), "post_id", "left_semi")
+            counted = counted.unionByName(hidden.withColumn("sign", F.lit(-1)))
+        by_term = counted.select("post_type", "sign", F.explode("terms").alias("term")).groupBy("term", "post_type").agg(F.sum("sign").alias("df")).where("df <> 0")
+        ordered = by_term.withColumn("bucket", term_bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term")
+        ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/df-{n}")
+        docs_more, length_more = counted.agg(F.coalesce(F.sum("sign"), F.lit(0)), F.coalesce(F.sum(F.col("sign") * F.col("doc_length")), F.lit(0))).first()
+        return [totals[0] + docs_more, totals[1] + length_more]
+
+    def _point(self, state: dict[str, Any], segments: list[int], totals: list[int]) -> None:
         left = [n for n in state["segments"] if n not in segments]
-        self.put("index", {"version": VERSION, "next": state["next"] + 1, "segments": segments, "dropped": left})
+        self.put("index", {"version": VERSION, "next": state["next"] + 1, "segments": segments, "dropped": left, "totals": totals})
         for n in state["dropped"]:
-            for table in ("terms", "docs", "touched"):
+            for table in ("terms", "docs", "touched", "df"):
                 self._fs.delete(self._path(f"{self.path}/{table}-{n}"), True)
 
     def write(self, terms: DataFrame, docs: DataFrame) -> None:
-        """Replaces both tables."""
+        """Replaces the index. docs come with their terms."""
         state = self.state()
-        self._write(state["next"], terms, docs, None)
-        self._point(state, [state["next"]])
+        self._point(state, [state["next"]], self._write(state["next"], terms, docs, None, [0, 0]))
 
     def append(self, terms: DataFrame, docs: DataFrame, touched: DataFrame) -> None:
         """Adds the rows of the posts in touched; those that they had go. Writes what changed, not the index."""
         state = self.state()
         if len(state["segments"]) >= SEGMENTS:
-            self.write(self.terms(), self.docs())
+            self.write(self.terms(), self._read("docs", WITH_TERMS))
             state = self.state()
-        self._write(state["next"], terms, docs, touched)
-        self._point(state, [*state["segments"], state["next"]])
+        totals = self._write(state["next"], terms, docs, touched, state["totals"])
+        self._point(state, [*state["segments"], state["next"]], totals)
 
     def _read(self, table: str, schema: T.StructType, wanted=None) -> DataFrame:
         segments = self.state()["segments"]
@@ -140,11 +157,29 @@ class IndexStore:
         stored = T.StructType([*TERMS.fields, T.StructField("bucket", T.IntegerType())])
         if wanted is None:
             return self._read("terms", stored).drop("bucket")
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "t string").select(term_bucket("t")).distinct().collect()] or [-1]
-        return self._read("terms", stored, lambda rows: rows.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))).drop("bucket")
+        return self._read("terms", stored, self._of(wanted)).drop("bucket")
+
+    def _of(self, wanted: list[str]):
+        """Confines a scan to the buckets of some terms, and to these inside them. The hash of constants is one, so the scan's partition filters have it and no job runs for it."""
+        places = F.array(*(term_bucket(F.lit(t)) for t in wanted)) if wanted else F.array(F.lit(-1))
+        return lambda rows: rows.where(F.array_contains(places, F.col("bucket")) & F.col("term").isin(*wanted))
+
+    def frequencies(self, wanted: list[str] | None = None) -> DataFrame:
+        """(term, post_type, df) of all terms, or of the wanted ones, whose buckets alone are read."""
+        stored, rows = T.StructType([*FREQUENCIES.fields, T.StructField("bucket", T.IntegerType())]), self.spark.createDataFrame([], FREQUENCIES)
+        for at, n in enumerate(self.state()["segments"]):
+            own = self.spark.read.schema(stored).parquet(f"{self.path}/df-{n}")
+            own = (own if wanted is None else self._of(wanted)(own)).drop("bucket")
+            rows = rows.unionByName(own) if at else own
+        return rows.groupBy("term", "post_type").agg(F.sum("df").alias("df")).where("df > 0")
+
+    def totals(self) -> tuple[int, int]:
+        """The number of documents, and the sum of their lengths."""
+        docs, length = self.state()["totals"]
+        return docs, length
 
     def docs(self) -> DataFrame:
         return self._read("docs", DOCS)
 
     def truncate(self) -> None:
-        self.write(self.spark.createDataFrame([], TERMS), self.spark.createDataFrame([], DOCS))
+        self.write(self.spark.createDataFrame([], TERMS), self.spark.createDataFrame([], WITH_TERMS))

@@ -67,7 +67,7 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed.unionByName(removed).write.parquet(f"{folder}/changes")
     feed = spark.readStream.schema(spark.read.parquet(f"{folder}/changes").schema).option("maxFilesPerTrigger", 100).parquet(f"{folder}/changes")
     maintain(feed, store, f"{folder}/state").awaitTermination()
-    status = indexing.index_status(store.terms(), store.docs())
+    status = indexing.status_of(store)
     return status.select("total_docs", F.round("avgdl", 6).alias("avgdl"), "term_rows", "unique_terms")
 
 

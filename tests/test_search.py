@@ -44,8 +44,9 @@ def test_synonyms_find_and_late_content_is_indexed(spark):
     query = one_query(spark, "cafe timings")
     assert [h.post_id for h in sr.search(query, terms, docs).collect()] == [1]
     expand = synonyms.expander(CAFE)
-    hits = sr.matched_terms(sr.search(query, terms, docs, expand), query, terms, expand)
-    found = {r.post_id: r for r in sr.hydrate(hits, posts, query).collect()}
+    batch = sr.prepared(query, expand)
+    hits = sr.matched_terms(sr.ranked(batch, sr.of_tables(terms, docs, batch)), batch, terms)
+    found = {r.post_id: r for r in sr.hydrate(hits, posts, batch).collect()}
     assert set(found) == {1, 2} and "Our HoursTuesday 7:00 AM" in found[2].excerpt and found[2].excerpt.startswith("...")
 
 
@@ -106,7 +107,52 @@ def test_incremental_maintenance_equals_a_rebuild(spark):
     now = {r[0]: r for r in rows} | {r[0]: r for r in new}
     want = indexed(frame(spark, list(now.values())))
     assert sorted(map(tuple, got[0].collect())) == sorted(map(tuple, want[0].collect()))
-    assert sorted(map(tuple, got[1].drop("indexed_at").collect())) == sorted(map(tuple, want[1].drop("indexed_at").collect()))
+    assert sorted(map(tuple, got[1].drop("indexed_at", "terms").collect())) == sorted(map(tuple, want[1].drop("indexed_at", "terms").collect()))
+
+
+def test_frequencies_and_totals_follow_every_change(spark, engine, monkeypatch):
+    """What is kept with the segments equals a full recount after each kind of change, and through a merge."""
+    from lodestone.sources import store
+
+    monkeypatch.setattr(store, "SEGMENTS", 3)
+
+    def recounted():
+        terms, docs = engine.store.terms(), engine.store.docs()
+        df = {(r.term, r.post_type): r["count"] for r in terms.groupBy("term", "post_type").count().collect()}
+        assert {(r.term, r.post_type): r.df for r in engine.store.frequencies().collect()} == df
+        assert engine.store.totals() == (docs.count(), docs.agg(F.coalesce(F.sum("doc_length"), F.lit(0))).first()[0])
+        assert indexing.status_of(engine.store).first().asDict() == indexing.index_status(terms, docs).first().asDict()
+
+    recounted()
+    engine.rebuild()
+    recounted()
+    for n in range(5):
+        engine.index(frame(spark, [(2, ["post", "page"][n % 2], "publish", f"round {n}", "espresso"), (1, "post", ["publish", "draft"][n % 2], "x", "catering"), (10 + n, "post", "publish", "new", "bar")]))
+        recounted()
+    engine.remove([10, 11, 999])
+    recounted()
+    assert {r.df for r in engine.store.frequencies(["bar"]).collect()} == {3}
+
+
+def test_registered_search_reads_its_terms_only(spark):
+    """Ranking reads the stored postings and frequencies of its terms' buckets; no documents, and no job to plan it but one for the terms."""
+    import os
+
+    from lodestone.plans import queries
+    from lodestone.sources.store import TERM_BUCKETS
+
+    sf = "/root/testdata/sf0.001"
+    queries.store(spark, sf)
+    df = queries.bm25_search(spark, sf)
+    files = [f for f in df.inputFiles() if "/terms-" in f or "/df-" in f or "/docs-" in f]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert files and not any("/docs-" in f for f in files)
+    buckets = {os.path.basename(os.path.dirname(f)) for f in files}
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and ("/terms-" in line or "/df-" in line)]
+    assert len(scans) == 2 and all("PartitionFilters: [" in s and "array_contains" in s and "In(term" in s for s in scans)
+    read = spark.read.parquet(f"{queries.store(spark, sf).path}/terms-1").where(F.col("term").isin(queries.FLAGSHIP.split())).select("bucket").distinct().count()
+    assert read <= 3 < TERM_BUCKETS and len(buckets) <= TERM_BUCKETS
+    assert "BroadcastNestedLoopJoin" not in plan and "Cartesian" not in plan
 
 
 def test_search_requests_are_guarded_and_limited(engine):
