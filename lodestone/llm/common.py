@@ -73,10 +73,12 @@ class Tables:
         release_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        """Drops all tables written so far."""
-        before, self.paths = self.paths, []
-        for path in before:
+    def drop(self, *but: DataFrame) -> None:
+        """Drops all tables written so far, but for those that `but` read."""
+        read = {os.path.basename(os.path.dirname(f)) for df in but for f in df.inputFiles()}
+        gone = [path for path in self.paths if os.path.basename(path) not in read]
+        self.paths = [path for path in self.paths if path not in gone]
+        for path in gone:
             drop_folder(self.spark, path)
 
     def last(self, df: DataFrame, *by: str) -> DataFrame:

@@ -15,7 +15,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Tables, map_batches, utf8, workers_ready
@@ -31,6 +31,8 @@ MANY, FEW = 512, 640
 DEVIATIONS = 5.5
 #: Texts of a posting list that are compared at once, with each other or with as many others.
 BLOCK = 2048
+#: Rounds in which a list's texts meet one of them, before those that are still apart meet each other.
+STARS = 3
 
 _RANDOM = np.random.default_rng(42)
 _ADD = _RANDOM.integers(0, 1 << 64, POSITIONS, "u8")
@@ -167,19 +169,24 @@ def _paired(rest: DataFrame, least: int) -> DataFrame:
     return met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "src long, dst long")
 
 
+def name_of(text: str) -> Column:
+    """128 bits by which texts are told apart: equal texts have equal names, and null has its own."""
+    return F.coalesce(F.unhex(F.md5(utf8(text))), F.lit(b""))
+
+
 def rooted(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, first, root) for each different text of docs: its hash, its smallest doc_id, and the name of its component.
+    """(name, first, root) for each different text of docs: its name, its smallest doc_id, and a number for its component.
 
-    Equal texts are one node, null ones too. Within each posting list the smallest node is compared with all others, and
-    then any two that no link joins yet; what is joined already needs no comparison, so a large group of near copies costs
-    its size, not its square.
+    Equal texts are one node, null ones too. Within each posting list one node is compared with all others, and in further
+    rounds another of those that no link joins to the first; then any two that are still apart. What is joined already
+    needs no comparison, so a large group of near copies costs its size, not its square.
     """
     tables, least = Tables(docs.sparkSession), least_tally(percent)
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), utf8("text").alias("b"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name_of("text").alias("name"), utf8("text").alias("b"))
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = [sketches(shingles(t, width)) for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(x), pa.binary()) for x in zip(*both, strict=True))], names=["doc_id", "node", "full", "parts"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(x), pa.binary()) for x in zip(*both, strict=True))], names=["doc_id", "name", "full", "parts"])
 
     def post(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [(way, i, s) for way in (0, 1) for i, s in enumerate(batch.column(1 + way).to_pylist()) if s is not None]
@@ -187,45 +194,59 @@ def rooted(docs: DataFrame, width: int, percent: int) -> DataFrame:
         found = np.concatenate([keys(s, way) for way, _, s in own]) if own else np.zeros(0, "i8")
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(found)], names=["node", "key"])
 
-    sketched = tables.write(map_batches(named, "doc_id long, node long, full binary, parts binary", sketch))
-    nodes = tables.write(sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("full").alias("full"), F.any_value("parts").alias("parts")))
+    sketched = tables.write(map_batches(named, "doc_id long, name binary, full binary, parts binary", sketch))
+    texts_of = sketched.groupBy("name").agg(F.min("doc_id").alias("first"), F.any_value("full").alias("full"), F.any_value("parts").alias("parts"))
+    nodes = tables.write(texts_of.withColumn("node", F.monotonically_increasing_id()))  # numbers for names, fixed as they are written
     posts = map_batches(nodes.select("node", "full", "parts"), "node long, key long", post)
     shared = tables.write(posts.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center"))
     lists = tables.write(posts.join(shared, "key"))
-    texts = tables.write(named.join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "b"))
-
-    stars = lists.where("node <> center").select(F.col("center").alias("src"), F.col("node").alias("dst")).distinct()
-    links = tables.write(_verified(_tallied(stars, nodes, least), texts, width, percent))
-    roots = connected_components(links)
-    labelled = lists.join(roots, "node", "left").select("key", "node", "center", F.coalesce("root", "node").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    rest = labelled.where("node <> center").join(split, "key", "left_semi").join(nodes.select("node", "full", "parts"), "node")
+    posted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("name", "node")
+    texts = tables.write(named.join(posted, "name").dropDuplicates(["node"]).select("node", "b"))
+
+    links, rest, roots = None, lists, None
+    for turn in range(STARS):
+        apart = rest if turn == 0 else rest.where("label <> center_label")  # a center's own component is joined to it
+        stars = apart.where("node <> center").select(F.col("center").alias("src"), F.col("node").alias("dst")).distinct()
+        found = tables.write(_verified(_tallied(stars, nodes, least), texts, width, percent))
+        links = found if links is None else links.unionByName(found)
+        roots = connected_components(links, tables)
+        met = rest.where("node <> center").select("key", "node", F.col("center").alias("before"))
+        every = met.unionByName(met.select("key", F.col("before").alias("node"), "before").distinct())
+        labelled = every.join(roots, "node", "left").select("key", "node", "before", F.coalesce("root", "node").alias("label"))
+        # the next center is any of those that are apart from this one; the lists of one component are done with
+        ahead = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")
+        own = labelled.where(F.col("node") == F.col("before")).select("key", F.col("label").alias("of"))
+        centers = labelled.where(F.col("node") != F.col("before")).join(own, "key").where("label <> of").groupBy("key").agg(F.min(ahead).alias("c"))
+        left = labelled.where(F.col("node") != F.col("before")).join(centers, "key")
+        rest = tables.write(left.select("key", "node", "label", F.col("c.node").alias("center"), F.col("c.label").alias("center_label")))
+        if rest.isEmpty():
+            break
     by_way = F.when(F.shiftrightunsigned("key", 48) == 0, F.col("full")).otherwise(F.col("parts"))
-    rest = tables.write(rest.select("key", "node", "label", by_way.alias("sketch")))
+    rest = tables.write(rest.join(nodes.select("node", "full", "parts"), "node").select("key", "node", "label", by_way.alias("sketch")))
     more = tables.write(_verified(_paired(rest, least).distinct(), texts, width, percent))
     if not more.isEmpty():
-        roots = connected_components(links.unionByName(more))
+        roots = connected_components(links.unionByName(more), tables)
 
-    return tables.last(nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    return tables.last(nodes.select("node", "name", "first").join(roots, "node", "left").select("name", "first", F.coalesce("root", "node").alias("root")))
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, component_id) for each row of docs: component_id is the smallest doc_id that links reach, null if none has one."""
     named = rooted(docs, width, percent)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"))
-    return own.join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name_of("text").alias("name"))
+    return own.join(named.join(smallest, "root").select("name", "component_id"), "name").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each component: that of the smallest doc_id, then of the smallest hash of its text.
+    """One row of docs for each component: that of the smallest doc_id, then of the smallest name of its text.
 
     Rows without a doc_id come last. Of rows with one doc_id and one text that with the smallest other columns stays.
     """
     named = rooted(docs, width, percent)
-    order = F.struct(F.col("first").isNull().alias("unnamed"), "first", "node")
-    chosen = named.groupBy("root").agg(F.min(order).alias("at")).select(F.col("at.node").alias("__node"), F.col("at.first").alias("__first"))
-    own = docs.withColumn("__node", F.xxhash64("text")).join(chosen, "__node").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
+    order = F.struct(F.col("first").isNull().alias("unnamed"), "first", "name")
+    chosen = named.groupBy("root").agg(F.min(order).alias("at")).select(F.col("at.name").alias("__node"), F.col("at.first").alias("__first"))
+    own = docs.withColumn("__node", name_of("text")).join(chosen, "__node").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = own.groupBy("__node").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"), F.min(F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in others))).alias("__others"))
     return rows.select(*(F.col(f"__others.`{c}`") if c in others else F.col(c) for c in docs.columns))

@@ -56,6 +56,23 @@ def test_the_stage_links_what_a_jaccard_brute_force_links(spark, monkeypatch, bl
     assert kept_of(spark, docs) == want
 
 
+def test_a_large_group_of_near_copies_makes_links_by_its_size(spark, monkeypatch):
+    """Texts around one original, many of them not similar enough to any one center: few pairs meet once three of them were one."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(rng.choice([1, 4, 9, 11])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    met = []
+    paired = near_copies._paired
+    monkeypatch.setattr(near_copies, "_paired", lambda rest, least: met.append(paired(rest, least).count()) or paired(rest, least))
+    assert kept_of(spark, docs) == plain_kept(docs)
+    assert sum(met) <= len(docs) ** 2 / 20  # a tenth of all pairs
+
+
 def test_rows_that_share_or_lack_a_doc_id(spark):
     texts = ["one two three four five six", "quite another text than that", "and a third one of these here"]
     rows = [(1, texts[0], "b"), (1, texts[0], "a"), (1, texts[1], "c"), (None, texts[0], "d"), (None, texts[2], "f"), (None, texts[2], "e"), (9, texts[1].upper(), "g")]
