@@ -20,6 +20,8 @@ from lodestone.llm.common import Tables, broadcast_if_small
 RAREST = 2
 #: What separates words once A-Z are lower-cased: ASCII but for digits and a-z.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Candidates of a document that a row holds, about: a text of one word repeated has as many as words.
+CANDIDATES = 4096
 _MATCHES = "array<struct<item_id:string,from:int,width:int>>"
 
 
@@ -32,13 +34,13 @@ def words(text: Column) -> Column:
 def item_windows(items: DataFrame, window: int) -> DataFrame:
     """(item_key, item_id, start, width, own) for each window of each item, own its words; an item of fewer words, but not none, is one window.
 
-    Rows grow with the items' words: none holds more than a window.
+    Windows of an item that have the same words are one. Rows grow with the items' words: none holds more than a window.
     """
     n = F.size("item")
     named = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item")).where(n > 0)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("start")
     cut = named.select(F.xxhash64("item_id", "item").alias("item_key"), "item_id", "item", F.least(F.lit(window), n).alias("width"), starts)
-    return cut.select("item_key", "item_id", "start", "width", F.slice("item", F.col("start") + 1, F.col("width")).alias("own")).dropDuplicates(["item_key", "start"])
+    return cut.select("item_key", "item_id", "start", "width", F.slice("item", F.col("start") + 1, F.col("width")).alias("own")).dropDuplicates(["item_key", "own"])
 
 
 def _term_bytes() -> Column:
@@ -114,37 +116,47 @@ def _near(hits: DataFrame, chosen: DataFrame, windows: DataFrame, slop: int, mis
     return start.join(known, ["item_key", "start"]).select("rid", "item_id", "from", "own")
 
 
-def _same(c: Column) -> Column:
-    """Whether the candidate's words stand at their places."""
-    return F.when(c["from"] >= 0, F.slice("words", c["from"] + 1, F.size(c["own"])) == c["own"]).otherwise(F.lit(False))
+def _at(words: Column, place: Column, word: Column) -> Column:
+    """Whether a word stands at a place, which may lie outside. A look-up of one word, however long the document is."""
+    return F.coalesce(F.get(words, place) == word, F.lit(False))
 
 
-def _close(c: Column, window: int, slop: int, missing: int) -> Column:
-    """Whether the candidate's words, all but `missing` of a whole window, stand within slop of their places."""
+def _same(words: Column, c: Column) -> Column:
+    """Whether the candidate's words stand at their places."""
+    return F.forall(F.transform(c["own"], lambda word, k: _at(words, c["from"] + k, word)), lambda x: x)
 
-    def stands(word: Column, k: Column) -> Column:
-        low = F.greatest(c["from"] + k - slop, F.lit(0))
-        n = c["from"] + k + slop - low + 1
-        return F.when(n > 0, F.array_contains(F.slice("words", low + 1, n), word)).otherwise(F.lit(False))
 
-    lacks = F.size(c["own"]) - F.size(F.filter(F.transform(c["own"], stands), lambda x: x))
-    return lacks <= F.when(F.size(c["own"]) == window, missing).otherwise(0)
+def _close(words: Column, c: Column, window: int, slop: int, missing: int) -> Column:
+    """Whether the candidate's words, all but `missing` of a whole window, stand within slop of their places."""
+    off = F.array(*(F.lit(d) for d in range(-slop, slop + 1)))
+    stands = F.transform(c["own"], lambda word, k: F.exists(off, lambda d: _at(words, c["from"] + k + d, word)))
+    return F.size(F.filter(stands, lambda x: ~x)) <= F.when(F.size(c["own"]) == window, missing).otherwise(0)
 
 
 def _confirmed(posted: DataFrame, found: DataFrame, few: bool, tables: Tables, **good) -> DataFrame:
     """(rid, and for each name of good an array of (item_id, from, width)) of the candidates found (rid, item_id, from, own) for which good holds.
 
-    Rows that have a match are few: they are broadcast behind a check of their size, else joined by a shuffle. Rows that
-    have a candidate may be told to be `few`; else their number follows the corpus, and they are always shuffled.
+    A document's candidates are rows of at most about CANDIDATES. Rows that have a match are few: they are broadcast behind
+    a check of their size, else joined by a shuffle. Rows that have a candidate may be told to be `few`; else their number
+    follows the corpus, and they are always shuffled.
     """
-    by_row = tables.write(found.groupBy("rid").agg(F.collect_set(F.struct("item_id", F.col("from").cast("int").alias("from"), "own")).alias("c")))
+    each_once = tables.write(found.select("rid", "item_id", F.col("from").cast("int").alias("from"), "own").distinct())
+    many = each_once.groupBy("rid").agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("item_id", "from"), F.col("parts")), F.lit(0))
+    dealt = each_once.join(broadcast_if_small(many, F.lit(32)), "rid", "left").withColumn("part", part)
+    by_row = tables.write(dealt.groupBy("rid", "part").agg(F.collect_list(F.struct("item_id", "from", "own")).alias("c")).drop("part"))
     weight = F.octet_length(F.array_join(F.flatten(F.col("c.own")), "")) + F.size("c") * 96 + 32
     by_row = broadcast_if_small(by_row, weight) if few else by_row.hint("merge")
     named = lambda c: F.struct(c["item_id"].alias("item_id"), c["from"].alias("from"), F.size(c["own"]).alias("width"))
-    each = [F.transform(F.filter("c", holds), named).alias(name) for name, holds in good.items()]
-    kept = posted.select("rid", "n_words", "words").join(by_row, "rid").select("rid", _postings().alias("words"), "c").select("rid", *each)
+
+    def those(holds) -> Column:  # the words are split once for all candidates of a row
+        return F.get(F.transform(F.array(_postings()), lambda ws: F.transform(F.filter("c", lambda c: holds(ws, c)), named)), F.lit(0))
+
+    each = [those(holds).alias(name) for name, holds in good.items()]
+    kept = posted.select("rid", "n_words", "words").join(by_row, "rid").select("rid", *each)
     n = sum((F.size(name) for name in good), F.lit(0))
-    return broadcast_if_small(tables.write(kept.where(n > 0)), n * 64 + 32)
+    whole = tables.write(kept.where(n > 0)).groupBy("rid").agg(*(F.flatten(F.collect_list(name)).alias(name) for name in good))
+    return broadcast_if_small(tables.write(whole), n * 64 + 32)
 
 
 def matched(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, missing: int = 0, keep: list[str] | None = None) -> DataFrame:
@@ -162,7 +174,8 @@ def matched(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | Non
     if slop is None:
         found = _confirmed(posted, _exact(hits, chosen, windows), True, tables, matches=_same)
     else:  # an exact match is a near one, so both come from one list
-        found = _confirmed(posted, _near(hits, chosen, windows, slop, missing), False, tables, matches=_same, near=lambda c: _close(c, window, slop, missing))
+        found = _confirmed(posted, _near(hits, chosen, windows, slop, missing), False, tables, matches=_same, near=lambda ws, c: _close(ws, c, window, slop, missing))
+    tables.drop(posted, found)
     none = F.array().cast(_MATCHES)
     both = posted.select("row", "rid", "n_words").join(found, "rid", "left")
     return both.select("row", "n_words", F.coalesce("matches", none).alias("matches"), (none if slop is None else F.coalesce("near", none)).alias("near"))

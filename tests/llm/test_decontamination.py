@@ -127,3 +127,33 @@ def test_proximity_finds_a_phrase_with_an_inserted_or_replaced_word(spark):
 def test_covered_counts_each_position_once(spark):
     m = "array(named_struct('from', 2, 'width', 3), named_struct('from', 4, 'width', 2))"
     assert spark.range(1).select(F.sort_array(dc.covered(F.expr(m)))).first()[0] == [2, 3, 4, 5]
+
+
+def test_repeated_words_cost_their_number(spark):
+    """A text of one word: a window for each content, a look-up for each place, and rows of bounded candidates."""
+    docs = [(1, "ha " * 20_000), (2, "ha ha no " * 3_000), (3, "ho " * 50), (4, "ha " * 9)]
+    items = [(7, "ha " * 400), (8, "ha ha no " * 40), (9, "ho " * 3)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert dc.item_windows(b, 10).count() == 5
+    got = {r.doc_id: r for r in dc.query(d, b).collect()}
+    assert {i: (r.n_hit, r.n_items) for i, r in got.items()} == {1: (20_000, 1), 2: (9_000, 1), 3: (50, 1), 4: (0, 0)}
+
+
+def test_candidates_in_several_rows_give_the_same(spark, monkeypatch):
+    docs, items = tables()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, dc.query(d, b, 3).collect()), key=str)
+    monkeypatch.setattr(dc, "CANDIDATES", 2)
+    assert sorted(map(tuple, dc.query(d, b, 3).collect()), key=str) == want
+
+
+def test_intermediate_tables_are_dropped(spark, tmp_path):
+    import os
+
+    from lodestone.llm.common import checkpoint_folder
+
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    docs, items = tables()
+    dc.query(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(set(os.listdir(folder)) - before) <= 2  # the index and the matches, which the result reads
