@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, EngineConfig
 from lodestone.functions import text as tx
-from lodestone.operators.search import small
+from lodestone.operators import substrings
 from lodestone.operators.snapshot import corpus_entries, newest
 from lodestone.sources.posts import published
 from lodestone.sources.store import materialised
@@ -30,23 +30,23 @@ def fallback_score(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     return asked.crossJoin(F.broadcast(hay)).select("query_id", "corpus_rank", "post_id", score.alias("score")).where("score > 0")
 
 
-def like_search(questions: DataFrame, posts: DataFrame, k: int, config: EngineConfig = DEFAULT) -> DataFrame:
+def like_search(questions: DataFrame, posts: DataFrame, k: int, config: EngineConfig = DEFAULT, index: substrings.SubstringIndex | None = None) -> DataFrame:
     """(query_id, rank, post_id): published posts that contain every word of the query in title, excerpt or content.
 
-    Posts with the whole query in the title come first, then the newest. Each post is read once, against the batch.
+    Posts with the whole query in the title come first, then the newest. Candidates come from a substring index, the given
+    one or one planned on the way; a query's other words are looked for in its candidates' texts.
     """
     query = F.lower(tx.collapse_spaces(tx.text_of(F.col("query"))))
-    # the longest words first: the ones that a post lacks most likely end the comparison
-    words = F.array_sort(F.array_distinct(F.split(query, " ")), lambda a, b: F.length(b) - F.length(a))
-    asked = small(questions.select("query_id", query.alias("whole"), words.alias("words")).where("whole <> ''"))
-    title = F.lower(tx.text_of(F.col("title")))
+    asked = questions.select("query_id", query.alias("whole"), F.array_distinct(F.split(query, " ")).alias("words")).where("whole <> ''")
+    found = substrings.candidates(asked, index or substrings.index(posts, config)).join(asked, "query_id")
     text = F.lower(F.concat_ws("\n", "title", "excerpt", "content"))
-    found = published(posts, config).select("post_id", "modified", title.alias("heading"), text.alias("text")).join(asked, F.forall("words", lambda w: F.contains(F.col("text"), w)))
+    dated = published(posts, config).select("post_id", "modified", F.lower(tx.text_of(F.col("title"))).alias("heading"), text.alias("text"))
     best = Window.partitionBy("query_id").orderBy(F.when(F.contains("heading", F.col("whole")), 0).otherwise(1), *newest())
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "post_id")
+    whole = found.join(dated, "post_id").where(F.forall("words", lambda w: F.contains(F.col("text"), w)))
+    return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "post_id")
 
 
-def retrieve(questions: DataFrame, hits: DataFrame, corpus: DataFrame, posts: DataFrame, k: int, config: EngineConfig = DEFAULT) -> DataFrame:
+def retrieve(questions: DataFrame, hits: DataFrame, corpus: DataFrame, posts: DataFrame, k: int, config: EngineConfig = DEFAULT, index: substrings.SubstringIndex | None = None) -> DataFrame:
     """(query_id, rank, source, id, title, url, excerpt): up to k pages for each question, from the first source that has any.
 
     The sources in order: search hits (hydrated), corpus entries by word overlap, platform search (only if a question has
@@ -70,7 +70,7 @@ def retrieve(questions: DataFrame, hits: DataFrame, corpus: DataFrame, posts: Da
     every, open_ = every.unionByName(by_words), left(open_, by_words)
     asked = open_.where(F.size(tx.fallback_tokenize(F.col("query"))) > 0)
     if not asked.isEmpty():
-        liked = materialised(like_search(asked, posts, k, config))
+        liked = materialised(like_search(asked, posts, k, config, index))
         entries = corpus_entries(posts.join(liked.select("post_id").distinct(), "post_id", "left_semi"))
         by_platform = page(liked.join(entries, "post_id"), "platform")
         every, open_ = every.unionByName(by_platform), left(open_, by_platform)

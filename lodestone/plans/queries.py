@@ -12,7 +12,7 @@ from lodestone.functions import color as cl
 from lodestone.functions import json_text as js
 from lodestone.functions import ranking as rk
 from lodestone.functions import text as tx
-from lodestone.operators import assistant, indexing, palette, retrieval, snapshot, synonyms
+from lodestone.operators import assistant, indexing, palette, retrieval, snapshot, substrings, synonyms
 from lodestone.operators import search as sr
 from lodestone.plans.cases import CTAS, PAGES, frame
 from lodestone.sources import posts as src
@@ -23,6 +23,7 @@ FLAGSHIP = "retitioning nterti erstly"
 INDEXED_AT = "2024-03-01 00:00:00"
 SYNONYMS = {"retitioning": ["nterti", "erstly", "and"], "thion": ["thint"], "ening": ["erin", "inging"]}
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SUBSTRINGS: dict[tuple[str, str], substrings.SubstringIndex] = {}
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
@@ -48,6 +49,14 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return found.terms(), found.docs()
 
 
+def platform(spark: SparkSession, sf_dir: str) -> substrings.SubstringIndex:
+    """The substring index of all posts, written once for a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _SUBSTRINGS:
+        _SUBSTRINGS[key] = substrings.written(substrings.index(src.posts(spark, sf_dir)))
+    return _SUBSTRINGS[key]
+
+
 def joined(tokens) -> list:
     return [F.size(tokens).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens_md5")]
 
@@ -456,7 +465,7 @@ def fallback_score(spark, sf_dir):
 @query
 def like_fallback(spark, sf_dir):
     b = src.query_batch(spark, sf_dir).withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 2), " "))
-    return retrieval.like_search(b, src.posts(spark, sf_dir), 3)
+    return retrieval.like_search(b, src.posts(spark, sf_dir), 3, index=platform(spark, sf_dir))
 
 
 @query
@@ -468,7 +477,7 @@ def retrieve_topk(spark, sf_dir):
     posts = src.posts(spark, sf_dir)
     hits = _pages(spark, sf_dir, asked)
     corpus = snapshot.build_corpus(posts)
-    return retrieval.retrieve(asked, hits, corpus, posts, 3).select("query_id", "rank", "source", "id", "title", "url")
+    return retrieval.retrieve(asked, hits, corpus, posts, 3, index=platform(spark, sf_dir)).select("query_id", "rank", "source", "id", "title", "url")
 
 
 # assistant
