@@ -54,6 +54,35 @@ def test_breaker_opens_and_closes(spark, tmp_path):
     assert [r.open for r in sorted(got, key=lambda r: r.event_id)] == [False, False, True, True, False, False]
 
 
+def test_late_events_meet_the_counter_as_it_stands(spark, tmp_path):
+    """An event of the second batch lies before those of the first, within the watermark: it counts, and time doesn't turn back."""
+    at = lambda s: START + timedelta(seconds=s)
+    batches = [[(1, 0, at(1000)), (1, 1, at(1100))], [(1, 2, at(900)), (1, 3, at(1699)), (1, 4, at(1750))], [(1, 5, at(2400))]]
+    got = run(spark, tmp_path, batches, "key long, event_id long, ts timestamp", lambda s: limits.rate_limited(s, "key", 3, 600))
+    # the third is allowed late; the counter's last event is still the one at 1100, so it lives until 1700
+    assert {r.event_id: (r.allowed, r.counted) for r in got} == {0: (True, 1), 1: (True, 2), 2: (True, 3), 3: (False, 3), 4: (True, 1), 5: (True, 1)}
+
+
+def test_state_is_readable_and_dropped_in_time(spark, tmp_path):
+    from lodestone.streaming.state import state_of
+
+    at = lambda s: START + timedelta(seconds=s)
+    batches = [[(1, 0, at(0)), (1, 1, at(10)), (2, 2, at(20))], [(2, 3, at(3000))], [(3, 4, at(3001))]]
+    run(spark, tmp_path, batches, "key long, event_id long, ts timestamp", lambda s: limits.rate_limited(s, "key", 3, 600))
+    left = {r.key: r.n for r in state_of(spark, str(tmp_path / "state"), "counter").collect()}
+    assert left == {2: 1, 3: 1}  # the first key's counter went with its timer
+
+
+def test_a_keys_batch_of_many_frames_is_in_order(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        events = [(1, i, START + timedelta(seconds=(i * 37) % 101)) for i in range(100)]
+        got = run(spark, tmp_path, [events], "key long, event_id long, ts timestamp", lambda s: limits.rate_limited(s, "key", 40, 600))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.event_id: r.allowed for r in got} == plain_limits(events, 40, 600)
+
+
 def test_conversations_expire(spark, tmp_path):
     at = lambda h: START + timedelta(hours=h)
     rows = [[(1, 0, "user", "a", at(0)), (1, 1, "assistant", "b", at(1))], [(1, 2, "user", "c", at(8))], [(1, 3, "system", "d", at(17))]]
