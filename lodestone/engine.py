@@ -17,6 +17,7 @@ from lodestone.operators import assistant, indexing, retrieval, snapshot, synony
 from lodestone.operators import search as sr
 from lodestone.sources.llm_port import LanguageModel, offline
 from lodestone.sources.posts import one_query, published
+from lodestone.sources.shared import SharedValues
 from lodestone.sources.store import TERMS, WITH_TERMS, IndexStore
 from lodestone.streaming.limits import Counter
 
@@ -53,7 +54,8 @@ CORPUS = "corpus_rank post_id title permalink excerpt last_modified post_type"
 class Engine:
     """posts is a function that gives the current posts; path a folder that the driver and all executors reach.
 
-    Limits and conversations of single interactive turns live in this object; for traffic of any size use the streams.
+    Limits and conversations of interactive turns are shared by all engines of one path; for traffic of any size use the
+    streams, whose state can be read as tables.
     """
 
     def __init__(
@@ -62,8 +64,9 @@ class Engine:
         self.spark, self.posts, self.config, self.llm, self.provider, self.retriever, self.clock = spark, posts, config, llm, provider, retriever, clock
         self.store = IndexStore(spark, path)
         self._intents: dict[str, str] = {}
-        self._counters: dict[str, Counter] = {}
-        self._conversations: dict[str, dict[str, Any]] = {}
+        shared = lambda name, ttl: SharedValues(spark, f"{self.store.path}/{name}", ttl, lambda: self.clock())
+        self._counters = shared("counters", 3_600)  # the longest life of a counter
+        self._conversations = shared("conversations", 28_800)
 
     # index
 
@@ -180,9 +183,8 @@ class Engine:
 
     def collect_garbage(self) -> None:
         """Forgets conversations and counters past their time, and intents beyond a bound."""
-        at = self.clock()
-        self._conversations = {k: c for k, c in self._conversations.items() if at - c["last_seen"] < 28_800}
-        self._counters = {k: c for k, c in self._counters.items() if c.at(int(at * 1_000_000))}
+        self._conversations.sweep()
+        self._counters.sweep()
         if len(self._intents) > 10_000:
             self._intents.clear()
 
@@ -267,14 +269,23 @@ class Engine:
 
     def _limit(self, key: str, limit: int, ttl: int, count: bool) -> bool:
         """Whether the key may go on; counts the event if asked to and it may."""
-        counter = self._counters.setdefault(key, Counter(ttl))
         micros = int(self.clock() * 1_000_000)
-        if counter.at(micros) >= limit:
+        if Counter(ttl, *self._counters.get(key, (0, 0))).at(micros) >= limit:
             return False
         if count:
-            counter.count(micros)
+            self._count(key, ttl)
         return True
 
+    def _count(self, key: str, ttl: int) -> int:
+        """Counts an event of a key, whichever engine counts others of it at the same time; the count."""
+
+        def counted(held: list[int] | None) -> tuple[int, int]:
+            counter = Counter(ttl, *(held or (0, 0)))
+            counter.count(int(self.clock() * 1_000_000))
+            return counter.n, counter.last
+
+        return self._counters.update(key, counted)[0]
+
     def handle_search(self, query: str, client: str, types: list[str] | None = None, limit: int = 10) -> dict[str, Any]:
         """A search request: 429 beyond the client's limit, 400 for an empty or overlong query, else 200 with results."""
         if not self._limit(f"search_{client}", self.config.search_rate_limit, 600, count=False):
@@ -399,18 +410,18 @@ class Engine:
         record = self.store.get("snapshot", {})
         brief = record.get("brief", {})
         kept = self._conversations.get(conversation_id)
-        if kept is None or self.clock() - kept["last_seen"] >= 28_800:
+        if kept is None:
             kept = {"messages": [], "summary": "", "created_at": now(), "last_seen": self.clock()}
         pages = self.top_k(question, 20)
         ctas = [(c["label"], c["url"]) for c in record.get("ctas_catalog", [])]
         schema = "question string, brief_text string, brief_version string, quality_tier string, curated_facts string, ctas array<struct<label:string,url:string>>, pages array<struct<title:string,url:string,excerpt:string>>, messages array<struct<role:string,content:string>>, summary string"
-        row = (question, brief.get("text", ""), brief.get("brief_version"), brief.get("quality_tier", ""), record.get("curated_facts", ""), ctas, [(p.title, p.url, p.excerpt) for p in pages], kept["messages"], kept["summary"])
+        row = (question, brief.get("text", ""), brief.get("brief_version"), brief.get("quality_tier", ""), record.get("curated_facts", ""), ctas, [(p.title, p.url, p.excerpt) for p in pages], [tuple(m) for m in kept["messages"]], kept["summary"])
         raw = self.llm(assistant.assemble_prompt(self.spark.createDataFrame([row], schema)).first().prompt)
-        breaker = self._counters.setdefault("failures", Counter(600))
         if raw is None:
-            breaker.count(int(self.clock() * 1_000_000))
-            return self._unavailable(record) | {"conversation_id": conversation_id, "breaker_open": breaker.n >= self.config.breaker_threshold}
-        breaker.reset()
+            failures = self._count("failures", 600)
+            return self._unavailable(record) | {"conversation_id": conversation_id, "breaker_open": failures >= self.config.breaker_threshold}
+        if "failures" in self._counters:
+            self._counters.update("failures", lambda _: None)
         allowed = self.spark.createDataFrame([(raw, ctas, [(p.title, p.url) for p in pages])], "raw string, allowed_ctas array<struct<label:string,url:string>>, allowed_sources array<struct<title:string,url:string>>")
         found = assistant.parse_response(allowed).select("answer", "suggestions", "ctas", "sources", "needs_human").first().asDict(True)
         kept["messages"] = [*kept["messages"], ("user", question), ("assistant", found["answer"])]
@@ -431,7 +442,7 @@ class Engine:
         kept = self._conversations.get(conversation_id)
         if not kept:
             return
-        frame = self.spark.createDataFrame([(kept["messages"],)], "messages array<struct<role:string,content:string>>")
+        frame = self.spark.createDataFrame([([tuple(m) for m in kept["messages"]],)], "messages array<struct<role:string,content:string>>")
         row = assistant.compact(frame).first()
         summary = self.llm(assistant.summary_prompt(row.to_summarise)) if row.to_summarise is not None else None
         if summary and summary.strip():

@@ -210,7 +210,46 @@ def test_conversations_are_compacted(engine):
     assert len(engine._conversations["c"]["messages"]) == 13
     engine.llm = lambda prompt: " They asked. "
     engine.compact("c")
-    assert engine._conversations["c"]["summary"] == "They asked." and engine._conversations["c"]["messages"] == [("user", f"m{i}") for i in range(9, 13)]
+    assert engine._conversations["c"]["summary"] == "They asked." and engine._conversations["c"]["messages"] == [["user", f"m{i}"] for i in range(9, 13)]
+
+
+def test_engines_share_limits_and_conversations(spark, engine):
+    """Two engines of one path: what one counts or is told, the other knows."""
+    engine.rebuild()
+    engine.build_snapshot()
+    prompts = []
+    model = lambda prompt: prompts.append(prompt) or ("informational" if "intent" in prompt else '{"answer":"Yes"}')
+    config = EngineConfig(search_rate_limit=2, breaker_threshold=2)
+    one, other = (Engine(spark, engine.store.path, engine.posts, config, llm=model) for _ in range(2))
+    assert [e.handle_search("espresso", "1.2.3.4")["status"] for e in (one, other, one, other)] == [200, 200, 429, 429]
+    first = one.ask("Do you cater?", client="a")
+    other.ask("And when?", first["conversation_id"], "b")
+    assert "User: Do you cater?\nAssistant: Yes" in prompts[-1]
+    one.llm = other.llm = lambda prompt: None
+    assert [e.ask("Hello?", client="c")["breaker_open"] for e in (one, other)] == [False, True]
+
+
+def test_shared_values_expire_and_lose_no_change(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lodestone.sources import shared
+
+    at = [100.0]
+    values = [shared.SharedValues(spark, str(tmp_path / "v"), 10, lambda: at[0]) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda v: [v.update("k", lambda n: (n or 0) + 1) for _ in range(5)], values))
+    assert values[0]["k"] == 20 and dict(values[1]) == {"k": 20}
+    values[0]["other"] = {"x": [1]}
+    at[0] += 5
+    values[1]["other"] = {"x": [2]}
+    at[0] += 6
+    assert "k" not in values[2] and values[2].get("other") == {"x": [2]} and values[3].sweep() == 1
+    monkeypatch.setattr(shared, "PATIENCE", 0.1)
+    folder = values[0]._folder("other")
+    values[0]._claimed(folder, 3)  # of a writer that died
+    assert values[1].update("other", lambda v: v["x"]) == [2] and values[0]["other"] == [2]
+    del values[0]["other"]
+    assert len(values[1]) == 0
 
 
 def test_completion_client():
