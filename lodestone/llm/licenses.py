@@ -1,8 +1,8 @@
 """Licence scans by sentence rules, with DataFrame operations only.
 
 The sentences of a text are normalised, and the known licence sentences in them mapped to identifiers; the identifiers, in
-the order of the text, are matched against ordered licence rules. A rule that matches uses up its identifiers, so the notice that two
-licences share counts for the longer one.
+the order of the text, are matched against ordered licence rules by a fold over them. A rule that matches uses up its
+identifiers, so the notice that two licences share counts for the longer one.
 """
 
 from __future__ import annotations
@@ -80,6 +80,15 @@ NAMES = {
     "cc-by-reference": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
     "cc0-reference": ["CC0 1.0"],
 }
+# Sentences with a name in them, by identifier: what stands before it and after it.
+SLOTTED = {"bsd-names": ("Neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission")}
+#: Words that such a name has at most.
+SLOT_WORDS = 12
+# Names that SPDX tags had before, by those that they have now.
+FORMER_TAGS = {
+    "GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "GPL-3.0+": "GPL-3.0-or-later", "LGPL-2.1": "LGPL-2.1-only", "LGPL-2.1+": "LGPL-2.1-or-later",
+    "LGPL-3.0": "LGPL-3.0-only", "LGPL-3.0+": "LGPL-3.0-or-later", "AGPL-3.0": "AGPL-3.0-only", "AGPL-3.0+": "AGPL-3.0-or-later",
+}
 VERBS = ("released", "licensed", "distributed", "available", "provided", "published", "covered", "made available")
 #: Identifiers of titles: they count where they are a whole line or sentence, as prose names licences too.
 TITLES = ("mit-title", "apache-title", "gpl-title", "lgpl-title", "agpl-title", "epl2-title", "mpl2-title", "bsl-title", "apache-terms", "version-2", "version-3", "version-2.1", "version-3-agpl")
@@ -158,20 +167,28 @@ def _either(phrases) -> str:
     return "|".join(re.escape(p).replace("\\ ", "[ \n]") for p in sorted(phrases, key=lambda p: (-len(p), p)))
 
 
-_UNDER = rf"(?:{_either(VERBS)})[ \n]under[ \n](?:the[ \n])?(?:terms[ \n]of[ \n])?(?:the[ \n])?(?:conditions[ \n]of[ \n]the[ \n])?"
-#: What the scan recognises in a normalised text: titles as whole lines, notices that aren't denied, and sentences anywhere.
+_UNDER = rf"(?:{_either(VERBS)})[ \n]under[ \n](?:the[ \n]|an?[ \n])?(?:terms[ \n]of[ \n])?(?:the[ \n])?(?:conditions[ \n]of[ \n]the[ \n])?"
+#: A licence's name, and up to four of them in one notice.
+_NAME = f"(?:{_either(NAMED)})"
+_LIST = rf"{_NAME}(?:[ \n](?:and|or|and[ \n]or)[ \n](?:the[ \n])?{_NAME}){{0,3}}"
+#: What denies a notice, as it reads without its apostrophe.
+_DENIED = "".join(f"(?<!{word}[ \n])" for word in ("not", "never", "n t", "not be", "n t be", "not been", "n t been", "no longer"))
+_SLOTS = "|".join(rf"{_either([normalised(a)])}[ \n](?:[^ \n]+[ \n]){{1,{SLOT_WORDS}}}?{_either([normalised(z)])}" for a, z in SLOTTED.values())
+#: What the scan recognises in a normalised text: titles as whole lines, notices that aren't denied, a name after the line
+#: "License", and sentences anywhere.
 PHRASES = (
-    rf"(?m)^(?:{_either(k for k, i in KNOWN.items() if i in TITLES)})$"
-    rf"|(?<![a-z0-9.])(?:{_either(k for k, i in KNOWN.items() if i not in TITLES)}|(?<!not[ \n])(?<!never[ \n]){_UNDER}(?:{_either(NAMED)}))(?![a-z0-9+])"
+    rf"(?m)^(?:{_either(k for k, i in KNOWN.items() if i in TITLES)})$|^licen[cs]e[ \n](?:the[ \n])?{_LIST}$"
+    rf"|(?<![a-z0-9.])(?:{_either(k for k, i in KNOWN.items() if i not in TITLES)}|{_SLOTS}|{_DENIED}(?:{_UNDER}|uses?[ \n]the[ \n]){_LIST})(?![a-z0-9+])"
 )
 #: Every known sentence, notice and tag has one of these words; other texts need no look-up.
 MARKERS = ("licen", "permi", "copyright", "redistribut", "software", "version", "domain", " under", "\nunder", "spdx")
 _TAG = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\- ]+)"
 
 
-def patterns() -> list[tuple[str, str, int]]:
-    """(licence, pattern over `<id><id>`, identifiers) of each rule; group n of a match is what lies after its n-th identifier."""
-    return [(licence, "((?:<[^>]+>)*?)".join(f"<{re.escape(i)}>" for i in ids), len(ids)) for licence, ids in RULES]
+#: Rules of several identifiers, and the licences of single ones; where an identifier is in both, its sequences come first.
+SEQUENCES = [(licence, ids) for licence, ids in RULES if len(ids) > 1]
+SINGLE = {ids[0]: licence for licence, ids in RULES if len(ids) == 1}
+ORDERED = sorted({i for _, ids in SEQUENCES for i in ids})
 
 
 def normalised_text(value: Column) -> Column:
@@ -187,22 +204,77 @@ def _map(table: dict[str, str]) -> Column:
 
 def _identifiers(value: Column) -> Column:
     """The identifiers of a text's known sentences, in its order, then those of its tags."""
-    known, named, tags = _map(KNOWN), _map(NAMED), _map({x.lower(): f"spdx:{x}" for x in SPDX})
+    known, named, tags = _map(KNOWN), _map(NAMED), _map({x.lower(): f"spdx:{x}" for x in SPDX} | {old.lower(): f"spdx:{x}" for old, x in FORMER_TAGS.items()})
     plain = lambda x: F.replace(x, F.lit("\n"), F.lit(" "))
-    under = _UNDER.replace("[ \n]", " ")
     found = F.transform(F.regexp_extract_all(normalised_text(value), F.lit(PHRASES), F.lit(0)), plain)
-    ids = F.transform(found, lambda x: F.coalesce(F.try_element_at(known, x), F.try_element_at(named, F.regexp_replace(x, f"^{under}", ""))))
+    before = rf"^(?:{_UNDER}|uses?[ \n]the[ \n]|licen[cs]e[ \n](?:the[ \n])?)"
+
+    def named_in(x: Column) -> Column:  # a notice names one licence or a list
+        return F.transform(F.regexp_extract_all(F.regexp_replace(x, before, ""), F.lit(_NAME), F.lit(0)), lambda n: F.try_element_at(named, n))
+
+    def of(x: Column) -> Column:
+        slot = F.lit(None).cast("string")
+        for i, (head, _) in SLOTTED.items():
+            slot = F.when(F.startswith(x, F.lit(normalised(head))), i).otherwise(slot)
+        one = F.coalesce(F.try_element_at(known, x), slot)
+        return F.when(one.isNotNull(), F.array(one)).otherwise(named_in(x))
+
+    ids = F.flatten(F.transform(found, of))
     names = F.flatten(F.transform(F.regexp_extract_all(value, F.lit(_TAG), F.lit(1)), lambda x: F.split(x, r"(?i)[()]+|\s+(?:or|and|with)\s+")))
     tagged = F.transform(names, lambda x: F.try_element_at(tags, F.lower(F.trim(x))))
     return F.filter(F.concat(ids, tagged), lambda i: i.isNotNull())
 
 
+def _matched(ids: Column) -> Column:
+    """The licences of a text's identifiers, distinct and sorted.
+
+    A fold over the rules of several identifiers, and inside it one over the identifiers that such rules have: it takes a
+    rule's identifiers one after the other as they come, and leaves those between them to the rules that follow. What no
+    sequence took counts by itself. A sentence that directly repeats itself is one.
+    """
+    strings = "array<string>"
+    none = F.array().cast(strings)
+    listed = F.array(*map(F.lit, ORDERED))
+    inside = F.filter(ids, lambda i: F.array_contains(listed, i))
+    once = F.transform(F.array(inside), lambda a: F.filter(a, lambda i, at: (at == 0) | (i != F.get(a, at - 1))))
+    rules = F.array(*(F.struct(F.lit(x).alias("licence"), F.array(*map(F.lit, own)).alias("own")) for x, own in SEQUENCES))
+
+    def taken(rest: Column, own: Column) -> Column:
+        """(left, hit): what a rule leaves of the identifiers, and whether it matched."""
+        start = F.struct(F.lit(0).alias("k"), none.alias("since"), none.alias("between"), none.alias("left"), F.lit(False).alias("hit"))
+
+        def step(s: Column, i: Column) -> Column:
+            met = i == F.get(own, s["k"])
+            whole = met & (s["k"] + 1 == F.size(own))
+            begun = s["k"] > 0
+            return F.struct(
+                F.when(whole, 0).when(met, s["k"] + 1).otherwise(s["k"]).alias("k"),
+                F.when(whole, none).when(met | begun, F.array_append(s["since"], i)).otherwise(s["since"]).alias("since"),
+                F.when(whole, none).when(begun & ~met, F.array_append(s["between"], i)).otherwise(s["between"]).alias("between"),
+                F.when(whole, F.concat(s["left"], s["between"])).when(~met & ~begun, F.array_append(s["left"], i)).otherwise(s["left"]).alias("left"),
+                (s["hit"] | whole).alias("hit"),
+            )
+
+        return F.aggregate(rest, start, step, lambda s: F.struct(F.concat(s["left"], s["since"]).alias("left"), s["hit"].alias("hit")))
+
+    def rule(s: Column, r: Column) -> Column:
+        possible = F.size(F.array_except(r["own"], s["rest"])) == 0
+        done = F.get(F.transform(F.array(taken(s["rest"], r["own"])), lambda t: F.struct(t["left"].alias("rest"), F.when(t["hit"], F.array_append(s["licenses"], r["licence"])).otherwise(s["licenses"]).alias("licenses"))), F.lit(0))
+        return F.when(possible, done).otherwise(s)
+
+    start = F.struct(F.get(once, F.lit(0)).alias("rest"), none.alias("licenses"))
+    single = _map(SINGLE)
+    alone = lambda a: F.filter(F.transform(F.array_distinct(a), lambda i: F.try_element_at(single, i)), lambda x: x.isNotNull())
+    folded = F.aggregate(rules, start, rule, lambda s: F.concat(s["licenses"], alone(s["rest"])))
+    return F.array_sort(F.array_distinct(F.concat(folded, alone(F.filter(ids, lambda i: ~F.array_contains(listed, i))))))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with sentence_ids and licenses, arrays of strings; columns of these names are replaced.
 
     A known sentence counts wherever its words stand in a row, whole or within another sentence and however its lines are
-    wrapped; a title counts as a whole line or sentence only, a notice ("released under ...") unless "not" or "never" stands
-    before it. Identifiers come in the order of the text, repeats included, those of tags last; licenses are distinct and
+    wrapped; a title counts as a whole line or sentence only, a notice ("released under ...", of one licence or a list)
+    unless it is denied ("isn't released under ..."). Identifiers come in the order of the text, repeats included, those of tags last; licenses are distinct and
     sorted. Null and empty texts have neither. Whole texts, no shuffle.
     """
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -210,17 +282,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = F.rlike(F.lower(value), F.lit("|".join(MARKERS)))
     none = F.array().cast("array<string>")
     found = docs.select(*(F.col(f"`{c}`") for c in kept), F.when(marked, _identifiers(value)).otherwise(none).alias("sentence_ids"))
-    rules = F.array(*(F.struct(F.lit(x).alias("licence"), F.lit(p).alias("pattern"), F.lit("".join(f"${i}" for i in range(1, n))).alias("stays")) for x, p, n in patterns()))
-    sequence = F.concat(F.lit("<"), F.array_join("sentence_ids", "><"), F.lit(">"))
-    start = F.struct(sequence.alias("rest"), none.alias("licenses"))
-
-    def step(state: Column, rule: Column) -> Column:
-        hit = F.rlike(state["rest"], rule["pattern"])
-        rest = F.when(hit, F.regexp_replace(state["rest"], rule["pattern"], rule["stays"])).otherwise(state["rest"])
-        return F.struct(rest.alias("rest"), F.when(hit, F.array_append(state["licenses"], rule["licence"])).otherwise(state["licenses"]).alias("licenses"))
-
-    licenses = F.when(F.size("sentence_ids") == 0, none).otherwise(F.array_sort(F.array_distinct(F.aggregate(rules, start, step)["licenses"])))
-    return found.withColumn("licenses", licenses)
+    return found.withColumn("licenses", F.when(F.size("sentence_ids") == 0, none).otherwise(_matched(F.col("sentence_ids"))))
 
 
 def query(docs: DataFrame) -> DataFrame:

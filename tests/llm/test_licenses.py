@@ -32,6 +32,17 @@ CASES = [
     ("Released under the MIT License\nSome prose\n\n" + " ".join(BSD[:3]).replace(" the ", "\nthe "), "mit-reference,bsd-grant,bsd-source,bsd-binary", "BSD-2-Clause,MIT"),
     (" * Distributed under the terms of the\n * Apache License, Version 2.0\n", "apache-reference", "Apache-2.0"),
     ("available under the GNU Affero General Public License, version 3. Also licensed under GPLv2+", "agpl3-reference,gpl2-later-reference", "AGPL-3.0-only,GPL-2.0-or-later"),
+    (" ".join(BSD).replace("the copyright holder", "Google Inc."), "bsd-grant,bsd-source,bsd-binary,bsd-names", "BSD-3-Clause"),
+    ("This isn't released under the MIT License. It won\u2019t be licensed under GPLv3. It is no longer available under the ISC License.", "", ""),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-reference", "CC-BY-4.0"),
+    ("# Tool\n\nLicense: MIT\n\nMore", "mit-reference", "MIT"),
+    ("## License\n\nMIT License\n", "mit-reference", "MIT"),
+    ("This project uses the MIT license.", "mit-reference", "MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0\n# SPDX-License-Identifier: LGPL-2.1+", "spdx:GPL-2.0-only,spdx:LGPL-2.1-or-later", "GPL-2.0-only,LGPL-2.1-or-later"),
+    ("Dual-licensed under MIT or Apache-2.0.", "mit-reference,apache-reference", "Apache-2.0,MIT"),
+    ("Code licensed under the MIT and Apache 2.0 licenses", "mit-reference,apache-reference", "Apache-2.0,MIT"),
+    ("Licensed under GPL v2 or later and the ISC License", "gpl2-later-reference,isc-reference", "GPL-2.0-or-later,ISC"),
+    (BSD[0] + " Released under the ISC License. " + " ".join(BSD[1:3]), "bsd-grant,isc-reference,bsd-source,bsd-binary", "BSD-2-Clause,ISC"),
     ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "apache-title,apache-terms", "Apache-2.0"),
 ]
 
@@ -46,6 +57,20 @@ def test_cases(spark):
     assert "Python" not in licenses.scan(docs)._jdf.queryExecution().toString()
 
 
+def test_a_text_of_twenty_thousand_notices(spark):
+    """Neither depth nor time grows with the notices but in proportion, in order or out of it."""
+    texts = ["Permission " + licenses.SENTENCES["mit-grant"][0] + ". " + "Released under CC BY 4.0. " * 20_000, "Released under the MIT License. Words. " * 20_000, (" ".join(BSD[:2]) + " ") * 1_500 + BSD[2], "Licensed under the Apache License, Version 2.0. GNU GENERAL PUBLIC LICENSE\n" * 3_000]
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (20_001, "CC-BY-4.0"), 1: (20_000, "MIT"), 2: (3_001, "BSD-2-Clause"), 3: (6_000, "Apache-2.0")}
+
+
+def test_sequences_come_before_their_parts():
+    """All sequences may be matched before any single identifier: each that has both is in this order among the rules."""
+    for at, (_, ids) in enumerate(licenses.RULES):
+        if len(ids) == 1 and ids[0] in licenses.ORDERED:
+            assert all(ids[0] not in later for _, later in licenses.RULES[at + 1 :])
+
+
 def test_every_rule_matches_its_own_sentences(spark):
     def said(x):
         return f"SPDX-License-Identifier: {x[5:]}" if x.startswith("spdx:") else (licenses.SENTENCES[x][0] if x in licenses.SENTENCES else f"This work is licensed under the {licenses.NAMES[x][0]}") + "."
