@@ -53,13 +53,13 @@ class BitSlicedIndex:
     def sums(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(slices of the sum, least significant first, what to add to it to get the inner product)."""
         weights: dict[int, list[np.ndarray]] = {}
-        base = int((query * self.low).sum())
+        base = sum(q * low for q, low in zip(query.tolist(), self.low.tolist(), strict=True))  # beyond 64 bits if need be
         for dims, negative in ((np.flatnonzero(query > 0), False), (np.flatnonzero(query < 0), True)):
             if not len(dims):
                 continue
             size = np.abs(query[dims])
             if negative:  # -q * x is q * complement(x) less q at every bit
-                base -= int(size.sum()) * ((1 << self.bits) - 1)
+                base -= sum(size.tolist()) * ((1 << self.bits) - 1)
             for bit in range(int(size.max()).bit_length()):
                 own = self.slices[dims[size >> bit & 1 == 1]]
                 for b in range(self.bits):
@@ -114,9 +114,9 @@ class BitSlicedIndex:
         if have < k:  # all rows that are open tie: the smallest ids, as rows are in their order
             rows += list(np.flatnonzero(np.unpackbits(open_.view("u1")))[: k - have])
         word, bit = np.divmod(np.array(rows, "i8"), 8)
-        score = np.zeros(len(rows), "i8")
+        score = np.zeros(len(rows), "i8" if len(slices) < 63 else object)
         for weight, s in enumerate(slices):
-            score += (s.view("u1")[word] >> (7 - bit) & 1).astype("i8") << weight
+            score += (s.view("u1")[word] >> (7 - bit) & 1).astype(score.dtype) << weight
         return sorted(((int(self.ids[r]), int(x) + base) for r, x in zip(rows, score, strict=True)), key=lambda x: (-x[1], x[0]))
 
 
@@ -125,12 +125,11 @@ def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
     x = F.col(vector).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     floors = F.transform(x, lambda v: F.floor(v * scale))
-    # a score is a long: vectors whose products could leave it have none
-    fits = F.size(vector) * F.pow(F.array_max(F.transform(x, lambda v: F.abs(v) * scale)) + 1, F.lit(2)) < float(1 << 60)
+    fits = F.array_max(F.transform(x, lambda v: F.abs(v) * scale)) < float(1 << 60)
     return (
         vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
         .where(finite & (F.size(vector) > 0))
-        .select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("vec_id"), F.when(fits, floors).otherwise(F.raise_error(F.lit("scores of a vector leave the range of a long")).cast("array<bigint>")).alias("q"))
+        .select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("vec_id"), F.when(fits, floors).otherwise(F.raise_error(F.lit("a component leaves the range of a long")).cast("array<bigint>")).alias("q"))
     )
 
 
@@ -147,18 +146,19 @@ def _stored(block: int, dims: int, kind: int, ids: bytes, names: bytes, low: byt
     return pa.table({n: pa.array([x], pa.int32() if t == "int" else pa.binary()) for (n, t), x in zip(fields, (block, dims, kind, ids, names, low, body), strict=True)})
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: Tables | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query over all vectors but its own row.
 
     vectors, queries: (rid, vec_id, q array<long>), written tables. Only vectors of a query's length are scored. Ties go to
     the smaller vec_id. Rows that repeat a vec_id are candidates, or queries, of their own. Each block of rows is sliced
     once; chunks of queries are sent to every block and met one after the other, so a task holds one block and one chunk,
     whatever the tables' sizes, and passes on k rows for each query. Rows read are those of the table and the queries times
-    the blocks.
+    the blocks. Sums may pass 64 bits on the way; a score among a query's best that leaves them itself is an error, as its
+    column is a long. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     workers_ready(spark)
-    tables = Tables(spark)
+    tables = tables or Tables(spark)  # those that go with the search
     size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("q").cast("long")), F.lit(0)).alias("components")).first()
     blocks = max(1, -(-size.components // BLOCK_COMPONENTS), min(spark.sparkContext.defaultParallelism, -(-size.n // SMALL_BLOCK_ROWS)))
     chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
@@ -196,9 +196,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     met = index.unionByName(everywhere).repartition(2 * blocks, "block", "dims").sortWithinPartitions("block", "dims", "kind")
     parts = met.mapInArrow(run, "asked long, query_id long, vec_id long, score long")
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return tables.last(parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def query(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    vectors = Tables(embeddings.sparkSession).write(quantised(embeddings))
-    return search(vectors, vectors.where(F.col("vec_id") % every == 0), k)
+    """The k best rows of each row whose vec_id `every` divides. Columns other than vec_id and embedding don't matter."""
+    tables = Tables(embeddings.sparkSession)
+    vectors = tables.write(quantised(embeddings))
+    return search(vectors, vectors.where(F.col("vec_id") % every == 0), k, tables)

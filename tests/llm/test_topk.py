@@ -59,7 +59,15 @@ def test_repeated_ids_agree_with_the_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(embeddings) == 6
 
 
-def test_scores_beyond_a_long_are_an_error(spark):
+def test_components_beyond_a_long_are_an_error(spark):
     df = spark.createDataFrame([(0, [1e18, 1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="leave the range of a long"):
+    with pytest.raises(Exception, match="leaves the range of a long"):
         topk.query(df).collect()
+
+
+def test_large_vectors_are_scored_exactly(spark):
+    """Sums that pass 64 bits on the way, in rows that are no query's best, and beside rows of ordinary size."""
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-9, 9) for _ in range(3)]) for i in range(1, 40)] + [(0, [1.0, 2.0, 0.0]), (50, [-1.0, 0.0, 0.5]), (77, [1e9, 1.0, 0.0]), (78, [-1e9, 1.0, 2e9]), (79, [1e15, -1e15, 1e15]), (80, [0.0, 0.0, -3e15])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.query(df).collect())) == plain(rows, 50, 5)
