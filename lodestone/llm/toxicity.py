@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Severity | None:
     size = texts.select("doc_id", F.octet_length("text").alias("size")).join(labelled, "doc_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     share = min(1.0, FIT_DOCUMENTS / max(size.n, 1), FIT_BYTES / max(size.bytes, 1))
     place = F.xxhash64(F.lit("toxicity"), "doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    chosen = F.broadcast(labelled.where(place < share))  # FIT_DOCUMENTS rows, or those of them that have a text
+    # about FIT_DOCUMENTS rows at most: labels whose document has no text aren't among them, however many there are
+    chosen = F.broadcast(texts.select("doc_id").join(labelled.where(place < share), "doc_id").distinct())
     sample = texts.join(chosen, "doc_id").select("text", "label")
     # else the rare words of a text that is often copied look telling
     sample = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.any_value("text").alias("text"))
@@ -237,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Severity | None:
         ends = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype("i4")
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view("i8")))], names=["h", "label", "hashes"])
 
-    rows = Tables(docs.sparkSession).write(map_batches(sample.select("h", "label", "text"), "h long, label long, hashes array<long>", hashed))
+    tables = Tables(docs.sparkSession)
+    rows = tables.write(map_batches(sample.select("h", "label", "text"), "h long, label long, hashes array<long>", hashed))
     # fewer documents than the least gradient can't move a weight from zero
     telling = rows.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_GRADIENT).select("hash")
     hashes = np.sort(telling.toArrow().column("hash").to_numpy().view("u8"))
@@ -253,6 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Severity | None:
 
     # in one order, so that sums and folds are the same however the rows were dealt
     table = map_batches(rows, "h long, label long, places array<int>", placed).orderBy("h").toArrow()
+    tables.drop()
     label, lists = table.column("label").to_numpy(), table.column("places").combine_chunks()
     if not 0 < (label > 0).sum() < len(label):
         return None
