@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, hex_of_long, workers_ready, map_batches, utf8
+from lodestone.llm.common import broadcast_if_small, checkpointed, hex_of_long, workers_ready, map_batches, utf8
 from lodestone.llm.graph import connected_components
 
 #: Posting lists of up to this many fingerprints are compared by shifts of the whole partition, longer ones one by one.
 SHORT_LIST = 48
 #: Mean length of a posting list beyond which the index takes one byte more for each key.
 MEAN_LIST = 256
+#: Length of a posting list beyond which it is dealt by further bytes.
+LONG_LIST = 2048
 
 
 def fingerprint(text: bytes | None, width: int) -> int:
@@ -100,11 +102,27 @@ def _links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray
     return np.concatenate(left).view("i8"), np.concatenate(right).view("i8")
 
 
+def _dealt(index: DataFrame, long: DataFrame, distance: int) -> DataFrame:
+    """index (key, fp, used positions as bits) with the lists of the keys in long dealt by one more byte.
+
+    Fingerprints that link share 8 - distance bytes, so of the positions that a key doesn't have they share as many as the
+    key lacks to that number, and any positions but one less than that leave out no link.
+    """
+    long = broadcast_if_small(long, F.lit(16))
+    lacks = F.lit(8 - distance) - F.bit_count("used")
+    free = F.filter(F.array(*map(F.lit, range(8))), lambda p: F.expr("used").bitwiseAND(F.call_function("shiftleft", F.lit(1), p)) == 0)
+    more = index.join(long, "key", "left_semi").select("key", "fp", "used", F.explode(F.slice(free, F.lit(1), F.size(free) - lacks + 1)).alias("p"))
+    byte = F.call_function("shiftrightunsigned", F.col("fp"), F.col("p") * 8).bitwiseAND(F.lit(255))
+    again = more.select(F.xxhash64("key", "p", byte).alias("key"), "fp", F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1), F.col("p"))).alias("used"))
+    return index.join(long, "key", "left_anti").unionByName(again)
+
+
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """(src, dst): links between distinct fingerprints of column fp, enough to reach whatever any link within distance reaches.
 
     A list of many near fingerprints yields a spanning forest of its links, not all of its pairs. The bytes in a key grow
-    with the number of fingerprints, so that lists stay short on average; any choice finds every link.
+    with the number of fingerprints, so that lists stay short on average; any choice finds every link. A list that is long
+    all the same is dealt by further bytes, until its fingerprints share all those that a link is sure to share.
     """
     distinct = fps.select("fp").where("fp is not null").distinct()
     n = distinct.count()
@@ -114,7 +132,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         key = F.lit(i).cast("long")
         for p in design:
             key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
-        posts.append(F.struct(key.alias("key"), F.col("fp").alias("fp")))
+        posts.append(F.struct(key.alias("key"), F.col("fp").alias("fp"), F.lit(sum(1 << p for p in design)).alias("used")))
     workers_ready(fps.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +155,13 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         if held:
             yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    index = distinct.select(F.explode(F.array(*posts)).alias("p")).select("p.key", "p.fp")
+    index = distinct.select(F.explode(F.array(*posts)).alias("p")).select("p.key", "p.fp", "p.used")
+    for _ in range(8 - distance - size):
+        long = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LONG_LIST).select("key")
+        if long.isEmpty():
+            break
+        index = _dealt(index, long, distance)
+    index = index.select("key", "fp")
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 import xxhash
@@ -53,8 +54,9 @@ def test_links_reach_what_all_pairs_reach(spark, monkeypatch):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = plain_components(fps)
-    for mean in (256, 0):  # 0: keys of more bytes
+    for mean, long in ((256, 2048), (0, 2048), (256, 3), (0, 0)):  # 0: keys of more bytes, lists dealt again
         monkeypatch.setattr(simhash, "MEAN_LIST", mean)
+        monkeypatch.setattr(simhash, "LONG_LIST", long)
         links = simhash.links(df)
         for r in links.collect():
             assert ((r.src ^ r.dst) & (1 << 64) - 1).bit_count() <= 4
@@ -87,3 +89,18 @@ def test_components_of_chains_and_nulls(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (None, 5), (7, None), (9, 9)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_a_long_list_without_links_is_dealt_by_further_bytes(spark):
+    """Fingerprints that share three bytes and no link: no list of one key is left to one task. Planted links are found."""
+    rng = random.Random(8)
+    fps = [rng.getrandbits(40) << 24 | 0xABCDEF for _ in range(32_000)]
+    planted = [(x, x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)) for x in fps[:20]]
+    signed = [x - (1 << 64) if x >> 63 else x for x in dict.fromkeys([*fps, *(y for _, y in planted)])]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(4)
+    began = time.time()
+    found = simhash.links(df).collect()
+    took = time.time() - began
+    both = {frozenset((r.src & (1 << 64) - 1, r.dst & (1 << 64) - 1)) for r in found}
+    assert all(frozenset(p) in both for p in planted if p[0] != p[1]) and all((a ^ b).bit_count() <= 4 for a, b in map(tuple, both))
+    assert took < 60
