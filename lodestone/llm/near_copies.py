@@ -91,8 +91,29 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_pairs(names: np.ndarray, labels: np.ndarray, block: np.ndarray, matrix: np.ndarray, key: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a posting list whose labels differ and whose tally reaches least, under the first key that they share.
+def short(own: np.ndarray) -> bytes:
+    """16 bits of each shingle's hash: what two sets share, they share of these too."""
+    return (own >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def possible(shorts: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the pairs of sets i (ascending) and j may have that similarity: no more is shared than the short hashes of one that the other has."""
+    keep, present = np.zeros(len(i), bool), np.zeros(1 << 16, bool)
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    for at, stop in zip(starts, [*starts[1:], len(i)][: len(starts)], strict=True):
+        own, others = shorts[i[at]], [shorts[x] for x in j[at:stop]]
+        present[own] = True
+        size = np.array([len(x) for x in others])
+        upto = np.concatenate([[0], np.cumsum(present[np.concatenate(others)])])
+        ends = np.cumsum(size)
+        most = np.minimum(upto[ends] - upto[ends - size], len(own))
+        keep[at:stop] = 100 * most >= percent * (len(own) + size - most)
+        present[own] = False
+    return keep
+
+
+def near_pairs(names: np.ndarray, labels: np.ndarray, block: np.ndarray, matrix: np.ndarray, shorts: list[np.ndarray], key: int, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a posting list whose labels differ and whose tally reaches least, under the first key that they share, as far as their short hashes let them be similar.
 
     If the list holds rows of two blocks, only those of different blocks are paired: each block meets itself elsewhere.
     """
@@ -108,7 +129,9 @@ def near_pairs(names: np.ndarray, labels: np.ndarray, block: np.ndarray, matrix:
         wanted &= equal.sum(2) >= least
         i, j = np.nonzero(wanted)
         first = equal[i, j].reshape(-1, _KEYS, KEY_BYTES).all(2).argmax(1) == stretch
-        out.append((names[at + i[first]], names[j[first]]))
+        i, j = at + i[first], j[first]
+        alike = possible(shorts, i, j, percent)
+        out.append((names[i[alike]], names[j[alike]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -147,13 +170,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_batches(pairs.join(left, "src").join(right, "dst").select("src", "dst", "one", "other"), "src long, dst long", run)
 
 
-def _paired(rest: DataFrame, least: int) -> DataFrame:
-    """(src, dst) of the near pairs of each posting list of rest (key, node, label, sketch), in blocks of about BLOCK rows."""
+def _paired(rest: DataFrame, least: int, percent: int) -> DataFrame:
+    """(src, dst) of the near pairs of each posting list of rest (key, node, label, sketch, short), in blocks of about BLOCK rows."""
     workers_ready(rest.sparkSession)
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "sketch")
+    met = met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "sketch", "short")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -162,7 +185,8 @@ def _paired(rest: DataFrame, least: int) -> DataFrame:
             if len(held) > 1:
                 block, names, labels = (np.array([r[i] for r in held]) for i in (3, 4, 5))
                 matrix = np.frombuffer(b"".join(r[6] for r in held), "u1").reshape(-1, POSITIONS)
-                src, dst = near_pairs(names, labels, block, matrix, key, least)
+                shorts = [np.frombuffer(r[7], "<u2") for r in held]
+                src, dst = near_pairs(names, labels, block, matrix, shorts, key, least, percent)
                 if len(src):
                     yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
@@ -222,8 +246,14 @@ def rooted(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if rest.isEmpty():
             break
     by_way = F.when(F.shiftrightunsigned("key", 48) == 0, F.col("full")).otherwise(F.col("parts"))
-    rest = tables.write(rest.join(nodes.select("node", "full", "parts"), "node").select("key", "node", "label", by_way.alias("sketch")))
-    more = tables.write(_verified(_paired(rest, least).distinct(), texts, width, percent))
+
+    def shortened(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([short(shingles(t, width)) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "short"])
+
+    apart = texts.join(rest.select("node").distinct(), "node", "left_semi").select("node", "b")
+    known = nodes.select("node", "full", "parts").join(map_batches(apart, "node long, short binary", shortened), "node")
+    rest = tables.write(rest.join(known, "node").select("key", "node", "label", by_way.alias("sketch"), "short"))
+    more = tables.write(_verified(_paired(rest, least, percent).distinct(), texts, width, percent))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), tables)
 
