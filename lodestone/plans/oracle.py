@@ -326,6 +326,11 @@ def intent_case() -> str:
     return f"CASE WHEN t IN {INTENTS} THEN t {cases} ELSE 'informational' END"
 
 
+#: Search requests: the cases and the benchmark's texts.
+REQUESTS = f"""(SELECT * FROM {values("queries")} UNION ALL SELECT item_id + 1000, '  ' || text, CASE WHEN item_id % 2 = 1 THEN ['Post', 'page', 'product'] ELSE []::VARCHAR[] END, CAST(item_id % 60 - 30 AS INTEGER),
+  list_extract({literal([*INTENTS, "other"])}, CAST(item_id % 5 + 1 AS BIGINT)) FROM benchmark)"""
+
+
 def oracle_sql() -> dict[str, str]:
     docs = "documents"
     out = {
@@ -337,7 +342,7 @@ def oracle_sql() -> dict[str, str]:
         "html_to_text": f"SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {strip_tags('html')} AS t FROM pages)",
         "excerpt_content": f"SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {collapse(strip_tags('html'))} AS t FROM pages)",
         "trim_words": f"SELECT doc_id, {trim_words('text', 80, '...')} AS trimmed FROM documents",
-        "entity_decode": "SELECT CAST(id AS INTEGER) AS id, decoded FROM (VALUES " + ", ".join(f"({i}, {literal(x)})" for i, (_, x) in enumerate(DECODED)) + ") v(id, decoded)",
+        "entity_decode": "SELECT CAST(id AS INTEGER) AS id, decoded FROM (VALUES " + ", ".join(f"({i}, {literal(x)})" for i, (_, x) in enumerate(DECODED)) + f""") v(id, decoded) UNION ALL SELECT CAST(page_id + 1000 AS INTEGER), {decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} FROM pages""",
         "sentence_trim": f"""SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text WHEN stop > 500 THEN trim(substr(cut, 1, stop + 1)) ELSE trim(cut) END AS trimmed FROM (
   SELECT doc_id, text, cut, greatest({rfind("'.'", "cut")}, {rfind("'!'", "cut")}, {rfind("'?'", "cut")}) AS stop FROM (SELECT doc_id, text, substr(text, 1, 1000) AS cut FROM documents))""",
         "index_terms": f"WITH {INDEX} SELECT * FROM terms",
@@ -363,9 +368,9 @@ SELECT d.post_id, d.post_type, d.doc_length, count(*) AS terms, CAST(sum(tf_titl
         "excerpt_last_occurrence": f"{hydrated(one(FLAGSHIP))} SELECT post_id, excerpt FROM hydrated",
         "search_rest_shape": f"{hydrated(BATCH)} SELECT query_id, CAST(post_id AS INTEGER) AS id, title, permalink AS url, md5(excerpt) AS excerpt, post_type, score FROM hydrated",
         "query_normalize": f"""SELECT query_id, trim(coalesce(query, '')) AS query, {join("list_filter(list_transform(coalesce(types, []), lambda t: regexp_replace(lower(t), '[^a-z0-9_\\-]', '', 'g')), lambda t: t <> '')", ",")} AS types,
-  CAST(greatest(1, least(20, abs("limit"))) AS INTEGER) AS "limit", CASE WHEN intent IN {INTENTS} THEN intent ELSE '' END AS intent FROM {values("queries")}""",
-        "query_guard": f"SELECT query_id, CASE WHEN q = '' OR length(q) > 200 THEN 400 ELSE 200 END AS search_status, CASE WHEN q = '' OR length(q) > 500 THEN 400 ELSE 200 END AS ask_status FROM (SELECT query_id, trim(coalesce(query, '')) AS q FROM {values('queries')})",
-        "sanitize_types": f"SELECT query_id, {join('list_filter(' + distinct('t') + ', lambda t: t IN (' + repr('page') + ', ' + repr('post') + '))', ',')} AS types FROM (SELECT query_id, list_transform(coalesce(types, []), lambda t: regexp_replace(lower(t), '[^a-z0-9_\\-]', '', 'g')) AS t FROM {values('queries')})",
+  CAST(greatest(1, least(20, abs("limit"))) AS INTEGER) AS "limit", CASE WHEN intent IN {INTENTS} THEN intent ELSE '' END AS intent FROM {REQUESTS}""",
+        "query_guard": f"SELECT query_id, CASE WHEN q = '' OR length(q) > 200 THEN 400 ELSE 200 END AS search_status, CASE WHEN q = '' OR length(q) > 500 THEN 400 ELSE 200 END AS ask_status FROM (SELECT query_id, trim(coalesce(query, '')) AS q FROM {REQUESTS})",
+        "sanitize_types": f"SELECT query_id, {join('list_filter(' + distinct('t') + ', lambda t: t IN (' + repr('page') + ', ' + repr('post') + '))', ',')} AS types FROM (SELECT query_id, list_transform(coalesce(types, []), lambda t: regexp_replace(lower(t), '[^a-z0-9_\\-]', '', 'g')) AS t FROM {REQUESTS})",
         "synonym_sanitize": f"SELECT * FROM {sanitized('synonyms_raw')}",
         "synonym_merge": f"SELECT * FROM {MERGED}",
         "synonym_inverse": f"""WITH s AS {sanitized("synonyms_raw")}, inv AS (SELECT synonym AS term, CAST(row_number() OVER (PARTITION BY synonym ORDER BY term) - 1 AS INTEGER) AS pos, term AS synonym FROM (SELECT DISTINCT term, synonym FROM s))
@@ -375,7 +380,9 @@ every AS (SELECT query_id, place, -1 AS pos, 0 AS sub, token AS term FROM q UNIO
 SELECT query_id, array_to_string(list(term ORDER BY place, pos, sub), ' ') AS tokens FROM (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, term ORDER BY place, pos, sub) = 1) GROUP BY query_id""",
         "synonym_candidates": f"WITH {POSTS}, {SAMPLED} SELECT term, freq FROM candidates",
         "synonyms_jaccard": JACCARD,
-        "intent_normalize": f"SELECT id, {intent_case()} AS intent FROM (SELECT id, lower(trim(coalesce(response, 'informational'), {SPACE})) AS t FROM {values('intents')})",
+        "intent_normalize": f"SELECT id, {intent_case()} AS intent FROM (SELECT id, lower(trim(coalesce(response, 'informational'), {SPACE})) AS t FROM (SELECT * FROM {values('intents')} UNION ALL SELECT CAST(conv_id * 1000 + turn + 10000 AS INTEGER), text FROM conversations))",
+        "intent_calls": f"""SELECT conv_id, turn, CASE WHEN k = '' THEN '' WHEN length(k) % 5 = 4 THEN 'informational' ELSE list_extract({literal(list(INTENTS))}, CAST(length(k) % 5 + 1 AS BIGINT)) END AS intent
+FROM (SELECT conv_id, turn, lower(trim(coalesce(text, ''))) AS k FROM conversations)""",
         "intent_dedupe": "SELECT lower(trim(text)) AS cache_key, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY 1",
         "corpus_build": f"WITH {POSTS}, {CORPUS} SELECT * FROM corpus",
         "corpus_entry": f"WITH {POSTS} {entries('posts')}",
@@ -427,7 +434,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, source, id, title, url FROM ever
         "llm_response_extract": f"SELECT id, CASE WHEN json_valid(payload) AND coalesce(json_extract_string(payload, '$.status'), '') <> 'Failure' THEN coalesce(nullif(json_extract_string(payload, '$.payload.choices[0].text'), ''), nullif(json_extract_string(payload, '$.payload.text'), '')) END AS text FROM {values('payloads')}",
         "history_format": f"WITH {CONVERSATIONS} SELECT conv_id, md5({HISTORY}) AS history_md5 FROM conv",
         "history_compact": f"WITH {CONVERSATIONS} SELECT conv_id, CASE WHEN len(messages) > 5 THEN md5(array_to_string({message_lines('messages[1:len(messages) - 4]')}, chr(10))) END AS older_md5, CAST(CASE WHEN len(messages) > 5 THEN 4 ELSE len(messages) END AS INTEGER) AS kept FROM conv",
-        "conversation_key": f"SELECT id, 'conversation_' || regexp_replace(coalesce(conversation_id, ''), '[^a-fA-F0-9\\-]', '', 'g') AS key FROM {values('conversation_ids')}",
+        "conversation_key": f"SELECT id, 'conversation_' || regexp_replace(coalesce(conversation_id, ''), '[^a-fA-F0-9\\-]', '', 'g') AS key FROM (SELECT * FROM {values('conversation_ids')} UNION ALL SELECT DISTINCT CAST(conv_id + 1000 AS INTEGER), 'Conv-' || conv_id || '/Fab-' || conv_id * 7919 || '.x' FROM conversations)",
         "conversation_sessions": f"WITH {sessions(28800)} SELECT user_id, session, strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(last_seen, '%Y-%m-%d %H:%M:%S.%f') AS last_seen, n FROM sessions",
         "conversation_gc": "WITH m AS (SELECT conv_id, max(TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn)) AS last_seen FROM conversations GROUP BY conv_id) SELECT 'conversation_' || conv_id AS key FROM m WHERE last_seen < (SELECT max(last_seen) FROM m) - INTERVAL 1 DAY",
         "rebuild_progress": "SELECT * FROM (VALUES (0, 'running', 3, 0, 1, CAST(0 AS BIGINT), true, false), (1, 'running', 3, 2, 2, 2, true, false), (2, 'complete', 3, 3, 3, 3, false, true)) v(step, status, total, processed, page, indexed, limited_mode, finished)",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.config import DEFAULT, EngineConfig
+from lodestone.config import DEFAULT, INTENTS, EngineConfig
 from lodestone.functions import color as cl
 from lodestone.functions import json_text as js
 from lodestone.functions import ranking as rk
@@ -112,7 +112,9 @@ def trim_words(spark, sf_dir):
 
 @query
 def entity_decode(spark, sf_dir):
-    return frame(spark, "entities").select("id", tx.decode_entities(F.col("text")).alias("decoded"))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    titles = spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") + 1000).cast("int").alias("id"), title.alias("text"))
+    return frame(spark, "entities").unionByName(titles).select("id", tx.decode_entities(F.col("text")).alias("decoded"))
 
 
 @query
@@ -274,20 +276,28 @@ def search_rest_shape(spark, sf_dir):
     return sr.rest_shape(_hydrated(spark, sf_dir)).withColumn("excerpt", F.md5("excerpt"))
 
 
+def _requests(spark, sf_dir):
+    """Search requests: the cases, and the benchmark's whole texts with types, limits and intents of all kinds."""
+    b, i = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), F.col("item_id")
+    types = F.when(i % 2 == 1, F.array(F.lit("Post"), F.lit("page"), F.lit("product"))).otherwise(F.array().cast("array<string>"))
+    intent = F.element_at(F.array(*map(F.lit, (*INTENTS, "other"))), (i % 5 + 1).cast("int"))
+    return frame(spark, "queries").unionByName(b.select((i + 1000).alias("query_id"), F.concat(F.lit("  "), "text").alias("query"), types.alias("types"), (i % 60 - 30).cast("int").alias("limit"), intent.alias("intent")))
+
+
 @query
 def query_normalize(spark, sf_dir):
-    return sr.query_normalize(frame(spark, "queries")).withColumn("types", F.array_join("types", ","))
+    return sr.query_normalize(_requests(spark, sf_dir)).withColumn("types", F.array_join("types", ","))
 
 
 @query
 def query_guard(spark, sf_dir):
     q = F.col("query")
-    return frame(spark, "queries").select("query_id", sr.query_guard(q, 200).alias("search_status"), sr.query_guard(q, 500).alias("ask_status"))
+    return _requests(spark, sf_dir).select("query_id", sr.query_guard(q, 200).alias("search_status"), sr.query_guard(q, 500).alias("ask_status"))
 
 
 @query
 def sanitize_types(spark, sf_dir):
-    return frame(spark, "queries").select("query_id", F.array_join(sr.sanitize_types(F.coalesce("types", F.array().cast("array<string>")), DEFAULT.indexable_types), ",").alias("types"))
+    return _requests(spark, sf_dir).select("query_id", F.array_join(sr.sanitize_types(F.coalesce("types", F.array().cast("array<string>")), DEFAULT.indexable_types), ",").alias("types"))
 
 
 # synonyms
@@ -332,7 +342,29 @@ def synonyms_jaccard(spark, sf_dir):
 
 @query
 def intent_normalize(spark, sf_dir):
-    return frame(spark, "intents").select("id", assistant.normalize_intent(F.col("response")).alias("intent"))
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn") + 10_000).cast("int").alias("id"), F.col("text").alias("response"))
+    return frame(spark, "intents").unionByName(said).select("id", assistant.normalize_intent(F.col("response")).alias("intent"))
+
+
+def stub_model():
+    """A model whose answer follows from the length of the query in its prompt, and that has none for every fifth."""
+    head = len(assistant.intent_prompt(""))
+
+    def ask(prompt: str) -> str | None:
+        at = (len(prompt) - head) % (len(INTENTS) + 1)
+        return f" {INTENTS[at].upper()}.\n" if at < len(INTENTS) else None
+
+    return ask
+
+
+@query
+def intent_calls(spark, sf_dir):
+    """The intent of every message of all conversations, by one job that asks a model for each distinct one."""
+    from lodestone.streaming.queries import workers_import
+
+    workers_import(spark)
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return assistant.classified(c.withColumn("query", F.col("text")), stub_model).select("conv_id", "turn", "intent")
 
 
 @query
@@ -542,7 +574,9 @@ def history_compact(spark, sf_dir):
 
 @query
 def conversation_key(spark, sf_dir):
-    return frame(spark, "conversation_ids").select("id", tx.conversation_key(F.col("conversation_id")).alias("key"))
+    ids = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
+    named = ids.select((F.col("conv_id") + 1000).cast("int").alias("id"), F.concat(F.lit("Conv-"), "conv_id", F.lit("/Fab-"), F.col("conv_id") * 7919, F.lit(".x")).alias("conversation_id"))
+    return frame(spark, "conversation_ids").unionByName(named).select("id", tx.conversation_key(F.col("conversation_id")).alias("key"))
 
 
 def _events(spark, sf_dir):

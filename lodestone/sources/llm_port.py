@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
+from pyspark.sql import DataFrame
 
 LanguageModel = Callable[[str], str | None]
 
@@ -34,3 +38,36 @@ def completion_client(post: Callable[[dict], tuple[int, str]], token: str, ident
         return next((str(x) for x in (first.get("text"), payload.get("text")) if x), None)
 
     return ask
+
+
+#: Calls that a task has under way at once, and attempts at a prompt.
+AT_ONCE, ATTEMPTS = 4, 3
+
+
+def called(prompts: DataFrame, model: Callable[[], LanguageModel], at_once: int = AT_ONCE, attempts: int = ATTEMPTS) -> DataFrame:
+    """(prompt, response, attempts) of each distinct prompt of prompts (prompt): a model as a partitioned source.
+
+    model makes a client; each task makes its own and has at most at_once calls under way. A call without an answer, or
+    one that raises, is made again, and is a row with a null response after the last attempt: an error ends no job. Null
+    prompts aren't asked. A lost executor costs the calls of its own tasks. Results go to a table before they are used
+    twice, as else each use calls anew.
+    """
+
+    def ask(client: LanguageModel, prompt: str) -> tuple[str, str | None, int]:
+        for attempt in range(1, attempts + 1):
+            try:
+                said = client(prompt)
+            except Exception:
+                said = None
+            if said is not None:
+                return prompt, said, attempt
+        return prompt, None, attempts
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = model()
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                rows = list(pool.map(lambda p: ask(client, p), frame["prompt"]))
+                yield pd.DataFrame(rows, columns=["prompt", "response", "attempts"])
+
+    return prompts.select("prompt").where("prompt is not null").distinct().mapInPandas(run, "prompt string, response string, attempts int")
