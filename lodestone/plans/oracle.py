@@ -440,6 +440,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, source, id, title, url FROM ever
         "rebuild_progress": "SELECT * FROM (VALUES (0, 'running', 3, 0, 1, CAST(0 AS BIGINT), true, false), (1, 'running', 3, 2, 2, 2, true, false), (2, 'complete', 3, 3, 3, 3, false, true)) v(step, status, total, processed, page, indexed, limited_mode, finished)",
         "stream_index": f"""WITH {POSTS}, later AS (SELECT * REPLACE (CASE WHEN post_id % 10 = 0 THEN 'Freshly updated wording. ' || content ELSE content END AS content) FROM posts WHERE post_id % 15 <> 0), {index_of("later")}
 SELECT (SELECT count(*) FROM docs) AS total_docs, (SELECT round(avg(doc_length), 6) FROM docs) AS avgdl, count(*) AS term_rows, count(DISTINCT term) AS unique_terms FROM terms""",
+        "rebuild_stream": f"""WITH {INDEX} SELECT 'complete' AS status, (SELECT count(*) FROM posts WHERE post_status = 'publish') AS processed, (SELECT count(*) FROM docs) AS total_docs,
+  (SELECT round(avg(doc_length), 6) FROM docs) AS avgdl, count(*) AS term_rows, count(DISTINCT term) AS unique_terms FROM terms""",
         "rate_limit_stream": """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 r AS (SELECT user_id, event_id, ts, rn, true AS allowed, 1 AS counted, us AS last FROM e WHERE rn = 1
   UNION ALL SELECT user_id, event_id, ts, rn, live < 2, CASE WHEN live < 2 THEN live + 1 ELSE live END, CASE WHEN live < 2 THEN us ELSE last END

@@ -44,7 +44,11 @@ def dealt(table: DataFrame, key: str) -> DataFrame:
 
 def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as posts of type post."""
-    d = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return of_documents(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
+
+
+def of_documents(d: DataFrame) -> DataFrame:
+    """Rows of the documents table, of a stream as well, as posts."""
     return d.select(
         F.col("doc_id").alias("post_id"),
         F.lit("post").alias("post_type"),
@@ -61,7 +65,11 @@ def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages table as posts of type page."""
-    p = dealt(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
+    return of_pages(dealt(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id"))
+
+
+def of_pages(p: DataFrame) -> DataFrame:
+    """Rows of the pages table, of a stream as well, as posts."""
     return p.select(
         (F.col("page_id") + 1_000_000).alias("post_id"),
         F.lit("page").alias("post_type"),

@@ -14,7 +14,7 @@ from lodestone.sources import posts as src
 from lodestone.sources.store import IndexStore, scratch
 from lodestone.streaming import limits
 from lodestone.streaming.conversations import conversation_store
-from lodestone.streaming.index import maintain
+from lodestone.streaming.index import maintain, rebuild, rebuilt
 
 
 def workers_import(spark: SparkSession) -> None:
@@ -71,6 +71,21 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.select("total_docs", F.round("avgdl", 6).alias("avgdl"), "term_rows", "unique_terms")
 
 
+def rebuild_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The progress and the status of an index that a stream over the tables' files built, a file a table and micro-batch."""
+    folder = scratch(spark)
+    store = IndexStore(spark, f"{folder}/index")
+
+    def table(name: str) -> DataFrame:
+        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+    posts = src.of_documents(table("documents")).unionByName(src.of_pages(table("pages")))
+    progress = rebuilt(rebuild(posts, store, f"{folder}/state"), store)
+    shown = indexing.status_of(store).select("total_docs", F.round("avgdl", 6).alias("avgdl"), "term_rows", "unique_terms")
+    return shown.select(F.lit(progress["status"]).alias("status"), F.lit(progress["processed"]).cast("long").alias("processed"), "*")
+
+
 def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of each conversation after a stream of its messages."""
     workers_import(spark)
@@ -90,4 +105,4 @@ def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (stream_index, rate_limit_stream, circuit_breaker, conversation_stream)}
+    return {f.__name__: f for f in (stream_index, rebuild_stream, rate_limit_stream, circuit_breaker, conversation_stream)}

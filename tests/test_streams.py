@@ -100,3 +100,35 @@ def test_sessions_do_not_depend_on_stretches(spark, bucket):
     assert got == [(k, i, s, n) for k in (1, 2) for i, s, n in ((1, 0, 6), (2, 1399, 1), (3, 2000, 1), (4, 86_399, 2), (5, 200_000, 1))]
 
 
+
+
+def test_a_rebuild_that_fails_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    """Four files, a file a micro-batch; the third fails after its segment is written. Each file counts once in the end."""
+    from lodestone.operators import indexing
+    from lodestone.sources.posts import POSTS
+    from lodestone.sources.store import IndexStore
+    from lodestone.streaming import index
+
+    rows = [(i, "post", "draft" if i == 7 else "publish", f"title {i}", f"word{i % 3} text", "", "me", "s", "u", START) for i in range(12)]
+    for part in range(4):
+        spark.createDataFrame(rows[3 * part : 3 * part + 3], POSTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "posts"))
+    store = IndexStore(spark, str(tmp_path / "index"))
+    tries = []
+    append = store.append
+
+    def failing(*parts):
+        append(*parts)
+        tries.append(1)
+        if len(tries) == 3:
+            raise RuntimeError("the driver died")
+
+    monkeypatch.setattr(store, "append", failing)
+    stream = lambda: spark.readStream.schema(POSTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "posts"))
+    start = lambda: index.rebuild(stream(), store, str(tmp_path / "state"))
+    with pytest.raises(Exception, match="the driver died"):
+        start().awaitTermination()
+    assert store.get("rebuild")["status"] == "running" and store.get("rebuild")["processed"] in (5, 6)
+    done = index.rebuilt(start(), store)
+    assert (done["status"], done["processed"], len(done["batches"])) == ("complete", 11, 4) and len(tries) == 5
+    assert indexing.status_of(store).first().total_docs == 11
+    assert index.rebuilt(start(), store)["processed"] == 11 and len(tries) == 5
