@@ -440,6 +440,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, source, id, title, url FROM ever
         "rebuild_progress": "SELECT * FROM (VALUES (0, 'running', 3, 0, 1, CAST(0 AS BIGINT), true, false), (1, 'running', 3, 2, 2, 2, true, false), (2, 'complete', 3, 3, 3, 3, false, true)) v(step, status, total, processed, page, indexed, limited_mode, finished)",
         "stream_index": f"""WITH {POSTS}, later AS (SELECT * REPLACE (CASE WHEN post_id % 10 = 0 THEN 'Freshly updated wording. ' || content ELSE content END AS content) FROM posts WHERE post_id % 15 <> 0), {index_of("later")}
 SELECT (SELECT count(*) FROM docs) AS total_docs, (SELECT round(avg(doc_length), 6) FROM docs) AS avgdl, count(*) AS term_rows, count(DISTINCT term) AS unique_terms FROM terms""",
+        "corpus_feed_stream": f"""WITH {POSTS}, base AS (SELECT post_id, title, post_type, CAST(row_number() OVER (ORDER BY modified DESC, post_id DESC) AS INTEGER) AS corpus_rank FROM posts WHERE post_status = 'publish' AND post_id % 4 <> 1 QUALIFY corpus_rank <= 1000),
+old AS (SELECT * FROM base WHERE post_id % 27 <> 0), new AS (SELECT post_id, 'Changed: ' || title AS title, post_type FROM posts WHERE post_id % 9 = 0 AND post_id % 27 <> 0 AND post_status = 'publish')
+SELECT coalesce(o.post_id, n.post_id) AS post_id, coalesce(o.corpus_rank, CAST(1000 + n.post_id AS INTEGER)) AS corpus_rank, coalesce(n.title, o.title) AS title, coalesce(n.post_type, o.post_type) AS post_type FROM old o FULL JOIN new n ON o.post_id = n.post_id""",
         "rebuild_stream": f"""WITH {INDEX} SELECT 'complete' AS status, (SELECT count(*) FROM posts WHERE post_status = 'publish') AS processed, (SELECT count(*) FROM docs) AS total_docs,
   (SELECT round(avg(doc_length), 6) FROM docs) AS avgdl, count(*) AS term_rows, count(DISTINCT term) AS unique_terms FROM terms""",
         "rate_limit_stream": """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),

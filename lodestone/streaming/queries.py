@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
-from lodestone.operators import indexing
+from lodestone.operators import indexing, snapshot
 from lodestone.sources import posts as src
 from lodestone.sources.store import IndexStore, scratch
-from lodestone.streaming import limits
+from lodestone.streaming import corpus, limits
 from lodestone.streaming.conversations import conversation_store
 from lodestone.streaming.index import maintain, rebuild, rebuilt
 
@@ -71,6 +71,19 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.select("total_docs", F.round("avgdl", 6).alias("avgdl"), "term_rows", "unique_terms")
 
 
+def corpus_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of three quarters of all posts after a stream of saves, of which some are new, and deletions."""
+    folder = scratch(spark)
+    store, posts = IndexStore(spark, f"{folder}/index"), src.posts(spark, sf_dir)
+    corpus.write(store, snapshot.build_corpus(posts.where("post_id % 4 <> 1")))
+    saved = posts.where("post_id % 9 = 0").withColumn("title", F.concat(F.lit("Changed: "), "title")).withColumns({"seq": F.col("post_id"), "op": F.lit("save")})
+    removed = posts.where("post_id % 27 = 0").withColumns({"seq": F.col("post_id") + 10_000_000, "op": F.lit("delete")})
+    saved.unionByName(removed).write.parquet(f"{folder}/changes")
+    changes = spark.readStream.schema(spark.read.parquet(f"{folder}/changes").schema).option("maxFilesPerTrigger", 100).parquet(f"{folder}/changes")
+    corpus.feed(changes, store, f"{folder}/state").awaitTermination()
+    return corpus.read(store).select("post_id", "corpus_rank", "title", "post_type")
+
+
 def rebuild_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The progress and the status of an index that a stream over the tables' files built, a file a table and micro-batch."""
     folder = scratch(spark)
@@ -105,4 +118,4 @@ def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (stream_index, rebuild_stream, rate_limit_stream, circuit_breaker, conversation_stream)}
+    return {f.__name__: f for f in (stream_index, rebuild_stream, corpus_feed_stream, rate_limit_stream, circuit_breaker, conversation_stream)}

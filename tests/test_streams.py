@@ -132,3 +132,28 @@ def test_a_rebuild_that_fails_goes_on_where_it_was(spark, tmp_path, monkeypatch)
     assert (done["status"], done["processed"], len(done["batches"])) == ("complete", 11, 4) and len(tries) == 5
     assert indexing.status_of(store).first().total_docs == 11
     assert index.rebuilt(start(), store)["processed"] == 11 and len(tries) == 5
+
+
+def test_the_corpus_is_fed_by_the_last_change_of_a_post(spark, tmp_path):
+    """Kept ranks, new entries in the order of the feed, drafts and deletions gone, and a batch that is applied twice."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import snapshot
+    from lodestone.sources.posts import POSTS
+    from lodestone.sources.store import IndexStore
+    from lodestone.streaming import corpus
+
+    post = lambda i, title, status="publish": (i, "post", status, title, "text", "", "me", "s", "u", START + timedelta(minutes=i))
+    frame = lambda rows: spark.createDataFrame(rows, POSTS)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    corpus.write(store, snapshot.build_corpus(frame([post(i, f"t{i}") for i in range(1, 6)])))
+    schema = frame([]).withColumns({"seq": F.lit(0), "op": F.lit("")}).schema
+    batches = [[(*post(9, "nine"), 1, "save"), (*post(3, "three"), 2, "save"), (*post(7, "seven"), 3, "save"), (*post(2, "x"), 4, "delete")], [(*post(9, "nine again"), 5, "save"), (*post(4, "x", "draft"), 6, "save"), (*post(2, "two"), 7, "save")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "changes"))
+        corpus.feed(stream, store, str(tmp_path / "state")).awaitTermination()
+    shown = lambda df: sorted((r.corpus_rank, r.post_id, r.title) for r in df.collect())
+    want = [(1, 5, "t5"), (3, 3, "three"), (5, 1, "t1"), (1001, 9, "nine again"), (1003, 7, "seven"), (1007, 2, "two")]
+    assert shown(corpus.read(store)) == want
+    assert shown(corpus.fed(corpus.read(store), spark.createDataFrame(batches[1], schema))) == want
