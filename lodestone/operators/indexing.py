@@ -122,8 +122,8 @@ def upsert(terms: DataFrame, docs: DataFrame, changes: DataFrame, config: Engine
     """Both index tables after changes: rows of changed posts go, rows of their new state come."""
     new_terms, new_docs, touched = changed(changes, config)
     return (
-        terms.join(touched, "post_id", "left_anti").select(*terms.columns).unionByName(new_terms),
-        docs.join(touched, "post_id", "left_anti").select(*docs.columns).unionByName(new_docs),
+        terms.join(touched, "post_id", "left_anti").select(*terms.columns).unionByName(new_terms.select(*terms.columns)),
+        docs.join(touched, "post_id", "left_anti").select(*docs.columns).unionByName(new_docs.select(*docs.columns)),
     )
 
 
