@@ -220,11 +220,12 @@ def ctas_catalog(detected: DataFrame, admin: DataFrame, hidden: DataFrame, most:
     return best.select(F.row_number().over(Window.orderBy("side", "pos")).alias("pos"), "label", "url")  # at most six rows
 
 
-def contact_url(catalog: DataFrame) -> DataFrame:
-    """One row: the first action whose label or path speaks of contact, the empty string if none."""
+def contact_url(catalog: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each value of the columns by: the first action whose label or path speaks of contact, the empty string if none."""
     path, label = F.lower(tx.url_path(F.col("url"))), F.lower(tx.text_of(F.col("label")))
     about = F.contains(label, F.lit("contact")) | F.contains(path, F.lit("/contact")) | F.contains(path, F.lit("contact/"))
-    return catalog.where(about & (tx.text_of(F.col("url")) != "")).agg(F.coalesce(F.min_by("url", "pos"), F.lit("")).alias("contact_url"))
+    place = F.when(about & (tx.text_of(F.col("url")) != ""), F.col("pos"))
+    return catalog.groupBy(*by).agg(F.coalesce(F.min_by("url", place), F.lit("")).alias("contact_url"))
 
 
 def quality_tier(source: Column, count: Column) -> Column:

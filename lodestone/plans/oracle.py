@@ -395,7 +395,7 @@ b AS (SELECT *, CAST({has(snapshot.SHOP_PLUGIN)} AS INTEGER) + CAST({has(*snapsh
 c AS (SELECT *, CASE WHEN page_count <= 2 THEN 1 ELSE 0 END + CASE WHEN post_count >= 5 THEN 1 ELSE 0 END + CASE WHEN page_count > 0 AND post_count >= 5 * page_count THEN 1 ELSE 0 END + CASE WHEN authors = 1 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(coalesce(tagline, ''), '{snapshot.BLOGGY}') THEN 1 ELSE 0 END AS signals FROM b),
 s AS (SELECT *, CASE WHEN business_score > 0 OR signals < 2 THEN 0 ELSE signals END AS blog_score FROM c)
 SELECT site, CAST(business_score AS INTEGER) AS business_score, CAST(blog_score AS INTEGER) AS blog_score, {MODE} AS site_mode FROM s""",
-        "infer_type": f"""WITH slugs AS (SELECT coalesce(arg_max(type, modified || lpad(CAST(post_id AS VARCHAR), 9, '0')), '') AS by_slugs FROM (SELECT *, {slug_case(snapshot.TYPE_BY_SLUG)} AS type FROM {values("ctas_pages")} WHERE post_status = 'publish' AND post_type = 'page') WHERE type IS NOT NULL)
+        "infer_type": f"""WITH slugs AS (SELECT coalesce(arg_max(type, modified || lpad(CAST(post_id AS VARCHAR), 9, '0')), '') AS by_slugs FROM (SELECT *, {slug_case(snapshot.TYPE_BY_SLUG)} AS type FROM {values("ctas_pages")} WHERE post_status = 'publish' AND post_type = 'page' QUALIFY row_number() OVER (ORDER BY modified DESC, post_id DESC) <= 50) WHERE type IS NOT NULL)
 SELECT site, by_plugins, by_slugs, CASE WHEN coalesce(trim(site_type), '') <> '' THEN trim(site_type) WHEN by_plugins <> '' THEN by_plugins ELSE 'general business' END AS type FROM (SELECT *, {plugin_type()} AS by_plugins FROM {values("sites")}), slugs""",
         "quality_tier": f"SELECT id, {TIER} AS tier FROM {values('tiers')}",
         "quality_checklist": f"""WITH t AS (SELECT *, {TIER} AS tier FROM {values("tiers")})
@@ -414,7 +414,7 @@ p AS (SELECT site, stored, CASE WHEN contact_phone <> '' THEN contact_phone ELSE
 SELECT site, CASE WHEN stored <> '' THEN stored ELSE array_to_string(list_filter([CASE WHEN phone <> '' THEN 'Phone: ' || phone END, CASE WHEN email <> '' THEN 'Email: ' || email END, CASE WHEN address <> '' THEN 'Address: ' || address END, CASE WHEN hours <> '' THEN 'Hours: ' || hours END], lambda x: x IS NOT NULL), chr(10)) END AS curated_facts FROM p""",
         "cta_catalog": f"{catalog('business')} UNION ALL {catalog('personal_blog')}",
         "contact_url": f"""WITH c AS (SELECT *, lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?(?://[^/?#]*)?([^?#]*)', 1)) AS path FROM {values("catalogs")})
-SELECT n.catalog, coalesce((SELECT arg_min(url, pos) FROM c WHERE c.catalog = n.catalog AND url <> '' AND (contains(lower(coalesce(label, '')), 'contact') OR contains(path, '/contact') OR contains(path, 'contact/'))), '') AS contact_url FROM (SELECT CAST(unnest([1, 2, 3, 4, 5, 6]) AS INTEGER) AS catalog) n""",
+SELECT n.catalog, coalesce((SELECT arg_min(url, pos) FROM c WHERE c.catalog = n.catalog AND url <> '' AND (contains(lower(coalesce(label, '')), 'contact') OR contains(path, '/contact') OR contains(path, 'contact/'))), '') AS contact_url FROM (SELECT catalog FROM c UNION SELECT 6) n""",
         "brief_compile": f"{BRIEF} SELECT site_mode, text, brief_version, tier AS quality_tier FROM brief",
         "knowledge_status": f"""{BRIEF} SELECT site_mode, tier AS quality_tier, brief_version, CAST(content_count AS BIGINT) AS content_count, source AS description_source, {len(CTAS)} AS ctas,
   'description=' || CAST(({RICH}) AS VARCHAR) || ',content_count=' || CAST(content_count >= 5 AS VARCHAR) || CASE WHEN tier = 'insufficient' THEN ',minimum_content=' || CAST(content_count >= 3 AS VARCHAR) ELSE '' END AS checklist, {HINT} AS next_tier_hint FROM brief""",
@@ -437,7 +437,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, source, id, title, url FROM ever
         "conversation_key": f"SELECT id, 'conversation_' || regexp_replace(coalesce(conversation_id, ''), '[^a-fA-F0-9\\-]', '', 'g') AS key FROM (SELECT * FROM {values('conversation_ids')} UNION ALL SELECT DISTINCT CAST(conv_id + 1000 AS INTEGER), 'Conv-' || conv_id || '/Fab-' || conv_id * 7919 || '.x' FROM conversations)",
         "conversation_sessions": f"WITH {sessions(28800)} SELECT user_id, session, strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(last_seen, '%Y-%m-%d %H:%M:%S.%f') AS last_seen, n FROM sessions",
         "conversation_gc": "WITH m AS (SELECT conv_id, max(TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn)) AS last_seen FROM conversations GROUP BY conv_id) SELECT 'conversation_' || conv_id AS key FROM m WHERE last_seen < (SELECT max(last_seen) FROM m) - INTERVAL 1 DAY",
-        "rebuild_progress": "SELECT * FROM (VALUES (0, 'running', 3, 0, 1, CAST(0 AS BIGINT), true, false), (1, 'running', 3, 2, 2, 2, true, false), (2, 'complete', 3, 3, 3, 3, false, true)) v(step, status, total, processed, page, indexed, limited_mode, finished)",
+        "rebuild_progress": f"""WITH {INDEX}, ranked AS (SELECT p.post_id, d.post_id IS NOT NULL AS kept, 3 + row_number() OVER (ORDER BY p.post_id) AS nth FROM posts p LEFT JOIN docs d ON d.post_id = p.post_id WHERE p.post_type = 'page'),
+steps AS (SELECT step, total, least(100 * step, total) AS processed FROM (SELECT 3 + count(*) AS total FROM ranked), LATERAL (SELECT unnest(generate_series(0, CAST(ceil(total / 100.0) AS BIGINT))) AS step))
+SELECT CAST(step AS INTEGER) AS step, CASE WHEN processed < total THEN 'running' ELSE 'complete' END AS status, CAST(total AS INTEGER) AS total, CAST(processed AS INTEGER) AS processed, CAST(step + 1 AS INTEGER) AS page,
+  least(processed, 3) + (SELECT count(*) FROM ranked WHERE kept AND nth <= processed) AS indexed, processed < total AS limited_mode, processed >= total AS finished FROM steps""",
         "stream_index": f"""WITH {POSTS}, later AS (SELECT * REPLACE (CASE WHEN post_id % 10 = 0 THEN 'Freshly updated wording. ' || content ELSE content END AS content) FROM posts WHERE post_id % 15 <> 0), {index_of("later")}
 SELECT (SELECT count(*) FROM docs) AS total_docs, (SELECT round(avg(doc_length), 6) FROM docs) AS avgdl, count(*) AS term_rows, count(DISTINCT term) AS unique_terms FROM terms""",
         "corpus_feed_stream": f"""WITH {POSTS}, base AS (SELECT post_id, title, post_type, CAST(row_number() OVER (ORDER BY modified DESC, post_id DESC) AS INTEGER) AS corpus_rank FROM posts WHERE post_status = 'publish' AND post_id % 4 <> 1 QUALIFY corpus_rank <= 1000),

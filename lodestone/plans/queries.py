@@ -1,4 +1,4 @@
-"""One query for each operator, over the driver's tables or inline cases."""
+"""One query for each operator, over the driver's tables; where its subject has no table, over rows bound from them beside edge cases."""
 
 from __future__ import annotations
 
@@ -77,7 +77,7 @@ def tokenize_query(spark, sf_dir):
 
 @query
 def tokenize_edge(spark, sf_dir):
-    return frame(spark, "edge_texts").select("id", F.array_join(tx.tokenize(F.col("text")), " ").alias("tokens"))
+    return frame(spark, sf_dir, "edge_texts").select("id", F.array_join(tx.tokenize(F.col("text")), " ").alias("tokens"))
 
 
 @query
@@ -114,7 +114,7 @@ def trim_words(spark, sf_dir):
 def entity_decode(spark, sf_dir):
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     titles = spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") + 1000).cast("int").alias("id"), title.alias("text"))
-    return frame(spark, "entities").unionByName(titles).select("id", tx.decode_entities(F.col("text")).alias("decoded"))
+    return frame(spark, sf_dir, "entities").unionByName(titles).select("id", tx.decode_entities(F.col("text")).alias("decoded"))
 
 
 @query
@@ -159,11 +159,12 @@ def rebuild_batches(spark, sf_dir):
 
 @query
 def rebuild_progress(spark, sf_dir):
-    """The stored progress of a rebuild of three posts in batches of two: after its start and after each batch."""
+    """The stored progress of a rebuild of a site's pages and three posts in batches of 100: after its start and after each batch."""
     from lodestone.engine import Engine
 
-    posts = frame(spark, "rebuilt").withColumn("modified", F.col("modified").cast("timestamp"))
-    engine = Engine(spark, scratch(spark), lambda: posts, EngineConfig(rebuild_batch_size=2))
+    edges = frame(spark, sf_dir, "rebuilt").withColumn("modified", F.col("modified").cast("timestamp"))
+    posts = edges.unionByName(src.of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    engine = Engine(spark, scratch(spark), lambda: posts, EngineConfig(rebuild_batch_size=100))
     rows = [(0, engine.start_rebuild(), engine.status())]
     while rows[-1][1]["status"] == "running":
         rows.append((rows[-1][0] + 1, engine.process_rebuild_batch(), engine.status()))
@@ -244,7 +245,7 @@ def bm25_typed(spark, sf_dir):
 
 @query
 def intent_boost(spark, sf_dir):
-    return frame(spark, "boosts").select("intent", "post_type", rk.intent_boost(F.col("intent"), F.col("post_type")).alias("boost"))
+    return frame(spark, sf_dir, "boosts").select("intent", "post_type", rk.intent_boost(F.col("intent"), F.col("post_type")).alias("boost"))
 
 
 @query
@@ -281,7 +282,7 @@ def _requests(spark, sf_dir):
     b, i = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), F.col("item_id")
     types = F.when(i % 2 == 1, F.array(F.lit("Post"), F.lit("page"), F.lit("product"))).otherwise(F.array().cast("array<string>"))
     intent = F.element_at(F.array(*map(F.lit, (*INTENTS, "other"))), (i % 5 + 1).cast("int"))
-    return frame(spark, "queries").unionByName(b.select((i + 1000).alias("query_id"), F.concat(F.lit("  "), "text").alias("query"), types.alias("types"), (i % 60 - 30).cast("int").alias("limit"), intent.alias("intent")))
+    return frame(spark, sf_dir, "queries").unionByName(b.select((i + 1000).alias("query_id"), F.concat(F.lit("  "), "text").alias("query"), types.alias("types"), (i % 60 - 30).cast("int").alias("limit"), intent.alias("intent")))
 
 
 @query
@@ -305,26 +306,26 @@ def sanitize_types(spark, sf_dir):
 
 @query
 def synonym_sanitize(spark, sf_dir):
-    return synonyms.sanitize(frame(spark, "synonyms_raw"))
+    return synonyms.sanitize(frame(spark, sf_dir, "synonyms_raw"))
 
 
-def _merged(spark):
-    return synonyms.merge(synonyms.sanitize(frame(spark, "synonyms_raw")), synonyms.sanitize(frame(spark, "synonyms_extra")))
+def _merged(spark, sf_dir):
+    return synonyms.merge(synonyms.sanitize(frame(spark, sf_dir, "synonyms_raw")), synonyms.sanitize(frame(spark, sf_dir, "synonyms_extra")))
 
 
 @query
 def synonym_merge(spark, sf_dir):
-    return _merged(spark)
+    return _merged(spark, sf_dir)
 
 
 @query
 def synonym_inverse(spark, sf_dir):
-    return synonyms.with_inverse(synonyms.sanitize(frame(spark, "synonyms_raw")))
+    return synonyms.with_inverse(synonyms.sanitize(frame(spark, sf_dir, "synonyms_raw")))
 
 
 @query
 def synonym_expand(spark, sf_dir):
-    return synonyms.expand(frame(spark, "synonym_questions"), _merged(spark)).select("query_id", F.array_join("tokens", " ").alias("tokens"))
+    return synonyms.expand(frame(spark, sf_dir, "synonym_questions"), _merged(spark, sf_dir)).select("query_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query
@@ -343,7 +344,7 @@ def synonyms_jaccard(spark, sf_dir):
 @query
 def intent_normalize(spark, sf_dir):
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn") + 10_000).cast("int").alias("id"), F.col("text").alias("response"))
-    return frame(spark, "intents").unionByName(said).select("id", assistant.normalize_intent(F.col("response")).alias("intent"))
+    return frame(spark, sf_dir, "intents").unionByName(said).select("id", assistant.normalize_intent(F.col("response")).alias("intent"))
 
 
 def stub_model():
@@ -402,31 +403,31 @@ def content_counts(spark, sf_dir):
 @query
 def site_mode(spark, sf_dir):
     counts = snapshot.site_counts(src.posts(spark, sf_dir)).select(F.lit(0).alias("site"), F.array().cast("array<string>").alias("plugins"), F.lit("").alias("site_type"), F.lit("").alias("tagline"), F.lit("").alias("override"), "page_count", "post_count", "authors")
-    return snapshot.site_mode(frame(spark, "sites").unionByName(counts)).select("site", "business_score", "blog_score", "site_mode")
+    return snapshot.site_mode(frame(spark, sf_dir, "sites").unionByName(counts)).select("site", "business_score", "blog_score", "site_mode")
 
 
 @query
 def infer_type(spark, sf_dir):
-    by_slugs = snapshot.type_by_slugs(frame(spark, "ctas_pages").withColumn("modified", F.col("modified").cast("timestamp")))
-    sites = frame(spark, "sites").crossJoin(F.broadcast(by_slugs.withColumnRenamed("type", "by_slugs")))  # one row
+    by_slugs = snapshot.type_by_slugs(frame(spark, sf_dir, "ctas_pages").withColumn("modified", F.col("modified").cast("timestamp")))
+    sites = frame(spark, sf_dir, "sites").crossJoin(F.broadcast(by_slugs.withColumnRenamed("type", "by_slugs")))  # one row
     return sites.select("site", snapshot.type_by_plugins(F.col("plugins")).alias("by_plugins"), "by_slugs", snapshot.resolve_type(F.col("site_type"), F.col("plugins"), F.lit(""), F.lit("business")).alias("type"))
 
 
 @query
 def quality_tier(spark, sf_dir):
-    return frame(spark, "tiers").select("id", snapshot.quality_tier(F.col("source"), F.col("content_count")).alias("tier"))
+    return frame(spark, sf_dir, "tiers").select("id", snapshot.quality_tier(F.col("source"), F.col("content_count")).alias("tier"))
 
 
 @query
 def quality_checklist(spark, sf_dir):
-    t = frame(spark, "tiers").withColumn("tier", snapshot.quality_tier(F.col("source"), F.col("content_count")))
+    t = frame(spark, sf_dir, "tiers").withColumn("tier", snapshot.quality_tier(F.col("source"), F.col("content_count")))
     items = snapshot.quality_checklist(F.col("tier"), F.col("source"), F.col("content_count"), F.col("site_mode"), F.col("description"))
     return t.select("id", F.explode(items).alias("i"), snapshot.next_tier_hint(F.col("tier")).alias("hint")).select("id", F.col("i.id").alias("item"), "i.label", "i.done", "hint")
 
 
 @query
 def description_chain(spark, sf_dir):
-    d = frame(spark, "descriptions")
+    d = frame(spark, sf_dir, "descriptions")
     derived = snapshot.derived_description(F.col("name"), F.col("sections"))
     text, source = snapshot.resolve_description(*(F.col(c) for c in ("admin", "sitegen", "onboarding", "store", "homepage")), derived)
     return d.select("id", text.alias("description"), source.alias("source"), snapshot.insufficient_description(text).alias("insufficient"))
@@ -439,27 +440,24 @@ def homepage_extract(spark, sf_dir):
 
 @query
 def curated_facts(spark, sf_dir):
-    return snapshot.curated_facts(frame(spark, "contacts")).select("site", "curated_facts")
+    return snapshot.curated_facts(frame(spark, sf_dir, "contacts")).select("site", "curated_facts")
 
 
-def _catalog(spark, mode):
-    pages = frame(spark, "ctas_pages").withColumn("modified", F.col("modified").cast("timestamp"))
-    return snapshot.ctas_catalog(snapshot.detected_ctas(pages, mode), frame(spark, "ctas_admin"), frame(spark, "hidden"))
+def _catalog(spark, sf_dir, mode):
+    pages = frame(spark, sf_dir, "ctas_pages").withColumn("modified", F.col("modified").cast("timestamp"))
+    return snapshot.ctas_catalog(snapshot.detected_ctas(pages, mode), frame(spark, sf_dir, "ctas_admin"), frame(spark, sf_dir, "hidden"))
 
 
 @query
 def cta_catalog(spark, sf_dir):
-    both = [_catalog(spark, mode).withColumn("mode", F.lit(mode)) for mode in ("business", "personal_blog")]
+    both = [_catalog(spark, sf_dir, mode).withColumn("mode", F.lit(mode)) for mode in ("business", "personal_blog")]
     return both[0].unionByName(both[1])
 
 
 @query
 def contact_url(spark, sf_dir):
-    rows = [snapshot.contact_url(frame(spark, "catalogs").where(F.col("catalog") == i)).withColumn("catalog", F.lit(i)) for i in range(1, 7)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    catalogs = frame(spark, sf_dir, "catalogs")
+    return snapshot.contact_url(catalogs, "catalog").unionByName(snapshot.contact_url(catalogs.where("catalog = 6")).withColumn("catalog", F.lit(6).cast("long")))  # the sixth is empty
 
 
 def _brief(spark, sf_dir):
@@ -536,27 +534,27 @@ def prompt_assemble(spark, sf_dir):
 
 @query
 def json_extract(spark, sf_dir):
-    return frame(spark, "raws").select("id", js.json_extract(F.col("raw")).alias("json"))
+    return frame(spark, sf_dir, "raws").select("id", js.json_extract(F.col("raw")).alias("json"))
 
 
 @query
 def response_parse(spark, sf_dir):
     actions = F.array(*(F.struct(F.lit(x["label"]).alias("label"), F.lit(x["url"]).alias("url")) for x in CTAS))
     pages = F.array(*(F.struct(F.lit(x["title"]).alias("title"), F.lit(x["url"]).alias("url")) for x in PAGES))
-    parsed = assistant.parse_response(frame(spark, "raws").withColumn("allowed_ctas", actions).withColumn("allowed_sources", pages))
+    parsed = assistant.parse_response(frame(spark, sf_dir, "raws").withColumn("allowed_ctas", actions).withColumn("allowed_sources", pages))
     pairs = lambda c, n: F.array_join(F.transform(c, lambda x: F.concat(x[n], F.lit(">"), x["url"])), "|")
     return parsed.select("id", "answer", F.array_join("suggestions", "|").alias("suggestions"), pairs("ctas", "label").alias("ctas"), pairs("sources", "title").alias("sources"), "needs_human")
 
 
 @query
 def ask_error(spark, sf_dir):
-    e = frame(spark, "ask_errors").select("id", *assistant.error_response(F.col("contact_url"), F.col("site_mode")))
+    e = frame(spark, sf_dir, "ask_errors").select("id", *assistant.error_response(F.col("contact_url"), F.col("site_mode")))
     return e.withColumn("suggestions", F.array_join("suggestions", "|"))
 
 
 @query
 def llm_response_extract(spark, sf_dir):
-    return frame(spark, "payloads").select("id", js.completion_text(F.col("payload")).alias("text"))
+    return frame(spark, sf_dir, "payloads").select("id", js.completion_text(F.col("payload")).alias("text"))
 
 
 @query
@@ -576,7 +574,7 @@ def history_compact(spark, sf_dir):
 def conversation_key(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
     named = ids.select((F.col("conv_id") + 1000).cast("int").alias("id"), F.concat(F.lit("Conv-"), "conv_id", F.lit("/Fab-"), F.col("conv_id") * 7919, F.lit(".x")).alias("conversation_id"))
-    return frame(spark, "conversation_ids").unionByName(named).select("id", tx.conversation_key(F.col("conversation_id")).alias("key"))
+    return frame(spark, sf_dir, "conversation_ids").unionByName(named).select("id", tx.conversation_key(F.col("conversation_id")).alias("key"))
 
 
 def _events(spark, sf_dir):
@@ -627,12 +625,12 @@ def color_darken(spark, sf_dir):
 
 @query
 def color_sanitize(spark, sf_dir):
-    return frame(spark, "colors").select("id", cl.sanitize_hex(F.col("color")).alias("color"))
+    return frame(spark, sf_dir, "colors").select("id", cl.sanitize_hex(F.col("color")).alias("color"))
 
 
 @query
 def color_resolve(spark, sf_dir):
-    return palette.resolve(frame(spark, "palettes"))
+    return palette.resolve(frame(spark, sf_dir, "palettes"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
