@@ -74,3 +74,10 @@ def test_sentence_trim(spark):
     texts = ["short", "a" * 600 + ". " + "b" * 600, "a. " + "b" * 2000, "a" * 999 + "!x"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.sentence_trim(F.col("t"))).collect()]
     assert got == ["short", "a" * 600 + ".", texts[2][:1000].strip(), "a" * 999 + "!"]
+
+
+def test_words_end_at_every_character_but_ascii_letters_and_digits(spark):
+    """The class of BETWEEN_WORDS is that of the reference's pattern for every character."""
+    codes = spark.range(1, 0x11000).where("id < 55296 or id > 57343").select(tx.character(F.col("id")).alias("c"))
+    assert codes.where(F.rlike("c", F.lit(tx.BETWEEN_WORDS)) != F.rlike("c", F.lit("[^a-zA-Z0-9]+"))).isEmpty()
+    assert "a-zA-Z0-9" not in tx.BETWEEN_WORDS  # twelve times as slow
