@@ -13,7 +13,7 @@ from lodestone.functions import ranking as rk
 from lodestone.functions import text as tx
 from lodestone.operators.indexing import corpus_stats
 from lodestone.operators.snapshot import corpus_entries
-from lodestone.sources.store import IndexStore
+from lodestone.sources.store import IndexStore, materialised
 
 #: Digits that scores are rounded to before they are compared, so that ties are ties on every platform.
 DIGITS = 6
@@ -149,6 +149,7 @@ def search(queries: DataFrame, terms: DataFrame, docs: DataFrame, expand=None, c
 
 def matched_terms(hits: DataFrame, batch: Batch, terms: DataFrame) -> DataFrame:
     """hits with an array of the query's terms that each post has; computed for the surviving hits only."""
+    hits = materialised(hits)  # asked for their pairs and again for their terms; the ranking isn't done twice
     wanted = batch.wanted.select("query_id", "term")
     few = batch.terms is not None  # a query has 20 hits at most
     pairs = hinted(hits.select("query_id", "post_id").join(hinted(wanted, batch.fit), "query_id"), few)
