@@ -39,10 +39,11 @@ def like_search(questions: DataFrame, posts: DataFrame, k: int, config: EngineCo
     query = F.lower(tx.collapse_spaces(tx.text_of(F.col("query"))))
     asked = questions.select("query_id", query.alias("whole"), F.array_distinct(F.split(query, " ")).alias("words")).where("whole <> ''")
     found = substrings.candidates(asked, index or substrings.index(posts, config)).join(asked, "query_id")
+    found = found.withColumn("others", F.array_except("words", F.array("word"))).drop("words", "word")
     text = F.lower(F.concat_ws("\n", "title", "excerpt", "content"))
     dated = published(posts, config).select("post_id", "modified", F.lower(tx.text_of(F.col("title"))).alias("heading"), text.alias("text"))
     best = Window.partitionBy("query_id").orderBy(F.when(F.contains("heading", F.col("whole")), 0).otherwise(1), *newest())
-    whole = found.join(dated, "post_id").where(F.forall("words", lambda w: F.contains(F.col("text"), w)))
+    whole = found.join(dated, "post_id").where(F.forall("others", lambda w: F.contains(F.col("text"), w)))
     return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "post_id")
 
 

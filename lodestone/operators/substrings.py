@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULT, EngineConfig
 from lodestone.functions import text as tx
 from lodestone.sources.posts import published
-from lodestone.sources.store import scratch, term_bucket
+from lodestone.sources.store import materialised, scratch, term_bucket
 
 #: Stand before and after a word, so that a word of one letter has a trigram and each of its parts lies in one.
 _FIRST, _LAST = "\x02", "\x03"
+#: Words of the vocabulary, those that hold a word of a query, up to which they meet the postings by a broadcast; the
+#: same join runs shuffled beyond.
+BROADCAST_TOKENS = 500_000
 
 
 class SubstringIndex(NamedTuple):
@@ -69,13 +72,16 @@ def _parts(grams: DataFrame) -> DataFrame:
 
 
 def written(found: SubstringIndex) -> SubstringIndex:
-    """The index as tables in a folder of their own: a look-up reads the buckets of the words that it found."""
+    """The index as tables in a folder of their own: a look-up reads the buckets of the words that it found.
+
+    Within a bucket postings lie as they come: a look-up reads all of it, and an order of words costs more than the rest.
+    """
     spark = found.postings.sparkSession
     folder = scratch(spark)
-    spread = found.postings.repartition("bucket", F.pmod(F.xxhash64("post_id"), F.lit(16))).sortWithinPartitions("bucket", "token")
+    spread = found.postings.repartition("bucket", F.pmod(F.xxhash64("post_id"), F.lit(16))).sortWithinPartitions("bucket")
     spread.write.partitionBy("bucket").parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
-    _grams_of(postings).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/grams")
+    _grams_of(postings).repartition("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/grams")
     grams = spark.read.parquet(f"{folder}/grams")
     _parts(grams).write.parquet(f"{folder}/parts")
     return SubstringIndex(postings, grams, spark.read.parquet(f"{folder}/parts"))
@@ -93,14 +99,18 @@ def tokens_with(words: DataFrame, found: SubstringIndex) -> DataFrame:
 
 
 def candidates(asked: DataFrame, found: SubstringIndex) -> DataFrame:
-    """(query_id, post_id): for each of asked (query_id, words array<string>, distinct) the posts with its rarest word; none if a word is in no post.
+    """(query_id, post_id, word): for each of asked (query_id, words array<string>, distinct) the posts with its rarest word; none if a word is in no post.
 
-    A frequent word's posts are listed only for queries that have no rarer one.
+    A frequent word's posts are listed only for queries that have no rarer one. The words looked up are written once, and
+    postings aren't moved unless those are more than BROADCAST_TOKENS.
     """
     words = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    tokens = tokens_with(words, found)
+    tokens = materialised(tokens_with(words, found))
     weights = tokens.groupBy("word").agg(F.sum("posts").alias("weight"))
     chosen = words.join(weights, "word").groupBy("query_id", "n").agg(F.count("*").alias("met"), F.min_by("word", F.struct("weight", "word")).alias("word")).where("met = n").select("query_id", "word")
+    chosen = materialised(chosen)
     placed = tokens.join(chosen.select("word").distinct(), "word", "left_semi").select("word", "token", term_bucket("token").alias("bucket"))
-    listed = placed.join(found.postings, ["bucket", "token"]).select("word", "post_id").distinct()
-    return chosen.join(listed, "word").select("query_id", "post_id")
+    if placed.count() <= BROADCAST_TOKENS:
+        placed = F.broadcast(placed)
+    listed = found.postings.join(placed, ["bucket", "token"]).select("word", "post_id").distinct()
+    return chosen.join(listed, "word").select("query_id", "post_id", "word")

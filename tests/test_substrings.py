@@ -50,3 +50,24 @@ def test_nothing_to_search(spark):
     questions = spark.createDataFrame([(1, "ab")], "query_id long, query string")
     assert retrieval.like_search(questions, posts.where("false"), 3).count() == 0
     assert retrieval.like_search(questions.where("false"), posts, 3).count() == 0
+
+
+def test_postings_are_not_moved_for_few_words(spark, monkeypatch):
+    rows, asked = texts(7)
+    posts = made(spark, rows)
+    questions = spark.createDataFrame(asked, "query_id long, query string")
+    index = substrings.written(substrings.index(posts))
+    words = questions.where("length(trim(query)) > 0").selectExpr("query_id", "array_distinct(split(lower(trim(query)), ' ')) as words")
+
+    def joins(limit):
+        monkeypatch.setattr(substrings, "BROADCAST_TOKENS", limit)
+        found = substrings.candidates(words, index)
+        listed = sorted(map(tuple, found.collect()))
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        return listed, [x for x in plan.splitlines() if "Join" in x and "token" in x]
+
+    few, broadcast = joins(1000)
+    many, shuffled = joins(0)
+    assert few == many and few
+    assert broadcast and all("BroadcastHashJoin" in x for x in broadcast)
+    assert sorted(map(tuple, retrieval.like_search(questions, posts, 4, index=index).collect())) == plain(rows, asked, 4)
