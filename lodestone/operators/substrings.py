@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULT, EngineConfig
 from lodestone.functions import text as tx
 from lodestone.sources.posts import published
-from lodestone.sources.store import materialised, scratch, term_bucket
+from lodestone.sources.store import materialised, scratch
 
 #: Stand before and after a word, so that a word of one letter has a trigram and each of its parts lies in one.
 _FIRST, _LAST = "\x02", "\x03"
 #: Words of the vocabulary, those that hold a word of a query, up to which they meet the postings by a broadcast; the
 #: same join runs shuffled beyond.
 BROADCAST_TOKENS = 500_000
+#: Folders of the postings. Each task that reads posts writes a file into each.
+BUCKETS = 16
 
 
 class SubstringIndex(NamedTuple):
@@ -32,6 +34,10 @@ class SubstringIndex(NamedTuple):
     parts: DataFrame
 
 
+def _bucket(token: str) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
 def tokens_of(text: Column) -> Column:
     """The distinct words between white space of a lower-cased text."""
     return F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))
@@ -55,7 +61,7 @@ def _grams(word: Column) -> Column:
 def index(posts: DataFrame, config: EngineConfig = DEFAULT) -> SubstringIndex:
     """The index of title, excerpt and content of published posts, as a plan."""
     text = F.concat_ws("\n", "title", "excerpt", "content")
-    postings = published(posts, config).select("post_id", F.explode(tokens_of(text)).alias("token")).withColumn("bucket", term_bucket("token"))
+    postings = published(posts, config).select("post_id", F.explode(tokens_of(text)).alias("token")).withColumn("bucket", _bucket("token"))
     grams = _grams_of(postings)
     return SubstringIndex(postings, grams, _parts(grams))
 
@@ -74,12 +80,11 @@ def _parts(grams: DataFrame) -> DataFrame:
 def written(found: SubstringIndex) -> SubstringIndex:
     """The index as tables in a folder of their own: a look-up reads the buckets of the words that it found.
 
-    Within a bucket postings lie as they come: a look-up reads all of it, and an order of words costs more than the rest.
+    Postings aren't moved: each task writes those of its posts, by bucket only, as a look-up reads all of a bucket.
     """
     spark = found.postings.sparkSession
     folder = scratch(spark)
-    spread = found.postings.repartition("bucket", F.pmod(F.xxhash64("post_id"), F.lit(16))).sortWithinPartitions("bucket")
-    spread.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    found.postings.write.partitionBy("bucket").parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
     _grams_of(postings).repartition("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/grams")
     grams = spark.read.parquet(f"{folder}/grams")
@@ -109,7 +114,7 @@ def candidates(asked: DataFrame, found: SubstringIndex) -> DataFrame:
     weights = tokens.groupBy("word").agg(F.sum("posts").alias("weight"))
     chosen = words.join(weights, "word").groupBy("query_id", "n").agg(F.count("*").alias("met"), F.min_by("word", F.struct("weight", "word")).alias("word")).where("met = n").select("query_id", "word")
     chosen = materialised(chosen)
-    placed = tokens.join(chosen.select("word").distinct(), "word", "left_semi").select("word", "token", term_bucket("token").alias("bucket"))
+    placed = tokens.join(chosen.select("word").distinct(), "word", "left_semi").select("word", "token", _bucket("token").alias("bucket"))
     if placed.count() <= BROADCAST_TOKENS:
         placed = F.broadcast(placed)
     listed = found.postings.join(placed, ["bucket", "token"]).select("word", "post_id").distinct()
