@@ -19,8 +19,8 @@ from lodestone.sources.store import materialised, scratch
 
 #: Stand before and after a word, so that a word of one letter has a trigram and each of its parts lies in one.
 _FIRST, _LAST = "\x02", "\x03"
-#: Words of the vocabulary, those that hold a word of a query, up to which they meet the postings by a broadcast; the
-#: same join runs shuffled beyond.
+#: Rows up to which what a batch looks up meets the index by a broadcast: words that hold a word of a query, and pairs of
+#: a query's word and a trigram. The same join runs shuffled beyond.
 BROADCAST_TOKENS = 500_000
 #: Folders of the postings. Each task that reads posts writes a file into each.
 BUCKETS = 16
@@ -86,12 +86,17 @@ def written(found: SubstringIndex) -> SubstringIndex:
     folder = scratch(spark)
     found.postings.write.partitionBy("bucket").parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
-    _grams_of(postings).repartition("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/grams")
+    _grams_of(postings).write.parquet(f"{folder}/grams")
     grams = spark.read.parquet(f"{folder}/grams")
     _parts(grams).write.parquet(f"{folder}/parts")
     return SubstringIndex(postings, grams, spark.read.parquet(f"{folder}/parts"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows with a broadcast hint if they are no more than BROADCAST_TOKENS, else as they are, for a shuffled join."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TOKENS else rows
+
+
 def tokens_with(words: DataFrame, found: SubstringIndex) -> DataFrame:
     """(word, token, n): the indexed words that hold each of words (word), which have no white space, and how many posts have them."""
     own = words.select("word").distinct().withColumn("long", F.length("word") >= 3)
@@ -100,7 +105,7 @@ def tokens_with(words: DataFrame, found: SubstringIndex) -> DataFrame:
     # of a long word all trigrams are in any word that holds it: the rarest does; a short one may be in any trigram
     rarest = met.where("long").groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     looked = rarest.unionByName(met.where("not long").select("word", "gram"))
-    return looked.join(found.grams, "gram").where(F.contains("token", F.col("word"))).select("word", "token", "posts").distinct()
+    return found.grams.join(_few(materialised(looked)), "gram").where(F.contains("token", F.col("word"))).select("word", "token", "posts").distinct()
 
 
 def candidates(asked: DataFrame, found: SubstringIndex) -> DataFrame:
@@ -115,7 +120,5 @@ def candidates(asked: DataFrame, found: SubstringIndex) -> DataFrame:
     chosen = words.join(weights, "word").groupBy("query_id", "n").agg(F.count("*").alias("met"), F.min_by("word", F.struct("weight", "word")).alias("word")).where("met = n").select("query_id", "word")
     chosen = materialised(chosen)
     placed = tokens.join(chosen.select("word").distinct(), "word", "left_semi").select("word", "token", _bucket("token").alias("bucket"))
-    if placed.count() <= BROADCAST_TOKENS:
-        placed = F.broadcast(placed)
-    listed = found.postings.join(placed, ["bucket", "token"]).select("word", "post_id").distinct()
+    listed = found.postings.join(_few(placed), ["bucket", "token"]).select("word", "post_id").distinct()
     return chosen.join(listed, "word").select("query_id", "post_id", "word")
