@@ -1,14 +1,17 @@
 """Main text of web pages by structure and nearest-URL page differencing.
 
-A page becomes lines (blocks of text) whose containers say article, boilerplate or nothing. Lines that say nothing, on
-pages without an article element, are decided by differencing: the different contents of a host are ordered by URL path,
-each is paired with its nearest neighbour there, the lines of both are aligned by a longest common subsequence, and the
-lines that they share are deleted if they repeat across the host. Copies are one content. Differencing alone can't decide the other lines: menus, adverts and footers differ from page
-to page, and copies of an article share all of its lines.
+A page becomes lines (blocks of text) whose containers say article, boilerplate or nothing; those of boilerplate go. The
+others, of every page, are differenced: the different contents of a host are ordered by URL path, each is paired with its
+nearest neighbour there, and the lines of both are aligned by a longest common subsequence. A shared line that says nothing,
+on a page without an article, goes if it repeats across the host. Inside an article, where copies and versions share most
+lines and short ones repeat by chance, it takes more: over half of the host's articles must find the line in an alignment
+with a page that shares less than half of their text. Differencing alone can't decide the rest: menus, adverts and footers
+differ from page to page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_right
@@ -16,10 +19,10 @@ from collections.abc import Iterator
 from os.path import commonprefix
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Tables, checkpointed, map_batches
+from lodestone.llm.common import Tables, broadcast_if_small, map_batches
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _UNQUOTED = re.compile(r"""[^>"']*""")
@@ -63,6 +66,8 @@ ARTICLE, OTHER, NONE, OPEN_FORM = 2, 1, 0, -1
 REPEATS = 3
 #: Rows of the alignment that are kept at once; others are worked out again on the way back.
 ROWS_KEPT = 512
+#: Bytes of a digest that stands for a line, and for a content, while pages are compared.
+LINE_BYTES, ENTRY_BYTES = 12, 16
 
 
 def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -243,82 +248,116 @@ def _host_and_path(url: str | None) -> tuple[str, str]:
     return (m[1].lower(), m[2]) if m else ("", url or "")
 
 
-def _with_neighbours(pages: DataFrame) -> DataFrame:
-    """pages (entry, host, path, lines) with those before and after each in the order of host, path and entry.
+def _entry(url: str | None, found: list[tuple[int, str]]) -> bytes | None:
+    """Names the content of a page by its host and lines; null for pages without any."""
+    return hashlib.sha256("\n".join([_host_and_path(url)[0], *(x for _, x in found)]).encode()).digest()[:ENTRY_BYTES] if found else None
+
+
+def _digests(packed: bytes) -> list[bytes]:
+    return [packed[i : i + LINE_BYTES] for i in range(0, len(packed), LINE_BYTES)]
+
+
+def _with_neighbours(entries: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """entries (entry, host, path, digests and others) in the order of host, path and entry, and with those before and after each.
 
     The order is cut into ranges, so a host with a third of all pages spans many tasks; the last page of a range is handed
     to the next over a table of one row for each range.
     """
     order = ["host", "path", "entry"]
-    ranged = checkpointed(pages.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("range", F.spark_partition_id())
-    own = F.struct("host", "path", "lines")
+    ranged = tables.write(entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+    own = F.struct("host", "path", "digests")
     within = Window.partitionBy("range").orderBy(*order)
     placed = ranged.select("*", F.lag(own).over(within).alias("before"), F.lead(own).over(within).alias("after"))
     ends = ranged.groupBy("range").agg(F.min_by(own, F.struct(*order)).alias("first"), F.max_by(own, F.struct(*order)).alias("last"))
     ranges = Window.orderBy("range")  # one row for each range
     borders = ends.select(F.col("range").alias("r"), F.lag("last").over(ranges).alias("previous"), F.lead("first").over(ranges).alias("next"))
     joined = placed.join(borders, placed["range"] == borders["r"], "left")
-    return joined.select("entry", "host", "path", "lines", F.coalesce("before", "previous").alias("before"), F.coalesce("after", "next").alias("after"))
-
-
-def _entry() -> Column:
-    """Names the content of a page by its host and lines; null for pages that aren't differenced."""
-    return F.when(F.col("lines").isNotNull(), F.sha2(F.concat("host", F.lit("\n"), F.array_join("lines", "\n")), 256))
+    return ranged, joined.select(*entries.columns, F.coalesce("before", "previous").alias("before"), F.coalesce("after", "next").alias("after"))
 
 
-def _differenced(pages: DataFrame) -> DataFrame:
-    """(entry, kept) for each content of pages (page, host, path, lines): the lines that aren't of the host's template.
+def _differenced(pages: DataFrame, tables: Tables) -> DataFrame:
+    """(entry, in_article, in_other) for contents of pages (entry, host, path, digests, weights): the places of the lines that are of the host's template.
 
-    A content's lines go if its nearest different content shares them and REPEATS different contents of the host hold them.
+    digests are those of all lines outside boilerplate, end to end; weights the lengths of lines in an article, 0 for others.
+    A content's lines go if its nearest different content shares them and, on pages without an article, REPEATS different
+    contents of the host hold them. On pages with one, contents that share less than half of their article's text with the
+    nearest one vote for the lines that they share, and lose those that get REPEATS votes and over half of those possible.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for _, host, path, own, *near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for entry, host, path, packed, weights, is_open, *near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             beside = [x for x in near if x and x["host"] == host]
             nearest = max(beside, key=lambda x: len(commonprefix([x["path"], path])), default=None)
-            out.append(sorted(common_lines(own, nearest["lines"])) if nearest else [])
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(out, pa.list_(pa.int32()))], names=["entry", "host", "lines", "shared"])
-
-    first = F.min_by(F.struct("path", "lines"), F.struct("path", "page")).alias("first")
-    entries = checkpointed(pages.groupBy(_entry().alias("entry"), "host").agg(first).select("entry", "host", "first.path", "first.lines"))
-    paired = checkpointed(map_batches(_with_neighbours(entries), "entry string, host string, lines array<string>, shared array<int>", run))
-    repeated = entries.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").count().where(F.col("count") >= REPEATS)
-    shared = paired.select("entry", "host", "lines", F.explode("shared").alias("i")).select("entry", "host", "i", F.element_at("lines", F.col("i") + 1).alias("line"))
-    gone = shared.join(repeated, ["host", "line"], "left_semi").groupBy("entry").agg(F.collect_set("i").alias("gone"))
-    kept = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
-    return paired.join(gone, "entry", "left").select("entry", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
+            if not nearest:
+                continue
+            own = _digests(packed)
+            found = sorted(common_lines(own, _digests(nearest["digests"])))
+            if is_open:
+                out += [(entry, host, False, i, own[i]) for i in found]
+            if 2 * sum(weights[i] for i in found) < sum(weights):
+                out += [(entry, host, True, i, own[i]) for i in found if weights[i]]
+        types = [pa.binary(), pa.string(), pa.bool_(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], t) for i, t in enumerate(types)], names=["entry", "host", "article", "place", "line"])
+
+    has_article = F.array_max("weights") > 0
+    # weights: copies whose markup differs may lack an article; the greatest array has one if any copy does
+    copies = [F.min("path").alias("path"), F.first("digests").alias("digests"), F.max("weights").alias("weights"), F.max(~has_article).alias("open")]
+    ranged, paired = _with_neighbours(pages.groupBy("entry", "host").agg(*copies), tables)
+    shared = tables.write(map_batches(paired, "entry binary, host string, article boolean, place int, line binary", run))
+
+    votes = shared.where("article").groupBy("host", "line").agg(F.countDistinct("entry").alias("votes")).where(F.col("votes") >= REPEATS)
+    articles = ranged.where(has_article).groupBy("host").agg(F.count("*").alias("articles"))
+    voted = votes.join(articles, "host").where(2 * F.col("votes") > F.col("articles")).select("host", "line", F.lit(True).alias("article"))
+    asked = shared.where("not article").select("host", "line").distinct()
+    asked = broadcast_if_small(asked, F.lit(64))
+    starts = F.sequence(F.lit(1), F.length("digests"), F.lit(LINE_BYTES))
+    held = ranged.select("host", F.explode(F.array_distinct(F.transform(starts, lambda at: F.substring("digests", at, F.lit(LINE_BYTES))))).alias("line"))
+    repeated = held.join(asked, ["host", "line"], "left_semi").groupBy("host", "line").count().where(F.col("count") >= REPEATS).select("host", "line", F.lit(False).alias("article"))
+
+    gone = shared.join(voted.union(repeated), ["host", "line", "article"], "left_semi")
+    places = [F.collect_set(F.when(which, F.col("place"))).alias(name) for name, which in (("in_article", F.col("article")), ("in_other", ~F.col("article")))]
+    return gone.groupBy("entry").agg(*places)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html).
 
-    Null, empty and markup-only pages have the empty text. A page with article or main elements is the text in them; any
-    other page is its lines outside boilerplate, less those it shares with the nearest page of other content on its host, if
-    REPEATS different contents there hold them. Copies have the same text, each row its own, whatever ids they repeat or
-    lack. Extra columns are left.
+    Null, empty and markup-only pages have the empty text. A page with article or main elements is the text in them, any
+    other page its lines outside boilerplate, both less the lines that differencing with the nearest page of other content
+    on its host finds to be of the host's template. An article never loses half of its text. Copies have the same text,
+    each row its own, whatever ids they repeat or lack. Extra columns are left.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, hosts, paths, open_lines = [], [], [], []
+    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if found := lines(page):
+                digests = b"".join(hashlib.blake2b(x.encode(), digest_size=LINE_BYTES).digest() for _, x in found)
+                out.append((_entry(url, found), *_host_and_path(url), digests, [len(x) if kind == ARTICLE else 0 for kind, x in found]))
+        types = [pa.binary(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], t) for i, t in enumerate(types)], names=["entry", "host", "path", "digests", "weights"])
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        entries, articles, texts = [], [], []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             found = lines(page)
-            article = [x for kind, x in found if kind == ARTICLE]
-            texts.append(" ".join(article))
-            open_lines.append(None if article or not found else [x for _, x in found])
-            host, path = _host_and_path(url)
-            hosts.append(host)
-            paths.append(path)
-        arrays = [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(open_lines, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "host", "path", "lines"])
+            article = any(kind == ARTICLE for kind, _ in found)
+            entries.append(_entry(url, found))
+            articles.append(article)
+            texts.append([x if kind == ARTICLE or not article else None for kind, x in found])  # other lines keep their places only
+        arrays = [*batch.columns[:2], pa.array(entries, pa.binary()), pa.array(articles, pa.bool_()), pa.array(texts, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "entry", "article", "lines"])
 
     tables = Tables(pages.sparkSession)
-    read = map_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), "page_id long, url string, text string, host string, path string, lines array<string>", run)
-    read = tables.write(read)  # a page is parsed once
-    undecided = read.where("lines is not null").select(F.col("page_id").alias("page"), "host", "path", "lines")
-    if undecided.isEmpty():
-        done = read
-    else:
-        texts = _differenced(undecided).select("entry", F.array_join("kept", " ").alias("own"))
-        done = read.withColumn("entry", _entry()).join(texts, "entry", "left").withColumn("text", F.coalesce("own", F.when(F.col("lines").isNull(), F.col("text")), F.array_join("lines", " ")))
-    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    digests = tables.write(map_batches(pages, "entry binary, host string, path string, digests binary, weights array<int>", compared))
+    gone = tables.write(_differenced(digests, tables))
+    tables.drop(gone)
+    gone = broadcast_if_small(gone, 64 + 8 * (F.size("in_article") + F.size("in_other")))
+    # parsed again: a table of all texts would take as much disk as the pages, beside the shuffle where many lose lines
+    texts = map_batches(pages, "page_id long, url string, entry binary, article boolean, lines array<string>", read)
+    joined = texts.join(gone, "entry", "left").withColumn("gone", F.when(F.col("article"), F.col("in_article")).otherwise(F.col("in_other")))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)))
+    done = joined.select("page_id", "url", F.array_join(kept, " ").alias("text"))
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -190,3 +190,25 @@ def test_a_tag_with_a_quote_that_never_ends():
 def test_parts_of_a_page_without_an_article():
     page = "<div id='header'>Head</div><div id='nav'>Nav</div><div class='topnav'>Top</div><p>Text</p><ol class='commentlist'><li>Said</li></ol><div id='footer'>Foot</div>"
     assert [x for _, x in he.lines(page)] == ["Text"]
+
+
+def test_articles_are_differenced(spark):
+    """Lines that over half of a host's articles share with a nearest page of other text go; versions, copies and chance repeats stay."""
+
+    def page(*own, outside=""):
+        return f"<body><nav>n</nav><article>{''.join(f'<p>{x}</p>' for x in own)}</article>{outside}</body>"
+
+    def story(n):
+        return f"Story {n} tells at some length what is told nowhere else, word by word {n}"
+
+    share, login = "Share this story with friends", "Log in to read on"
+    rows = [(i, f"http://h.example/d/{i:02d}", page(f"Title {i}", story(i), *(["The."] if i % 3 == 0 else []), share, outside="<div>Follow us</div>")) for i in range(12)]
+    rows += [(20, "http://h.example/d/03/copy", rows[3][2]), (21, "http://h.example/d/30", page(story(21), share.upper()))]
+    rows += [(i, f"http://versions.example/{i}", page(story(0), f"Version {i}", login)) for i in range(40, 48)]
+    rows += [(i, f"http://two.example/{i}", page(story(i), share)) for i in (50, 51)]
+    rows += [(60, "http://h.example/d/11/x", f"<body><div>{story(60)}</div><div>{share}</div><div>Follow us</div></body>")]
+    got = {r.page_id: (r.text, r.n_chars) for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Title {i} {story(i)}" + (" The." if i % 3 == 0 else "") for i in range(12)}
+    want |= {20: want[3], 21: f"{story(21)} {share.upper()}", 50: f"{story(50)} {share}", 51: f"{story(51)} {share}", 60: story(60)}
+    want |= {i: f"{story(0)} Version {i} {login}" for i in range(40, 48)}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
