@@ -25,17 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows of an Arrow batch between Spark and a Python worker, at most; Spark's own 10,000 rows of long texts take hundreds
 #: of megabytes outside the heap.
 ARROW_ROWS = 1_000
+#: Rows that Spark's Parquet reader decodes at once, at most; for its own 4,096 long texts it keeps arrays of tens of megabytes
+#: that grow by doubling, which makes the heap of an executor grow with them.
+READ_ROWS = 512
 
 
 def workers_ready(spark: SparkSession) -> None:
     """Prepares the session for Python stages over long texts.
 
     Workers can import this package from where the driver found it (on a cluster it is installed or sent by --py-files),
-    and a larger setting of spark.sql.execution.arrow.maxRecordsPerBatch is lowered to ARROW_ROWS.
+    and larger settings of spark.sql.execution.arrow.maxRecordsPerBatch and spark.sql.parquet.columnarReaderBatchSize are
+    lowered to ARROW_ROWS and READ_ROWS.
     """
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= ARROW_ROWS:
-        spark.conf.set(setting, str(ARROW_ROWS))
+    for setting, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if not 0 < int(spark.conf.get(setting)) <= most:
+            spark.conf.set(setting, str(most))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -128,6 +132,15 @@ def forget_others(kind: str | None) -> None:
         del _kept[known]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes."""
+    if batch.num_rows <= 1 or batch.num_rows <= ROWS_AT_ONCE and batch.nbytes <= BYTES_AT_ONCE:
+        yield batch
+    else:
+        yield from slices(batch.slice(0, batch.num_rows // 2))
+        yield from slices(batch.slice(batch.num_rows // 2))
+
+
 def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], pa.RecordBatch], keeps: str | None = None) -> DataFrame:
     """mapInArrow in slices of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes.
 
@@ -135,17 +148,10 @@ def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], pa.R
     """
     workers_ready(df.sparkSession)
 
-    def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if batch.num_rows <= 1 or batch.num_rows <= ROWS_AT_ONCE and batch.nbytes <= BYTES_AT_ONCE:
-            yield batch
-        else:
-            yield from sliced(batch.slice(0, batch.num_rows // 2))
-            yield from sliced(batch.slice(batch.num_rows // 2))
-
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(keeps)
         for batch in batches:
-            for part in sliced(batch):
+            for part in slices(batch):
                 out = run(part)
                 if out.num_rows:
                     yield out

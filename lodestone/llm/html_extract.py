@@ -19,10 +19,10 @@ from collections.abc import Iterator
 from os.path import commonprefix
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Tables, broadcast_if_small, map_batches
+from lodestone.llm.common import Tables, broadcast_if_small, map_batches, slices, workers_ready
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _UNQUOTED = re.compile(r"""[^>"']*""")
@@ -257,22 +257,64 @@ def _digests(packed: bytes) -> list[bytes]:
     return [packed[i : i + LINE_BYTES] for i in range(0, len(packed), LINE_BYTES)]
 
 
-def _with_neighbours(entries: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """entries (entry, host, path, digests and others) in the order of host, path and entry, and with those before and after each.
+def _shared(content: dict, near: list[dict | None]) -> dict[str, list[int]]:
+    """Places of content's lines that the nearest of near shares: in_article, those an article votes for; in_other, those of a content that a page without one has."""
+    beside = [x for x in near if x and x["host"] == content["host"]]
+    nearest = max(beside, key=lambda x: len(commonprefix([x["path"], content["path"]])), default=None)
+    found = sorted(common_lines(_digests(content["digests"]), _digests(nearest["digests"]))) if nearest else []
+    weights = content["weights"]
+    votes = 2 * sum(weights[i] for i in found) < sum(weights)
+    return {"in_article": [i for i in found if weights[i]] if votes else [], "in_other": found if content["open"] else []}
 
-    The order is cut into ranges, so a host with a third of all pages spans many tasks; the last page of a range is handed
-    to the next over a table of one row for each range.
+
+def _compared(contents: DataFrame, tables: Tables) -> DataFrame:
+    """(entry, host, digests, article, in_article, in_other) of contents (entry, host, path, digests, weights, open), each compared with the nearer of those beside it.
+
+    In the order of host, path and entry, which is cut into ranges, so a host with a third of all pages spans many tasks.
+    A range is compared as it streams past, three contents at a time; its first and last one wait, in a table of two rows
+    for each range, for those of the ranges beside it.
     """
     order = ["host", "path", "entry"]
-    ranged = tables.write(entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
-    own = F.struct("host", "path", "digests")
-    within = Window.partitionBy("range").orderBy(*order)
-    placed = ranged.select("*", F.lag(own).over(within).alias("before"), F.lead(own).over(within).alias("after"))
-    ends = ranged.groupBy("range").agg(F.min_by(own, F.struct(*order)).alias("first"), F.max_by(own, F.struct(*order)).alias("last"))
-    ranges = Window.orderBy("range")  # one row for each range
-    borders = ends.select(F.col("range").alias("r"), F.lag("last").over(ranges).alias("previous"), F.lead("first").over(ranges).alias("next"))
-    joined = placed.join(borders, placed["range"] == borders["r"], "left")
-    return ranged, joined.select(*entries.columns, F.coalesce("before", "previous").alias("before"), F.coalesce("after", "next").alias("after"))
+    near = "struct<host: string, path: string, digests: binary>"
+    columns = "entry binary, host string, digests binary, article boolean, in_article array<int>, in_other array<int>"
+    edge = f"edge struct<path: string, weights: array<int>, open: boolean, before: {near}, after: {near}>"
+    places = pa.list_(pa.int32())
+    arrow_near = pa.struct([("host", pa.string()), ("path", pa.string()), ("digests", pa.binary())])
+    arrow_edge = pa.struct([("path", pa.string()), ("weights", places), ("open", pa.bool_()), ("before", arrow_near), ("after", arrow_near)])
+    arrow = pa.schema([("entry", pa.binary()), ("host", pa.string()), ("digests", pa.binary()), ("article", pa.bool_()), ("in_article", places), ("in_other", places)])
+    with_edge = arrow.append(pa.field("edge", arrow_edge))
+
+    def placed(before: dict | None, here: dict, after: dict | None) -> dict:
+        out = {"entry": here["entry"], "host": here["host"], "digests": here["digests"], "article": max(here["weights"]) > 0, "edge": None}
+        if before and after:
+            return out | _shared(here, [before, after])
+        beside = {k: x and {name: x[name] for name in ("host", "path", "digests")} for k, x in (("before", before), ("after", after))}
+        return out | {"in_article": None, "in_other": None, "edge": {name: here[name] for name in ("path", "weights", "open")} | beside}
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = here = None
+        for part in (x for batch in batches for x in slices(batch)):
+            out = []
+            for row in part.to_pylist():
+                if here:
+                    out.append(placed(before, here, row))
+                before, here = here, row
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=with_edge)
+        if here:
+            yield pa.RecordBatch.from_pylist([placed(before, here, None)], schema=with_edge)
+
+    def edges(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [{k: row[k] for k in ("entry", "host", "digests", "article")} | _shared(row, [row["before"], row["after"]]) for row in batch.to_pylist()]
+        return pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    workers_ready(contents.sparkSession)
+    compared = tables.write(contents.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(ranges, f"{columns}, {edge}"))
+    own, along = F.struct("host", "path", "digests"), Window.orderBy(*order)  # two rows for each range
+    waiting = compared.where("edge is not null").select("entry", "host", "digests", "article", "edge.*")
+    waiting = waiting.withColumns({"before": F.coalesce("before", F.lag(own).over(along)), "after": F.coalesce("after", F.lead(own).over(along))})
+    met = tables.write(map_batches(waiting, columns, edges))
+    return compared.where("edge is null").drop("edge").union(met)
 
 
 def _differenced(pages: DataFrame, tables: Tables) -> DataFrame:
@@ -283,38 +325,28 @@ def _differenced(pages: DataFrame, tables: Tables) -> DataFrame:
     contents of the host hold them. On pages with one, contents that share less than half of their article's text with the
     nearest one vote for the lines that they share, and lose those that get REPEATS votes and over half of those possible.
     """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for entry, host, path, packed, weights, is_open, *near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            beside = [x for x in near if x and x["host"] == host]
-            nearest = max(beside, key=lambda x: len(commonprefix([x["path"], path])), default=None)
-            if not nearest:
-                continue
-            own = _digests(packed)
-            found = sorted(common_lines(own, _digests(nearest["digests"])))
-            if is_open:
-                out += [(entry, host, False, i, own[i]) for i in found]
-            if 2 * sum(weights[i] for i in found) < sum(weights):
-                out += [(entry, host, True, i, own[i]) for i in found if weights[i]]
-        types = [pa.binary(), pa.string(), pa.bool_(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], t) for i, t in enumerate(types)], names=["entry", "host", "article", "place", "line"])
-
     has_article = F.array_max("weights") > 0
     # weights: copies whose markup differs may lack an article; the greatest array has one if any copy does
     copies = [F.min("path").alias("path"), F.first("digests").alias("digests"), F.max("weights").alias("weights"), F.max(~has_article).alias("open")]
-    ranged, paired = _with_neighbours(pages.groupBy("entry", "host").agg(*copies), tables)
-    shared = tables.write(map_batches(paired, "entry binary, host string, article boolean, place int, line binary", run))
+    compared = _compared(pages.groupBy("entry", "host").agg(*copies), tables)
+
+    def line(place: Column) -> Column:
+        return F.substring("digests", place * LINE_BYTES + 1, F.lit(LINE_BYTES))
+
+    def lines_at(places: Column) -> Column:
+        return F.explode(F.array_distinct(F.transform(places, line))).alias("line")
 
-    votes = shared.where("article").groupBy("host", "line").agg(F.countDistinct("entry").alias("votes")).where(F.col("votes") >= REPEATS)
-    articles = ranged.where(has_article).groupBy("host").agg(F.count("*").alias("articles"))
+    votes = compared.select("host", lines_at(F.col("in_article"))).groupBy("host", "line").agg(F.count("*").alias("votes")).where(F.col("votes") >= REPEATS)
+    articles = compared.where("article").groupBy("host").agg(F.count("*").alias("articles"))
     voted = votes.join(articles, "host").where(2 * F.col("votes") > F.col("articles")).select("host", "line", F.lit(True).alias("article"))
-    asked = shared.where("not article").select("host", "line").distinct()
+    asked = compared.select("host", lines_at(F.col("in_other"))).distinct()
     asked = broadcast_if_small(asked, F.lit(64))
-    starts = F.sequence(F.lit(1), F.length("digests"), F.lit(LINE_BYTES))
-    held = ranged.select("host", F.explode(F.array_distinct(F.transform(starts, lambda at: F.substring("digests", at, F.lit(LINE_BYTES))))).alias("line"))
+    held = compared.select("host", lines_at(F.sequence(F.lit(0), (F.length("digests") / LINE_BYTES).cast("int") - 1)))
     repeated = held.join(asked, ["host", "line"], "left_semi").groupBy("host", "line").count().where(F.col("count") >= REPEATS).select("host", "line", F.lit(False).alias("article"))
 
+    kinds = [F.struct(F.lit(of_article).alias("article"), F.col(name).alias("places")) for of_article, name in ((True, "in_article"), (False, "in_other"))]
+    shared = compared.select("entry", "host", "digests", F.explode(F.array(*kinds)).alias("kind")).select("entry", "host", "digests", "kind.article", F.explode("kind.places").alias("place"))
+    shared = shared.select("entry", "host", "article", "place", line(F.col("place")).alias("line"))
     gone = shared.join(voted.union(repeated), ["host", "line", "article"], "left_semi")
     places = [F.collect_set(F.when(which, F.col("place"))).alias(name) for name, which in (("in_article", F.col("article")), ("in_other", ~F.col("article")))]
     return gone.groupBy("entry").agg(*places)
@@ -351,7 +383,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     tables = Tables(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    digests = tables.write(map_batches(pages, "entry binary, host string, path string, digests binary, weights array<int>", compared))
+    digests = map_batches(pages, "entry binary, host string, path string, digests binary, weights array<int>", compared)
     gone = tables.write(_differenced(digests, tables))
     tables.drop(gone)
     gone = broadcast_if_small(gone, 64 + 8 * (F.size("in_article") + F.size("in_other")))

@@ -76,3 +76,15 @@ def test_a_worker_keeps_one_operators_memory(spark):
     rows = spark.range(8).repartition(4)
     common.map_batches(rows, "before long", holding, keeps="three").collect()
     assert all(r.before == 0 for r in common.map_batches(rows, "before long", seen).collect())
+
+
+def test_workers_ready_lowers_the_rows_of_a_parquet_read(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        for set_to, then in (("4096", common.READ_ROWS), ("7", 7)):
+            spark.conf.set(name, set_to)
+            common.workers_ready(spark)
+            assert int(spark.conf.get(name)) == then
+    finally:
+        spark.conf.set(name, before)

@@ -212,3 +212,38 @@ def test_articles_are_differenced(spark):
     want |= {20: want[3], 21: f"{story(21)} {share.upper()}", 50: f"{story(50)} {share}", 51: f"{story(51)} {share}", 60: story(60)}
     want |= {i: f"{story(0)} Version {i} {login}" for i in range(40, 48)}
     assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_ranges_meet_at_their_ends(spark):
+    """As many ranges as shuffle partitions, some of one content or none: first and last contents meet those of the ranges beside."""
+    rng = random.Random(8)
+    pages = []
+    for n in range(90):
+        host = "a.example" if n % 5 else rng.choice(["b.example", "c.example", "d.example"])
+        pages.append((f"http://{host}/{n % 3}/{n}", [f"Menu of {host}", f"Section {n % 3}", *(f"Body {rng.randrange(9)}" for _ in range(rng.randrange(3)))]))
+    for few in (pages, pages[:5]):
+        rows = [(i, url, "<body>" + "".join(f"<div>{x}</div>" for x in own) + "</body>") for i, (url, own) in enumerate(few)]
+        settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+        before = {k: spark.conf.get(k) for k in settings}
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            got = {r.page_id: r.text for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert got == dict(enumerate(plain_differencing(few)))
+
+
+def test_files_of_intermediate_tables_do_not_grow_with_the_splits_of_the_input(spark, monkeypatch):
+    """Each file that an executor writes may start a process; a table of each split's lines would take one a split."""
+    from pathlib import Path
+
+    from lodestone.llm import common
+
+    paths = []
+    monkeypatch.setattr(common, "drop_folder", lambda _, path: paths.append(path))
+    rows = [(i, f"http://h.example/{i}", f"<article><p>Text {i}</p></article>") for i in range(64)]
+    done = he.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(32))
+    assert sorted(r.text for r in done.collect()) == sorted(f"Text {i}" for i in range(64))
+    assert paths and sum(len(list(Path(x.removeprefix("file:")).glob("part-*"))) for x in paths) < 8
