@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULT, INTENTS, EngineConfig
 from lodestone.functions import ranking as rk
 from lodestone.functions import text as tx
+from lodestone.operators import indexing
 from lodestone.operators.indexing import corpus_stats
 from lodestone.operators.snapshot import corpus_entries
 from lodestone.sources.store import IndexStore, materialised
@@ -109,6 +110,20 @@ def of_tables(terms: DataFrame, docs: DataFrame, batch: Batch) -> Index:
     return Index(mine, mine.groupBy("term", "post_type").agg(F.count("*").alias("df")), corpus_stats(docs))
 
 
+def of_posts(posts: DataFrame, batch: Batch, config: EngineConfig = DEFAULT) -> Index:
+    """The same of posts without an index, for a batch of listed terms: one pass over the texts keeps each post's length and the terms asked for.
+
+    For a batch that is asked once: no posting of another term is made, moved or written.
+    """
+    mine = (F.filter(f, lambda t: t.isin(*batch.terms)).alias(f) for f in ("title", "excerpt", "content"))
+    kept = indexing.tokenized(posts, config).select("post_id", "post_type", indexing.length().alias("doc_length"), *mine)
+    rows = materialised(kept).where("doc_length > 0")  # filtered as read back, or each text would be tokenized for the filter as well
+    total, length = rows.agg(F.count("*"), F.coalesce(F.sum("doc_length"), F.lit(0))).first()
+    distinct = rows.select("post_type", F.explode(F.array_distinct(F.concat("title", "excerpt", "content"))).alias("term"))
+    terms = indexing.index_terms(rows, indexing.single(rows), F.col("doc_length"))
+    return Index(terms, distinct.groupBy("term", "post_type").agg(F.count("*").alias("df")), (total, length / total if total else 0.0))
+
+
 def matched_rows(batch: Batch, index: Index, config: EngineConfig = DEFAULT) -> DataFrame:
     """One scored row for each query, term and post of the query's types.
 

@@ -410,3 +410,34 @@ def test_matched_terms_rank_once(spark):
     found = sr.matched_terms(hits, batch, terms)
     assert "row_number" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.post_id: r.terms for r in found.collect()} == {1: ["bread", "menu"], 2: ["bread"]}
+
+
+def test_a_batch_asked_once_ranks_posts_as_the_index_does(spark, tmp_path):
+    from lodestone.sources.store import IndexStore
+
+    rows = [(i, "post" if i % 3 else "page", "draft" if i % 11 == 0 else "publish", f"Title alpha{i}", "alpha " * (i % 5) + "Beta " * (i % 7) + "gammaDelta 12 " + "other " * 700 * (i % 2)) for i in range(1, 40)]
+    posts = frame(spark, [*rows, rows[6], (50, "post", "publish", "", "")])
+    words = ["alpha", "beta gamma", "delta alpha beta", "none", "other title", ""]
+    asked = spark.createDataFrame([(i, w, ["page"] if i == 2 else [], 7, "support") for i, w in enumerate(words)], "query_id long, query string, types array<string>, limit int, intent string")
+    batch = sr.prepared(asked)
+    store = IndexStore(spark, str(tmp_path))
+    store.write(*indexed(posts))
+    shown = lambda found: sorted(map(tuple, sr.matched_terms(sr.ranked(batch, found), batch, found.terms).collect()), key=str)
+    direct = sr.of_posts(posts, batch)
+    assert shown(direct) == shown(sr.stored(store, batch)) and len(shown(direct)) > 20
+    assert {r.term for r in direct.terms.select("term").collect()} <= set(batch.terms)
+    nothing = sr.prepared(asked.where("query = ''"))
+    assert sr.ranked(nothing, sr.of_posts(posts, nothing)).count() == 0
+    assert sr.ranked(batch, sr.of_posts(posts.where("false"), batch)).count() == 0
+
+
+def test_retrieval_of_one_batch_makes_no_index(spark, monkeypatch):
+    from lodestone.plans import queries
+
+    sf, name = "/root/testdata/sf0.001", ["query_id", "rank", "source", "id", "title", "url"]
+    monkeypatch.setattr(queries, "_INDEXES", {})
+    monkeypatch.setattr(queries, "_SUBSTRINGS", {})
+    alone = sorted(map(tuple, queries.queries()["retrieve_topk"](spark, sf).select(name).collect()))
+    assert not queries._INDEXES and not queries._SUBSTRINGS
+    queries.store(spark, sf), queries.platform(spark, sf)
+    assert alone == sorted(map(tuple, queries.queries()["retrieve_topk"](spark, sf).select(name).collect())) and alone

@@ -71,3 +71,15 @@ def test_postings_are_not_moved_for_few_words(spark, monkeypatch):
     assert few == many and few
     assert broadcast and all("BroadcastHashJoin" in x for x in broadcast)
     assert sorted(map(tuple, retrieval.like_search(questions, posts, 4, index=index).collect())) == plain(rows, asked, 4)
+
+
+def test_a_scan_finds_what_the_index_finds_and_joins_nothing(spark, monkeypatch):
+    rows, asked = texts(9)
+    posts = made(spark, rows)
+    questions = spark.createDataFrame(asked, "query_id long, query string")
+    scanned = retrieval.like_search(questions, posts, 4)
+    assert "Join" not in scanned._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "SCANNED_QUERIES", 3)
+    planned = retrieval.like_search(questions, posts, 4)
+    assert "Join" in planned._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, scanned.collect())) == sorted(map(tuple, planned.collect())) == plain(rows, asked, 4)

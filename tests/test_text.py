@@ -81,3 +81,15 @@ def test_words_end_at_every_character_but_ascii_letters_and_digits(spark):
     codes = spark.range(1, 0x11000).where("id < 55296 or id > 57343").select(tx.character(F.col("id")).alias("c"))
     assert codes.where(F.rlike("c", F.lit(tx.BETWEEN_WORDS)) != F.rlike("c", F.lit("[^a-zA-Z0-9]+"))).isEmpty()
     assert "a-zA-Z0-9" not in tx.BETWEEN_WORDS  # twelve times as slow
+
+
+@pytest.mark.parametrize("space", [r"\s+", r"[\n\r\t ]+"])
+def test_first_words_are_those_of_the_whole_split(spark, space):
+    texts = ["", " ", "a", " a", "a ", " a b  c ", "a b c d", "  a b c d", "a b c d e f g h", " a b c ", "a b\x0bc d e f g", "a b c d ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.array_remove(F.split("t", space), "")
+    for r in rows.select(*(F.struct(F.slice(whole, 1, n).alias("w"), (F.size(whole) > n).alias("more"), F.slice(tx.first_words(F.col("t"), n, space), 1, n).alias("x"), (F.size(tx.first_words(F.col("t"), n, space)) > n).alias("m")).alias(f"n{n}") for n in (1, 2, 3, 4))).collect():
+        for x in r:
+            assert (x.w, x.more) == (x.x, x.m)
+    long = spark.createDataFrame([("word " * 1000,)], "t string").select(F.size(tx.first_words(F.col("t"), 8, space)).alias("n")).first()
+    assert long.n <= 11
