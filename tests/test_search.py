@@ -441,3 +441,28 @@ def test_retrieval_of_one_batch_makes_no_index(spark, monkeypatch):
     assert not queries._INDEXES and not queries._SUBSTRINGS
     queries.store(spark, sf), queries.platform(spark, sf)
     assert alone == sorted(map(tuple, queries.queries()["retrieve_topk"](spark, sf).select(name).collect())) and alone
+
+
+def test_a_merge_leaves_a_larger_segment_as_it_is(spark, tmp_path, monkeypatch):
+    """Small writes after a large one are merged among themselves; the index stays the one of the last rows."""
+    from lodestone.sources import store as st
+    from lodestone.streaming.index import apply_changes
+
+    monkeypatch.setattr(st, "SEGMENTS", 3)
+    store = st.IndexStore(spark, str(tmp_path))
+    now = {i: (i, "post", "publish", f"title {i}", " ".join(f"word{j}x" for j in range(i % 40, i % 40 + 20))) for i in range(60)}
+    posts = frame(spark, list(now.values()))
+    tokens = indexing.tokenized(posts)
+    store.write(indexing.index_terms(tokens), indexing.index_docs(tokens))
+    base = store.state()["segments"]
+    for n in range(6):
+        new = [(n, "page", "publish", f"again {n}", "fresh word"), (100 + n, "post", "publish", f"new {n}", "fresh"), (3, "post", "draft" if n % 2 else "publish", "third", "round")]
+        now |= {r[0]: r for r in new}
+        apply_changes(store, frame(spark, new).withColumns({"seq": F.lit(1), "op": F.lit("save")}))
+        assert store.state()["segments"][:1] == base and len(store.state()["segments"]) <= 4
+    touched = {r.post_id for n in store.state()["segments"][1:] for r in spark.read.schema(st.TOUCHED).parquet(f"{tmp_path}/touched-{n}").collect()}
+    assert touched == {0, 1, 2, 3, 4, 5}  # those of the touched posts that were in the index before
+    terms, docs = indexed(frame(spark, list(now.values())))
+    assert sorted(map(tuple, store.terms().collect())) == sorted(map(tuple, terms.collect()))
+    assert {(r.term, r.post_type): r.df for r in store.frequencies().collect()} == {(r.term, r.post_type): r["count"] for r in terms.groupBy("term", "post_type").count().collect()}
+    assert store.totals() == docs.agg(F.count("*"), F.sum("doc_length")).first()
